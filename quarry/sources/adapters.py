@@ -1,0 +1,111 @@
+"""Adapters from the parquet test tables to the artefacts the operators expect.
+
+Every adapter is a DataFrame derived from the given tables, so its size grows
+with the scale factor.  The same derivations are written in DuckDB SQL in
+``quarry.plans.oracle``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .tables import table
+
+# ---------------------------------------------------------------------------
+# The query-log templates.  ``{k}`` is replaced by the order key,
+# ``{cond}`` by one of three join conditions in a 10 : 3 : 2 ratio.
+# (tpl_id, difficulty, question, sql)
+# ---------------------------------------------------------------------------
+QLOG_TEMPLATES = [
+    (0, "simple", "What is the status and total price of order {k}?",
+     "SELECT o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = {k}"),
+    (1, "moderate", "How many distinct parts are in order {k}?",
+     "SELECT COUNT(DISTINCT T2.l_partkey) FROM orders AS T1 INNER JOIN lineitem AS T2 "
+     "ON T1.o_orderkey = T2.l_orderkey WHERE T1.o_orderkey = {k}"),
+    (2, "simple", "Which customer placed order {k}?",
+     "SELECT c.c_name FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey "
+     "WHERE o.o_orderkey = {k}"),
+    (3, "moderate", "Which nation is the customer of order {k} from?",
+     "SELECT n.n_name FROM nation AS n JOIN customer AS c ON n.n_nationkey = c.c_nationkey "
+     "JOIN orders AS o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey = {k}"),
+    (4, "simple", "Which nation is supplier {k} located in?",
+     "SELECT s.s_name, n.n_name FROM supplier s, nation n "
+     "WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey = {k}"),
+    (5, "challenging", "Which parts match the lines of order {k}?",
+     "SELECT p.p_name FROM part AS p JOIN lineitem AS l ON {cond} WHERE l.l_orderkey = {k}"),
+    (6, "challenging", "Which line numbers of order {k} come from a supplier equal to its customer?",
+     "SELECT l.l_linenumber FROM lineitem l JOIN orders o "
+     "ON l.l_orderkey = o.o_orderkey AND l.l_suppkey = o.o_custkey WHERE o.o_orderkey = {k}"),
+    (7, "moderate", "What is the most common return flag in order {k}?",
+     "SELECT l_returnflag FROM lineitem WHERE l_orderkey = {k} GROUP BY l_returnflag "
+     "ORDER BY COUNT(l_returnflag) DESC LIMIT 1"),
+    (8, "simple", "How many lines and what revenue does order {k} have?",
+     "SELECT COUNT(*), SUM(l.l_extendedprice) FROM lineitem AS l JOIN supplier AS s "
+     "ON l.l_suppkey = s.s_suppkey WHERE l.l_orderkey = {k}"),
+    (9, "moderate", "What are the balance range and average price for order {k}?",
+     "SELECT MIN(c.c_acctbal), MAX(c.c_acctbal), AVG(o.o_totalprice) FROM customer AS c "
+     "INNER JOIN orders AS o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey = {k}"),
+    (10, "moderate", "What is the name of the customer with order {k}?",
+     "SELECT c_name FROM customer WHERE c_custkey IN "
+     "(SELECT o_custkey FROM orders WHERE o_orderkey = {k})"),
+    (11, "challenging", "How many lines does order {k} have, by order?",
+     "SELECT t.cnt FROM (SELECT l_orderkey, COUNT(l_linenumber) AS cnt FROM lineitem "
+     "WHERE l_orderkey = {k} GROUP BY l_orderkey) AS t ORDER BY t.cnt"),
+    (12, "simple", "Is order {k} urgent?",
+     "SELECT o.o_orderkey FROM orders AS o -- FROM part JOIN x\n"
+     "WHERE o.o_orderpriority = '1-URGENT FROM lineitem JOIN region' AND o.o_orderkey = {k}"),
+    (13, "challenging", "List the nation of key {k} together with all regions.",
+     "SELECT n_name FROM nation WHERE n_nationkey = {k} UNION SELECT r_name FROM region"),
+    (14, "challenging", "Which small parts are not in order {k}?",
+     "SELECT p.p_name FROM part AS p WHERE p.p_partkey NOT IN "
+     "(SELECT l.l_partkey FROM lineitem AS l WHERE l.l_orderkey = {k}) "
+     "AND p.p_size BETWEEN 1 AND 10"),
+    (15, "moderate", "How many nations below key {k} does each region have?",
+     "SELECT r.r_name, COUNT(n.n_nationkey) FROM region AS r JOIN nation AS n "
+     "ON r.r_regionkey = n.n_regionkey WHERE n.n_nationkey < {k} GROUP BY r.r_name "
+     "ORDER BY r.r_name"),
+]
+
+# Join conditions for template 5, chosen by (key div 16) % 15: 0-9, 10-12, 13-14.
+QLOG_CONDITIONS = [
+    "p.p_partkey = l.l_partkey",
+    "p.p_size = l.l_linenumber",
+    "p.p_retailprice = l.l_extendedprice",
+]
+QLOG_DB_ID = "tpch"
+
+
+def templates_df(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        QLOG_TEMPLATES, "tpl_id int, difficulty string, question_tpl string, sql_tpl string")
+
+
+def _condition_for(key: Column) -> Column:
+    bucket = (key.cast("long") / 16).cast("long") % 15
+    return (F.when(bucket < 10, F.lit(QLOG_CONDITIONS[0]))
+            .when(bucket < 13, F.lit(QLOG_CONDITIONS[1]))
+            .otherwise(F.lit(QLOG_CONDITIONS[2])))
+
+
+def qlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query log: one SQL statement per order, template by ``o_orderkey % 16``.
+
+    Columns: query_id, db_id, question, sql, difficulty, tpl_id.  The template
+    table has 16 rows, so it is broadcast; the log is as large as ``orders``.
+    """
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    tpl = F.broadcast(templates_df(spark))
+    k = F.col("o_orderkey").cast("string")
+    return (
+        orders.join(tpl, (F.col("o_orderkey") % 16) == F.col("tpl_id"))
+        .select(
+            F.col("o_orderkey").alias("query_id"),
+            F.lit(QLOG_DB_ID).alias("db_id"),
+            F.replace(F.col("question_tpl"), F.lit("{k}"), k).alias("question"),
+            F.replace(F.replace(F.col("sql_tpl"), F.lit("{k}"), k),
+                      F.lit("{cond}"), _condition_for(F.col("o_orderkey"))).alias("sql"),
+            F.col("difficulty"),
+            F.col("tpl_id"),
+        )
+    )
