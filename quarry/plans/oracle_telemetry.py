@@ -1,0 +1,228 @@
+"""DuckDB SQL twins of the telemetry and report queries."""
+
+from __future__ import annotations
+
+from ..operators import reports as R
+from ..operators import telemetry as T
+from ..sources import adapters as A
+from .oracle_workload import qlog_cte, q
+from .telemetry import PRICES
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(q(v) for v in values) + "]"
+
+
+def spans_cte() -> str:
+    return f"""
+spans AS (
+  SELECT 'run-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id, event_id AS span_id,
+         CASE event_type WHEN 'click' THEN 'llm' WHEN 'view' THEN 'tool' WHEN 'purchase' THEN 'spark'
+                         WHEN 'error' THEN 'tool' END AS type,
+         CASE WHEN event_type = 'click' THEN 'llm_call' WHEN event_type = 'purchase' THEN 'spark_run'
+              ELSE {_list(A.TOOL_NAMES)}[user_id % {len(A.TOOL_NAMES)} + 1] END AS name,
+         epoch_us(ts) AS start,
+         CASE WHEN event_type <> 'error'
+              THEN epoch_us(ts) + CAST(round(value * {A.SPAN_SECONDS_PER_VALUE * 1_000_000}) AS BIGINT) END AS "end",
+         CASE WHEN event_type = 'click' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) * 7 END AS input_tokens,
+         CASE WHEN event_type = 'click' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) * 3 END AS output_tokens
+  FROM events WHERE event_type IN ('click', 'view', 'purchase', 'error')),
+bounds AS (SELECT run_id, min(start) AS run_start, max(coalesce("end", start)) AS run_end
+           FROM spans GROUP BY run_id),
+closed AS (SELECT s.run_id, s.span_id, s.type, s.name, s.start, coalesce(s."end", b.run_end) AS "end",
+                  CASE WHEN s."end" IS NOT NULL THEN NULL
+                       WHEN s.name = {q(T.SCHEMA_TOOL)} THEN {q(T.EARLY_EXIT_SCHEMA)}
+                       ELSE {q(T.EARLY_EXIT_OTHER)} END AS closed_reason
+           FROM spans s LEFT JOIN bounds b ON b.run_id = s.run_id)"""
+
+
+def runs_cte() -> str:
+    return f"""
+runs AS (
+  SELECT event_id AS query_id,
+         {_list(A.ARCHITECTURES)}[user_id % 5 + 1] AS experiment,
+         {_list(A.DIFFICULTIES)}[event_id % 3 + 1] AS difficulty,
+         {_list(A.PROVIDERS)}[user_id % 5 + 1] AS provider,
+         CASE WHEN event_type <> 'signup' THEN 'SELECT * FROM t WHERE id = ' || CAST(event_id AS VARCHAR) END AS sparksql_query,
+         CASE WHEN event_type = 'error' THEN 'Error: AnalysisException' END AS spark_error,
+         CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS accuracy,
+         CASE WHEN event_type IN ('purchase', 'view') THEN 1.0 ELSE 0.0 END AS relaxed_accuracy,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) * 7 AS input_tokens,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) * 3 AS output_tokens,
+         value AS total_time,
+         CASE WHEN event_type IN ('click', 'view', 'purchase') THEN value / 4 END AS spark_time
+  FROM events),
+scored AS (
+  SELECT *, CASE WHEN spark_error IS NOT NULL THEN 'ERROR' WHEN sparksql_query IS NOT NULL THEN 'VALID'
+                 ELSE 'NOT_EXECUTED' END AS execution_status,
+         CASE WHEN spark_error IS NULL AND sparksql_query IS NOT NULL
+              THEN coalesce(TRY_CAST(CAST(accuracy AS VARCHAR) AS DOUBLE), 0.0) ELSE 0.0 END AS score,
+         CASE WHEN spark_error IS NULL AND sparksql_query IS NOT NULL
+              THEN coalesce(relaxed_accuracy, 0.0) ELSE 0.0 END AS relaxed_score
+  FROM runs),
+by_arch AS (SELECT experiment AS architecture, avg(score) AS accuracy, avg(score) * 100 AS accuracy_pct
+            FROM scored GROUP BY experiment)"""
+
+
+def _s(x: str) -> str:
+    return f"round(({x}) / 1e6, 6)"
+
+
+SWEEP = """
+ev AS (SELECT run_id, start AS t, CAST(type = 'llm' AS INTEGER) AS dl, CAST(type = 'spark' AS INTEGER) AS ds,
+              CAST(type = 'tool' AS INTEGER) AS dt
+       FROM closed WHERE start IS NOT NULL AND "end" IS NOT NULL AND "end" >= start
+       UNION ALL
+       SELECT run_id, "end" AS t, -CAST(type = 'llm' AS INTEGER), -CAST(type = 'spark' AS INTEGER),
+              -CAST(type = 'tool' AS INTEGER)
+       FROM closed WHERE start IS NOT NULL AND "end" IS NOT NULL AND "end" >= start),
+pts AS (SELECT run_id, t, sum(dl) AS dl, sum(ds) AS ds, sum(dt) AS dt FROM ev GROUP BY run_id, t),
+sw AS (SELECT *, sum(dl) OVER w AS cl, sum(ds) OVER w AS cs, sum(dt) OVER w AS ct,
+              coalesce(lead(t) OVER w - t, 0) AS seg, lead(t) OVER w AS t_next
+       FROM pts WINDOW w AS (PARTITION BY run_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+def _union_sql(src: str, keys: str) -> str:
+    """Gaps-and-islands over ``src`` (keys, s, e) -> (keys, start_us, end_us)."""
+    return f"""
+SELECT {keys}, min(s) AS start_us, max(e) AS end_us FROM (
+  SELECT *, sum(nw) OVER (PARTITION BY {keys} ORDER BY s, e, nw DESC ROWS UNBOUNDED PRECEDING) AS island
+  FROM (SELECT *, CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END AS nw
+        FROM (SELECT *, max(e) OVER (PARTITION BY {keys} ORDER BY s, e
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe
+              FROM {src})))
+GROUP BY {keys}, island"""
+
+
+def oracle() -> dict[str, str]:
+    w = "WITH " + spans_cte().strip("\n")
+    wr = "WITH " + ",".join([qlog_cte().strip("\n"), runs_cte().strip("\n")])
+    raw_iv = "(SELECT run_id, type, start AS s, \"end\" AS e FROM spans WHERE start IS NOT NULL AND \"end\" IS NOT NULL AND \"end\" >= start)"
+    tools = A.TOOL_NAMES
+    prices = ", ".join(f"({q(p)}, {a}, {b})" for p, a, b in PRICES)
+    agent_log = """
+agent AS (SELECT conv_id, turn, role,
+            CASE WHEN role = 'assistant' THEN 'Thought: ' || text || ' Action: query_sql_db' ELSE text END AS log,
+            CASE WHEN role = 'assistant' THEN 'lc_run--' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) || '-0'
+                 ELSE CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) END AS message_id
+          FROM conversations)"""
+    return {
+        "span_pairing": w + f"""
+SELECT span_id, run_id, type, name, {_s('start')} AS start, {_s('"end"')} AS "end",
+       {_s('"end" - start')} AS duration FROM spans""",
+        "span_close_open": w + f"""
+SELECT span_id, run_id, name, {_s('"end"')} AS "end", closed_reason FROM closed""",
+        "interval_union": w + f"""
+SELECT run_id, type, {_s('start_us')} AS start, {_s('end_us')} AS "end" FROM ({_union_sql(raw_iv, 'run_id, type')})""",
+        "interval_total": w + f"""
+SELECT run_id, type, {_s('sum(end_us - start_us)')} AS total FROM ({_union_sql(raw_iv, 'run_id, type')})
+GROUP BY run_id, type""",
+        "interval_subtract": w + "," + SWEEP.replace(
+            "CAST(type = 'llm' AS INTEGER) AS dl, CAST(type = 'spark' AS INTEGER) AS ds",
+            "CAST(type IN ('llm', 'spark') AS INTEGER) AS dl, 0 AS ds").replace(
+            "-CAST(type = 'llm' AS INTEGER), -CAST(type = 'spark' AS INTEGER)",
+            "-CAST(type IN ('llm', 'spark') AS INTEGER), 0") + f""",
+pieces AS (SELECT run_id, t AS s, t_next AS e FROM sw WHERE ct > 0 AND cl = 0 AND seg > 0)
+SELECT run_id, {_s('start_us')} AS start, {_s('end_us')} AS "end" FROM ({_union_sql('pieces', 'run_id')})""",
+        "time_breakdown": w + "," + SWEEP + f""",
+parts AS (SELECT run_id,
+            sum(CASE WHEN cl > 0 THEN seg ELSE 0 END) AS llm_us,
+            sum(CASE WHEN cs > 0 THEN seg ELSE 0 END) AS spark_us,
+            sum(CASE WHEN ct > 0 AND cl = 0 AND cs = 0 THEN seg ELSE 0 END) AS tool_us,
+            sum(CASE WHEN cl > 0 AND cs > 0 THEN seg ELSE 0 END) AS overlap_us
+          FROM sw GROUP BY run_id)
+SELECT b.run_id, {_s('b.run_end - b.run_start')} AS total_time, {_s('coalesce(llm_us, 0)')} AS llm_time,
+       {_s('coalesce(spark_us, 0)')} AS spark_time, {_s('coalesce(tool_us, 0)')} AS tool_overhead_time,
+       {_s('greatest(0, b.run_end - b.run_start - coalesce(llm_us, 0) - coalesce(spark_us, 0) - coalesce(tool_us, 0))')} AS orchestration_time,
+       {_s('coalesce(overlap_us, 0)')} AS llm_spark_overlap
+FROM bounds b LEFT JOIN parts p ON p.run_id = b.run_id""",
+        "tool_metrics": w + f"""
+SELECT run_id, name AS tool, count(*) AS call_count, {_s('sum("end" - start)')} AS total_duration
+FROM closed WHERE type = 'tool' GROUP BY run_id, name""",
+        "tool_metrics_wide": w + """
+SELECT run_id, """ + ", ".join(
+            f"{_s(f'coalesce(sum(CASE WHEN name = {q(t)} THEN \"end\" - start END), 0)')} AS time_{t}" for t in tools)
+        + ", " + _s(" + ".join(f"coalesce(sum(CASE WHEN name = {q(t)} THEN \"end\" - start END), 0)" for t in tools))
+        + " AS total_time_tools FROM closed WHERE type = 'tool' GROUP BY run_id",
+        "token_totals": w + f"""
+SELECT run_id, count(*) AS llm_requests, coalesce(sum(input_tokens), 0) AS input_tokens,
+       coalesce(sum(output_tokens), 0) AS output_tokens,
+       coalesce(sum(input_tokens), 0) + coalesce(sum(output_tokens), 0) AS total_tokens,
+       {_s('coalesce(sum("end" - start), 0)')} AS total_time_llm_calls
+FROM spans WHERE type = 'llm' GROUP BY run_id""",
+        "loop_guard": w + f"""
+SELECT run_id, span_id, {_s('start')} AS start, call_no FROM (
+  SELECT *, count(*) OVER (PARTITION BY run_id ORDER BY start, span_id ROWS UNBOUNDED PRECEDING) AS call_no
+  FROM spans WHERE type = 'tool' AND name = {q(T.SCHEMA_TOOL)})
+WHERE call_no = {T.MAX_SCHEMA_CALLS + 1}""",
+        "thought_extract": "WITH " + agent_log.strip("\n") + """
+SELECT conv_id, turn,
+  CASE WHEN contains(log, 'Action:')
+       THEN trim(regexp_replace(trim(split_part(log, 'Action:', 1)), '^Thought:', ''))
+       ELSE log END AS thought
+FROM agent""",
+        "run_id_parse": "WITH " + agent_log.strip("\n") + """,
+p AS (SELECT *, CASE WHEN starts_with(message_id, 'lc_run--') THEN substr(message_id, 9) ELSE message_id END AS s
+      FROM agent)
+SELECT conv_id, turn, message_id,
+       CASE WHEN contains(s, '-') THEN regexp_replace(s, '-[^-]*$', '') ELSE s END AS run_id
+FROM p""",
+        "token_cost": wr + f""",
+prices(provider, input_per_m, output_per_m) AS (VALUES {prices})
+SELECT r.query_id, r.provider,
+       r.input_tokens / 1e6 * p.input_per_m AS input_cost,
+       r.output_tokens / 1e6 * p.output_per_m AS output_cost,
+       r.input_tokens / 1e6 * p.input_per_m + r.output_tokens / 1e6 * p.output_per_m AS total_cost
+FROM runs r LEFT JOIN prices p ON p.provider = r.provider""",
+        "run_record": wr + f"""
+SELECT query_id, experiment, difficulty,
+       CASE WHEN provider IN {tuple(T.KNOWN_PROVIDERS)} THEN provider ELSE 'unknown' END AS llm,
+       CASE WHEN spark_error IS NOT NULL THEN 'ERROR' WHEN sparksql_query IS NOT NULL THEN 'VALID'
+            ELSE 'NOT_EXECUTED' END AS execution_status,
+       coalesce(total_time, -1.0) AS total_time, coalesce(spark_time, -1.0) AS spark_time,
+       total_time - coalesce(spark_time, total_time) AS translation_time,
+       coalesce(input_tokens, 0) AS input_tokens, coalesce(output_tokens, 0) AS output_tokens,
+       coalesce(input_tokens, 0) + coalesce(output_tokens, 0) AS total_tokens
+FROM runs""",
+        "run_trace": w + """
+SELECT run_id, count(*) OVER (PARTITION BY run_id ORDER BY start, span_id ROWS UNBOUNDED PRECEDING) AS step_no,
+       span_id, type, name FROM spans""",
+        "first_query_per_run": w + f"""
+SELECT run_id, span_id, {_s('start')} AS start, {_s('"end" - start')} AS duration FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY start, span_id, "end") AS rn
+  FROM spans WHERE type = 'spark') WHERE rn = 1""",
+        "run_status": wr + """
+SELECT query_id, CASE WHEN spark_error IS NOT NULL THEN 'ERROR' WHEN sparksql_query IS NOT NULL THEN 'VALID'
+                      ELSE 'NOT_EXECUTED' END AS execution_status FROM runs""",
+        "experiment_summary": wr + """
+SELECT experiment, count(*) AS evaluated_queries, round(avg(score), 6) AS average_accuracy,
+       sum(input_tokens) AS total_input_tokens, sum(output_tokens) AS total_ouput_tokens,
+       sum(input_tokens + output_tokens) AS total_tokens,
+       round(coalesce(sum(input_tokens + output_tokens) / count(*), 0.0), 6) AS avg_tokens_per_query
+FROM scored GROUP BY experiment""",
+        "log_summary": wr + f"""
+SELECT s.query_id, coalesce(l.question, {q(R.NOT_FOUND)}) AS nl_query,
+       coalesce(l.sql, {q(R.NOT_FOUND)}) AS golden_query,
+       coalesce(s.sparksql_query, {q(R.NO_SQL)}) AS generated_query,
+       s.execution_status, s.spark_error,
+       coalesce(CAST(s.accuracy AS VARCHAR), {q(R.NOT_AVAILABLE)}) AS accuracy
+FROM scored s LEFT JOIN qlog l ON l.query_id = s.query_id""",
+        "accuracy_by_arch": wr + """
+SELECT architecture, round(accuracy, 6) AS accuracy, round(accuracy_pct, 6) AS accuracy_pct FROM by_arch""",
+        "accuracy_by_difficulty": wr + """,
+ord(difficulty_label, difficulty_rank) AS (VALUES """ + ", ".join(
+            f"({q(d)}, {i})" for i, d in enumerate(R.DIFFICULTY_ORDER)) + """)
+SELECT s.experiment AS architecture, o.difficulty_label, o.difficulty_rank, round(avg(s.score), 6) AS accuracy
+FROM scored s JOIN ord o ON o.difficulty_label = upper(substr(s.difficulty, 1, 1)) || lower(substr(s.difficulty, 2))
+GROUP BY s.experiment, o.difficulty_label, o.difficulty_rank""",
+        "accuracy_gain": wr + """
+SELECT a.architecture, round(a.accuracy_pct, 6) AS accuracy_pct, round(a.accuracy_pct - b.accuracy_pct, 6) AS improvement
+FROM by_arch a CROSS JOIN (SELECT accuracy_pct FROM by_arch WHERE architecture = 'baseline') b
+WHERE a.architecture <> 'baseline'""",
+        "strict_vs_relaxed": wr + """
+SELECT experiment, round(avg(score), 6) AS strict_accuracy, round(avg(relaxed_score), 6) AS relaxed_accuracy,
+       round(avg(relaxed_score) - avg(score), 6) AS difference
+FROM scored GROUP BY experiment""",
+        "spec_range": "WITH " + qlog_cte().strip("\n") + f"""
+SELECT query_id, question, sql, difficulty FROM qlog WHERE query_id BETWEEN {R.QUESTION_RANGE[0]} AND {R.QUESTION_RANGE[1]}""",
+    }

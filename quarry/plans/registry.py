@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import oracle_workload, workload
+from . import oracle_telemetry, oracle_workload, telemetry, workload
 
 
 def queries() -> dict:
     out = {}
     out.update(workload.QUERIES)
+    out.update(telemetry.QUERIES)
     return out
 
 
 def oracle_sql() -> dict:
     out = {}
     out.update(oracle_workload.oracle())
+    out.update(oracle_telemetry.oracle())
     return out

@@ -109,3 +109,84 @@ def qlog(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("tpl_id"),
         )
     )
+
+
+# ---------------------------------------------------------------------------
+# Telemetry adapters from ``events``.
+# Span type per event type, the reference's tool names, the
+# architectures, difficulty labels and provider labels.
+# ---------------------------------------------------------------------------
+SPAN_TYPE = {"click": "llm", "view": "tool", "purchase": "spark", "error": "tool"}
+TOOL_NAMES = ["list_tables_sql_db", "schema_sql_db", "query_sql_db", "query_checker_sql_db"]
+ARCHITECTURES = ["baseline", "vector", "graph", "hybrid_v1", "hybrid_v2"]
+DIFFICULTIES = ["simple", "moderate", "challenging"]
+PROVIDERS = ["google", "cloudflare", "claude", "openai", "other"]
+SPAN_SECONDS_PER_VALUE = 10  # a span lasts value x 10 seconds
+
+
+def _pick(values: list[str], idx: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
+
+
+def _tokens_k(props: Column) -> Column:
+    return F.get_json_object(props, "$.k").cast("long")
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One span per click / view / purchase / error event; run = day.
+
+    Columns: run_id, span_id, type, name, start, end (microseconds; ``end`` is null
+    for error events: a tool span that never ended), input_tokens, output_tokens.
+    """
+    e = table(spark, sf_dir, "events").where(F.col("event_type").isin(*SPAN_TYPE))
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    dur = F.round(F.col("value") * F.lit(SPAN_SECONDS_PER_VALUE * 1_000_000)).cast("long")
+    stype = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in SPAN_TYPE.items()])
+    k = _tokens_k(F.col("props"))
+    return e.select(
+        F.concat(F.lit("run-"), F.to_date(F.col("ts").cast("timestamp")).cast("string")).alias("run_id"),
+        F.col("event_id").alias("span_id"),
+        stype.alias("type"),
+        F.when(stype == "llm", F.lit("llm_call")).when(stype == "spark", F.lit("spark_run"))
+        .otherwise(_pick(TOOL_NAMES, F.col("user_id") % len(TOOL_NAMES))).alias("name"),
+        start.alias("start"),
+        F.when(F.col("event_type") != "error", start + dur).alias("end"),
+        F.when(stype == "llm", k * 7).alias("input_tokens"),
+        F.when(stype == "llm", k * 3).alias("output_tokens"),
+    )
+
+
+def run_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run start / end per day: first span start, last known end (or start)."""
+    s = spans(spark, sf_dir)
+    return s.groupBy("run_id").agg(
+        F.min("start").alias("run_start"),
+        F.max(F.coalesce("end", "start")).alias("run_end"))
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run records of a benchmark, one per event.
+
+    query_id = event_id, experiment = architecture by user_id % 5, difficulty by
+    event_id % 3; error events fail, signup events never execute a query;
+    accuracy is 1.0 for purchase events; tokens from ``props.k``.
+    """
+    e = table(spark, sf_dir, "events")
+    k = _tokens_k(F.col("props"))
+    status_query = F.when(F.col("event_type") != "signup",
+                          F.concat(F.lit("SELECT * FROM t WHERE id = "), F.col("event_id").cast("string")))
+    return e.select(
+        F.col("event_id").alias("query_id"),
+        _pick(ARCHITECTURES, F.col("user_id") % len(ARCHITECTURES)).alias("experiment"),
+        _pick(DIFFICULTIES, F.col("event_id") % len(DIFFICULTIES)).alias("difficulty"),
+        _pick(PROVIDERS, F.col("user_id") % len(PROVIDERS)).alias("provider"),
+        status_query.alias("sparksql_query"),
+        F.when(F.col("event_type") == "error", F.lit("Error: AnalysisException")).alias("spark_error"),
+        F.when(F.col("event_type") == "purchase", F.lit(1.0)).otherwise(F.lit(0.0)).alias("accuracy"),
+        F.when(F.col("event_type").isin("purchase", "view"), F.lit(1.0)).otherwise(F.lit(0.0))
+        .alias("relaxed_accuracy"),
+        (k * 7).alias("input_tokens"),
+        (k * 3).alias("output_tokens"),
+        F.col("value").alias("total_time"),
+        F.when(F.col("event_type").isin("click", "view", "purchase"), F.col("value") / 4).alias("spark_time"),
+    )
