@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import oracle_telemetry, oracle_workload, telemetry, workload
+from . import oracle_scoring, oracle_telemetry, oracle_workload, scoring, telemetry, workload
 
 
 def queries() -> dict:
     out = {}
     out.update(workload.QUERIES)
     out.update(telemetry.QUERIES)
+    out.update(scoring.QUERIES)
     return out
 
 
@@ -16,4 +17,5 @@ def oracle_sql() -> dict:
     out = {}
     out.update(oracle_workload.oracle())
     out.update(oracle_telemetry.oracle())
+    out.update(oracle_scoring.oracle())
     return out

@@ -190,3 +190,53 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("total_time"),
         F.when(F.col("event_type").isin("click", "view", "purchase"), F.col("value") / 4).alias("spark_time"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Result-set cases from ``lineitem``: each order is a case, its lines the gold
+# rows.  The predicted result plants one difference per variant (key % 7):
+# 0 same, 1 columns reordered + extra column, 2 one changed cell, 3 rows
+# reversed, 4 every row twice, 5 numbers as text with ".0" and lower-case
+# flags, 6 empty.  Predicted cells are text, as a model's answer would be.
+# ---------------------------------------------------------------------------
+N_VARIANTS = 7
+
+
+def result_cases(spark: SparkSession, sf_dir: str):
+    """Return (cases, gold, pred).  gold: case_id, pos, g0 long, g1 double, g2 string;
+    pred: case_id, pos, p0..p3 string.  ``pos`` is the 0-based row index."""
+    from pyspark.sql import Window
+
+    cases = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("status"))
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+        "l_returnflag")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey",
+                                                 "l_extendedprice")
+    li = li.withColumns({
+        "pos": (F.row_number().over(w) - 1).cast("long"),
+        "n": F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")),
+        "v": F.col("l_orderkey") % N_VARIANTS,
+    })
+    gold = li.select(F.col("l_orderkey").alias("case_id"), "pos", F.col("l_partkey").alias("g0"),
+                     F.col("l_quantity").alias("g1"), F.col("l_returnflag").alias("g2"))
+    v = F.col("v")
+    q = F.col("l_quantity")
+    p = li.where(v != 6).select(
+        F.col("l_orderkey").alias("case_id"),
+        F.when(v == 3, F.col("n") - 1 - F.col("pos")).when(v == 4, F.col("pos") * 2)
+        .otherwise(F.col("pos")).alias("pos"),
+        F.when(v == 1, F.col("l_returnflag"))
+        .when(v == 5, F.concat(F.col("l_partkey").cast("string"), F.lit(".0")))
+        .otherwise(F.col("l_partkey").cast("string")).alias("p0"),
+        F.when(v == 1, F.col("l_suppkey").cast("string"))
+        .when((v == 2) & (F.col("pos") == 0), (q + 1).cast("string"))
+        .otherwise(q.cast("string")).alias("p1"),
+        F.when(v == 1, q.cast("string")).when(v == 5, F.lower("l_returnflag"))
+        .otherwise(F.col("l_returnflag")).alias("p2"),
+        F.when(v == 1, F.col("l_partkey").cast("string")).alias("p3"),
+    )
+    dup = p.where(F.col("case_id") % N_VARIANTS == 4).withColumn("pos", F.col("pos") + 1)
+    pred = p.unionByName(dup)
+    return cases, gold, pred
