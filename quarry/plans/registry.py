@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import oracle_scoring, oracle_telemetry, oracle_workload, scoring, telemetry, workload
+from . import (oracle_scoring, oracle_telemetry, oracle_vectors, oracle_workload, scoring, telemetry,
+               vectors, workload)
 
 
 def queries() -> dict:
@@ -10,6 +11,7 @@ def queries() -> dict:
     out.update(workload.QUERIES)
     out.update(telemetry.QUERIES)
     out.update(scoring.QUERIES)
+    out.update(vectors.QUERIES)
     return out
 
 
@@ -18,4 +20,5 @@ def oracle_sql() -> dict:
     out.update(oracle_workload.oracle())
     out.update(oracle_telemetry.oracle())
     out.update(oracle_scoring.oracle())
+    out.update(oracle_vectors.oracle())
     return out
