@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (oracle_scoring, oracle_telemetry, oracle_vectors, oracle_workload, scoring, telemetry,
+from . import (navigation, oracle_navigation, oracle_scoring, oracle_telemetry, oracle_vectors, oracle_workload, scoring, telemetry,
                vectors, workload)
 
 
@@ -12,6 +12,7 @@ def queries() -> dict:
     out.update(telemetry.QUERIES)
     out.update(scoring.QUERIES)
     out.update(vectors.QUERIES)
+    out.update(navigation.QUERIES)
     return out
 
 
@@ -21,4 +22,5 @@ def oracle_sql() -> dict:
     out.update(oracle_telemetry.oracle())
     out.update(oracle_scoring.oracle())
     out.update(oracle_vectors.oracle())
+    out.update(oracle_navigation.oracle())
     return out
