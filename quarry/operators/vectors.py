@@ -37,23 +37,25 @@ def token_buckets(text: Column, dim: int = DIM) -> Column:
                                     lambda t: token_bucket(t, dim)))
 
 
-def embed_buckets(buckets: Column, dim: int = DIM) -> Column:
-    """L2-normalised counts from a sorted bucket array.
-
-    count(b) = last - first + 1 position of b, both found by native
-    ``array_position`` scans (no per-element lambda over the tokens).
-    """
-    n = F.size(buckets)
-    rev = F.reverse(buckets)
+def _bucket_vectors(dim: int):
+    @F.pandas_udf("array<double>")
+    def counts_to_vec(b: pd.Series) -> pd.Series:
+        """Per Arrow batch: one vectorised scatter-add of all rows' buckets, then L2 norm."""
+        lens = b.map(len).to_numpy()
+        m = np.zeros((len(b), dim), dtype=np.float64)
+        if lens.sum() > 0:
+            flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in b.to_numpy() if len(x)])
+            np.add.at(m, (np.repeat(np.arange(len(b)), lens), flat), 1.0)
+        norm = np.sqrt((m * m).sum(axis=1))
+        nz = norm > 0
+        m[nz] = m[nz] / norm[nz, None]
+        return pd.Series(list(m))
+    return counts_to_vec
 
-    def count(b):
-        p1 = F.array_position(buckets, b)
-        p2 = F.array_position(rev, b)
-        return F.when(p1 > 0, n - p1 - p2 + 2).otherwise(F.lit(0)).cast("double")
 
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), count)
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(counts, lambda x: x / norm)).otherwise(counts)
+def embed_buckets(buckets: Column, dim: int = DIM) -> Column:
+    """L2-normalised counts of a bucket array (Arrow-batched, vectorised per batch)."""
+    return _bucket_vectors(dim)(buckets)
 
 
 def with_hash_embedding(df: DataFrame, text: str, out: str = "vec", dim: int = DIM) -> DataFrame:

@@ -15,6 +15,7 @@ from ..sources.adapters import qlog
 from ..sources.tables import STAR_TABLES, table
 
 _MINED: dict = {}
+_GRAPHS: dict = {}
 
 
 def mined(spark: SparkSession, sf_dir: str) -> W.MinedLog:
@@ -26,7 +27,15 @@ def mined(spark: SparkSession, sf_dir: str) -> W.MinedLog:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> G.Graph:
-    return G.build(mined(spark, sf_dir))
+    """The workload graph, built once per session.  Its frames are bounded by the
+    catalog (one node per table), so they are checkpointed to cut the lineage."""
+    key = (id(spark), sf_dir)
+    if key not in _GRAPHS:
+        g = G.build(mined(spark, sf_dir))
+        _GRAPHS[key] = G.Graph(**{f: getattr(g, f).checkpoint(eager=True)
+                                  for f in ("nodes", "columns", "operations", "aggregations",
+                                            "predicates", "edges")})
+    return _GRAPHS[key]
 
 
 # --- W -----------------------------------------------------------------------
