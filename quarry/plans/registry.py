@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (navigation, oracle_navigation, oracle_scoring, oracle_telemetry, oracle_vectors, oracle_workload, scoring, telemetry,
+from . import (context, navigation, oracle_context, oracle_navigation, oracle_scoring, oracle_telemetry, oracle_vectors, oracle_workload, scoring, telemetry,
                vectors, workload)
 
 
@@ -13,6 +13,7 @@ def queries() -> dict:
     out.update(scoring.QUERIES)
     out.update(vectors.QUERIES)
     out.update(navigation.QUERIES)
+    out.update(context.QUERIES)
     return out
 
 
@@ -23,4 +24,5 @@ def oracle_sql() -> dict:
     out.update(oracle_scoring.oracle())
     out.update(oracle_vectors.oracle())
     out.update(oracle_navigation.oracle())
+    out.update(oracle_context.oracle())
     return out
