@@ -1,0 +1,79 @@
+"""DuckDB SQL twins of the catalog, SQL pass-through and source queries."""
+
+from __future__ import annotations
+
+from ..sources import adapters as A
+from ..sources.tables import ALL_TABLES, STAR_TABLES
+from .catalog_sql import GHOST_TABLE, IGNORED, SQL, SQL_ONE
+from .oracle_telemetry import runs_cte
+from .oracle_workload import FACTS_CTE, STAR_COLUMNS, _with, q, qlog_cte, tokens_cte
+from .oracle_vectors import _norm_sql, hash_embed_sql
+
+NL = q(chr(10))
+TYPE_MAP = "CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' " \
+           "WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' " \
+           "ELSE lower(data_type) END"
+STAR_IN = "(" + ", ".join(q(t) for t in STAR_TABLES) + ")"
+
+
+def _ddl_cte() -> str:
+    return f"""
+ddl AS (SELECT table_name, 'CREATE TABLE ' || table_name || ' (' ||
+               string_agg(column_name || ' ' || {TYPE_MAP}, ', ' ORDER BY ordinal_position) || ');' AS ddl
+        FROM information_schema.columns WHERE table_name IN {STAR_IN} GROUP BY table_name)"""
+
+
+def _samples_cte(n: int = 3) -> str:
+    parts = []
+    for t, cols in STAR_COLUMNS.items():
+        line = " || chr(9) || ".join(f"coalesce(CAST({c} AS VARCHAR), 'None')" for c in cols)
+        parts.append(f"(SELECT {q(t)} AS table_name, {line} AS line FROM (SELECT * FROM {t} ORDER BY {', '.join(cols)} LIMIT {n}))")
+    union = "\n  UNION ALL ".join(parts)
+    headers = ", ".join(f"({q(t)}, {q(chr(9).join(cols))})" for t, cols in STAR_COLUMNS.items())
+    return f"""
+srows AS (SELECT table_name, row_number() OVER (PARTITION BY table_name ORDER BY line) AS rn, line FROM (
+  {union})),
+hdr(table_name, header) AS (VALUES {headers}),
+profile AS (SELECT d.table_name, d.ddl || {q(chr(10) + chr(10) + '/*' + chr(10))} || printf('%d rows from %s table:', {n}, d.table_name)
+                   || {NL} || h.header || {NL} || coalesce(r.rows, '') || {q(chr(10) + '*/')} AS info
+            FROM ddl d JOIN hdr h ON h.table_name = d.table_name
+            LEFT JOIN (SELECT table_name, string_agg(line, {NL} ORDER BY rn) AS rows FROM srows GROUP BY table_name) r
+              ON r.table_name = d.table_name)"""
+
+
+def oracle() -> dict[str, str]:
+    out = {k: v for k, v in SQL.items()}
+    all_in = "(" + ", ".join(q(t) for t in ALL_TABLES) + ")"
+    usable = "(" + ", ".join(q(t) for t in ALL_TABLES if t not in IGNORED) + ")"
+    spec = "WITH " + qlog_cte().strip("\n") + """,
+spec AS (SELECT query_id AS question_id, db_id, question, CAST(NULL AS VARCHAR) AS evidence, sql AS "SQL",
+                coalesce(difficulty, 'unknown') AS difficulty FROM qlog WHERE db_id = 'tpch')"""
+    out.update({
+        "sql_run_one": SQL_ONE + " LIMIT 1",
+        "rows_as_strings": f"SELECT CAST(n_name AS VARCHAR) AS c0, CAST(n_customers AS VARCHAR) AS c1 FROM ({SQL['sql_join_on']})",
+        "catalog_tables": f"SELECT table_name FROM information_schema.tables WHERE table_name IN {all_in}",
+        "catalog_usable": f"SELECT table_name FROM information_schema.tables WHERE table_name IN {usable}",
+        "schema_ddl": "WITH " + _ddl_cte().strip("\n") + "\nSELECT table_name, ddl FROM ddl",
+        "sample_rows": _with(_ddl_cte(), _samples_cte()) + "\nSELECT table_name, rn, line FROM srows",
+        "table_profile": _with(_ddl_cte(), _samples_cte()) + "\nSELECT table_name, info FROM profile",
+        "table_info_lookup": _with(qlog_cte(), tokens_cte(), FACTS_CTE, _ddl_cte(), _samples_cte()) + f""",
+req AS (SELECT query_id AS qid, CASE WHEN count(*) >= 3 THEN list("table" ORDER BY table_pos) || [{q(GHOST_TABLE)}]
+               ELSE list("table" ORDER BY table_pos) END AS names FROM qt GROUP BY query_id),
+ex AS (SELECT qid, unnest(names) AS table_name, unnest(range(len(names))) AS pos FROM req),
+j AS (SELECT e.qid, e.pos, e.table_name, p.info FROM ex e LEFT JOIN profile p ON p.table_name = e.table_name)
+SELECT qid, CASE WHEN count(*) FILTER (WHERE info IS NULL) > 0
+                 THEN 'Error: table_names {{' || string_agg('''' || table_name || '''', ', ' ORDER BY table_name)
+                      FILTER (WHERE info IS NULL) || '}} not found in database'
+                 ELSE string_agg(info, {q(chr(10) * 2)} ORDER BY pos) END AS info
+FROM j GROUP BY qid""",
+        "date_as_string": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+       CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders""",
+        "spec_scan": spec + "\nSELECT * FROM spec",
+        "spec_lookup": spec + "," + runs_cte().strip("\n") + """
+SELECT s.question_id, concat_ws(' ', s.question, coalesce(s.evidence, '')) AS text, s."SQL" AS sql, s.difficulty
+FROM runs r JOIN spec s ON s.question_id = r.query_id""",
+        "vector_corpus": "WITH " + qlog_cte().strip("\n") + """
+SELECT b.item_id AS cid, b.text, coalesce(l.sql, '') AS sql, 64 AS dims
+FROM benchmark b LEFT JOIN qlog l ON l.query_id = b.item_id""",
+    })
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (context, navigation, oracle_context, oracle_navigation, oracle_scoring, oracle_telemetry, oracle_vectors, oracle_workload, scoring, telemetry,
+from . import (catalog_sql, context, oracle_catalog_sql, navigation, oracle_context, oracle_navigation, oracle_scoring, oracle_telemetry, oracle_vectors, oracle_workload, scoring, telemetry,
                vectors, workload)
 
 
@@ -14,6 +14,7 @@ def queries() -> dict:
     out.update(vectors.QUERIES)
     out.update(navigation.QUERIES)
     out.update(context.QUERIES)
+    out.update(catalog_sql.QUERIES)
     return out
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict:
     out.update(oracle_vectors.oracle())
     out.update(oracle_navigation.oracle())
     out.update(oracle_context.oracle())
+    out.update(oracle_catalog_sql.oracle())
     return out
