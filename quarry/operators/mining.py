@@ -81,23 +81,18 @@ def tokenize(log: DataFrame, num_partitions: int | None = None) -> DataFrame:
     t = base.select("query_id", F.posexplode(
         F.regexp_extract_all("clean", F.lit(TOKEN_RE), F.lit(0))).alias("pos", "tok"))
 
+    # Phase 1, in statement order: paren depth and subquery scope.
     w = Window.partitionBy("query_id").orderBy("pos")
     u = F.upper("tok")
     t = t.select(
         "query_id", "pos", "tok", u.alias("u"),
         F.sum(F.when(F.col("tok") == "(", 1).when(F.col("tok") == ")", -1).otherwise(0))
         .over(w).alias("depth"),
-        F.lag(u, 1).over(w).alias("prev1"),
-        F.lag(u, 2).over(w).alias("prev2"),
-        F.lead(u, 1).over(w).alias("next1"),
-        F.lead("tok", 1).over(w).alias("next1_tok"),
-        F.lead("tok", 2).over(w).alias("next2_tok"),
+        ((F.col("tok") == "(") & (F.lead(u, 1).over(w) == "SELECT")).alias("sub_open"),
     )
-    sub_open = (F.col("tok") == "(") & (F.col("next1") == "SELECT")
     t = t.withColumns({
-        "sub_open": sub_open,
-        "open_pos": F.last(F.when(sub_open, F.col("pos")), ignorenulls=True).over(w),
-        "open_depth": F.last(F.when(sub_open, F.col("depth")), ignorenulls=True).over(w),
+        "open_pos": F.last(F.when(F.col("sub_open"), F.col("pos")), ignorenulls=True).over(w),
+        "open_depth": F.last(F.when(F.col("sub_open"), F.col("depth")), ignorenulls=True).over(w),
     })
     sub_close = (F.col("tok") == ")") & (F.col("depth") == F.col("open_depth") - 1)
     t = t.withColumns({
@@ -110,15 +105,16 @@ def tokenize(log: DataFrame, num_partitions: int | None = None) -> DataFrame:
         "in_sub": in_sub,
         "scope": F.when(in_sub, F.col("open_pos")).otherwise(F.lit(-1)),
     })
-    t = t.withColumns({
-        "nested": F.col("sub_open") & F.coalesce(F.lag("in_sub", 1).over(w), F.lit(False)),
-        "after_close1": F.coalesce(F.lag("sub_close", 1).over(w), F.lit(False)),
-        "after_close2": F.coalesce(F.lag("sub_close", 2).over(w), F.lit(False)),
-    })
+    t = t.withColumn("nested", F.col("sub_open") & F.coalesce(F.lag("in_sub", 1).over(w), F.lit(False)))
 
+    # Phase 2, in scope order (one more sort): neighbours, clause, names.
     ws = Window.partitionBy("query_id", "scope").orderBy("pos")
     is_clause = F.col("u").isin(CLAUSE_KEYWORDS)
     t = t.withColumns({
+        "prev1": F.lag("u", 1).over(ws),
+        "next1": F.lead("u", 1).over(ws),
+        "after_close1": F.coalesce(F.lag("sub_close", 1).over(ws), F.lit(False)),
+        "after_close2": F.coalesce(F.lag("sub_close", 2).over(ws), F.lit(False)),
         "clause": F.last(F.when(is_clause, F.col("u")), ignorenulls=True).over(ws),
         "seg": F.last(F.when(is_clause, F.col("pos")), ignorenulls=True).over(ws),
     })
@@ -142,8 +138,8 @@ def tokenize(log: DataFrame, num_partitions: int | None = None) -> DataFrame:
     })
     t = t.withColumns({
         "is_alias": F.col("is_ident") & ~F.col("qualified") & (
-            F.coalesce(F.lag("is_table", 1).over(w), F.lit(False))
-            | ((F.col("prev1") == "AS") & F.coalesce(F.lag("is_table", 2).over(w), F.lit(False)))),
+            F.coalesce(F.lag("is_table", 1).over(ws), F.lit(False))
+            | ((F.col("prev1") == "AS") & F.coalesce(F.lag("is_table", 2).over(ws), F.lit(False)))),
         "is_sub_alias": F.col("is_ident") & ~F.col("qualified") & (F.col("clause") == "FROM") & (
             F.col("after_close1") | ((F.col("prev1") == "AS") & F.col("after_close2"))),
         "is_sel_alias": F.col("is_ident") & (F.col("prev1") == "AS") & (F.col("clause") == "SELECT"),

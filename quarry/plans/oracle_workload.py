@@ -51,11 +51,11 @@ t0 AS (SELECT query_id, unnest(toks) AS tok, unnest(range(len(toks))) AS pos
        FROM (SELECT query_id, regexp_extract_all(clean, {q(W.TOKEN_RE)}) AS toks FROM cl)),
 t1 AS (SELECT query_id, pos, tok, upper(tok) AS u,
          sum(CASE WHEN tok = '(' THEN 1 WHEN tok = ')' THEN -1 ELSE 0 END) OVER w AS depth,
-         lag(upper(tok), 1) OVER w AS prev1, lead(upper(tok), 1) OVER w AS next1
+         lead(upper(tok), 1) OVER w AS next1w
        FROM t0 WINDOW w AS (PARTITION BY query_id ORDER BY pos)),
-t2 AS (SELECT *, (tok = '(' AND next1 = 'SELECT') AS sub_open,
-         last_value(CASE WHEN tok = '(' AND next1 = 'SELECT' THEN pos END IGNORE NULLS) OVER w AS open_pos,
-         last_value(CASE WHEN tok = '(' AND next1 = 'SELECT' THEN depth END IGNORE NULLS) OVER w AS open_depth
+t2 AS (SELECT *, (tok = '(' AND next1w = 'SELECT') AS sub_open,
+         last_value(CASE WHEN tok = '(' AND next1w = 'SELECT' THEN pos END IGNORE NULLS) OVER w AS open_pos,
+         last_value(CASE WHEN tok = '(' AND next1w = 'SELECT' THEN depth END IGNORE NULLS) OVER w AS open_depth
        FROM t1 WINDOW w AS (PARTITION BY query_id ORDER BY pos)),
 t3 AS (SELECT *, coalesce(tok = ')' AND depth = open_depth - 1, false) AS sub_close,
          last_value(CASE WHEN tok = ')' AND depth = open_depth - 1 THEN pos END IGNORE NULLS) OVER w AS close_pos
@@ -63,11 +63,12 @@ t3 AS (SELECT *, coalesce(tok = ')' AND depth = open_depth - 1, false) AS sub_cl
 t4 AS (SELECT *, (open_pos IS NOT NULL AND (close_pos IS NULL OR close_pos < open_pos)) AS in_sub
        FROM t3),
 t5 AS (SELECT *, CASE WHEN in_sub THEN open_pos ELSE -1 END AS scope,
-         sub_open AND coalesce(lag(in_sub, 1) OVER w, false) AS nested,
-         coalesce(lag(sub_close, 1) OVER w, false) AS after_close1,
-         coalesce(lag(sub_close, 2) OVER w, false) AS after_close2
+         sub_open AND coalesce(lag(in_sub, 1) OVER w, false) AS nested
        FROM t4 WINDOW w AS (PARTITION BY query_id ORDER BY pos)),
 t6 AS (SELECT *,
+         lag(u, 1) OVER ws AS prev1, lead(u, 1) OVER ws AS next1,
+         coalesce(lag(sub_close, 1) OVER ws, false) AS after_close1,
+         coalesce(lag(sub_close, 2) OVER ws, false) AS after_close2,
          last_value(CASE WHEN u IN {_in(W.CLAUSE_KEYWORDS)} THEN u END IGNORE NULLS) OVER ws AS clause,
          last_value(CASE WHEN u IN {_in(W.CLAUSE_KEYWORDS)} THEN pos END IGNORE NULLS) OVER ws AS seg
        FROM t5 WINDOW ws AS (PARTITION BY query_id, scope ORDER BY pos)),
@@ -88,7 +89,7 @@ t10 AS (SELECT *,
          is_ident AND NOT qualified AND clause = 'FROM'
            AND (after_close1 OR (prev1 = 'AS' AND after_close2)) AS is_sub_alias,
          is_ident AND prev1 = 'AS' AND clause = 'SELECT' AS is_sel_alias
-       FROM t9 WINDOW w AS (PARTITION BY query_id ORDER BY pos)),
+       FROM t9 WINDOW w AS (PARTITION BY query_id, scope ORDER BY pos)),
 t11 AS (SELECT *,
          last_value(CASE WHEN is_func AND u IN {aggs} THEN pos END IGNORE NULLS) OVER ws AS agg_pos,
          last_value(CASE WHEN is_func AND u IN {aggs} THEN depth + 1 END IGNORE NULLS) OVER ws AS agg_depth
