@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -109,3 +109,10 @@ def timed(spark: SparkSession, command: str) -> DataFrame:
         err = f"Error: {e}"
     return spark.createDataFrame([(command, time.time() - start, err)],
                                  "query string, seconds double, error string")
+
+
+def parse_result_text(text: Column) -> Column:
+    """A result given as text -> rows of cells: a JSON array of arrays, else one cell."""
+    parsed = F.from_json(text, "array<array<string>>")
+    return F.when(text.isNull(), F.lit(None).cast("array<array<string>>")).otherwise(
+        F.coalesce(parsed, F.array(F.array(text))))

@@ -26,15 +26,29 @@ def mined(spark: SparkSession, sf_dir: str) -> W.MinedLog:
     return _MINED[key]
 
 
+class _LazyGraph:
+    """Graph frames built on first use and checkpointed then (each is bounded by the
+    catalog: one node per table), so a query reads only the frames it needs."""
+
+    FIELDS = ("nodes", "columns", "operations", "aggregations", "predicates", "edges")
+
+    def __init__(self, g: G.Graph):
+        self._g = g
+        self._done: dict = {}
+
+    def __getattr__(self, name):
+        if name not in _LazyGraph.FIELDS:
+            raise AttributeError(name)
+        if name not in self._done:
+            self._done[name] = getattr(self._g, name).checkpoint(eager=True)
+        return self._done[name]
+
+
 def graph(spark: SparkSession, sf_dir: str) -> G.Graph:
-    """The workload graph, built once per session.  Its frames are bounded by the
-    catalog (one node per table), so they are checkpointed to cut the lineage."""
+    """The workload graph, built once per session; frames are checkpointed lazily."""
     key = (id(spark), sf_dir)
     if key not in _GRAPHS:
-        g = G.build(mined(spark, sf_dir))
-        _GRAPHS[key] = G.Graph(**{f: getattr(g, f).checkpoint(eager=True)
-                                  for f in ("nodes", "columns", "operations", "aggregations",
-                                            "predicates", "edges")})
+        _GRAPHS[key] = _LazyGraph(G.build(mined(spark, sf_dir)))
     return _GRAPHS[key]
 
 

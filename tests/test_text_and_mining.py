@@ -71,3 +71,28 @@ def test_mining_literal_statements(spark):
     assert (7, "tab one.my col") in cols and (5, "k") in cols and (5, "t.n") not in cols
     lint = {r["query_id"]: r for r in W.lint(log).collect()}
     assert lint[4]["union_not_all"] and not lint[1]["union_not_all"] and not lint[1]["data_changing"]
+
+
+def test_parse_result_text_and_status(spark):
+    from quarry.operators import catalog as C
+    df = spark.createDataFrame([('[["1","a"],["2","b"]]',), ("plain text",)], "s string")
+    got = [r[0] for r in df.select(C.parse_result_text(F.col("s"))).collect()]
+    assert got == [[["1", "a"], ["2", "b"]], [["plain text"]]]
+    bad = C.timed(spark, "SELECT no_such_column FROM no_such_table").first()
+    assert bad["error"].startswith("Error:")
+
+
+def test_greedy_connect_with_fallback(spark):
+    from quarry.operators import vectors as V
+    edges = spark.createDataFrame(
+        [("a", "b", "a.k = b.k", 5, 5, True), ("b", "c", "b.k = c.k", 3, 3, True)],
+        "source string, target string, condition string, freq long, weight long, is_main boolean")
+    p = N.paths(edges)
+    valid = spark.createDataFrame([(1, 1, "a"), (1, 2, "c"), (1, 3, "z"), (2, 1, "a"), (2, 2, "b")],
+                                  "qid long, table_pos int, table string")
+    q = V.with_hash_embedding(spark.createDataFrame([(1, "a c z"), (2, "a b")], "qid long, question string"),
+                              "question", "vec")
+    picks = {(r["qid"], r["round"]): r for r in N.greedy_connect(q, valid, p, 2).collect()}
+    assert picks[(1, 1)]["path_key"] == "a>b>c"
+    assert picks[(1, 2)]["fallback"] == ["z"]  # no path to z: pending tables added, stop
+    assert picks[(2, 1)]["path_key"] == "a>b" and (2, 2) not in picks
