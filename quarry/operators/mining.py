@@ -197,6 +197,8 @@ def mine(log: DataFrame, num_partitions: int | None = None,
     if checkpoint:
         tokens = tokens.checkpoint(eager=True)
     status = _status(tokens, log)
+    if checkpoint:
+        status = status.checkpoint(eager=True)
     ok = status.where("parsed").select("query_id")
     tok_ok = tokens.join(ok, "query_id", "left_semi")
 
@@ -212,6 +214,8 @@ def mine(log: DataFrame, num_partitions: int | None = None,
                         & (F.col("table") == F.col("sub_alias")), "left_anti")
               .join(alias_rows, ["query_id", "pos"], "left")
               .select("query_id", "pos", "table", "alias"))
+    if checkpoint:
+        tables = tables.checkpoint(eager=True)
     aliases = (tables.where(F.col("alias").isNotNull())
                .join(sub_aliases, (F.col("query_id") == F.col("sa_qid"))
                      & (F.col("alias") == F.col("sub_alias")), "left_anti")

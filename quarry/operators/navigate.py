@@ -39,9 +39,8 @@ def undirected(edges: DataFrame) -> DataFrame:
 def weight_norm(edges: DataFrame) -> DataFrame:
     """log1p(w) / log1p(max w) per undirected edge; max from a one-row aggregate."""
     u = undirected(edges)
-    mx = F.broadcast(u.agg(F.coalesce(F.max("weight"), F.lit(1)).alias("max_w")))  # one row
-    return (u.crossJoin(mx)
-            .withColumn("norm", F.log1p(F.col("weight")) / F.log1p(F.col("max_w"))).drop("max_w"))
+    max_w = u.agg(F.max("weight")).first()[0] or 1  # one scalar of a catalog-bounded graph
+    return u.withColumn("norm", F.log1p(F.col("weight")) / F.log1p(F.lit(max_w)))
 
 
 def paths(edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
