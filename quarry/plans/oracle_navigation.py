@@ -66,7 +66,7 @@ qv AS (SELECT qid, {_norm_sql('c')} AS qvec FROM qv0)"""
 
 
 def _cos(a: str, b: str) -> str:
-    return (f"(CASE WHEN {a} IS NULL OR {b} IS NULL OR len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE "
+    return (f"(CASE WHEN {a} IS NULL OR {b} IS NULL OR len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE ELSE "
             f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i] * {b}[i])) / "
             f"(sqrt(list_sum(list_transform({a}, lambda x: x * x))) * sqrt(list_sum(list_transform({b}, lambda x: x * x)))) END)")
 

@@ -90,7 +90,7 @@ def _score_sql(g: str, p: str) -> str:
 SELECT c.case_id,
        CASE WHEN coalesce(gr.rows, 0) = 0 AND coalesce(pr.rows, 0) = 0 THEN 1.0
             WHEN coalesce(gr.rows, 0) = 0 OR coalesce(pr.rows, 0) = 0 THEN 0.0
-            WHEN coalesce(ok.all_found, false) THEN 1.0 ELSE 0.0 END AS score
+            WHEN coalesce(ok.all_found, false) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score
 FROM cases c LEFT JOIN grows gr ON gr.case_id = c.case_id LEFT JOIN prows pr ON pr.case_id = c.case_id
 LEFT JOIN (SELECT g.case_id, bool_and(coalesce(p.p_cnt, 0) >= g.g_cnt) AS all_found
            FROM (SELECT case_id, n, h1, h2, count(*) AS g_cnt FROM {g} GROUP BY ALL) g
@@ -130,7 +130,7 @@ UNION ALL SELECT 'pred' AS side, case_id, col_idx, n, h1, h2 FROM prel""",
         "accuracy_per_run": "WITH " + ",".join([CASES_CTE.strip("\n"), runs_cte().strip("\n")]) + f""",
 scores AS ({_score_sql("gsig", "psig")})
 SELECT r.query_id, r.experiment, r.execution_status,
-       CASE WHEN r.execution_status = 'VALID' THEN coalesce(s.score, 0.0) ELSE 0.0 END AS accuracy
+       CASE WHEN r.execution_status = 'VALID' THEN coalesce(s.score, 0.0) ELSE 0.0::DOUBLE END AS accuracy
 FROM scored r LEFT JOIN scores s ON s.case_id = r.query_id
 WHERE r.query_id IN (SELECT case_id FROM cases WHERE status <> 'P')""",
     }

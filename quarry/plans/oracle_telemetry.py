@@ -45,8 +45,8 @@ runs AS (
          {_list(A.PROVIDERS)}[user_id % 5 + 1] AS provider,
          CASE WHEN event_type <> 'signup' THEN 'SELECT * FROM t WHERE id = ' || CAST(event_id AS VARCHAR) END AS sparksql_query,
          CASE WHEN event_type = 'error' THEN 'Error: AnalysisException' END AS spark_error,
-         CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS accuracy,
-         CASE WHEN event_type IN ('purchase', 'view') THEN 1.0 ELSE 0.0 END AS relaxed_accuracy,
+         CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS accuracy,
+         CASE WHEN event_type IN ('purchase', 'view') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS relaxed_accuracy,
          CAST(json_extract_string(props, '$.k') AS BIGINT) * 7 AS input_tokens,
          CAST(json_extract_string(props, '$.k') AS BIGINT) * 3 AS output_tokens,
          value AS total_time,
@@ -56,9 +56,9 @@ scored AS (
   SELECT *, CASE WHEN spark_error IS NOT NULL THEN 'ERROR' WHEN sparksql_query IS NOT NULL THEN 'VALID'
                  ELSE 'NOT_EXECUTED' END AS execution_status,
          CASE WHEN spark_error IS NULL AND sparksql_query IS NOT NULL
-              THEN coalesce(TRY_CAST(CAST(accuracy AS VARCHAR) AS DOUBLE), 0.0) ELSE 0.0 END AS score,
+              THEN coalesce(TRY_CAST(CAST(accuracy AS VARCHAR) AS DOUBLE), 0.0) ELSE 0.0::DOUBLE END AS score,
          CASE WHEN spark_error IS NULL AND sparksql_query IS NOT NULL
-              THEN coalesce(relaxed_accuracy, 0.0) ELSE 0.0 END AS relaxed_score
+              THEN coalesce(relaxed_accuracy, 0.0) ELSE 0.0::DOUBLE END AS relaxed_score
   FROM runs),
 by_arch AS (SELECT experiment AS architecture, avg(score) AS accuracy, avg(score) * 100 AS accuracy_pct
             FROM scored GROUP BY experiment)"""

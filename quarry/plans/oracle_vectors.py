@@ -61,7 +61,7 @@ WITH comp AS (SELECT label, unnest(embedding) AS x, unnest(range(0, len(embeddin
 cent AS (SELECT label, list(m ORDER BY i) AS centroid FROM (SELECT label, i, avg(x) AS m FROM comp GROUP BY label, i)
          GROUP BY label)
 SELECT e.vec_id, e.label,
-  round(CASE WHEN e.embedding IS NULL OR len(e.embedding) = 0 THEN 0.0 ELSE
+  round(CASE WHEN e.embedding IS NULL OR len(e.embedding) = 0 THEN 0.0::DOUBLE ELSE
     list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: CAST(e.embedding[i] AS DOUBLE) * c.centroid[i]))
     / (sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))
        * sqrt(list_sum(list_transform(c.centroid, lambda x: x * x)))) END, 6) AS cosine

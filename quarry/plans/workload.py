@@ -20,7 +20,7 @@ _GRAPHS: dict = {}
 
 def mined(spark: SparkSession, sf_dir: str) -> W.MinedLog:
     """Mine the query log of ``sf_dir`` once per session (checkpointed frames)."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MINED:
         _MINED[key] = W.mine(qlog(spark, sf_dir))
     return _MINED[key]
@@ -46,7 +46,7 @@ class _LazyGraph:
 
 def graph(spark: SparkSession, sf_dir: str) -> G.Graph:
     """The workload graph, built once per session; frames are checkpointed lazily."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _GRAPHS:
         _GRAPHS[key] = _LazyGraph(G.build(mined(spark, sf_dir)))
     return _GRAPHS[key]
