@@ -76,9 +76,10 @@ class MinedLog:
 def tokenize(log: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """Token rows with depth, scope and clause.  ``log`` needs query_id, sql."""
     base = log.select("query_id", clean_sql(F.col("sql")).alias("clean"))
-    # hash-partition by query_id once; without a fixed count AQE sizes the partitions
-    base = (base.repartition(num_partitions, "query_id") if num_partitions
-            else base.repartition("query_id"))
+    # Hash-partition by query_id once.  The statements explode ~20x into tokens after
+    # this shuffle, so its size says little about the work: use the cluster's cores.
+    n = num_partitions or 2 * log.sparkSession.sparkContext.defaultParallelism
+    base = base.repartition(n, "query_id")
     t = base.select("query_id", F.posexplode(
         F.regexp_extract_all("clean", F.lit(TOKEN_RE), F.lit(0))).alias("pos", "tok"))
 
