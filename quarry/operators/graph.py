@@ -129,10 +129,12 @@ def entity_samples(spark: SparkSession, columns: DataFrame, tables: dict[str, Da
 
     The (table, column) list comes from the graph and is bounded by the catalog
     (tables x columns), so it is read on the driver to prune the scans: only the
-    columns the workload names are read.  Each table is unpivoted once; the
-    distinct step is keyed by (table, column, value) so a column with many
-    values spreads over all partitions, and the ranked window keeps at most
-    ``k`` rows per group before and after its shuffle.
+    columns the workload names are read.  Instead of a distinct over every value
+    (a shuffle as large as the columns), the i-th smallest value is found by
+    pass i as ``min(value)`` over values above the (i-1)-th: an algebraic
+    aggregate, combined map-side, so each pass shuffles one row per
+    (table, column) and partition.  The per-pass results are catalog-bounded and
+    checkpointed, so pass i reads the tables once.
     """
     wanted = columns.select("id", "column").distinct().collect()  # bounded by catalog size
     per_table: dict[str, list[str]] = {}
@@ -150,9 +152,16 @@ def entity_samples(spark: SparkSession, columns: DataFrame, tables: dict[str, Da
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    d = u.where(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("id", "column").orderBy("value")
-    return d.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    u = u.where(F.col("value").isNotNull())
+    found, prev = None, None
+    for i in range(1, k + 1):
+        cand = u if prev is None else (
+            u.join(F.broadcast(prev), ["id", "column"]).where(F.col("value") > F.col("last")))
+        m = (cand.groupBy("id", "column").agg(F.min("value").alias("value"))
+             .withColumn("rn", F.lit(i)).checkpoint(eager=True))
+        found = m if found is None else found.unionByName(m)
+        prev = m.select("id", "column", F.col("value").alias("last"))
+    return found.select("id", "column", "value", "rn")
 
 
 def stats(g: Graph) -> DataFrame:
