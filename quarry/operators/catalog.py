@@ -13,6 +13,7 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import texts as TX
 
 def catalog_tables(spark: SparkSession) -> DataFrame:
     """Names of the registered tables and views."""
@@ -70,7 +71,7 @@ def table_profile(spark: SparkSession, tables: dict[str, DataFrame], n: int = 3)
     return (ddl.join(header, "table_name").join(rows, "table_name", "left")
             .select("table_name", F.concat(
                 "ddl", F.lit("\n\n/*\n"),
-                F.format_string("%d rows from %s table:\n", F.lit(n), F.col("table_name")),
+                F.format_string(TX.SAMPLE_ROWS_HEADER, F.lit(n), F.col("table_name")),
                 "header", F.lit("\n"), F.coalesce("rows", F.lit("")), F.lit("\n*/")).alias("info")))
 
 
@@ -83,7 +84,7 @@ def table_info_lookup(requests: DataFrame, info: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("info").isNull(), F.col("table_name")))).alias("missing"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "info"))),
                                  lambda x: x["info"]), "\n\n").alias("found"))
-    err = F.format_string("Error: table_names {%s} not found in database",
+    err = F.format_string(TX.UNKNOWN_TABLES,
                           F.array_join(F.transform("missing", lambda m: F.concat(F.lit("'"), m, F.lit("'"))), ", "))
     return per.select("qid", F.when(F.size("missing") > 0, err).otherwise(F.col("found")).alias("info"))
 

@@ -10,17 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import texts as TX
 from . import navigate as N
 
 # Router texts and context templates.
-NO_EXAMPLES = "No example values available"
+NO_EXAMPLES = TX.NO_EXAMPLES
 FENCE_RE = r"```json|```"
 LINK_TOKEN_RE = r"[a-z0-9]+"
 MIN_TOKEN_LEN = 3
-GRAPH_CTX_HEAD = "Historical Context from Graph RAG:\n"
-QUESTION_TAIL = "\n\nUse this context to solve the following question:\nCurrent Question: "
-V1_NO_COLUMNS = "  - Top Columns: None\n"
-V1_NO_FILTERS = "  - Common Filters: None\n"
+GRAPH_CTX_HEAD = TX.GRAPH_CTX_HEAD
+QUESTION_TAIL = TX.QUESTION_TAIL
+V1_NO_COLUMNS = TX.V1_NO_COLUMNS
+V1_NO_FILTERS = TX.V1_NO_FILTERS
 
 
 def schema_metadata(columns: DataFrame, samples: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def router_context(columns: DataFrame, samples: DataFrame, available: DataFrame)
     c = (columns.select("id", "column").join(F.broadcast(available.select(F.col("table").alias("id"))), "id",
                                              "left_semi")
          .join(vals, ["id", "column"], "left")
-         .withColumn("text", F.when(F.col("vals").isNotNull(), F.format_string("Examples: [%s]", "vals"))
+         .withColumn("text", F.when(F.col("vals").isNotNull(), F.format_string(TX.ROUTER_EXAMPLES, "vals"))
                      .otherwise(F.lit(NO_EXAMPLES))))
     return c.groupBy("id").agg(F.to_json(F.map_from_entries(F.array_sort(
         F.collect_list(F.struct("column", "text"))))).alias("router_json"))
@@ -89,10 +90,10 @@ def v1_node_blocks(columns: DataFrame) -> DataFrame:
     """v1 metadata block per table: top columns with frequency, fixed filter line."""
     top = N.top_columns(columns).groupBy("id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "column", "freq"))),
-        lambda x: F.format_string("%s (freq: %d)", x["column"], x["freq"])), ", ").alias("top"))
+        lambda x: F.format_string(TX.V1_TOP_COLUMN, x["column"], x["freq"])), ", ").alias("top"))
     return top.select("id", F.concat(
-        F.format_string("\nTable: [%s]\n", "id"),
-        F.when(F.col("top").isNotNull(), F.format_string("  - Top Columns: %s\n", "top"))
+        F.format_string(TX.TABLE_LINE, "id"),
+        F.when(F.col("top").isNotNull(), F.format_string(TX.V1_TOP_COLUMNS, "top"))
         .otherwise(F.lit(V1_NO_COLUMNS)),
         F.lit(V1_NO_FILTERS)).alias("block"))
 
@@ -130,9 +131,8 @@ def v1_graph_context(valid: DataFrame, best: DataFrame, rules: DataFrame, blocks
 
 def hybrid1_text(vector_text: Column, graph_text: Column, question: Column) -> Column:
     """K4: vector and graph parts in one block, then the question."""
-    return F.concat(F.lit("\n        --- SEMANTIC CONTEXT (Examples) ---\n        "), vector_text,
-                    F.lit("\n\n        --- STRUCTURAL CONTEXT (Graph Rules) ---\n        "), graph_text,
-                    F.lit("\n        "), F.lit(QUESTION_TAIL), question)
+    return F.concat(F.lit(TX.HYBRID1_SEMANTIC), vector_text, F.lit(TX.HYBRID1_STRUCTURAL), graph_text,
+                    F.lit(TX.HYBRID1_END), F.lit(QUESTION_TAIL), question)
 
 
 def entity_section(samples: DataFrame) -> DataFrame:
@@ -141,20 +141,19 @@ def entity_section(samples: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("rn", "value"))),
         lambda x: F.concat(F.lit("'"), x["value"], F.lit("'"))), ", ").alias("vals"))
     per_tab = per_col.groupBy("qid", "id").agg(F.array_join(F.array_sort(F.collect_list(F.struct(
-        "column", F.format_string("  - Column '%s' matches categorical values: [%s]\n", "column", "vals")
+        "column", F.format_string(TX.HYBRID2_ENTITY_COLUMN, "column", "vals")
         .alias("l")))).getField("l"), "").alias("lines"))
     return per_tab.groupBy("qid").agg(F.concat(
-        F.lit("--- ENTITY RESOLUTION (Sample Values) ---\n"),
+        F.lit(TX.HYBRID2_ENTITIES),
         F.array_join(F.array_sort(F.collect_list(F.struct(
-            "id", F.concat(F.format_string("Table [%s]:\n", "id"), "lines").alias("t")))).getField("t"), ""),
+            "id", F.concat(F.format_string(TX.HYBRID2_ENTITY_TABLE, "id"), "lines").alias("t")))).getField("t"), ""),
         F.lit("\n")).alias("entities"))
 
 
 def hybrid2_text(instructions: str, vector_text: Column, entities: Column, graph_text: Column,
                  question: Column) -> Column:
     """K5: instructions, examples, entity samples (only if any), graph rules, question."""
-    return F.concat(F.lit(instructions), F.lit("\n\n--- SEMANTIC CONTEXT (Examples) ---\n"), vector_text,
+    return F.concat(F.lit(instructions), F.lit(TX.HYBRID2_SEMANTIC), vector_text,
                     F.lit("\n\n"), F.coalesce(entities, F.lit("")),
-                    F.lit("--- STRUCTURAL CONTEXT (Graph Rules) ---\n"), graph_text, F.lit("\n\n"),
-                    F.lit("--- USER QUESTION ---\nGenerate the SparkSQL query to answer the following question:\n"),
-                    question, F.lit("\n\n"))
+                    F.lit(TX.HYBRID2_STRUCTURAL), graph_text, F.lit("\n\n"),
+                    F.lit(TX.HYBRID2_QUESTION), question, F.lit("\n\n"))

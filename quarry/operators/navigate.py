@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import texts as TX
 from . import vectors as V
 
 # Fixed values of the navigation rules.
@@ -22,11 +23,11 @@ ALPHA = 0.4
 LENGTH_DECAY = 0.95
 MAX_HOPS = 3
 TOP_K_METADATA = 3
-NO_VALID_TABLES = "No valid historical tables identified."
-SINGLE_TABLE = "### SINGLE TABLE QUERY ###\nNo JOINs required.\n"
-JOIN_HEADER = "### SUGGESTED JOIN CONDITIONS ###\n"
-NO_PATHS = "No historical JOIN paths found.\n"
-METADATA_HEADER = "\n### HISTORICAL METADATA ###\n"
+NO_VALID_TABLES = TX.NO_VALID_TABLES
+SINGLE_TABLE = TX.SINGLE_TABLE
+JOIN_HEADER = TX.JOIN_HEADER
+NO_PATHS = TX.NO_PATHS
+METADATA_HEADER = TX.METADATA_HEADER
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -83,10 +84,8 @@ def edge_rules(edges: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_alt"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("alt_rank", "condition"))),
                                  lambda x: x["condition"]), " OR ").alias("conds"))
-    text = F.when(F.col("n_alt") == 1, F.format_string("- For joining %s and %s use: %s",
-                                                       "source", "target", "conds")).otherwise(
-        F.format_string("- For joining %s and %s, multiple valid conditions exist depending on context, "
-                        "choose the correct one: %s", "source", "target", "conds"))
+    text = F.when(F.col("n_alt") == 1, F.format_string(TX.JOIN_RULE_ONE, "source", "target", "conds")
+                  ).otherwise(F.format_string(TX.JOIN_RULE_MANY, "source", "target", "conds"))
     return per.select("source", "target", text.alias("rule"))
 
 
@@ -152,7 +151,7 @@ def sample_lines(samples: DataFrame) -> DataFrame:
     per_col = samples.groupBy("id", "column").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rn", "value"))), lambda x: F.concat(F.lit("'"), x["value"], F.lit("'"))),
         ", ").alias("vals"))
-    line = F.format_string("    * %s: [%s]\n", "column", "vals")
+    line = F.format_string(TX.V2_SAMPLE_LINE, "column", "vals")
     return per_col.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(
         F.struct("column", line.alias("l")))).getField("l"), "").alias("samples"))
 

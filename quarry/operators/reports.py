@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..functions import texts as TX
 
 from .telemetry import execution_status
 
 # Difficulty order of the report, the default texts of the log summary.
 DIFFICULTY_ORDER = ["Simple", "Moderate", "Challenging"]
-NOT_FOUND = "Not found"
-NO_SQL = "No SQL generated"
-NOT_AVAILABLE = "Not available"
+NOT_FOUND = TX.NOT_FOUND
+NO_SQL = TX.NO_SQL
+NOT_AVAILABLE = TX.NOT_AVAILABLE
 QUESTION_RANGE = (195, 339)
 
 

@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from ..functions import texts as TX
 
 from . import intervals as I
 
 # The reasons written when a tool span is still open at the end
 # of a run, the schema tool and its call limit, the provider labels.
-EARLY_EXIT_SCHEMA = "Early Exit because of call to SQL. Duration is spark_time."
-EARLY_EXIT_OTHER = "EXCEPTION: Early Exit. Duration is off."
+EARLY_EXIT_SCHEMA = TX.EARLY_EXIT_SCHEMA
+EARLY_EXIT_OTHER = TX.EARLY_EXIT_OTHER
 SCHEMA_TOOL = "schema_sql_db"
 MAX_SCHEMA_CALLS = 3
 KNOWN_PROVIDERS = ["google", "cloudflare", "claude", "openai"]

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import texts as TX
 DIM = 64
 TOKEN_RE = r"[a-z0-9]+"
 TIE_DECIMALS = 9  # distances are ranked after rounding, so float noise cannot reorder ties
@@ -144,8 +145,7 @@ def best_distance(questions: DataFrame, hits: DataFrame) -> DataFrame:
             .select("qid", F.coalesce("best", F.lit(float("inf"))).alias("best_distance")))
 
 
-# Texts of the few-shot block.
-FEW_SHOT_HEADER = "As a strict reference, here are some examples:\n"
+FEW_SHOT_HEADER = TX.FEW_SHOT_HEADER
 
 
 def few_shot_text(questions: DataFrame, hits: DataFrame, docs: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def few_shot_text(questions: DataFrame, hits: DataFrame, docs: DataFrame) -> Dat
     """
     h = hits.join(docs, "cid").select(
         "qid", "rank",
-        F.format_string("- Example Question: '%s'\n  Expected SQL: %s\n\n", "text", "sql").alias("block"))
+        F.format_string(TX.FEW_SHOT_EXAMPLE, "text", "sql").alias("block"))
     agg = h.groupBy("qid").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "").alias("blocks"))
     return (questions.select("qid").join(agg, "qid", "left")

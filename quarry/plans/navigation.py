@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import texts as TX
 from ..operators import mining as W
 from ..operators import navigate as N
 from ..operators import vectors as V
@@ -102,20 +103,20 @@ def metadata_blocks(spark, sf_dir):
     b = pats.join(top, "id", "left").join(samples, "id", "left")
     pattern_lines = F.concat(
         F.when(F.col("predicates").isNotNull(),
-               F.format_string("    * WHERE clauses frequently use: %s\n", "predicates")).otherwise(F.lit("")),
+               F.format_string(TX.V2_PREDICATES, "predicates")).otherwise(F.lit("")),
         F.when(F.col("operations").isNotNull(),
-               F.format_string("    * Used operators: %s\n", "operations")).otherwise(F.lit("")),
+               F.format_string(TX.V2_OPERATIONS, "operations")).otherwise(F.lit("")),
         F.when(F.col("aggregations").isNotNull(),
-               F.format_string("    * Aggregations: %s\n", "aggregations")).otherwise(F.lit("")))
+               F.format_string(TX.V2_AGGREGATIONS, "aggregations")).otherwise(F.lit("")))
     none = (F.col("predicates").isNull() & F.col("operations").isNull() & F.col("aggregations").isNull())
     text = F.concat(
-        F.format_string("\nTable: [%s]\n", "id"),
-        F.when(F.col("top").isNotNull(), F.format_string("  - Frequently referenced columns: %s\n", "top"))
+        F.format_string(TX.TABLE_LINE, "id"),
+        F.when(F.col("top").isNotNull(), F.format_string(TX.V2_TOP_COLUMNS, "top"))
         .otherwise(F.lit("")),
-        F.when(F.col("samples").isNotNull(), F.concat(F.lit("  - Sample data formats:\n"), F.col("samples")))
+        F.when(F.col("samples").isNotNull(), F.concat(F.lit(TX.V2_SAMPLES_HEADER), F.col("samples")))
         .otherwise(F.lit("")),
-        F.lit("  - Historical SQL patterns:\n"),
-        F.when(none, F.lit("    * No structural patterns identified.\n")).otherwise(pattern_lines))
+        F.lit(TX.V2_PATTERNS_HEADER),
+        F.when(none, F.lit(TX.V2_NO_PATTERNS)).otherwise(pattern_lines))
     return b.select("id", text.alias("block"))
 
 

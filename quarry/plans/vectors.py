@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import texts as TX
 from ..operators import vectors as V
 from ..sources import adapters as A
 from ..sources.tables import table
 
 K = 3
-VECTOR_TAIL = "Use the examples above to solve the following question:\nCurrent Question: "
+VECTOR_TAIL = TX.VECTOR_TAIL
 
 
 def _embeddings(spark, sf_dir):
