@@ -123,18 +123,35 @@ def nodes_long(g: Graph) -> DataFrame:
                                                "key", "freq")))
 
 
+def _k_smallest(k: int, cols: list[str]):
+    """Per Arrow batch: the k smallest distinct non-null values of each column."""
+    import numpy as np
+    import pandas as pd
+
+    def fn(batches):
+        for pdf in batches:
+            out_c, out_v = [], []
+            for c in cols:
+                v = pd.unique(pdf[c].dropna())
+                if len(v):
+                    v = np.sort(v.astype(object))[:k]  # code-point order = UTF-8 byte order
+                    out_c += [c] * len(v)
+                    out_v += list(v)
+            yield pd.DataFrame({"column": pd.Series(out_c, dtype=object),
+                                "value": pd.Series(out_v, dtype=object)})
+    return fn
+
+
 def entity_samples(spark: SparkSession, columns: DataFrame, tables: dict[str, DataFrame],
                    k: int = 3) -> DataFrame:
     """Up to ``k`` distinct non-null values per (table, column), smallest first.
 
     The (table, column) list comes from the graph and is bounded by the catalog
     (tables x columns), so it is read on the driver to prune the scans: only the
-    columns the workload names are read.  Instead of a distinct over every value
-    (a shuffle as large as the columns), the i-th smallest value is found by
-    pass i as ``min(value)`` over values above the (i-1)-th: an algebraic
-    aggregate, combined map-side, so each pass shuffles one row per
-    (table, column) and partition.  The per-pass results are catalog-bounded and
-    checkpointed, so pass i reads the tables once.
+    columns the workload names are read, once.  Each Arrow batch keeps only its
+    k smallest distinct values per column (a map-side top-k), so the shuffle
+    carries at most k rows per column and batch instead of every distinct value;
+    a ranked window merges them.
     """
     wanted = columns.select("id", "column").distinct().collect()  # bounded by catalog size
     per_table: dict[str, list[str]] = {}
@@ -145,23 +162,15 @@ def entity_samples(spark: SparkSession, columns: DataFrame, tables: dict[str, Da
     for name in sorted(per_table):
         cols = sorted(set(per_table[name]))
         df = tables[name].select(*[F.col(c).cast("string").alias(c) for c in cols])
-        parts.append(df.unpivot([], cols, "column", "value")
+        parts.append(df.mapInPandas(_k_smallest(k, cols), "column string, value string")
                      .select(F.lit(name).alias("id"), "column", "value"))
     if not parts:
         return spark.createDataFrame([], "id string, column string, value string, rn int")
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    u = u.where(F.col("value").isNotNull())
-    found, prev = None, None
-    for i in range(1, k + 1):
-        cand = u if prev is None else (
-            u.join(F.broadcast(prev), ["id", "column"]).where(F.col("value") > F.col("last")))
-        m = (cand.groupBy("id", "column").agg(F.min("value").alias("value"))
-             .withColumn("rn", F.lit(i)).checkpoint(eager=True))
-        found = m if found is None else found.unionByName(m)
-        prev = m.select("id", "column", F.col("value").alias("last"))
-    return found.select("id", "column", "value", "rn")
+    w = Window.partitionBy("id", "column").orderBy("value")
+    return u.distinct().withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 
 
 def stats(g: Graph) -> DataFrame:

@@ -142,12 +142,12 @@ _SAMPLES: dict = {}
 
 
 def q_entity_samples(spark, sf_dir):
-    """Sample values, computed once per session (k small passes, checkpointed)."""
+    """Sample values, computed once per session (k per column, checkpointed)."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _SAMPLES:
         g = graph(spark, sf_dir)
         tables = {t: table(spark, sf_dir, t) for t in STAR_TABLES}
-        _SAMPLES[key] = G.entity_samples(spark, g.columns, tables)
+        _SAMPLES[key] = G.entity_samples(spark, g.columns, tables).checkpoint(eager=True)
     return _SAMPLES[key]
 
 

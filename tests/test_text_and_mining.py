@@ -96,3 +96,18 @@ def test_greedy_connect_with_fallback(spark):
     assert picks[(1, 1)]["path_key"] == "a>b>c"
     assert picks[(1, 2)]["fallback"] == ["z"]  # no path to z: pending tables added, stop
     assert picks[(2, 1)]["path_key"] == "a>b" and (2, 2) not in picks
+
+
+def test_catalog_usable_and_info_lookup(spark):
+    import pytest
+    from quarry.operators import catalog as C
+    cat = spark.createDataFrame([("b",), ("a",), ("c",)], "table_name string")
+    assert [r[0] for r in C.usable_tables(cat, ignore=["c"]).collect()] == ["a", "b"]
+    assert [r[0] for r in C.usable_tables(cat, include=["c"]).collect()] == ["c"]
+    with pytest.raises(ValueError):
+        C.usable_tables(cat, ignore=["zzz"])
+    info = spark.createDataFrame([("a", "A-info"), ("b", "B-info")], "table_name string, info string")
+    req = spark.createDataFrame([(1, "a, b"), (2, "a,ghost")], "qid long, names string")
+    got = {r["qid"]: r["info"] for r in C.table_info_lookup(req, info).collect()}
+    assert got[1] == "A-info\n\nB-info"
+    assert got[2] == "Error: table_names {'ghost'} not found in database"
