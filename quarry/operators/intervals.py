@@ -68,9 +68,12 @@ def union(df: DataFrame, keys: list[str], start: str = "start", end: str = "end"
     v = (df.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) >= F.col(start)))
          .select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
          .withColumn("bucket", _bucket(F.col("_s"), bucket_us)))
+    # each scan reads its input in three branches (offsets, window, join): materialise
+    # it once instead of re-deriving it from the source in every branch
+    v = v.checkpoint(eager=True)
     v = running(v, keys, ["_s", "_e"], {"_prev_end": "_e"}, how="max", exclusive=True)
     v = v.withColumn("_new", F.when(F.col("_prev_end").isNull() | (F.col("_s") > F.col("_prev_end")), 1)
-                     .otherwise(0))
+                     .otherwise(0)).checkpoint(eager=True)
     # among equal (start, end) the row that opens an island must come first
     v = running(v, keys, ["_s", "_e", F.desc("_new")], {"island": "_new"}, how="sum")
     return (v.groupBy(*keys, "island")
@@ -98,8 +101,8 @@ def _sweep(sides: dict[str, DataFrame], keys: list[str], bucket_us: int) -> Data
         part = up.unionByName(down)
         ev = part if ev is None else ev.unionByName(part)
     pts = (ev.groupBy(*keys, "t").agg(*[F.sum(f"d_{n}").alias(f"d_{n}") for n in sides])
-           .withColumn("bucket", _bucket(F.col("t"), bucket_us)))
-    pts = running(pts, keys, ["t"], {f"c_{n}": f"d_{n}" for n in sides}, how="sum")
+           .withColumn("bucket", _bucket(F.col("t"), bucket_us))).checkpoint(eager=True)
+    pts = running(pts, keys, ["t"], {f"c_{n}": f"d_{n}" for n in sides}, how="sum").checkpoint(eager=True)
     pts = next_value(pts, keys, "t", out="t_next")
     return pts.withColumn("seg", F.coalesce(F.col("t_next") - F.col("t"), F.lit(0)))
 
