@@ -101,9 +101,14 @@ def execution_accuracy(gold: DataFrame, pred: DataFrame, cases: DataFrame, case:
     pcols = [c for c in pred.columns if c not in (case, pos)]
     if relaxed_mode:
         gs, ps = relaxed_signatures(gold, case, gcols), relaxed_signatures(pred, case, pcols)
-    else:
-        gs, ps = strict_signatures(gold, case, pos, gcols), strict_signatures(pred, case, pos, pcols)
-    return match(gs, ps, cases, row_counts(gold, case), row_counts(pred, case))
+        return match(gs, ps, cases, row_counts(gold, case), row_counts(pred, case))
+    gs, ps = strict_signatures(gold, case, pos, gcols), strict_signatures(pred, case, pos, pcols)
+    # the strict signature already counts every row of the case: no second pass
+    return match(gs, ps, cases, _rows_from(gs), _rows_from(ps))
+
+
+def _rows_from(sigs: DataFrame) -> DataFrame:
+    return sigs.groupBy("case_id").agg(F.max("n").alias("rows"))
 
 
 def accuracy_per_run(scores: DataFrame, runs: DataFrame, gold_valid: DataFrame) -> DataFrame:
