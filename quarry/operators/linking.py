@@ -61,14 +61,25 @@ def linked_samples(linked: DataFrame, samples: DataFrame) -> DataFrame:
     return linked.select("qid", F.col("table").alias("id")).join(F.broadcast(samples), "id")
 
 
-def metadata_tokens(columns: DataFrame, samples: DataFrame) -> DataFrame:
-    """Tokens naming each table: its name, its column names, its sample values."""
+def metadata_tokens(columns: DataFrame, samples: DataFrame, max_table_share: float = 1.0) -> DataFrame:
+    """Tokens naming each table: its name, its column names, its sample values.
+
+    Tokens that name more than ``max_table_share`` of the tables say little about
+    any one table and are dropped (the catalog is small, so this is one
+    aggregate over the token list).
+    """
     def toks(c: Column) -> Column:
         return F.explode(F.regexp_extract_all(F.lower(c), F.lit(LINK_TOKEN_RE), F.lit(0)))
     t = (columns.select("id", toks(F.col("id")).alias("token"))
          .unionByName(columns.select("id", toks(F.col("column")).alias("token")))
          .unionByName(samples.select("id", toks(F.col("value")).alias("token"))))
-    return t.where(F.length("token") >= MIN_TOKEN_LEN).distinct()
+    t = t.where(F.length("token") >= MIN_TOKEN_LEN).distinct()
+    if max_table_share >= 1.0:
+        return t
+    n_tables = columns.select("id").distinct().count()  # one scalar, bounded by the catalog
+    per_token = t.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    keep = per_token.where(F.col("n") <= F.lit(max_table_share * n_tables)).select("token")
+    return t.join(keep, "token", "left_semi")
 
 
 def lexical_link(questions: DataFrame, meta_tokens: DataFrame) -> DataFrame:

@@ -111,3 +111,14 @@ def test_catalog_usable_and_info_lookup(spark):
     got = {r["qid"]: r["info"] for r in C.table_info_lookup(req, info).collect()}
     assert got[1] == "A-info\n\nB-info"
     assert got[2] == "Error: table_names {'ghost'} not found in database"
+
+
+def test_lexical_link_and_hot_tokens(spark):
+    cols = spark.createDataFrame([("orders", "o_orderkey", 5), ("customer", "c_name", 3), ("nation", "n_name", 1)],
+                                 "id string, column string, freq long")
+    samples = spark.createDataFrame([("customer", "c_name", "Customer#1", 1)], "id string, column string, value string, rn int")
+    q = spark.createDataFrame([(1, "Which customer name is on orders?")], "qid long, question string")
+    got = {r["table"]: r["hits"] for r in L.lexical_link(q, L.metadata_tokens(cols, samples)).collect()}
+    assert got == {"customer": 2, "orders": 1, "nation": 1}  # customer: 'customer' + 'name'; nation: 'name'
+    hot = L.metadata_tokens(cols, samples, max_table_share=0.5)
+    assert "name" not in {r["token"] for r in hot.collect()}  # in c_name and n_name: 2 of 3 tables
