@@ -31,12 +31,12 @@ def test_sqlite_source_partitions_and_date_override(spark, tmpdir_run):
 
 def test_spec_roundtrip_and_lookup(spark, tmpdir_run):
     items = spark.createDataFrame(
-        [(195, "toxicology", "How many atoms?", "atoms are rows", "SELECT 1", None),
-         (196, "toxicology", "Which bond?", None, "SELECT 2", "simple"),
+        [(195, "chemistry", "How many atoms?", "atoms are rows", "SELECT 1", None),
+         (196, "chemistry", "Which bond?", None, "SELECT 2", "simple"),
          (197, "other", "x", None, "SELECT 3", "simple")],
         "question_id long, db_id string, question string, evidence string, SQL string, difficulty string")
     S.write_spec(items, os.path.join(tmpdir_run, "spec"))
-    spec = S.read_spec(spark, os.path.join(tmpdir_run, "spec"), "toxicology")
+    spec = S.read_spec(spark, os.path.join(tmpdir_run, "spec"), "chemistry")
     assert sorted(r["question_id"] for r in spec.collect()) == [195, 196]
     keys = spark.createDataFrame([(195,), (196,), (999,)], "question_id long")
     got = {r["question_id"]: (r["text"], r["difficulty"]) for r in S.lookup(spec, keys).collect()}
