@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 
 from quarry.sources.tables import table
 
-from . import line_dedup, line_quality
+from . import line_dedup, line_quality, sentence_pieces, token_counts
+
+PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
+MAX_TOKENS = 2048
+
+
+def tokenizer(name: str) -> str:
+    """Where a public vocabulary file lies."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
 
 
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,4 +32,16 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_quality, op3_line_dedup)}
+def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of ``documents``, and whether decoding gives the text back."""
+    out = sentence_pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer(PIECES))
+    return out.select(F.col("id").alias("doc_id"), "n_chars", "n_tokens", "ids", F.col("same").alias("round_trip"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of ``documents``, and whether a text is over the limit."""
+    out = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer(WORDS))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_quality, op3_line_dedup, op5_sentence_pieces, op9_token_counts)}
