@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.sources.tables import table
 
-from . import line_dedup, line_quality, sentence_pieces, token_counts
+from . import jaccard_join, line_dedup, line_quality, sentence_pieces, token_counts
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
 MAX_TOKENS = 2048
@@ -38,10 +38,16 @@ def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_chars", "n_tokens", "ids", F.col("same").alias("round_trip"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of ``documents``: five-word shingles, Jaccard similarity of 0.8 or more."""
+    out = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of ``documents``, and whether a text is over the limit."""
     out = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer(WORDS))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_quality, op3_line_dedup, op5_sentence_pieces, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_line_quality, op3_line_dedup, op5_sentence_pieces, op8_jaccard_join, op9_token_counts)}
