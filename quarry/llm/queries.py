@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.sources.tables import table
 
-from . import jaccard_join, line_dedup, line_quality, sentence_pieces, token_counts
+from . import jaccard_join, line_dedup, line_quality, repeated_bytes, sentence_pieces, token_counts
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
 MAX_TOKENS = 2048
@@ -50,4 +50,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_quality, op3_line_dedup, op5_sentence_pieces, op8_jaccard_join, op9_token_counts)}
+def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of ``documents`` in 50-byte strings that a smaller document holds, cut out."""
+    out = repeated_bytes.cut_repeats(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_quality, op3_line_dedup, op5_sentence_pieces, op8_jaccard_join, op9_token_counts,
+                                   op10_repeated_bytes)}
