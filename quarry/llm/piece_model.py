@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 
 import numpy as np
 
@@ -93,18 +94,19 @@ class PieceModel:
 class StreamingCoder:
     """Ids of texts under a ``PieceModel``; memory is bounded by the window and the two bounded caches."""
 
-    def __init__(self, model: PieceModel, cache_size: int = 500_000):
+    def __init__(self, model: PieceModel, cache_size: int = 300_000):
         self.m, self.cache_size = model, cache_size
         self.words: dict[str, bytes] = {}     # what stands between two blanks
         self.cache: dict[str, bytes] = {}     # segments
         self.pairs: dict[str | None, dict[str, bool]] = {}
         self.n_pairs = 0
         self.spines: dict[str, tuple] = {}
-        self.starts: dict[str, str | None] = {}  # beginnings of pieces: the piece itself, or None where more must follow
-        for p in model.id_of:
-            for k in range(1, len(p)):
-                self.starts.setdefault(p[:k], None)
-            self.starts[p] = p
+        self.trie: dict = {}  # pieces by their characters; at "" the piece itself
+        for p in [*model.id_of, *{c for p in model.id_of for c in p}]:
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = p
         # Between two characters that no piece holds side by side, every path has a boundary: texts are cut there.
         inner = {b for p in model.id_of for b in zip(p, p[1:])}
         joined = {c for pair in inner for c in pair}
@@ -141,7 +143,7 @@ class StreamingCoder:
         for s in self.segment.findall(marked):
             ids = cache.get(s)
             if ids is None:
-                ids = np.array([i for piece in self.path(s) for i in self._ids(piece)], dtype=np.int32).tobytes()
+                ids = array("i", [i for piece in self.path(s) for i in self._ids(piece)]).tobytes()
                 if len(cache) > self.cache_size:
                     cache.clear()
                 if len(s) <= 32:
@@ -155,29 +157,46 @@ class StreamingCoder:
 
     def path(self, text: str) -> list[str]:
         """Pieces of a text: one pass from left to right, with backpointers for a window of ends only."""
-        longest, starts, fits = self.m.longest, self.starts, self.fits
+        longest, trie, n = self.m.longest, self.trie, len(text)
         done: list[str] = []
-        base, n = 0, len(text)          # everything before base is committed
-        last: list = [None] * (longest + 1)  # last piece of the surviving path to each end from base on
+        base = 0                         # everything before it is committed
+        last: list = [None] * (n + 1 if n <= 8 * longest else 9 * longest + 2)  # last piece of the surviving path to each end
         for i in range(n):
             before = last[i - base]
-            last.append(None)
-            for j in range(i + 1, min(i + longest, n) + 1):
-                piece = starts.get(text[i:j], "")
-                if j == i + 1:
-                    piece = piece or text[i]
-                if piece and last[j - base] is None and fits(before, piece):
-                    last[j - base] = piece
-                elif piece == "":
+            known = self.pairs.get(before)
+            if known is None:
+                known = self._room(before)
+            node, j = trie, i
+            while j < n:
+                node = node.get(text[j])
+                if node is None:
                     break
-            if i - base >= 8 * longest:
+                j += 1
+                piece = node.get("")
+                if piece is not None and last[j - base] is None:
+                    fit = known.get(piece)
+                    if fit is None:
+                        fit = known[piece] = self._fits(before, piece)
+                        self.n_pairs += 1
+                    if fit:
+                        last[j - base] = piece
+            if j == i:                   # a character of no piece
+                last[i + 1 - base] = text[i]
+            if i + 1 - base >= 8 * longest:
                 boundary = self._converged(last, i + 1 - base, longest)
                 if boundary:
                     done += self._back(last, boundary)
                     base += boundary
                     last = last[boundary:]
+                last += [None] * (max(i + 2 - base, 8 * longest + 2) + longest - len(last))
         return done + self._back(last, n - base)
 
+    def _room(self, before: str | None) -> dict[str, bool]:
+        """Where the neighbours of a piece are noted; all are forgotten when they are too many."""
+        if self.n_pairs > self.cache_size:
+            self.pairs, self.n_pairs = {}, 0
+        return self.pairs.setdefault(before, {})
+
     @staticmethod
     def _converged(last: list, end: int, longest: int) -> int:
         """The last boundary that the paths of all ends in the window share; 0 if it is the committed one."""
@@ -196,20 +215,8 @@ class StreamingCoder:
             end -= len(last[end])
         return out[::-1]
 
-    def fits(self, a: str | None, b: str) -> bool:
-        """Whether merging leaves ``a`` and ``b`` (or ``b`` alone) as they are."""
-        known = self.pairs.get(a)
-        if known is None:
-            known = self.pairs[a] = {}
-        fit = known.get(b)
-        if fit is None:
-            if self.n_pairs > 2 * self.cache_size:
-                self.pairs, self.n_pairs = {}, 0
-            fit = known[b] = self._fits(a, b)
-            self.n_pairs += 1
-        return fit
-
     def _fits(self, a: str | None, b: str) -> bool:
+        """Whether merging leaves ``a`` and ``b`` (or ``b`` alone) as they are."""
         right_of_b = self._spine(b)
         if right_of_b is None:
             return False

@@ -11,23 +11,25 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .arrow_rows import list_column, slices
 from .common import col_of
 from .piece_model import PieceModel, StreamingCoder
 
 SLICE_BYTES = 4 << 20
-_CODERS: dict[int, StreamingCoder] = {}
+_WORKER: dict[tuple, object] = {}
 
 
-def _coder(data: bytes) -> StreamingCoder:
-    """One coder per worker process and model."""
-    key = hash(data)
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = StreamingCoder(PieceModel(data))
-    return _CODERS[key]
+def _once(kind, data: bytes):
+    """One coder or model per worker process and model file."""
+    key = kind, hash(data)
+    if key not in _WORKER:
+        _WORKER[key] = kind(data)
+    return _WORKER[key]
+
+
+def _new_coder(data: bytes) -> StreamingCoder:
+    return StreamingCoder(PieceModel(data))
 
 
 def _model_bytes(model_path: str) -> bytes:
@@ -35,6 +37,28 @@ def _model_bytes(model_path: str) -> bytes:
         return f.read()
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(col_of(docs, id_col).alias("id"), col_of(docs, text_col).alias("text"))
+
+
+def _encoded(coder: StreamingCoder, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts behind each other, and how many each has."""
+    out = [coder.encode(t or "") for t in texts]
+    return np.frombuffer(b"".join(out), dtype=np.int32), np.fromiter(map(len, out), dtype=np.int64, count=len(out)) // 4
+
+
+def _decoded(model: PieceModel, flat: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The bytes of each list of ids, without the blank that encoding puts first."""
+    joined, ends = model.decode(flat.astype(np.int64))
+    raw, out, start = joined.tobytes(), [], 0
+    for last in np.cumsum(counts).tolist():
+        end = int(ends[last - 1]) if last else 0
+        drop = model.dummy_prefix and end > start and raw[start] == 32
+        out.append(raw[start + drop:end])
+        start = end
+    return out
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, text, ids (array of int).
 
@@ -43,19 +67,16 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     encoded like any row; other input columns are ignored.
     """
     data = docs.sparkSession.sparkContext.broadcast(_model_bytes(model_path))
-    rows = docs.select(col_of(docs, id_col).alias("id"), col_of(docs, text_col).alias("text"))
+    rows = _rows(docs, id_col, text_col)
 
     def run(batches):
-        coder = _coder(data.value)
+        coder = _once(_new_coder, data.value)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                out = [coder.encode(t or "") for t in part.column("text").to_pylist()]
-                ids = np.frombuffer(b"".join(out), dtype=np.int32)
-                counts = np.fromiter(map(len, out), dtype=np.int64, count=len(out)) // 4
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text"), list_column(ids, counts)], ["id", "text", "ids"])
+                flat, counts = _encoded(coder, part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, list_column(flat, counts)], ["id", "text", "ids"])
 
-    kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(run, f"id {kind}, text string, ids array<int>")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, text string, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -68,24 +89,15 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     data = encoded.sparkSession.sparkContext.broadcast(_model_bytes(model_path))
 
     def run(batches):
-        model = _coder(data.value).m
+        model = _once(PieceModel, data.value)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index("ids"))
             counts = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
-            flat = np.asarray(lists.flatten(), dtype=np.int64)
-            texts, at, lo = [], 0, 0
+            flat, texts, at, lo = np.asarray(lists.flatten(), dtype=np.int32), [], 0, 0
             while lo < len(counts):
-                hi, n = lo, 0
-                while hi < len(counts) and (hi == lo or n + counts[hi] <= SLICE_BYTES // 4):
-                    n += int(counts[hi])
-                    hi += 1
-                joined, ends = model.decode(flat[at:at + n])
-                raw, start = joined.tobytes(), 0
-                for last in np.cumsum(counts[lo:hi]).tolist():
-                    end = int(ends[last - 1]) if last else 0
-                    drop = model.dummy_prefix and end > start and raw[start] == 32
-                    texts.append(raw[start + drop:end].decode("utf-8", "replace"))
-                    start = end
+                hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(counts[lo:]), SLICE_BYTES // 4, "right")))
+                n = int(counts[lo:hi].sum())
+                texts += [t.decode("utf-8", "replace") for t in _decoded(model, flat[at:at + n], counts[lo:hi])]
                 at, lo = at + n, hi
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
@@ -94,8 +106,19 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encoded and decoded again: id, n_chars, ids, n_tokens, same (the decoded text is the text, a null one being empty)."""
-    out = decode(encode(docs, model_path, id_col, text_col), model_path)
-    text = F.coalesce("text", F.lit(""))
-    return out.select("id", F.length(text).cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_tokens"), "ids",
-                      (F.col("decoded") == text).alias("same"))
+    """Encoded and decoded again in one pass: id, n_chars, n_tokens, ids, same (the decoded bytes are the text's, a null one being empty)."""
+    data = docs.sparkSession.sparkContext.broadcast(_model_bytes(model_path))
+    rows = _rows(docs, id_col, text_col)
+
+    def run(batches):
+        coder = _once(_new_coder, data.value)
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                flat, counts = _encoded(coder, texts)
+                same = [t.encode() == d for t, d in zip(texts, _decoded(coder.m, flat, counts))]
+                n_chars = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n_chars), pa.array(counts), list_column(flat, counts), pa.array(same)],
+                                                 ["id", "n_chars", "n_tokens", "ids", "same"])
+
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n_chars long, n_tokens long, ids array<int>, same boolean")

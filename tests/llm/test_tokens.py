@@ -45,7 +45,8 @@ def test_window_is_bounded(monkeypatch):
     seen = []
     real = StreamingCoder._converged
     monkeypatch.setattr(StreamingCoder, "_converged", staticmethod(lambda last, end, longest: seen.append(len(last)) or real(last, end, longest)))
-    coder.path("the" * 20000)
+    pieces = coder.path("the" * 20000)
+    assert "".join(pieces) == "the" * 20000
     assert max(seen) < 40 * coder.m.longest
 
 
