@@ -21,15 +21,15 @@ def col_of(df: DataFrame, name: str) -> Column:
     return df[f"`{name}`"]
 
 
-def packed(df: DataFrame, **named: str) -> DataFrame:
-    """``row`` (all input columns as one struct) beside privately named copies; later names cannot clash with the input's."""
-    return df.select(F.struct(*[col_of(df, c) for c in df.columns]).alias("row"),
-                     *[col_of(df, c).alias(k) for k, c in named.items()])
+def others(df: DataFrame, *without: str) -> Column:
+    """``row``: all other columns of a table as one struct, so that no name in it clashes with an operator's own."""
+    left = [col_of(df, c).alias(c) for c in df.columns if c not in without]
+    return (F.struct(*left) if left else F.lit(None).cast("struct<none:int>")).alias("row")
 
 
-def unpacked(df: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:
-    """The columns of a packed row again, some of them replaced."""
-    return df.select(*[(replaced[c] if c in replaced else F.col("row").getField(c)).alias(c) for c in columns])
+def with_columns_of(rows: DataFrame, columns: list[str], **given: Column) -> DataFrame:
+    """The named columns again: those given, the rest out of ``row``."""
+    return rows.select(*[(given[c] if c in given else F.col("row").getField(c)).alias(c) for c in columns])
 
 
 def let(value: Column, body) -> Column:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_CHARS, ascii_lower, col_of, let
+from .common import WHITE_CHARS, ascii_lower, col_of, let, others
 
 
 def line_key(line: Column) -> Column:
@@ -47,7 +47,7 @@ def shared_lines(lines: DataFrame, max_docs: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10,
-                max_docs: int = 1) -> DataFrame:
+                max_docs: int = 1, carry: bool = False) -> DataFrame:
     """Every row's text without the lines that other documents keep.
 
     A line's key is the line without white space at both ends, A-Z lower-cased.
@@ -57,14 +57,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns one row per input row: id, n_lines, n_dropped, kept (text).
     Null or empty text: one empty line.  Null id: the row takes no part, its text
     stays.  Rows repeated with the same id count as one document.  Other input
-    columns are ignored.  Empty table: no rows.
+    columns are ignored, or with ``carry`` kept in the struct ``row``.  Empty table: no rows.
     """
     lines = keyed_lines(docs, id_col, text_col, min_chars)
     over = shared_lines(lines, max_docs)
     lost = (lines.join(over, ["h1", "h2"]).where(F.col("id") > F.col("keeper"))
             .groupBy("id", "th").agg(F.collect_set("pos").alias("lost")))
-    rows = _texts(docs, id_col, text_col)
-    rows = rows.join(lost, ["id", "th"], "left").select("id", "text", F.coalesce("lost", F.array().cast("array<int>")).alias("lost"))
+    carried = ["row"] if carry else []
+    text = F.coalesce(col_of(docs, text_col), F.lit(""))
+    rows = docs.select(*[others(docs, id_col, text_col) for _ in carried], col_of(docs, id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    rows = rows.join(lost, ["id", "th"], "left").select(*carried, "id", "text", F.coalesce("lost", F.array().cast("array<int>")).alias("lost"))
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
 
     def kept(line_list: Column) -> Column:
@@ -72,5 +74,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.array_join(F.transform(stay, lambda i: F.get(line_list, i)), "\n")
 
     text = F.when(F.size("lost") == 0, F.col("text")).otherwise(let(F.split("text", "\n", -1), kept))
-    return rows.select("id", n_lines.cast("long").alias("n_lines"), F.size("lost").cast("long").alias("n_dropped"), text.alias("kept"))
+    return rows.select(*carried, "id", n_lines.cast("long").alias("n_lines"), F.size("lost").cast("long").alias("n_dropped"), text.alias("kept"))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, WHITE_CHARS, col_of, let, words_of
+from .common import WHITE, WHITE_CHARS, col_of, let, others, words_of
 
 #: How a sentence ends, what marks noise inside a line, what separates navigation links.
 SENTENCE_END = r"[.!?…。！？:;][\"'”’»)\]]*([\x20\x09-\x0D]|$)"
@@ -72,7 +72,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-           max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
+           max_lost_percent: int = MAX_LOST_PERCENT, carry: bool = False) -> DataFrame:
     """One row per input row: id, text, the base counts, cleaned (text of the lines that pass) and the verdict.
 
     Words are maximal runs of characters other than white space.  n_words,
@@ -81,10 +81,13 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     over half of them in repeated windows), n_bad_lines, kept_chars, kept.
     Null or empty text: all counts 0, base_failed, not kept.  Lines without a word
     stay and count nothing.  Null ids and repeated rows are judged like any row.
-    Other input columns are ignored.
+    Other input columns are ignored, or with ``carry`` kept in the struct ``row``.
+    Empty table: no rows.
     """
-    rows = docs.select(col_of(docs, id_col).alias("id"), F.coalesce(col_of(docs, text_col), F.lit("")).alias("text"))
-    rows = rows.select("id", "text", words_of(F.col("text")).alias("words"), F.split("text", "\n", -1).alias("lines"))
+    carried = ["row"] if carry else []
+    rows = docs.select(*[others(docs, id_col, text_col) for _ in carried], col_of(docs, id_col).alias("id"),
+                       F.coalesce(col_of(docs, text_col), F.lit("")).alias("text"))
+    rows = rows.select(*carried, "id", "text", words_of(F.col("text")).alias("words"), F.split("text", "\n", -1).alias("lines"))
 
     def blank(line: Column) -> Column:
         return F.btrim(line, F.lit(WHITE_CHARS)) == ""
@@ -93,7 +96,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.size(lines) - F.size(F.array_distinct(lines))
 
     rows = rows.select(
-        "id", "text", F.size("words").cast("long").alias("n_words"), chars_in_words(F.col("text")).cast("long").alias("word_chars"),
+        *carried, "id", "text", F.size("words").cast("long").alias("n_words"), chars_in_words(F.col("text")).cast("long").alias("word_chars"),
         n_matches(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         let(F.filter("lines", lambda x: ~blank(x)), twice).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
@@ -104,5 +107,5 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select("*", F.when(F.col("n_bad_lines") == 0, F.col("word_chars"))
                        .otherwise(chars_in_words(F.col("cleaned"))).cast("long").alias("kept_chars"))
     enough = 100 * (F.col("word_chars") - F.col("kept_chars")) <= max_lost_percent * F.col("word_chars")
-    return rows.select("id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+    return rows.select(*carried, "id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                        "n_bad_lines", "kept_chars", "cleaned", (~F.col("base_failed") & enough).alias("kept"))

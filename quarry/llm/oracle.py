@@ -49,3 +49,31 @@ FROM j GROUP BY doc_id
 """
 
 ORACLE = {"op2_line_quality": OP2, "op3_line_dedup": OP3}
+
+OP4 = r"""
+WITH d AS (SELECT doc_id, string_split_regex(lower(text), '[^\p{L}\p{N}]+') AS words FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS words FROM benchmark),
+dw AS (SELECT doc_id, len(words) AS n, unnest(range(len(words))) AS i, unnest(words) AS w FROM d),
+bw AS (SELECT item_id, len(words) AS n, unnest(range(len(words))) AS j, unnest(words) AS w FROM b WHERE len(words) >= 9),
+lim AS (SELECT item_id, n, least(n, 20) AS win, least(n, 20) - CASE WHEN n >= 20 THEN 4 ELSE n // 6 END AS need FROM (SELECT DISTINCT item_id, n FROM bw)),
+same AS (SELECT dw.doc_id, bw.item_id, dw.i - bw.j AS shift, bw.j, dw.n AS dn FROM dw JOIN bw ON dw.w = bw.w),
+diag AS (SELECT doc_id, item_id, shift, dn, list(j) AS js FROM same GROUP BY doc_id, item_id, shift, dn),
+cand AS (SELECT diag.*, win, need, lim.n FROM diag JOIN lim USING (item_id) WHERE len(js) >= need),
+starts AS (SELECT doc_id, item_id, win, need, js, unnest(range(greatest(0, -shift), least(n, dn - shift) - win + 1)) AS s FROM cand),
+best AS (SELECT doc_id, item_id, win, need, len(list_filter(js, j -> j >= s AND j < s + win)) AS m FROM starts)
+SELECT doc_id, item_id, max(m)::BIGINT AS n_matched, max(win)::BIGINT AS n_window FROM best WHERE m >= need GROUP BY doc_id, item_id
+"""
+
+OP8 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other),
+comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id
+FROM documents JOIN comp ON comp.doc_id = documents.doc_id LEFT JOIN n ON n.doc_id = documents.doc_id
+"""
+
+ORACLE |= {"op4_decontamination": OP4, "op8_jaccard_join": OP8}
