@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, jaccard_join, line_dedup, line_quality, sentence_pieces
-from quarry.llm.common import stored, with_columns_of
+from quarry.llm.common import col_of, stored, with_columns_of
 from quarry.llm.queries import PIECES, tokenizer
 from quarry.sources.tables import table
 
@@ -22,6 +22,12 @@ def _with_text(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return with_columns_of(rows, docs.columns, **{c: v for c, v in given.items() if c in docs.columns})
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is not among ``ids`` (a column doc_id); a null id is not."""
+    left = docs.join(ids, "doc_id", "left_anti")
+    return left.select(*[col_of(left, c) for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail the rules go, and so do documents that are rejected."""
     judged = line_quality.judged(docs, carry=True)
@@ -37,13 +43,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near duplicates the smallest document stays; rows without id stay."""
     found = jaccard_join.near_duplicates(docs)
     others = found.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, others)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go; rows without id stay."""
     found = decontamination.overlaps(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, found.select(F.col("id").alias("doc_id")).distinct())
 
 
 def sentence_piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ ORACLE = {"op2_line_quality": OP2, "op3_line_dedup": OP3}
 
 OP4 = r"""
 WITH d AS (SELECT doc_id, string_split_regex(lower(text), '[^\p{L}\p{N}]+') AS words FROM documents WHERE text IS NOT NULL),
-b AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS words FROM benchmark),
+b AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM benchmark),
 dw AS (SELECT doc_id, len(words) AS n, unnest(range(len(words))) AS i, unnest(words) AS w FROM d),
 bw AS (SELECT item_id, len(words) AS n, unnest(range(len(words))) AS j, unnest(words) AS w FROM b WHERE len(words) >= 9),
 lim AS (SELECT item_id, n, least(n, 20) AS win, least(n, 20) - CASE WHEN n >= 20 THEN 4 ELSE n // 6 END AS need FROM (SELECT DISTINCT item_id, n FROM bw)),
@@ -60,7 +60,7 @@ same AS (SELECT dw.doc_id, bw.item_id, dw.i - bw.j AS shift, bw.j, dw.n AS dn FR
 diag AS (SELECT doc_id, item_id, shift, dn, list(j) AS js FROM same GROUP BY doc_id, item_id, shift, dn),
 cand AS (SELECT diag.*, win, need, lim.n FROM diag JOIN lim USING (item_id) WHERE len(js) >= need),
 starts AS (SELECT doc_id, item_id, win, need, js, unnest(range(greatest(0, -shift), least(n, dn - shift) - win + 1)) AS s FROM cand),
-best AS (SELECT doc_id, item_id, win, need, len(list_filter(js, j -> j >= s AND j < s + win)) AS m FROM starts)
+best AS (SELECT doc_id, item_id, win, need, len(list_filter(js, lambda j: j >= s AND j < s + win)) AS m FROM starts)
 SELECT doc_id, item_id, max(m)::BIGINT AS n_matched, max(win)::BIGINT AS n_window FROM best WHERE m >= need GROUP BY doc_id, item_id
 """
 
