@@ -31,7 +31,7 @@ from .common import col_of, stored
 from .components import components
 from .shingles import mixed, shingle_sets
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 COUNTER_BITS = 18
 PARTS = 64
 
@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = sizes.where("n > 0").join(firsts, "id", "left_semi").select("id", "n", "parts").distinct()
 
     counters = shingle_counters(rows, width)
-    prefix = prefixes(rows.where("id IS NOT NULL"), width, percent, counters).join(firsts, "id", "left_semi")
+    prefix = stored(prefixes(rows.where("id IS NOT NULL"), width, percent, counters).join(firsts, "id", "left_semi"), "prefixes")
     prefix = prefix.select("id", "n", F.posexplode("prefix").alias("r", "h"))
     shared = prefix.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("h")
     buckets = stored(prefix.join(shared, "h"), "buckets")
