@@ -62,14 +62,22 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path, schema = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", df.schema
+    release(spark)
     df.write.parquet(path)
-    schema = df.schema
     del df
     release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a stored table that no later plan reads."""
+    spark = table.sparkSession
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of finished phases, which it does when the driver's garbage is collected."""
     gc.collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = star(both, True)
         small = star(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), False)
-        edges = stored(small, "edges")
+        before, edges = edges, stored(small, "edges")
+        discard(before)
         # A round that changes no edge is the last; equal counts and sums of hashes tell.
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:

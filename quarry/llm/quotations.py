@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col_of, let, stored
+from .common import col_of, discard, let, stored
 
 #: A line's quote marks, and the line that mail programs put before a quotation.
 MARKS = r"^[ \t]*(?:>[ \t]?)+"
@@ -102,6 +102,7 @@ def threads(parents: DataFrame) -> DataFrame:
         moved = state.join(above, ["conv", "up"], "left")
         moved = stored(moved.select("conv", "turn", "parent", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
                                     F.col("next").isNotNull().alias("went")), "threads")
+        discard(state)
         state = moved.drop("went")
         if moved.where("went").isEmpty():
             return state.withColumnRenamed("up", "thread")

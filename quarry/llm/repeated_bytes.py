@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_rows import list_column
-from .common import col_of, stored
+from .common import col_of, discard, stored
 from .shingles import mixed, powers
 
 WIDTH = 50
@@ -346,6 +346,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     candidates = stored(grouped(_pointers(rows.where("id IS NOT NULL"), n), _in_two_documents(n)), "pointers")
     runs = stored(grouped(with_texts(candidates, _whole_runs(n), PACKED), _refined(n)), "runs")
+    discard(candidates)
 
     def rows_of(batches):
         for batch in batches:
