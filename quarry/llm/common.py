@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,7 +64,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
     path, schema = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", df.schema
-    release(spark)
     df.write.parquet(path)
     del df
     release(spark)
@@ -79,6 +79,11 @@ def discard(table: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of finished phases, which it does when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner delete the shuffle files of finished phases, which it does when the driver's garbage is collected.
+
+    Two rounds: the first frees the driver's handles, the second what they held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)

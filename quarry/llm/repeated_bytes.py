@@ -204,9 +204,34 @@ def _in_two_documents(n: int):
     return run
 
 
-def _texts_of(left: pa.Table):
+def _grouped_texts(rows: DataFrame, n: int) -> DataFrame:
+    """bucket, data: the rows of each bucket of documents as compressed Arrow streams, which move in half the bytes of single rows."""
+    def run(batches):
+        for batch in batches:
+            to = np.asarray(batch.column("id").fill_null(0)) % n
+            order = np.argsort(to, kind="stable")
+            cuts = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
+            sorted_rows, buckets, data = batch.take(pa.array(order)), [], []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(sorted_rows.slice(a, b - a))
+                buckets.append(int(to[order[a]]))
+                data.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
+
+    return rows.mapInArrow(run, "bucket int, data binary")
+
+
+def _rows_of(left: pa.Table) -> tuple[list, list]:
+    """Ids and texts of a group of documents."""
+    parts = [pa.ipc.open_stream(b).read_all() for b in left["data"].to_pylist()]
+    return [i for p in parts for i in p["id"].to_pylist()], [t for p in parts for t in p["text"].to_pylist()]
+
+
+def _texts_of(ids: list, texts: list):
     """(id, base offset, bytes) of a group of documents; different texts of one id follow each other in a fixed order."""
-    found = sorted({(i, t) for i, t in zip(left["id"].to_pylist(), left["text"].to_pylist()) if i is not None and t})
+    found = sorted({(i, t) for i, t in zip(ids, texts) if i is not None and t})
     base = 0
     for k, (i, t) in enumerate(found):
         base = base if k and found[k - 1][0] == i else 0
@@ -248,7 +273,7 @@ def _whole_runs(n: int):
         doc, h = unpack(right["data"].to_pylist(), 2)
         wanted = np.unique(mixed(h ^ mixed(doc)))
         found = [[np.zeros(0, t)] for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
-        for block, docs, offsets in _blocks(_texts_of(left)):
+        for block, docs, offsets in _blocks(_texts_of(*_rows_of(left))):
             lo, length, h = block.runs()
             piece = np.searchsorted(block.starts, lo, "right") - 1
             doc = docs[piece]
@@ -268,7 +293,7 @@ def _single_strings(n: int):
         order = np.lexsort((pos, doc))
         h, doc, pos, length = h[order].view(np.uint64), doc[order], pos[order], length[order]
         found = [[np.zeros(0, t)] for t in (np.uint64, np.uint64, np.int64, np.int64)]
-        for block, docs, offsets in _blocks(_texts_of(left)):
+        for block, docs, offsets in _blocks(_texts_of(*_rows_of(left))):
             # Pieces are in the order of documents and offsets, and so are runs.
             first = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
             ends = np.append(first[1:], len(docs))
@@ -296,9 +321,10 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
     doc, pos, length = (c.view(np.int64) for c in unpack(right["data"].to_pylist(), 3))
     order = np.argsort(doc, kind="stable")
     doc, pos, length = doc[order], pos[order], length[order]
-    base = {(i, t): b for i, b, t in _texts_of(left)}
-    ids, sizes, removed, kept, starts, ends = left["id"].to_pylist(), [], [], [], [], []
-    for i, t in zip(ids, left["text"].to_pylist()):
+    ids, texts = _rows_of(left)
+    base = {(i, t): b for i, b, t in _texts_of(ids, texts)}
+    sizes, removed, kept, starts, ends = [], [], [], [], []
+    for i, t in zip(ids, texts):
         t, edges = t or b"", np.zeros(0, np.int64)
         rest = t
         if (i, t) in base:
@@ -318,7 +344,7 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
         ends.append(edges[1::2])
     counts = np.array([len(s) for s in starts], dtype=np.int64)
     flat = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
-    return pa.table({"id": left["id"], "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
+    return pa.table({"id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
                      "n_spans": pa.array(counts), "starts": list_column(flat(starts), counts), "ends": list_column(flat(ends), counts),
                      "kept": pa.array(kept, pa.binary())})
 
@@ -336,7 +362,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(col_of(docs, id_col).cast("long").alias("id"), col_of(docs, text_col).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = prime_from(total // GROUP_BYTES + 1)
-    dealt = rows.select(F.pmod(F.coalesce("id", F.lit(0)), F.lit(n)).cast("int").alias("bucket"), "id", "text")
+    dealt = _grouped_texts(rows, n)
 
     def grouped(packed: DataFrame, step) -> DataFrame:
         return packed.groupBy("kind", "bucket").applyInArrow(step, PACKED)
@@ -355,7 +381,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     open_runs = runs.where(F.col("kind") == OPEN).mapInArrow(rows_of, "h long, key long, doc long, pos long, length long")
     several = open_runs.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("h")
-    open_runs = open_runs.join(several, "h").select(F.pmod("doc", F.lit(n)).cast("int").alias("bucket"), "h", "doc", "pos", "length")
+    open_runs = stored(open_runs.join(several, "h").select(F.pmod("doc", F.lit(n)).cast("int").alias("bucket"), "h", "doc", "pos", "length"), "open")
     strings = stored(grouped(with_texts(open_runs, _single_strings(n), PACKED), _refined(n)).where(F.col("kind") == DONE), "strings")
+    discard(open_runs)
     repeats = runs.where(F.col("kind") == DONE).unionByName(strings)
     return with_texts(repeats, _cut, "id long, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept binary")
