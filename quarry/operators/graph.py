@@ -38,12 +38,11 @@ class Graph:
 
 
 def _node_ids(m: W.MinedLog) -> DataFrame:
-    return (m.tables.where((F.col("table") != "") & (F.lower("table") != "subquery"))
-            .select(F.col("table").alias("id")).distinct())
+    return _query_nodes(m).select(F.col("table").alias("id")).distinct()
 
 
 def _query_nodes(m: W.MinedLog) -> DataFrame:
-    return (m.tables.where((F.col("table") != "") & (F.lower("table") != "subquery"))
+    return (W.query_tables(m).where((F.col("table") != "") & (F.lower("table") != "subquery"))
             .select("query_id", "table").distinct())
 
 
@@ -67,7 +66,7 @@ def operation_freq(m: W.MinedLog) -> DataFrame:
     ops = (W.operations(m).join(_query_nodes(m), ["query_id", "table"], "left_semi")
            .groupBy(F.col("table").alias("id"), F.col("op").alias("key"))
            .agg(F.sum("n").alias("freq")))
-    return _zero_filled(m.tokens.sparkSession, _node_ids(m), ops, W.OPERATIONS)
+    return _zero_filled(m.facts.sparkSession, _node_ids(m), ops, W.OPERATIONS)
 
 
 def aggregation_freq(m: W.MinedLog) -> DataFrame:
@@ -75,7 +74,7 @@ def aggregation_freq(m: W.MinedLog) -> DataFrame:
     aggs = (W.aggregations(m).join(_query_nodes(m), ["query_id", "table"], "left_semi")
             .groupBy(F.col("table").alias("id"), F.col("agg").alias("key"))
             .agg(F.sum("n").alias("freq")))
-    return _zero_filled(m.tokens.sparkSession, _node_ids(m), aggs, W.AGGREGATIONS)
+    return _zero_filled(m.facts.sparkSession, _node_ids(m), aggs, W.AGGREGATIONS)
 
 
 def predicate_freq(m: W.MinedLog, columns: DataFrame | None = None) -> DataFrame:

@@ -1,45 +1,52 @@
-"""Workload mining (W1-W14): SQL text in a query log -> long fact tables.
-
-The log is tokenised with one ``regexp_extract_all`` per statement and exploded
-to token rows.  Windows over ``query_id`` (ordered by token position) derive
-paren depth, subquery scope and clause; the facts are joins and aggregates over
-those rows.  The log is hash-partitioned by ``query_id`` once, before the
-explode, so every later window, join and per-query aggregate reuses that
-partitioning and no token row is shuffled.
-
-Supported subset: one SELECT with FROM / JOIN (optional AS), ON, WHERE,
-GROUP BY, HAVING, ORDER BY, LIMIT and one level of parenthesised subquery.
-Set operators and nested subqueries are rejected (``parsed = false``) and stay
-visible in ``rejects``.
+"""Workload mining (W1-W14): SQL text in a query log -> facts per statement.
+
+Each statement is read inside its row: one ``regexp_extract_all`` gives its
+tokens (comments, literals and quoted names are tokens, so text inside them is
+never taken for SQL), one pass over them keeps a stack of open parentheses and
+notes for each token its SELECT, its clause and the calls around it, and array
+functions turn that into the statement's facts.  No token leaves its row and
+nothing is shuffled; the facts of all statements are one table, written once, of
+which each fact query reads only the columns that it needs.
+
+Understood: WITH, set operators, subqueries of any depth, JOIN .. ON / USING,
+names of several parts, quoted names, implicit aliases, CAST, OVER, FILTER.
+Statements that are no queries, and those whose parentheses do not match, are
+rejected and stay visible in ``rejects``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
+from ..session import stored
+
 # --------------------------------------------------------------------------
 # Fixed values
 # --------------------------------------------------------------------------
-IDENT_RE = r"(?:`[^`]*`|[A-Za-z_][A-Za-z0-9_]*)"
-TOKEN_RE = (IDENT_RE + r"(?:\." + IDENT_RE + r"|\.\*)?"
-            + r"|''|[0-9]+(?:\.[0-9]+)?|<>|!=|<=|>=|[=<>(),*;+/-]")
-QUAL_RE = r"^(" + IDENT_RE + r")\.(" + IDENT_RE + r"|\*)$"
-LITERAL_RE = r"'[^']*'"
-LINE_COMMENT_RE = r"--[^\n]*"
-BLOCK_COMMENT_RE = r"(?s)/\*.*?\*/"
+COMMENT_RE = r"--[^\n]*|/\*(?s:.*?)\*/"
+LITERAL_RE = r"'[^']*(?:''[^']*)*'"
+NAME_RE = r"""(?:"[^"]*(?:""[^"]*)*"|`[^`]*`|[A-Za-z_][A-Za-z0-9_$]*)"""
+TOKEN_RE = (COMMENT_RE + "|" + LITERAL_RE + "|" + NAME_RE + r"(?:\s*\.\s*(?:" + NAME_RE + r"|\*))*"
+            + r"|[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|<>|!=|<=|>=|==|\|\||[=<>(),*;+/%-]")
 
 KEYWORDS = [
     "SELECT", "FROM", "WHERE", "JOIN", "INNER", "LEFT", "RIGHT", "FULL", "OUTER",
     "CROSS", "NATURAL", "ON", "USING", "GROUP", "BY", "ORDER", "HAVING", "LIMIT",
     "OFFSET", "UNION", "INTERSECT", "EXCEPT", "ALL", "AS", "AND", "OR", "NOT", "IN",
-    "IS", "NULL", "LIKE", "BETWEEN", "CASE", "WHEN", "THEN", "ELSE", "END",
-    "DISTINCT", "ASC", "DESC", "EXISTS", "TRUE", "FALSE", "CAST",
+    "IS", "NULL", "LIKE", "ILIKE", "RLIKE", "ESCAPE", "BETWEEN", "CASE", "WHEN", "THEN", "ELSE", "END",
+    "DISTINCT", "ASC", "DESC", "EXISTS", "TRUE", "FALSE", "WITH", "RECURSIVE", "OVER", "PARTITION",
+    "FILTER", "WITHIN", "INTERVAL", "LATERAL", "WINDOW", "FETCH", "COLLATE",
 ]
-CLAUSE_KEYWORDS = ["SELECT", "FROM", "JOIN", "ON", "WHERE", "GROUP", "HAVING", "ORDER", "LIMIT"]
+FRAME_WORDS = ["ROWS", "RANGE", "UNBOUNDED", "PRECEDING", "FOLLOWING", "CURRENT", "ROW"]
+JOIN_WORDS = ["JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "NATURAL"]
+PLAIN_CLAUSES = ["ON", "USING", "WHERE", "HAVING", "LIMIT", "WINDOW", "FETCH", "OFFSET"]
 SET_OPERATORS = ["UNION", "INTERSECT", "EXCEPT"]
+VALUE_WORDS = ["END", "NULL", "TRUE", "FALSE"]
+ARITHMETIC = ["+", "-", "*", "/", "%", "||"]
 TRACKED_AGGREGATES = ["COUNT", "MAX", "MIN", "AVG"]
 OPERATIONS = ["WHERE", "GROUP BY", "ORDER BY", "LIMIT"]
 AGGREGATIONS = ["COUNT", "DISTINCT", "MAX", "MIN", "AVG"]
@@ -50,322 +57,299 @@ LINT_UNION_ALL = r"(?i)\bunion\s+all\b"
 LINT_BETWEEN = r"(?i)\bbetween\b"
 LINT_DATA_CHANGING = r"(?i)^\s*(insert|update|delete|drop|alter|create|merge|truncate)\b"
 
-
-def _strip_ticks(c: Column) -> Column:
-    return F.regexp_replace(c, "`", "")
+FRAME = "struct<kind:string,scope:int,level:int,clause:string,seg:int,calls:array<int>,dists:array<int>>"
+PLACE = "struct<kind:string,scope:int,level:int,clause:string,seg:int,calls:array<int>,dists:array<int>,closed:string>"
 
 
 def clean_sql(sql: Column) -> Column:
-    """Blank string literals, drop comments (literal text can never look like SQL)."""
-    s = F.regexp_replace(sql, LITERAL_RE, "''")
-    s = F.regexp_replace(s, LINE_COMMENT_RE, " ")
-    return F.regexp_replace(s, BLOCK_COMMENT_RE, " ")
+    """Literals blanked and comments dropped: whichever begins first, so a quote inside a comment opens nothing."""
+    return F.regexp_replace(F.regexp_replace(sql, "(" + LITERAL_RE + ")|(?:" + COMMENT_RE + ")", "$1 "), LITERAL_RE, "''")
 
 
 @dataclass
 class MinedLog:
-    """Intermediate frames of one mining run (all keyed by query_id)."""
-
-    tokens: DataFrame      # one row per token with scope / clause / flags
-    status: DataFrame      # query_id, parsed, reason
-    tables: DataFrame      # query_id, pos, table, alias
-    aliases: DataFrame     # query_id, alias, table
-    columns: DataFrame     # query_id, pos, scope, clause, seg, agg_pos, qualified, qual, column, table
-
-
-def tokenize(log: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """Token rows with depth, scope and clause.  ``log`` needs query_id, sql."""
-    base = log.select("query_id", clean_sql(F.col("sql")).alias("clean"))
-    # Hash-partition by query_id once.  The statements explode ~20x into tokens after
-    # this shuffle, so its size says little about the work: use the cluster's cores.
-    n = num_partitions or 2 * log.sparkSession.sparkContext.defaultParallelism
-    base = base.repartition(n, "query_id")
-    t = base.select("query_id", F.posexplode(
-        F.regexp_extract_all("clean", F.lit(TOKEN_RE), F.lit(0))).alias("pos", "tok"))
-
-    # Phase 1, in statement order: paren depth and subquery scope.
-    w = Window.partitionBy("query_id").orderBy("pos")
-    u = F.upper("tok")
-    t = t.select(
-        "query_id", "pos", "tok", u.alias("u"),
-        F.sum(F.when(F.col("tok") == "(", 1).when(F.col("tok") == ")", -1).otherwise(0))
-        .over(w).alias("depth"),
-        ((F.col("tok") == "(") & (F.lead(u, 1).over(w) == "SELECT")).alias("sub_open"),
-    )
-    t = t.withColumns({
-        "open_pos": F.last(F.when(F.col("sub_open"), F.col("pos")), ignorenulls=True).over(w),
-        "open_depth": F.last(F.when(F.col("sub_open"), F.col("depth")), ignorenulls=True).over(w),
-    })
-    sub_close = (F.col("tok") == ")") & (F.col("depth") == F.col("open_depth") - 1)
-    t = t.withColumns({
-        "sub_close": F.coalesce(sub_close, F.lit(False)),
-        "close_pos": F.last(F.when(sub_close, F.col("pos")), ignorenulls=True).over(w),
-    })
-    in_sub = F.col("open_pos").isNotNull() & (
-        F.col("close_pos").isNull() | (F.col("close_pos") < F.col("open_pos")))
-    t = t.withColumns({
-        "in_sub": in_sub,
-        "scope": F.when(in_sub, F.col("open_pos")).otherwise(F.lit(-1)),
-    })
-    t = t.withColumn("nested", F.col("sub_open") & F.coalesce(F.lag("in_sub", 1).over(w), F.lit(False)))
-
-    # Phase 2, in scope order (one more sort): neighbours, clause, names.
-    ws = Window.partitionBy("query_id", "scope").orderBy("pos")
-    is_clause = F.col("u").isin(CLAUSE_KEYWORDS)
-    t = t.withColumns({
-        "prev1": F.lag("u", 1).over(ws),
-        "next1": F.lead("u", 1).over(ws),
-        "after_close1": F.coalesce(F.lag("sub_close", 1).over(ws), F.lit(False)),
-        "after_close2": F.coalesce(F.lag("sub_close", 2).over(ws), F.lit(False)),
-        "clause": F.last(F.when(is_clause, F.col("u")), ignorenulls=True).over(ws),
-        "seg": F.last(F.when(is_clause, F.col("pos")), ignorenulls=True).over(ws),
-    })
-
-    is_kw = F.col("u").isin(KEYWORDS)
-    is_ident = F.col("tok").rlike(r"^(`|[A-Za-z_])") & ~is_kw
-    qual = F.regexp_extract("tok", QUAL_RE, 1)
-    name = F.regexp_extract("tok", QUAL_RE, 2)
-    qualified = qual != ""
-    is_func = is_ident & (F.col("next1") == "(")
-    is_table = (is_ident & ~is_func & ~qualified
-                & (F.col("prev1").isin("FROM", "JOIN")
-                   | ((F.col("prev1") == ",") & (F.col("clause") == "FROM"))))
-    t = t.withColumns({
-        "is_ident": is_ident,
-        "is_func": is_func,
-        "qualified": qualified,
-        "qual": F.when(qualified, _strip_ticks(qual)),
-        "name": _strip_ticks(F.when(qualified, name).otherwise(F.col("tok"))),
-        "is_table": is_table,
-    })
-    t = t.withColumns({
-        "is_alias": F.col("is_ident") & ~F.col("qualified") & (
-            F.coalesce(F.lag("is_table", 1).over(ws), F.lit(False))
-            | ((F.col("prev1") == "AS") & F.coalesce(F.lag("is_table", 2).over(ws), F.lit(False)))),
-        "is_sub_alias": F.col("is_ident") & ~F.col("qualified") & (F.col("clause") == "FROM") & (
-            F.col("after_close1") | ((F.col("prev1") == "AS") & F.col("after_close2"))),
-        "is_sel_alias": F.col("is_ident") & (F.col("prev1") == "AS") & (F.col("clause") == "SELECT"),
-    })
-    # Aggregate call membership (COUNT/MAX/MIN/AVG), per scope.
-    agg_open = F.col("is_func") & F.col("u").isin(TRACKED_AGGREGATES)
-    t = t.withColumns({
-        "agg_pos": F.last(F.when(agg_open, F.col("pos")), ignorenulls=True).over(ws),
-        "agg_fn": F.last(F.when(agg_open, F.col("u")), ignorenulls=True).over(ws),
-        "agg_depth": F.last(F.when(agg_open, F.col("depth") + 1), ignorenulls=True).over(ws),
-    })
-    agg_close = (F.col("tok") == ")") & (F.col("depth") == F.col("agg_depth") - 1)
-    t = t.withColumn("agg_close_pos",
-                     F.last(F.when(agg_close, F.col("pos")), ignorenulls=True).over(ws))
-    in_agg = F.col("agg_pos").isNotNull() & (
-        F.col("agg_close_pos").isNull() | (F.col("agg_close_pos") < F.col("agg_pos")))
-    t = t.withColumns({
-        "in_agg": in_agg,
-        "agg_distinct": in_agg & (F.col("u") == "DISTINCT") & (F.col("prev1") == "(")
-        & (F.col("pos") == F.col("agg_pos") + 2),
-    })
-    return t.select(*TOKEN_COLUMNS)
-
-
-TOKEN_COLUMNS = ["query_id", "pos", "tok", "u", "prev1", "scope", "clause", "seg", "nested",
-                 "is_ident", "is_func", "qualified", "qual", "name", "is_table", "is_alias",
-                 "is_sub_alias", "is_sel_alias", "in_agg", "agg_pos", "agg_distinct"]
-
-
-def _status(tokens: DataFrame, log: DataFrame) -> DataFrame:
-    per_q = tokens.groupBy("query_id").agg(
-        F.max(F.col("u").isin(SET_OPERATORS).cast("int")).alias("has_setop"),
-        F.max(F.col("nested").cast("int")).alias("has_nested"),
-        F.max(F.when(F.col("pos") == 0, F.col("u"))).alias("first_tok"),
-        F.max(F.col("is_table").cast("int")).alias("has_table"),
-    )
-    reason = (F.when(F.col("first_tok").isNull(), F.lit("empty"))
-              .when(F.col("first_tok") != "SELECT", F.lit("not a select"))
-              .when(F.col("has_setop") == 1, F.lit("set operator"))
-              .when(F.col("has_nested") == 1, F.lit("nested subquery"))
-              .when(F.col("has_table") == 0, F.lit("no table")))
-    return (log.select("query_id").join(per_q, "query_id", "left")
-            .select("query_id", reason.isNull().alias("parsed"), reason.alias("reason")))
-
-
-def mine(log: DataFrame, num_partitions: int | None = None,
-         checkpoint: bool = True) -> MinedLog:
-    """Tokenise ``log`` (query_id, sql) and derive the per-query base frames.
-
-    The token table feeds every fact, so it is checkpointed once (reliable
-    checkpoint in ``spark.checkpoint.dir``; it keeps its ``query_id``
-    partitioning) instead of re-running the windows in every branch.
+    """The facts of a log: one row per statement with arrays of structs."""
+
+    facts: DataFrame      # query_id, reason, tables, columns, join_edges, implicit_edges, predicates, operations, aggregations
+
+
+def _ints(*values: Column) -> Column:
+    return F.array(*values).cast("array<int>")
+
+
+def _placed(tk: Column) -> Column:
+    """For every token where it stands: SELECT (scope) and its nesting, clause and the clause's first token, calls and
+    DISTINCTs around it, and for a closing parenthesis what it closes."""
+    def step(state: Column, i: Column) -> Column:
+        def frame(top: Column, **changed: Column) -> Column:
+            names = ["kind", "scope", "level", "clause", "seg", "calls", "dists"]
+            return F.struct(*[changed.get(n, top[n]).alias(n) for n in names])
+
+        def moved(u: Column, before: Column, after: Column, top: Column) -> Column:
+            stack = state["stack"]
+            under = F.slice(stack, 1, F.size(stack) - 1)
+            named = F.get(tk, i - 1).rlike(r'^["`A-Za-z_]') & ~F.coalesce(before, F.lit("")).isin(KEYWORDS)
+            opened = F.when(after.isin("SELECT", "WITH"), F.struct(
+                F.lit("sub").alias("kind"), i.alias("scope"), (top["level"] + 1).alias("level"), F.lit(None).cast("string").alias("clause"),
+                i.alias("seg"), _ints().alias("calls"), _ints().alias("dists"))
+            ).when(before == "OVER", frame(top, kind=F.lit("over"), clause=F.lit("OVER"), seg=i)
+                   ).otherwise(frame(top, kind=F.lit("plain"), calls=F.when(named, F.array_append(top["calls"], i - 1)).otherwise(top["calls"])))
+            plain = top["kind"] == "plain"
+            joining = top["clause"].isin("FROM", "JOIN", "ON", "USING")
+            clause = (
+                F.when((u == "SELECT") & ~plain, F.lit("SELECT"))
+                .when((u == "WITH") & top["clause"].isNull(), F.lit("WITH"))
+                .when((u == "FROM") & ~plain, F.lit("FROM"))
+                .when(u.isin(JOIN_WORDS) & joining & (F.coalesce(after, F.lit("")) != "("), F.lit("JOIN"))
+                .when((u == "ON") & joining, F.lit("ON")).when((u == "USING") & joining, F.lit("USING"))
+                .when(u.isin(PLAIN_CLAUSES) & ~u.isin("ON", "USING"), u)
+                .when(u.isin("GROUP", "ORDER") & (after == "BY"), u)
+                .when(u.isin(SET_OPERATORS), F.lit("SET"))
+                .when((u == ",") & top["clause"].isin("ON", "USING") & ~plain, F.lit("FROM")))
+            entered = frame(top, clause=clause, seg=i, scope=F.when(u == "SELECT", i).otherwise(top["scope"]))
+            distinct = frame(top, dists=F.array_append(top["dists"], i))
+            here = F.when((u == ")") & (F.size(stack) > 1), F.get(stack, F.size(stack) - 2)).when(clause.isNotNull(), entered).when((u == "DISTINCT") & (before == "(") & plain, distinct).otherwise(top)
+            placed = F.struct(*[here[n].alias(n) for n in ("kind", "scope", "level", "clause", "seg", "calls", "dists")],
+                              F.when(u == ")", top["kind"]).alias("closed")).cast(PLACE)
+            stacked = (F.when(u == "(", F.array_append(stack, opened.cast(FRAME)))
+                       .when(u == ")", F.when(F.size(stack) > 1, under).otherwise(stack))
+                       .otherwise(F.array_append(under, here.cast(FRAME))))
+            broken = state["broken"] | ((u == ")") & (F.size(stack) == 1))
+            return F.struct(stacked.alias("stack"), F.array_append(state["out"], placed).alias("out"), broken.alias("broken"))
+
+        up = lambda k: F.upper(F.get(tk, k))
+        return let(F.struct(up(i).alias("u"), up(i - 1).alias("b"), up(i + 1).alias("a"), F.element_at(state["stack"], -1).alias("top")),
+                   lambda s: moved(s["u"], s["b"], s["a"], s["top"]))
+
+    ground = F.struct(F.lit("sub").alias("kind"), F.lit(-1).alias("scope"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("clause"),
+                      F.lit(-1).alias("seg"), _ints().alias("calls"), _ints().alias("dists")).cast(FRAME)
+    start = F.struct(F.array(ground).alias("stack"), F.array().cast(f"array<{PLACE}>").alias("out"), F.lit(False).alias("broken"))
+    places = F.sequence(F.lit(0), F.size(tk) - 1)
+    return F.when(F.size(tk) > 0, F.aggregate(places, start, step, lambda s: F.struct(
+        s["out"].alias("out"), (s["broken"] | (F.size(s["stack"]) > 1)).alias("broken"))))
+
+
+def _bare(name: Column) -> Column:
+    """A name without its quotes."""
+    return F.when(name.startswith('"'), F.replace(F.substring(name, F.lit(2), F.length(name) - 2), F.lit('""'), F.lit('"'))
+                  ).when(name.startswith("`"), F.substring(name, F.lit(2), F.length(name) - 2)).otherwise(name)
+
+
+def _names(tk: str, at: str) -> Column:
+    """Tokens with their place and their kind as a name: is_name, is_func, is_table, name and qualifier."""
+    t, p = F.col(tk), F.col(at)
+
+    def one(i: Column) -> Column:
+        def body(s: Column) -> Column:
+            u, before, after, place = s["u"], F.coalesce(s["b"], F.lit("")), F.coalesce(s["a"], F.lit("")), s["p"]
+            order_word = (u.isin("FIRST", "LAST") & (before == "NULLS")) | ((u == "NULLS") & after.isin("FIRST", "LAST"))
+            frame_word = u.isin(FRAME_WORDS) & (place["kind"] == "over")
+            is_name = s["t"].rlike(r'^["`A-Za-z_]') & ~u.isin(KEYWORDS) & ~order_word & ~frame_word
+            is_func = is_name & (after == "(")
+            lone = place["kind"] != "plain"
+            comma = (before == ",") & place["clause"].isin("FROM", "JOIN")
+            wrapped = (before == "(") & F.coalesce(F.upper(F.get(t, i - 2)).isin("FROM", "JOIN", ","), F.lit(False))
+            is_table = is_name & ~is_func & place["clause"].isin("FROM", "JOIN") & (
+                before.isin("FROM", "JOIN", "LATERAL") | (comma & lone) | wrapped)
+            parts = F.regexp_extract_all(s["t"], F.lit(NAME_RE + r"|\*"), F.lit(0))
+            n = F.size(parts)
+            return F.struct(i.alias("pos"), s["t"].alias("tok"), u.alias("u"), before.alias("before"), after.alias("after"), place.alias("p"),
+                            F.coalesce(is_name, F.lit(False)).alias("is_name"), F.coalesce(is_func, F.lit(False)).alias("is_func"),
+                            F.coalesce(is_table, F.lit(False)).alias("is_table"),
+                            F.when(is_name, _bare(F.get(parts, n - 1))).alias("name"), F.when(is_name & (n > 1), _bare(F.get(parts, n - 2))).alias("qual"))
+
+        return let(F.struct(F.get(t, i).alias("t"), F.upper(F.get(t, i)).alias("u"), F.upper(F.get(t, i - 1)).alias("b"),
+                            F.upper(F.get(t, i + 1)).alias("a"), F.get(p, i).alias("p")), body)
+
+    return F.transform(F.sequence(F.lit(0), F.size(t) - 1), one)
+
+
+def _roles(names: str) -> Column:
+    """Names with their role: alias of a table, alias of a subquery, or column."""
+    a = F.col(names)
+
+    def one(x: Column, i: Column) -> Column:
+        prev = lambda k: F.get(a, i - k)
+        after_as = x["before"] == "AS"
+        of_table = F.when(after_as, prev(2)["is_table"]).otherwise(prev(1)["is_table"])
+        of_sub = F.when(after_as, prev(2)["p"]["closed"]).otherwise(prev(1)["p"]["closed"]) == "sub"
+        single = x["is_name"] & x["qual"].isNull() & ~x["is_func"] & ~x["is_table"]
+        is_alias = single & F.coalesce(of_table, F.lit(False))
+        is_sub_alias = single & F.coalesce(of_sub, F.lit(False)) & F.coalesce(x["p"]["clause"].isin("FROM", "JOIN"), F.lit(False))
+        follows_value = F.coalesce(prev(1)["is_name"] | prev(1)["tok"].rlike(r"^['0-9]") | x["before"].isin(")", *VALUE_WORDS), F.lit(False))
+        typed = x["qual"].isNull() & F.coalesce(F.get(a, i + 1)["tok"].startswith("'"), F.lit(False))
+        unit = (x["after"] == "FROM") & (x["p"]["kind"] == "plain")
+        is_col = (x["is_name"] & ~x["is_func"] & ~x["is_table"] & ~is_alias & ~is_sub_alias & ~after_as & ~follows_value & ~typed & ~unit
+                  & (x["name"] != "*") & ~F.coalesce(x["p"]["clause"], F.lit("WITH")).isin("WITH", "USING", "SET"))
+        return F.struct(*[x[n].alias(n) for n in ("pos", "tok", "u", "before", "after", "p", "is_name", "is_func", "is_table", "name", "qual")],
+                        is_alias.alias("is_alias"), is_sub_alias.alias("is_sub_alias"), is_col.alias("is_col"))
+
+    return F.transform(a, one)
+
+
+def _counted(pairs: Column, names: tuple[str, str]) -> Column:
+    """(table, key, n) of an array of pairs."""
+    a, b = names
+    return let(pairs, lambda all_: F.transform(F.array_distinct(all_), lambda d: F.struct(
+        d[a].alias(a), d[b].alias(b), F.size(F.filter(all_, lambda x: (x[a] == d[a]) & (x[b] == d[b]))).cast("long").alias("n"))))
+
+
+def _text(tokens: Column) -> Column:
+    """Tokens of a condition as text: one blank between them, none inside parentheses, before commas and after function names."""
+    def spaced(x: Column, i: Column) -> Column:
+        prev = F.get(tokens, i - 1)
+        tight = (i == 0) | x["tok"].isin(")", ",") | (prev["tok"] == "(") | ((x["tok"] == "(") & prev["is_func"])
+        word = F.when(x["is_col"] & x["table"].isNotNull() & x["qual"].isNotNull(), F.concat_ws(".", x["table"], x["name"])
+                      ).when(x["is_name"], x["tok"]).when(x["u"].isin(KEYWORDS), x["u"]).otherwise(x["tok"])
+        return F.concat(F.when(tight, F.lit("")).otherwise(F.lit(" ")), word)
+
+    return F.array_join(F.transform(tokens, spaced), "")
+
+
+def statement_facts(log: DataFrame) -> DataFrame:
+    """The facts of every statement of ``log`` (query_id, sql), row by row.
+
+    Null or empty text is rejected as empty.  query_id is carried as it is; repeated rows are repeated statements.
     """
-    tokens = tokenize(log, num_partitions)
-    if checkpoint:
-        tokens = tokens.checkpoint(eager=True)
-    status = _status(tokens, log)
-    if checkpoint:
-        status = status.checkpoint(eager=True)
-    ok = status.where("parsed").select("query_id")
-    tok_ok = tokens.join(ok, "query_id", "left_semi")
-
-    sub_aliases = (tok_ok.where("is_sub_alias")
-                   .select(F.col("query_id").alias("sa_qid"), F.col("name").alias("sub_alias"))
-                   .distinct())
-    tabs = tok_ok.where("is_table").select("query_id", "pos", F.col("name").alias("table"))
-    alias_rows = (tok_ok.where("is_alias")
-                  .select("query_id", F.col("name").alias("alias"),
-                          F.when(F.col("prev1") == "AS", F.col("pos") - 2)
-                          .otherwise(F.col("pos") - 1).alias("pos")))
-    tables = (tabs.join(sub_aliases, (F.col("query_id") == F.col("sa_qid"))
-                        & (F.col("table") == F.col("sub_alias")), "left_anti")
-              .join(alias_rows, ["query_id", "pos"], "left")
-              .select("query_id", "pos", "table", "alias"))
-    if checkpoint:
-        tables = tables.checkpoint(eager=True)
-    aliases = (tables.where(F.col("alias").isNotNull())
-               .join(sub_aliases, (F.col("query_id") == F.col("sa_qid"))
-                     & (F.col("alias") == F.col("sub_alias")), "left_anti")
-               .groupBy("query_id", "alias").agg(F.min("table").alias("table")))
-    node_count = tables.groupBy("query_id").agg(
-        F.count_distinct("table").alias("n_tables"), F.min("table").alias("only_table"))
-
-    col_tok = tok_ok.where(
-        F.col("is_ident") & ~F.col("is_func") & ~F.col("is_table") & ~F.col("is_alias")
-        & ~F.col("is_sub_alias") & ~F.col("is_sel_alias") & (F.col("name") != "*"))
-    col_tok = col_tok.join(
-        sub_aliases, (F.col("query_id") == F.col("sa_qid"))
-        & (F.col("qual") == F.col("sub_alias")), "left_anti")
-    a = aliases.select(F.col("query_id").alias("a_qid"), F.col("alias").alias("a_alias"),
-                       F.col("table").alias("alias_table"))
-    columns = (
-        col_tok.join(a, (F.col("query_id") == F.col("a_qid")) & (F.col("qual") == F.col("a_alias")),
-                     "left")
-        .join(node_count, "query_id", "left")
-        .select(
-            "query_id", "pos", "scope", "clause", "seg",
-            F.when(F.col("in_agg"), F.col("agg_pos")).alias("agg_pos"),
-            "qualified", "qual", F.col("name").alias("column"),
-            F.when(F.col("qualified"), F.coalesce("alias_table", "qual"))
-            .when(F.col("n_tables") == 1, F.col("only_table")).alias("table"),
-        )
-    )
-    if checkpoint:
-        columns = columns.checkpoint(eager=True)
-    return MinedLog(tokens=tokens, status=status, tables=tables, aliases=aliases, columns=columns)
+    sql = F.coalesce(F.col("sql"), F.lit(""))
+    tk = F.filter(F.regexp_extract_all(sql, F.lit(TOKEN_RE), F.lit(0)), lambda t: ~t.rlike(r"^(--|/\*)"))
+    t = log.select("query_id", tk.alias("tk"))
+    t = t.select("query_id", "tk", let(F.col("tk"), _placed).alias("st"))
+    t = t.select("query_id", "tk", F.col("st.out").alias("at"), F.coalesce("st.broken", F.lit(False)).alias("broken"))
+    first = F.upper(F.get("tk", F.lit(0)))
+    opener = F.upper(F.get(F.filter("tk", lambda x: x != "("), F.lit(0)))
+    reason = (F.when(first.isNull(), F.lit("empty")).when(F.coalesce(~opener.isin("SELECT", "WITH"), F.lit(True)), F.lit("not a query"))
+              .when(F.col("broken"), F.lit("unmatched parentheses")))
+    t = t.select("query_id", reason.alias("reason"), F.when(reason.isNull(), F.col("tk")).alias("tk"), "at")
+    t = t.select("query_id", "reason", F.when(F.size("tk") > 0, _names("tk", "at")).alias("names"))
+    t = t.select("query_id", "reason", F.when(F.size("names") > 0, _roles("names")).alias("x"))
+    x = F.col("x")
+
+    # Tables in the order of nesting and place; aliases of subqueries are none, and no alias either.
+    subs = F.transform(F.filter(x, lambda n: n["is_sub_alias"]), lambda n: n["name"])
+    alias_of = lambda i: F.when(F.get(x, i + 1)["is_alias"], F.get(x, i + 1)["name"]).when(
+        (F.get(x, i + 1)["u"] == "AS") & F.get(x, i + 2)["is_alias"], F.get(x, i + 2)["name"])
+    tabs = F.array_sort(F.transform(F.filter(x, lambda n: n["is_table"]), lambda n: F.struct(
+        n["p"]["level"].alias("level"), n["pos"].alias("pos"), n["name"].alias("table"), alias_of(n["pos"]).alias("alias"))))
+    t = t.select("query_id", "reason", "x", subs.alias("subs"), tabs.alias("tabs"))
+    t = t.select("query_id", "reason", "x", "subs", F.filter("tabs", lambda n: ~F.array_contains("subs", n["table"])).alias("tabs"),
+                 F.filter("tabs", lambda n: n["alias"].isNotNull() & ~F.array_contains("subs", n["alias"])).alias("named"))
+    distinct_tables = F.array_distinct(F.transform("tabs", lambda n: n["table"]))
+    t = t.select("*", distinct_tables.alias("dt"))
+
+    def owned(n: Column) -> Column:
+        by_alias = F.get(F.reverse(F.filter("named", lambda a: a["alias"] == n["qual"])), F.lit(0))["table"]
+        table = F.when(n["qual"].isNotNull(), F.coalesce(by_alias, n["qual"])).when(F.size("dt") == 1, F.get("dt", F.lit(0)))
+        of_sub = n["qual"].isNotNull() & F.coalesce(F.array_contains("subs", n["qual"]), F.lit(False))
+        return F.struct(*[n[c].alias(c) for c in ("pos", "tok", "u", "before", "after", "p", "is_name", "is_func", "is_col", "name", "qual")],
+                        F.when(n["is_col"], table).alias("table"), (n["is_col"] & of_sub).alias("of_sub"))
+
+    t = t.select("query_id", "reason", "tabs", "dt", F.transform("x", owned).alias("x"))
+    equal = F.filter("x", lambda e: e["tok"].isin("=", "=="))
+    equal = F.transform(equal, lambda e: F.struct(e.alias("e"), F.get("x", e["pos"] - 1).alias("l"), F.get("x", e["pos"] + 1).alias("r")))
+    # Both sides are columns as they stand, not parts of an expression.
+    equal = F.filter(equal, lambda q: q["l"]["is_col"] & q["r"]["is_col"] & ~q["l"]["before"].isin(ARITHMETIC) & ~q["r"]["after"].isin(*ARITHMETIC, "(")
+                     & q["l"]["qual"].isNotNull() & q["r"]["qual"].isNotNull() & (q["e"]["p"]["clause"] == "WHERE") & (q["l"]["table"] != q["r"]["table"]))
+    cols = F.filter("x", lambda n: n["is_col"] & ~n["of_sub"])
+    t = t.select("query_id", "reason", "tabs", "dt", "x", equal.alias("joins"), cols.alias("cols"))
+
+    col = F.col
+    tables = F.transform("dt", lambda d, k: F.struct((k + 1).alias("table_pos"), d.alias("table"),
+                                                     F.get(F.filter("tabs", lambda n: n["table"] == d), F.lit(0))["alias"].alias("alias")))
+    full = lambda n: F.when(n["qual"].isNotNull(), F.concat_ws(".", n["table"], n["name"])).otherwise(n["name"])
+    every = F.transform("cols", lambda n: F.struct(n["pos"].alias("pos"), full(n).alias("full_col"), n["qual"].isNotNull().alias("qualified"),
+                                                   n["table"].alias("table"), n["name"].alias("column")))
+    columns = let(every, lambda c: F.filter(c, lambda n, k: F.array_position(F.transform(c, lambda m: m["full_col"]), n["full_col"]) == k + 1))
+    segs = F.array_distinct(F.transform(F.filter("cols", lambda n: (n["p"]["clause"] == "ON") & n["qual"].isNotNull()), lambda n: n["p"]["seg"]))
+
+    def edge(s: Column) -> Column:
+        inside = F.filter("x", lambda n: (n["p"]["clause"] == "ON") & (n["p"]["seg"] == s) & (n["pos"] > s))
+        both = F.array_sort(F.array_distinct(F.transform(F.filter("cols", lambda n: (n["p"]["seg"] == s) & n["qual"].isNotNull()), lambda n: n["table"])))
+        last = F.array_max(F.transform(inside, lambda n: n["pos"]))
+        return F.struct(s.alias("seg"), both.alias("both"), let(F.filter("x", lambda n: (n["pos"] > s) & (n["pos"] <= last)), _text).alias("condition"))
+
+    join_edges = F.transform(F.filter(F.transform(segs, edge), lambda e: F.size(e["both"]) == 2), lambda e: F.struct(
+        e["seg"].alias("seg"), F.get(e["both"], F.lit(0)).alias("source"), F.get(e["both"], F.lit(1)).alias("target"), e["condition"].alias("condition")))
+    side = lambda n: F.concat_ws(".", n["table"], n["name"])
+    implicit = F.transform(F.filter("joins", lambda q: ~q["l"]["of_sub"] & ~q["r"]["of_sub"]), lambda q: F.struct(
+        q["e"]["pos"].alias("seg"), q["l"]["table"].alias("source"), q["r"]["table"].alias("target"), F.concat(side(q["l"]), F.lit(" = "), side(q["r"])).alias("condition")))
+    resolved = F.filter("cols", lambda n: n["table"].isNotNull())
+    t = t.select("query_id", "reason", "x", "joins", tables.alias("tables"), columns.alias("columns"), join_edges.alias("join_edges"),
+                 implicit.alias("implicit_edges"), resolved.alias("cols"))
+
+    joined = F.flatten(F.transform("joins", lambda q: F.array(q["l"]["pos"], q["r"]["pos"])))
+    filtered = F.filter("cols", lambda n: (n["p"]["clause"] == "WHERE") & ~F.array_contains(joined, n["pos"]))
+    t = t.select("*", filtered.alias("filtered"))
+    predicates = _counted(F.transform("filtered", lambda n: F.struct(n["table"].alias("table"), F.lower(n["name"]).alias("column"))), ("table", "column"))
+    touch = lambda cs, op: F.array_distinct(F.transform(cs, lambda n: F.struct(n["table"].alias("table"), F.lit(op).alias("op"), n["p"]["seg"].alias("seg"))))
+    limited = F.exists("x", lambda n: (n["u"] == "LIMIT") & (n["p"]["clause"] == "LIMIT"))
+    touched = F.concat(touch(col("filtered"), "WHERE"), touch(F.filter("cols", lambda n: n["p"]["clause"] == "GROUP"), "GROUP BY"),
+                       touch(F.filter("cols", lambda n: n["p"]["clause"] == "ORDER"), "ORDER BY"),
+                       F.when(limited, F.array_distinct(F.transform("cols", lambda n: F.struct(n["table"].alias("table"), F.lit("LIMIT").alias("op"), F.lit(-1).alias("seg")))))
+                       .otherwise(F.array().cast("array<struct<table:string,op:string,seg:int>>")))
+    called = F.flatten(F.transform("cols", lambda n: F.transform(n["p"]["calls"], lambda c: F.struct(
+        n["table"].alias("table"), F.get("x", c)["u"].alias("agg"), c.alias("call")))))
+    called = F.filter(called, lambda c: c["agg"].isin(TRACKED_AGGREGATES))
+    distinct = F.flatten(F.transform("cols", lambda n: F.transform(n["p"]["dists"], lambda c: F.struct(
+        n["table"].alias("table"), F.lit("DISTINCT").alias("agg"), c.alias("call")))))
+    aggregations = _counted(F.array_distinct(F.concat(called, distinct)), ("table", "agg"))
+    return t.select("query_id", "reason", "tables", "columns", "join_edges", "implicit_edges", predicates.alias("predicates"),
+                    _counted(touched, ("table", "op")).alias("operations"), aggregations.alias("aggregations"))
+
+
+def mine(log: DataFrame, checkpoint: bool = True) -> MinedLog:
+    """Facts of ``log`` (query_id, sql); written to the shared folder once, unless told otherwise."""
+    facts = statement_facts(log)
+    return MinedLog(stored(facts, "mined") if checkpoint else facts)
 
 
 # --------------------------------------------------------------------------
 # Fact tables
 # --------------------------------------------------------------------------
 
+def _rows(m: MinedLog, name: str) -> DataFrame:
+    return m.facts.select("query_id", F.inline(name))
+
+
 def query_tables(m: MinedLog) -> DataFrame:
     """Distinct tables per query in first-seen order, with alias."""
-    w = Window.partitionBy("query_id", "table").orderBy("pos")
-    first = m.tables.withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    wo = Window.partitionBy("query_id").orderBy("pos")
-    return first.select("query_id", F.row_number().over(wo).alias("table_pos"), "table", "alias")
+    return _rows(m, "tables")
 
 
 def query_columns(m: MinedLog) -> DataFrame:
     """Distinct column references per query; ``full_col`` is table.col when qualified."""
-    full = F.when(F.col("qualified"), F.concat_ws(".", "table", "column")).otherwise(F.col("column"))
-    c = m.columns.withColumn("full_col", full)
-    w = Window.partitionBy("query_id", "full_col").orderBy("pos")
-    return (c.withColumn("rn", F.row_number().over(w)).where("rn = 1")
-            .select("query_id", "pos", "full_col", "qualified",
-                    F.col("table"), "column"))
-
-
-def _equalities(m: MinedLog) -> DataFrame:
-    """'=' between two qualified column tokens: query_id, pos, clause, seg, l*, r*."""
-    eq = m.tokens.where(F.col("tok") == "=").select("query_id", "pos", "clause", "seg")
-    cq = m.columns.where("qualified").select("query_id", "pos", "table", "column")
-    left = cq.select("query_id", (F.col("pos") + 1).alias("pos"),
-                     F.col("table").alias("lt"), F.col("column").alias("lc"))
-    right = cq.select("query_id", (F.col("pos") - 1).alias("pos"),
-                      F.col("table").alias("rt"), F.col("column").alias("rc"))
-    return eq.join(left, ["query_id", "pos"]).join(right, ["query_id", "pos"])
+    return _rows(m, "columns")
 
 
 def join_edges(m: MinedLog) -> DataFrame:
-    """ON clauses whose qualified columns touch exactly two tables."""
-    on_cols = m.columns.where((F.col("clause") == "ON") & F.col("qualified"))
-    seg_tables = on_cols.groupBy("query_id", "seg").agg(
-        F.count_distinct("table").alias("n"), F.min("table").alias("source"),
-        F.max("table").alias("target"))
-    eqs = _equalities(m).where(F.col("clause") == "ON")
-    conds = eqs.groupBy("query_id", "seg").agg(
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "lt", "lc", "rt", "rc"))),
-            lambda e: F.concat(e["lt"], F.lit("."), e["lc"], F.lit(" = "),
-                               e["rt"], F.lit("."), e["rc"])), " AND ").alias("condition"))
-    return (seg_tables.where("n = 2").join(conds, ["query_id", "seg"], "left")
-            .select("query_id", "seg", "source", "target",
-                    F.coalesce("condition", F.lit("")).alias("condition")))
+    """ON clauses whose qualified columns touch exactly two tables, with the whole condition."""
+    return _rows(m, "join_edges")
 
 
 def implicit_edges(m: MinedLog) -> DataFrame:
     """``a.x = b.y`` in WHERE over two different tables."""
-    return (_equalities(m)
-            .where((F.col("clause") == "WHERE") & (F.col("lt") != F.col("rt")))
-            .select("query_id", F.col("pos").alias("seg"), F.col("lt").alias("source"),
-                    F.col("rt").alias("target"),
-                    F.concat_ws(" = ", F.concat_ws(".", "lt", "lc"),
-                                F.concat_ws(".", "rt", "rc")).alias("condition")))
-
-
-def _join_positions(m: MinedLog) -> DataFrame:
-    j = implicit_edges(m).select("query_id", "seg")
-    return (j.select("query_id", (F.col("seg") - 1).alias("pos"))
-            .unionByName(j.select("query_id", (F.col("seg") + 1).alias("pos"))))
-
-
-def _resolved(m: MinedLog) -> DataFrame:
-    return m.columns.where(F.col("table").isNotNull())
+    return _rows(m, "implicit_edges")
 
 
 def predicates(m: MinedLog) -> DataFrame:
     """Predicate column occurrences per (query, table, lower(column)); join columns excluded."""
-    where_cols = (_resolved(m).where(F.col("clause") == "WHERE")
-                  .join(_join_positions(m), ["query_id", "pos"], "left_anti"))
-    return (where_cols.groupBy("query_id", "table", F.lower("column").alias("column"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    return _rows(m, "predicates")
 
 
 def operations(m: MinedLog) -> DataFrame:
     """W7-W9 plus WHERE: operation counts per (query, table, op)."""
-    r = _resolved(m)
-    where_cols = (r.where(F.col("clause") == "WHERE")
-                  .join(_join_positions(m), ["query_id", "pos"], "left_anti"))
-    seg_ops = (
-        where_cols.select("query_id", "seg", "table", F.lit("WHERE").alias("op"))
-        .unionByName(r.where(F.col("clause") == "GROUP")
-                     .select("query_id", "seg", "table", F.lit("GROUP BY").alias("op")))
-        .unionByName(r.where(F.col("clause") == "ORDER")
-                     .select("query_id", "seg", "table", F.lit("ORDER BY").alias("op")))
-        .distinct()
-    )
-    has_limit = m.tokens.where(F.col("u") == "LIMIT").select("query_id").distinct()
-    limit_ops = (r.join(has_limit, "query_id", "left_semi")
-                 .select("query_id", F.lit(-1).cast("int").alias("seg"), "table",
-                         F.lit("LIMIT").alias("op")).distinct())
-    return (seg_ops.unionByName(limit_ops)
-            .groupBy("query_id", "table", "op").agg(F.count(F.lit(1)).alias("n")))
+    return _rows(m, "operations")
 
 
 def aggregations(m: MinedLog) -> DataFrame:
-    """COUNT/MAX/MIN/AVG (+DISTINCT inside a call) per (query, table, agg)."""
-    calls = m.tokens.where(F.col("is_func") & F.col("u").isin(TRACKED_AGGREGATES)).select(
-        "query_id", F.col("pos").alias("agg_pos"), F.col("u").alias("agg"))
-    distinct_calls = m.tokens.where("agg_distinct").select(
-        "query_id", "agg_pos", F.lit("DISTINCT").alias("agg"))
-    touched = _resolved(m).where(F.col("agg_pos").isNotNull()).select(
-        "query_id", "agg_pos", "table").distinct()
-    per_call = calls.unionByName(distinct_calls).join(touched, ["query_id", "agg_pos"])
-    return per_call.groupBy("query_id", "table", "agg").agg(F.count(F.lit(1)).alias("n"))
+    """COUNT/MAX/MIN/AVG (and DISTINCT inside any call) per (query, table, agg)."""
+    return _rows(m, "aggregations")
 
 
 def rejects(m: MinedLog, log: DataFrame) -> DataFrame:
-    """Statements outside the supported subset, with the reason."""
-    return (m.status.where(~F.col("parsed"))
-            .join(log.select("query_id", "sql"), "query_id")
-            .select("query_id", "reason", "sql"))
+    """Statements that are no queries, with the reason."""
+    return (m.facts.where(F.col("reason").isNotNull()).select("query_id", "reason")
+            .join(log.select("query_id", "sql"), "query_id").select("query_id", "reason", "sql"))
 
 
 def lint(log: DataFrame) -> DataFrame:
@@ -383,26 +367,13 @@ def lint(log: DataFrame) -> DataFrame:
 
 
 def pattern_records(m: MinedLog) -> DataFrame:
-    """One nested record per parsed query (nodes, edges, columns, patterns)."""
-    nodes = query_tables(m).groupBy("query_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("table_pos", "table"))),
-                    lambda x: x["table"]).alias("nodes"))
-    cols = query_columns(m).groupBy("query_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "full_col"))),
-                    lambda x: x["full_col"]).alias("columns"))
-    edges = (join_edges(m).unionByName(implicit_edges(m))
-             .groupBy("query_id").agg(F.transform(
-                 F.array_sort(F.collect_list(F.struct("seg", "source", "target", "condition"))),
-                 lambda e: F.struct(e["source"].alias("source"), e["target"].alias("target"),
-                                    e["condition"].alias("condition"))).alias("edges")))
-    ops = operations(m).groupBy("query_id", "table").agg(
-        F.map_from_entries(F.collect_list(F.struct("op", F.col("n").cast("int")))).alias("operations"))
-    aggs = aggregations(m).groupBy("query_id", "table").agg(
-        F.map_from_entries(F.collect_list(F.struct("agg", F.col("n").cast("int")))).alias("aggregations"))
-    preds = predicates(m).groupBy("query_id", "table").agg(
-        F.map_from_entries(F.collect_list(F.struct("column", F.col("n").cast("int")))).alias("predicates"))
-    pats = (ops.join(aggs, ["query_id", "table"], "full").join(preds, ["query_id", "table"], "full")
-            .groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(
-                "table", F.struct("operations", "aggregations", "predicates")))).alias("structural_patterns")))
-    return (nodes.join(cols, "query_id", "left").join(edges, "query_id", "left")
-            .join(pats, "query_id", "left"))
+    """One nested record per query (nodes, edges, columns, patterns per table), still row by row."""
+    entries = lambda name, key, t: F.map_from_entries(F.transform(F.filter(name, lambda o: o["table"] == t), lambda o: F.struct(o[key], o["n"].cast("int"))))
+    owners = F.array_sort(F.array_distinct(F.concat(*[F.transform(c, lambda o: o["table"]) for c in ("operations", "aggregations", "predicates")])))
+    edges = F.transform(F.concat("join_edges", "implicit_edges"), lambda e: F.struct(e["source"].alias("source"), e["target"].alias("target"), e["condition"].alias("condition")))
+    patterns = F.map_from_entries(F.transform(owners, lambda t: F.struct(t, F.struct(
+        entries("operations", "op", t).alias("operations"), entries("aggregations", "agg", t).alias("aggregations"),
+        entries("predicates", "column", t).alias("predicates")))))
+    return m.facts.where(F.col("reason").isNull()).select(
+        "query_id", F.transform("tables", lambda x: x["table"]).alias("nodes"), F.transform("columns", lambda x: x["full_col"]).alias("columns"),
+        edges.alias("edges"), patterns.alias("structural_patterns"))

@@ -6,7 +6,7 @@ from ..sources import adapters as A
 from ..sources.tables import ALL_TABLES, STAR_TABLES
 from .catalog_sql import GHOST_TABLE, IGNORED, SQL, SQL_ONE
 from .oracle_telemetry import runs_cte
-from .oracle_workload import FACTS_CTE, STAR_COLUMNS, _with, q, qlog_cte, tokens_cte
+from .oracle_workload import STAR_COLUMNS, _with, facts_cte, q, qlog_cte
 from .oracle_vectors import _norm_sql, hash_embed_sql
 
 NL = q(chr(10))
@@ -56,7 +56,7 @@ spec AS (SELECT query_id AS question_id, db_id, question, CAST(NULL AS VARCHAR)
         "schema_ddl": "WITH " + _ddl_cte().strip("\n") + "\nSELECT table_name, ddl FROM ddl",
         "sample_rows": _with(_ddl_cte(), _samples_cte()) + "\nSELECT table_name, rn, line FROM srows",
         "table_profile": _with(_ddl_cte(), _samples_cte()) + "\nSELECT table_name, info FROM profile",
-        "table_info_lookup": _with(qlog_cte(), tokens_cte(), FACTS_CTE, _ddl_cte(), _samples_cte()) + f""",
+        "table_info_lookup": _with(qlog_cte(), facts_cte(), _ddl_cte(), _samples_cte()) + f""",
 req AS (SELECT query_id AS qid, CASE WHEN count(*) >= 3 THEN list("table" ORDER BY table_pos) || [{q(GHOST_TABLE)}]
                ELSE list("table" ORDER BY table_pos) END AS names FROM qt GROUP BY query_id),
 ex AS (SELECT qid, unnest(names) AS table_name, unnest(range(len(names))) AS pos FROM req),

@@ -8,7 +8,7 @@ from ..sources.tables import STAR_TABLES
 from .context import BAD_RESPONSE, GHOST_TABLE
 from .oracle_navigation import NAV_CTE
 from .oracle_vectors import K, _knn_sql, _norm_sql, hash_embed_sql
-from .oracle_workload import FACTS_CTE, GRAPH_CTE, _with, q, qlog_cte, samples_cte, tokens_cte
+from .oracle_workload import AGGREGATIONS, GRAPH_CTE, OPERATIONS, _with, facts_cte, q, qlog_cte, samples_cte
 
 NL = q(chr(10))
 AVAIL = "[" + ", ".join(q(t) for t in STAR_TABLES) + "]"
@@ -72,7 +72,7 @@ rag AS (SELECT d.id AS qid, 'As a strict reference, here are some examples:{NL[1
 
 
 def oracle() -> dict[str, str]:
-    base = [qlog_cte(), tokens_cte(), FACTS_CTE, GRAPH_CTE, samples_cte()]
+    base = [qlog_cte(), facts_cte(), GRAPH_CTE, samples_cte()]
     g = _with(*base)
     gl = _with(*base, LINK_CTE)
     gn = _with(*base, NAV_CTE, _ctx_cte())

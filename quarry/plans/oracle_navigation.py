@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators import mining as W
 from ..operators import navigate as N
 from .oracle_vectors import _norm_sql, hash_embed_sql
-from .oracle_workload import FACTS_CTE, GRAPH_CTE, _with, q, qlog_cte, samples_cte, tokens_cte
+from .oracle_workload import AGGREGATIONS, GRAPH_CTE, OPERATIONS, _with, facts_cte, q, qlog_cte, samples_cte
 
 
 def _dom_case(col: str, domain: list[str]) -> str:
@@ -48,9 +48,9 @@ qrules AS (SELECT qid, string_agg(rule, {q(chr(10))} ORDER BY rule) AS rules FRO
 nvalid AS (SELECT qid, count(*) AS n_valid FROM valid GROUP BY qid),
 top_cols AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY freq DESC, "column") AS rank FROM g_columns)
              WHERE rank <= {N.TOP_K_METADATA}),
-act_ops AS (SELECT id, string_agg(key, ', ' ORDER BY freq DESC, {_dom_case('key', W.OPERATIONS)}) AS operations
+act_ops AS (SELECT id, string_agg(key, ', ' ORDER BY freq DESC, {_dom_case('key', OPERATIONS)}) AS operations
             FROM g_operations WHERE freq > 0 GROUP BY id),
-act_aggs AS (SELECT id, string_agg(key, ', ' ORDER BY freq DESC, {_dom_case('key', W.AGGREGATIONS)}) AS aggregations
+act_aggs AS (SELECT id, string_agg(key, ', ' ORDER BY freq DESC, {_dom_case('key', AGGREGATIONS)}) AS aggregations
              FROM g_aggregations WHERE freq > 0 GROUP BY id),
 act_preds AS (SELECT id, string_agg("column", ', ' ORDER BY rank) AS predicates FROM (
                 SELECT *, row_number() OVER (PARTITION BY id ORDER BY freq DESC, "column") AS rank FROM g_predicates)
@@ -72,9 +72,9 @@ def _cos(a: str, b: str) -> str:
 
 
 def oracle() -> dict[str, str]:
-    g = _with(qlog_cte(), tokens_cte(), FACTS_CTE, GRAPH_CTE, NAV_CTE)
-    gs = _with(qlog_cte(), tokens_cte(), FACTS_CTE, GRAPH_CTE, samples_cte(), NAV_CTE)
-    two = _with(qlog_cte(), tokens_cte(), FACTS_CTE, GRAPH_CTE, NAV_CTE, _questions_cte()) + f""",
+    g = _with(qlog_cte(), facts_cte(), GRAPH_CTE, NAV_CTE)
+    gs = _with(qlog_cte(), facts_cte(), GRAPH_CTE, samples_cte(), NAV_CTE)
+    two = _with(qlog_cte(), facts_cte(), GRAPH_CTE, NAV_CTE, _questions_cte()) + f""",
 two_q AS (SELECT qid FROM nvalid WHERE n_valid = 2),
 cand AS (SELECT p.qid, x.path_key, x.hops, x.hist_score, x.path FROM pairs p JOIN paths x ON x.src = p.ta AND x.dst = p.tb
          WHERE p.qid IN (SELECT qid FROM two_q)),

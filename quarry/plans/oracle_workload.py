@@ -1,17 +1,21 @@
-"""DuckDB SQL twins of the workload queries (mining W and graph G).
+"""DuckDB SQL of the workload queries (mining W and graph G).
 
-The same derivation as the Spark operators, written as one CTE chain: the
-query log from ``orders`` and the template VALUES, token rows by ``unnest``,
-the same windows, then the facts.  Spark regexes and these agree because the
-patterns use only features common to Java regex and RE2.
+Independent of the operators: no SQL text is read here.  What each template of
+the query log says was read off by hand and is stated as VALUES; the facts of the
+log are these, counted over the orders that pick the template.
 """
 
 from __future__ import annotations
 
-from ..operators import mining as W
 from ..sources import adapters as A
 
 
+OPERATIONS = ["WHERE", "GROUP BY", "ORDER BY", "LIMIT"]
+AGGREGATIONS = ["COUNT", "DISTINCT", "MAX", "MIN", "AVG"]
+# Which templates a lint rule marks, read off their texts.
+LINTED = {"not_in_subquery": [14], "union_not_all": [13], "uses_between": [14], "data_changing": [23]}
+
+
 def q(s: str) -> str:
     """SQL string literal."""
     return "'" + s.replace("'", "''") + "'"
@@ -32,159 +36,112 @@ qlog AS (
   SELECT o.o_orderkey AS query_id, {q(A.QLOG_DB_ID)} AS db_id,
          replace(t.question_tpl, '{{k}}', CAST(o.o_orderkey AS VARCHAR)) AS question,
          replace(replace(t.sql_tpl, '{{k}}', CAST(o.o_orderkey AS VARCHAR)), '{{cond}}',
-                 CASE WHEN (o.o_orderkey // 16) % 15 < 10 THEN {c0}
-                      WHEN (o.o_orderkey // 16) % 15 < 13 THEN {c1} ELSE {c2} END) AS sql,
+                 CASE WHEN (o.o_orderkey // 24) % 15 < 10 THEN {c0}
+                      WHEN (o.o_orderkey // 24) % 15 < 13 THEN {c1} ELSE {c2} END) AS sql,
          t.difficulty, t.tpl_id
-  FROM orders o JOIN tpl t ON o.o_orderkey % 16 = t.tpl_id)"""
+  FROM orders o JOIN tpl t ON o.o_orderkey % 24 = t.tpl_id)"""
+
+
+# What each template says, read off its text by hand: (table, alias) in the order of nesting and place; columns as written,
+# table first where it is known ("" where it is not, a trailing "?" where the reference is unqualified); edges of ON and of WHERE as
+# (source, target, condition); filters as table.column; (table, operation); (table, aggregate).  {cond} stands for the
+# condition that the order key picks.
+EXPECTED = {
+    0: dict(tables="orders", columns="orders.o_orderstatus? orders.o_totalprice? orders.o_orderkey?", filters="orders.o_orderkey", ops="orders:WHERE"),
+    1: dict(tables="orders=T1 lineitem=T2", columns="lineitem.l_partkey orders.o_orderkey lineitem.l_orderkey",
+            on=[("lineitem", "orders", "orders.o_orderkey = lineitem.l_orderkey")], filters="orders.o_orderkey", ops="orders:WHERE",
+            aggs="lineitem:COUNT lineitem:DISTINCT"),
+    2: dict(tables="customer=c orders=o", columns="customer.c_name orders.o_custkey customer.c_custkey orders.o_orderkey",
+            on=[("customer", "orders", "orders.o_custkey = customer.c_custkey")], filters="orders.o_orderkey", ops="orders:WHERE"),
+    3: dict(tables="nation=n customer=c orders=o",
+            columns="nation.n_name nation.n_nationkey customer.c_nationkey customer.c_custkey orders.o_custkey orders.o_orderkey",
+            on=[("customer", "nation", "nation.n_nationkey = customer.c_nationkey"), ("customer", "orders", "customer.c_custkey = orders.o_custkey")],
+            filters="orders.o_orderkey", ops="orders:WHERE"),
+    4: dict(tables="supplier=s nation=n", columns="supplier.s_name nation.n_name supplier.s_nationkey nation.n_nationkey supplier.s_suppkey",
+            where=[("supplier", "nation", "supplier.s_nationkey = nation.n_nationkey")], filters="supplier.s_suppkey", ops="supplier:WHERE"),
+    5: dict(tables="part=p lineitem=l", columns="part.p_name {left} {right} lineitem.l_orderkey",
+            on=[("lineitem", "part", "{cond}")], filters="lineitem.l_orderkey", ops="lineitem:WHERE"),
+    6: dict(tables="lineitem=l orders=o", columns="lineitem.l_linenumber lineitem.l_orderkey orders.o_orderkey lineitem.l_suppkey orders.o_custkey",
+            on=[("lineitem", "orders", "lineitem.l_orderkey = orders.o_orderkey AND lineitem.l_suppkey = orders.o_custkey")],
+            filters="orders.o_orderkey", ops="orders:WHERE"),
+    7: dict(tables="lineitem", columns="lineitem.l_returnflag? lineitem.l_orderkey?", filters="lineitem.l_orderkey",
+            ops="lineitem:WHERE lineitem:GROUP_BY lineitem:ORDER_BY lineitem:LIMIT", aggs="lineitem:COUNT"),
+    8: dict(tables="lineitem=l supplier=s", columns="lineitem.l_extendedprice lineitem.l_suppkey supplier.s_suppkey lineitem.l_orderkey",
+            on=[("lineitem", "supplier", "lineitem.l_suppkey = supplier.s_suppkey")], filters="lineitem.l_orderkey", ops="lineitem:WHERE"),
+    9: dict(tables="customer=c orders=o", columns="customer.c_acctbal orders.o_totalprice customer.c_custkey orders.o_custkey orders.o_orderkey",
+            on=[("customer", "orders", "customer.c_custkey = orders.o_custkey")], filters="orders.o_orderkey", ops="orders:WHERE",
+            aggs="customer:MIN customer:MAX orders:AVG"),
+    10: dict(tables="customer orders", columns=".c_name? .c_custkey? .o_custkey? .o_orderkey?"),
+    11: dict(tables="lineitem", columns="lineitem.l_orderkey? lineitem.l_linenumber?", filters="lineitem.l_orderkey",
+             ops="lineitem:WHERE lineitem:GROUP_BY", aggs="lineitem:COUNT"),
+    12: dict(tables="orders=o", columns="orders.o_orderkey orders.o_orderpriority", filters="orders.o_orderpriority orders.o_orderkey", ops="orders:WHERE"),
+    13: dict(tables="nation region", columns=".n_name? .n_nationkey? .r_name?"),
+    14: dict(tables="part=p lineitem=l", columns="part.p_name part.p_partkey lineitem.l_partkey lineitem.l_orderkey part.p_size",
+             filters="part.p_partkey part.p_size lineitem.l_orderkey", ops="part:WHERE lineitem:WHERE"),
+    15: dict(tables="region=r nation=n", columns="region.r_name nation.n_nationkey region.r_regionkey nation.n_regionkey",
+             on=[("nation", "region", "region.r_regionkey = nation.n_regionkey")], filters="nation.n_nationkey",
+             ops="nation:WHERE region:GROUP_BY region:ORDER_BY", aggs="nation:COUNT"),
+    16: dict(tables="customer=c recent=r orders", columns=".o_custkey? .o_totalprice? .o_orderkey? customer.c_name customer.c_custkey recent.o_custkey",
+             on=[("customer", "recent", "customer.c_custkey = recent.o_custkey")]),
+    17: dict(tables="supplier=s lineitem=l orders=o", columns="supplier.s_name supplier.s_suppkey lineitem.l_suppkey lineitem.l_orderkey orders.o_orderkey",
+             filters="supplier.s_suppkey lineitem.l_orderkey orders.o_orderkey", ops="supplier:WHERE lineitem:WHERE orders:WHERE"),
+    18: dict(tables="orders=o", columns="orders.o_orderstatus orders.o_orderkey", filters="orders.o_orderkey", ops="orders:WHERE"),
+    19: dict(tables="orders", columns="orders.o_orderkey? orders.o_custkey? orders.o_totalprice?", filters="orders.o_custkey",
+             ops="orders:WHERE orders:ORDER_BY orders:LIMIT"),
+    20: dict(tables="orders=o lineitem=l", columns="orders.o_orderkey lineitem.l_orderkey lineitem.l_extendedprice orders.o_totalprice",
+             on=[("lineitem", "orders", "orders.o_orderkey = lineitem.l_orderkey AND lineitem.l_extendedprice < orders.o_totalprice")]),
+    21: dict(tables="customer=c", columns="customer.c_name customer.c_nationkey customer.c_acctbal customer.c_custkey", filters="customer.c_custkey",
+             ops="customer:WHERE customer:ORDER_BY"),
+    22: dict(tables="lineitem=l", columns="lineitem.l_quantity lineitem.l_returnflag lineitem.l_orderkey", filters="lineitem.l_orderkey",
+             ops="lineitem:WHERE lineitem:GROUP_BY", aggs="lineitem:DISTINCT"),
+}
+REJECTED = {23: "not a query"}
+# The conditions that template 5 may have: left column, right column, condition with the tables' names.
+PICKED = [("part.p_partkey", "lineitem.l_partkey"), ("part.p_size", "lineitem.l_linenumber"), ("part.p_retailprice", "lineitem.l_extendedprice")]
 
 
-def clean_expr(col: str) -> str:
-    return (f"regexp_replace(regexp_replace(regexp_replace({col}, {q(W.LITERAL_RE)}, {q(chr(39) * 2)}, 'g'),"
-            f" {q(W.LINE_COMMENT_RE)}, ' ', 'g'), {q(W.BLOCK_COMMENT_RE)}, ' ', 'g')")
+def _values(name: str, columns: str, rows: list[tuple]) -> str:
+    text = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else q(v)
+    return f"{name}({columns}) AS (VALUES\n    " + ",\n    ".join("(" + ", ".join(map(text, r)) + ")" for r in rows) + ")"
 
 
-def tokens_cte() -> str:
-    aggs = _in(W.TRACKED_AGGREGATES)
+def facts_cte() -> str:
+    """The expected facts as VALUES per template and variant of its condition (-1: any), and the frames that the queries read."""
+    tables, columns, on, where, filters, ops, aggs = [], [], [], [], [], [], []
+    for tpl, e in EXPECTED.items():
+        for k, t in enumerate(e["tables"].split()):
+            name, _, alias = t.partition("=")
+            tables.append((tpl, k + 1, name, alias or None))
+        for v in (range(3) if tpl == 5 else [-1]):
+            left, right = PICKED[max(v, 0)]
+            fill = lambda s: s.replace("{left}", left).replace("{right}", right).replace("{cond}", f"{left} = {right}")
+            for k, c in enumerate(fill(e["columns"]).split()):
+                table, _, col = c.rstrip("?").partition(".")
+                columns.append((tpl, v, k, col if c.endswith("?") else f"{table}.{col}", table or None, col))
+            on += [(tpl, v, s, t, fill(c)) for s, t, c in e.get("on", [])]
+            where += [(tpl, v, s, t, c) for s, t, c in e.get("where", [])]
+        filters += [(tpl, *f.split(".")) for f in e.get("filters", "").split()]
+        ops += [(tpl, o.split(":")[0], o.split(":")[1].replace("_", " ")) for o in e.get("ops", "").split()]
+        aggs += [(tpl, *a.split(":")) for a in e.get("aggs", "").split()]
     return f"""
-cl AS (SELECT query_id, {clean_expr('sql')} AS clean FROM qlog),
-t0 AS (SELECT query_id, unnest(toks) AS tok, unnest(range(len(toks))) AS pos
-       FROM (SELECT query_id, regexp_extract_all(clean, {q(W.TOKEN_RE)}) AS toks FROM cl)),
-t1 AS (SELECT query_id, pos, tok, upper(tok) AS u,
-         sum(CASE WHEN tok = '(' THEN 1 WHEN tok = ')' THEN -1 ELSE 0 END) OVER w AS depth,
-         lead(upper(tok), 1) OVER w AS next1w
-       FROM t0 WINDOW w AS (PARTITION BY query_id ORDER BY pos)),
-t2 AS (SELECT *, (tok = '(' AND next1w = 'SELECT') AS sub_open,
-         last_value(CASE WHEN tok = '(' AND next1w = 'SELECT' THEN pos END IGNORE NULLS) OVER w AS open_pos,
-         last_value(CASE WHEN tok = '(' AND next1w = 'SELECT' THEN depth END IGNORE NULLS) OVER w AS open_depth
-       FROM t1 WINDOW w AS (PARTITION BY query_id ORDER BY pos)),
-t3 AS (SELECT *, coalesce(tok = ')' AND depth = open_depth - 1, false) AS sub_close,
-         last_value(CASE WHEN tok = ')' AND depth = open_depth - 1 THEN pos END IGNORE NULLS) OVER w AS close_pos
-       FROM t2 WINDOW w AS (PARTITION BY query_id ORDER BY pos)),
-t4 AS (SELECT *, (open_pos IS NOT NULL AND (close_pos IS NULL OR close_pos < open_pos)) AS in_sub
-       FROM t3),
-t5 AS (SELECT *, CASE WHEN in_sub THEN open_pos ELSE -1 END AS scope,
-         sub_open AND coalesce(lag(in_sub, 1) OVER w, false) AS nested
-       FROM t4 WINDOW w AS (PARTITION BY query_id ORDER BY pos)),
-t6 AS (SELECT *,
-         lag(u, 1) OVER ws AS prev1, lead(u, 1) OVER ws AS next1,
-         coalesce(lag(sub_close, 1) OVER ws, false) AS after_close1,
-         coalesce(lag(sub_close, 2) OVER ws, false) AS after_close2,
-         last_value(CASE WHEN u IN {_in(W.CLAUSE_KEYWORDS)} THEN u END IGNORE NULLS) OVER ws AS clause,
-         last_value(CASE WHEN u IN {_in(W.CLAUSE_KEYWORDS)} THEN pos END IGNORE NULLS) OVER ws AS seg
-       FROM t5 WINDOW ws AS (PARTITION BY query_id, scope ORDER BY pos)),
-t7 AS (SELECT *, regexp_matches(tok, '^(`|[A-Za-z_])') AND NOT (u IN {_in(W.KEYWORDS)}) AS is_ident,
-         regexp_extract(tok, {q(W.QUAL_RE)}, 1) AS qual_raw,
-         regexp_extract(tok, {q(W.QUAL_RE)}, 2) AS name_raw
-       FROM t6),
-t8 AS (SELECT *, is_ident AND next1 = '(' AS is_func, qual_raw <> '' AS qualified FROM t7),
-t9 AS (SELECT *,
-         CASE WHEN qualified THEN replace(qual_raw, '`', '') END AS qual,
-         replace(CASE WHEN qualified THEN name_raw ELSE tok END, '`', '') AS name,
-         is_ident AND NOT is_func AND NOT qualified
-           AND (prev1 IN ('FROM', 'JOIN') OR (prev1 = ',' AND clause = 'FROM')) AS is_table
-       FROM t8),
-t10 AS (SELECT *,
-         is_ident AND NOT qualified AND (coalesce(lag(is_table, 1) OVER w, false)
-           OR (prev1 = 'AS' AND coalesce(lag(is_table, 2) OVER w, false))) AS is_alias,
-         is_ident AND NOT qualified AND clause = 'FROM'
-           AND (after_close1 OR (prev1 = 'AS' AND after_close2)) AS is_sub_alias,
-         is_ident AND prev1 = 'AS' AND clause = 'SELECT' AS is_sel_alias
-       FROM t9 WINDOW w AS (PARTITION BY query_id, scope ORDER BY pos)),
-t11 AS (SELECT *,
-         last_value(CASE WHEN is_func AND u IN {aggs} THEN pos END IGNORE NULLS) OVER ws AS agg_pos,
-         last_value(CASE WHEN is_func AND u IN {aggs} THEN depth + 1 END IGNORE NULLS) OVER ws AS agg_depth
-       FROM t10 WINDOW ws AS (PARTITION BY query_id, scope ORDER BY pos)),
-t12 AS (SELECT *,
-         last_value(CASE WHEN tok = ')' AND depth = agg_depth - 1 THEN pos END IGNORE NULLS) OVER ws AS agg_close_pos
-       FROM t11 WINDOW ws AS (PARTITION BY query_id, scope ORDER BY pos)),
-t13 AS (SELECT *, agg_pos IS NOT NULL AND (agg_close_pos IS NULL OR agg_close_pos < agg_pos) AS in_agg FROM t12),
-tokens AS (SELECT *, in_agg AND u = 'DISTINCT' AND prev1 = '(' AND pos = agg_pos + 2 AS agg_distinct FROM t13),
-per_q AS (SELECT query_id,
-            max(CAST(u IN {_in(W.SET_OPERATORS)} AS INTEGER)) AS has_setop,
-            max(CAST(nested AS INTEGER)) AS has_nested,
-            max(CASE WHEN pos = 0 THEN u END) AS first_tok,
-            max(CAST(is_table AS INTEGER)) AS has_table
-          FROM tokens GROUP BY query_id),
-status AS (SELECT l.query_id,
-             CASE WHEN first_tok IS NULL THEN 'empty' WHEN first_tok <> 'SELECT' THEN 'not a select'
-                  WHEN has_setop = 1 THEN 'set operator' WHEN has_nested = 1 THEN 'nested subquery'
-                  WHEN has_table = 0 THEN 'no table' END AS reason
-           FROM qlog l LEFT JOIN per_q p ON p.query_id = l.query_id),
-tok_ok AS (SELECT * FROM tokens WHERE query_id IN (SELECT query_id FROM status WHERE reason IS NULL)),
-sub_aliases AS (SELECT DISTINCT query_id, name AS sub_alias FROM tok_ok WHERE is_sub_alias),
-tabs AS (SELECT query_id, pos, name AS "table" FROM tok_ok WHERE is_table),
-alias_rows AS (SELECT query_id, name AS alias, CASE WHEN prev1 = 'AS' THEN pos - 2 ELSE pos - 1 END AS pos
-               FROM tok_ok WHERE is_alias),
-tables AS (SELECT t.query_id, t.pos, t."table", a.alias FROM tabs t
-           LEFT JOIN alias_rows a ON a.query_id = t.query_id AND a.pos = t.pos
-           WHERE NOT EXISTS (SELECT 1 FROM sub_aliases s WHERE s.query_id = t.query_id AND s.sub_alias = t."table")),
-aliases AS (SELECT query_id, alias, min("table") AS "table" FROM tables t
-            WHERE alias IS NOT NULL
-              AND NOT EXISTS (SELECT 1 FROM sub_aliases s WHERE s.query_id = t.query_id AND s.sub_alias = t.alias)
-            GROUP BY query_id, alias),
-node_count AS (SELECT query_id, count(DISTINCT "table") AS n_tables, min("table") AS only_table
-               FROM tables GROUP BY query_id),
-col_tok AS (SELECT * FROM tok_ok c
-            WHERE is_ident AND NOT is_func AND NOT is_table AND NOT is_alias AND NOT is_sub_alias
-              AND NOT is_sel_alias AND name <> '*'
-              AND NOT EXISTS (SELECT 1 FROM sub_aliases s WHERE s.query_id = c.query_id AND s.sub_alias = c.qual)),
-columns AS (SELECT c.query_id, c.pos, c.scope, c.clause, c.seg,
-              CASE WHEN c.in_agg THEN c.agg_pos END AS agg_pos, c.qualified, c.qual, c.name AS "column",
-              CASE WHEN c.qualified THEN coalesce(a."table", c.qual)
-                   WHEN n.n_tables = 1 THEN n.only_table END AS "table"
-            FROM col_tok c
-            LEFT JOIN aliases a ON a.query_id = c.query_id AND a.alias = c.qual
-            LEFT JOIN node_count n ON n.query_id = c.query_id)"""
-
-
-FACTS_CTE = """
-qt AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS table_pos, "table", alias
-       FROM (SELECT *, row_number() OVER (PARTITION BY query_id, "table" ORDER BY pos) AS rn FROM tables)
-       WHERE rn = 1),
-qc AS (SELECT query_id, pos, full_col, qualified, "table", "column"
-       FROM (SELECT *, row_number() OVER (PARTITION BY query_id, full_col ORDER BY pos) AS rn
-             FROM (SELECT *, CASE WHEN qualified THEN concat_ws('.', "table", "column") ELSE "column" END AS full_col
-                   FROM columns))
-       WHERE rn = 1),
-eqs AS (SELECT e.query_id, e.pos, e.clause, e.seg, l."table" AS lt, l."column" AS lc,
-               r."table" AS rt, r."column" AS rc
-        FROM tokens e
-        JOIN columns l ON l.query_id = e.query_id AND l.pos + 1 = e.pos AND l.qualified
-        JOIN columns r ON r.query_id = e.query_id AND r.pos - 1 = e.pos AND r.qualified
-        WHERE e.tok = '='),
-on_seg AS (SELECT query_id, seg, count(DISTINCT "table") AS n, min("table") AS source, max("table") AS target
-           FROM columns WHERE clause = 'ON' AND qualified GROUP BY query_id, seg),
-on_cond AS (SELECT query_id, seg,
-              string_agg(lt || '.' || lc || ' = ' || rt || '.' || rc, ' AND ' ORDER BY pos) AS condition
-            FROM eqs WHERE clause = 'ON' GROUP BY query_id, seg),
-join_edges AS (SELECT s.query_id, s.seg, s.source, s.target, coalesce(c.condition, '') AS condition
-               FROM on_seg s LEFT JOIN on_cond c ON c.query_id = s.query_id AND c.seg = s.seg
-               WHERE s.n = 2),
-implicit_edges AS (SELECT query_id, pos AS seg, lt AS source, rt AS target,
-                     concat_ws(' = ', concat_ws('.', lt, lc), concat_ws('.', rt, rc)) AS condition
-                   FROM eqs WHERE clause = 'WHERE' AND lt <> rt),
-join_pos AS (SELECT query_id, seg - 1 AS pos FROM implicit_edges
-             UNION ALL SELECT query_id, seg + 1 AS pos FROM implicit_edges),
-rcols AS (SELECT * FROM columns WHERE "table" IS NOT NULL),
-where_cols AS (SELECT * FROM rcols c WHERE clause = 'WHERE'
-               AND NOT EXISTS (SELECT 1 FROM join_pos j WHERE j.query_id = c.query_id AND j.pos = c.pos)),
-predicates AS (SELECT query_id, "table", lower("column") AS "column", count(*) AS n
-               FROM where_cols GROUP BY query_id, "table", lower("column")),
-seg_ops AS (SELECT DISTINCT query_id, seg, "table", op FROM (
-              SELECT query_id, seg, "table", 'WHERE' AS op FROM where_cols
-              UNION ALL SELECT query_id, seg, "table", 'GROUP BY' AS op FROM rcols WHERE clause = 'GROUP'
-              UNION ALL SELECT query_id, seg, "table", 'ORDER BY' AS op FROM rcols WHERE clause = 'ORDER')),
-limit_ops AS (SELECT DISTINCT query_id, -1 AS seg, "table", 'LIMIT' AS op FROM rcols
-              WHERE query_id IN (SELECT query_id FROM tokens WHERE u = 'LIMIT')),
-operations AS (SELECT query_id, "table", op, count(*) AS n
-               FROM (SELECT * FROM seg_ops UNION ALL SELECT * FROM limit_ops)
-               GROUP BY query_id, "table", op),
-calls AS (SELECT query_id, pos AS agg_pos, u AS agg FROM tokens WHERE is_func AND u IN ('COUNT', 'MAX', 'MIN', 'AVG')
-          UNION ALL SELECT query_id, agg_pos, 'DISTINCT' AS agg FROM tokens WHERE agg_distinct),
-touched AS (SELECT DISTINCT query_id, agg_pos, "table" FROM rcols WHERE agg_pos IS NOT NULL),
-aggregations AS (SELECT c.query_id, t."table", c.agg, count(*) AS n
-                 FROM calls c JOIN touched t ON t.query_id = c.query_id AND t.agg_pos = c.agg_pos
-                 GROUP BY c.query_id, t."table", c.agg)"""
+{_values("f_tables", 'tpl_id, table_pos, "table", alias', tables)},
+{_values("f_columns", 'tpl_id, variant, pos, full_col, "table", "column"', columns)},
+{_values("f_on", "tpl_id, variant, source, target, condition", on)},
+{_values("f_where", "tpl_id, variant, source, target, condition", where)},
+{_values("f_filters", 'tpl_id, "table", "column"', filters)},
+{_values("f_ops", 'tpl_id, "table", op', ops)},
+{_values("f_aggs", 'tpl_id, "table", agg', aggs)},
+{_values("f_rejected", "tpl_id, reason", list(REJECTED.items()))},
+v AS (SELECT query_id, tpl_id, sql, CASE WHEN (query_id // 24) % 15 < 10 THEN 0 WHEN (query_id // 24) % 15 < 13 THEN 1 ELSE 2 END AS variant FROM qlog),
+qt AS (SELECT query_id, table_pos, "table", alias FROM v JOIN f_tables USING (tpl_id)),
+tables AS (SELECT * FROM qt),
+status AS (SELECT query_id, reason FROM v LEFT JOIN f_rejected USING (tpl_id)),
+qc AS (SELECT query_id, pos, full_col, "table", "column" FROM v JOIN f_columns f ON f.tpl_id = v.tpl_id AND f.variant IN (-1, v.variant)),
+join_edges AS (SELECT query_id, source, target, condition FROM v JOIN f_on f ON f.tpl_id = v.tpl_id AND f.variant IN (-1, v.variant)),
+implicit_edges AS (SELECT query_id, source, target, condition FROM v JOIN f_where f ON f.tpl_id = v.tpl_id AND f.variant IN (-1, v.variant)),
+predicates AS (SELECT query_id, "table", "column", CAST(1 AS BIGINT) AS n FROM v JOIN f_filters USING (tpl_id)),
+operations AS (SELECT query_id, "table", op, CAST(1 AS BIGINT) AS n FROM v JOIN f_ops USING (tpl_id)),
+aggregations AS (SELECT query_id, "table", agg, CAST(1 AS BIGINT) AS n FROM v JOIN f_aggs USING (tpl_id))"""
 
 
 def normalize_condition_sql(col: str) -> str:
@@ -199,8 +156,8 @@ g_columns AS (SELECT "table" AS id, "column", count(*) AS freq FROM qc c
               WHERE "table" IS NOT NULL
                 AND EXISTS (SELECT 1 FROM qnodes n WHERE n.query_id = c.query_id AND n."table" = c."table")
               GROUP BY "table", "column"),
-op_dom(key) AS (VALUES {", ".join("(" + q(o) + ")" for o in W.OPERATIONS)}),
-agg_dom(key) AS (VALUES {", ".join("(" + q(a) + ")" for a in W.AGGREGATIONS)}),
+op_dom(key) AS (VALUES {", ".join("(" + q(o) + ")" for o in OPERATIONS)}),
+agg_dom(key) AS (VALUES {", ".join("(" + q(a) + ")" for a in AGGREGATIONS)}),
 op_facts AS (SELECT o."table" AS id, op AS key, sum(n) AS freq FROM operations o
              WHERE EXISTS (SELECT 1 FROM qnodes n WHERE n.query_id = o.query_id AND n."table" = o."table")
              GROUP BY o."table", op),
@@ -264,23 +221,17 @@ def _with(*ctes: str) -> str:
 
 
 def _base() -> str:
-    return _with(qlog_cte(), tokens_cte(), FACTS_CTE)
+    return _with(qlog_cte(), facts_cte())
 
 
 def _graph() -> str:
-    return _with(qlog_cte(), tokens_cte(), FACTS_CTE, GRAPH_CTE)
+    return _with(qlog_cte(), facts_cte(), GRAPH_CTE)
 
 
 def oracle() -> dict[str, str]:
     b, g = _base(), _graph()
-    lint = f"""{_with(qlog_cte())},
-c AS (SELECT query_id, {clean_expr('sql')} AS s FROM qlog)
-SELECT query_id,
-       regexp_matches(s, {q(W.LINT_NOT_IN_SUBQUERY)}) AS not_in_subquery,
-       len(regexp_extract_all(s, {q(W.LINT_UNION)})) > len(regexp_extract_all(s, {q(W.LINT_UNION_ALL)})) AS union_not_all,
-       regexp_matches(s, {q(W.LINT_BETWEEN)}) AS uses_between,
-       regexp_matches(s, {q(W.LINT_DATA_CHANGING)}) AS data_changing
-FROM c"""
+    lint = _with(qlog_cte()) + "\nSELECT query_id, " + ", ".join(
+        f"tpl_id IN ({', '.join(map(str, t))}) AS {name}" for name, t in LINTED.items()) + " FROM qlog"
     return {
         "qlog_tables": b + "\nSELECT query_id, table_pos, \"table\", alias FROM qt",
         "qlog_join_edges": b + "\nSELECT query_id, source, target, condition FROM join_edges",
@@ -292,13 +243,16 @@ FROM c"""
         "qlog_rejects": b + "\nSELECT s.query_id, s.reason, l.sql FROM status s JOIN qlog l ON l.query_id = s.query_id WHERE s.reason IS NOT NULL",
         "qlog_lint": lint,
         "pattern_records": b + """,
-pat AS (SELECT query_id, "table" FROM operations UNION SELECT query_id, "table" FROM aggregations
-        UNION SELECT query_id, "table" FROM predicates),
-ne AS (SELECT query_id, count(*) AS n FROM (SELECT query_id FROM join_edges UNION ALL SELECT query_id FROM implicit_edges) GROUP BY query_id),
-np AS (SELECT query_id, count(*) AS n FROM pat GROUP BY query_id),
+pat AS (SELECT query_id, "table" || '/operations/' || op || '=' || n AS t FROM operations
+        UNION ALL SELECT query_id, "table" || '/aggregations/' || agg || '=' || n FROM aggregations
+        UNION ALL SELECT query_id, "table" || '/predicates/' || "column" || '=' || n FROM predicates),
+both_edges AS (SELECT query_id, source || '|' || target || '|' || condition AS t FROM join_edges
+               UNION ALL SELECT query_id, source || '|' || target || '|' || condition FROM implicit_edges),
+ne AS (SELECT query_id, string_agg(t, ';' ORDER BY t) AS edges FROM both_edges GROUP BY query_id),
+np AS (SELECT query_id, string_agg(t, ';' ORDER BY t) AS patterns FROM pat GROUP BY query_id),
 nodes AS (SELECT query_id, string_agg("table", ',' ORDER BY table_pos) AS nodes FROM qt GROUP BY query_id),
 cols AS (SELECT query_id, string_agg(full_col, ',' ORDER BY pos) AS columns FROM qc GROUP BY query_id)
-SELECT n.query_id, n.nodes, c.columns, coalesce(ne.n, 0) AS n_edges, coalesce(np.n, 0) AS n_pattern_tables
+SELECT n.query_id, n.nodes, c.columns, coalesce(ne.edges, '') AS edges, coalesce(np.patterns, '') AS patterns
 FROM nodes n LEFT JOIN cols c ON c.query_id = n.query_id LEFT JOIN ne ON ne.query_id = n.query_id
 LEFT JOIN np ON np.query_id = n.query_id""",
         "graph_nodes": g + """
@@ -311,7 +265,7 @@ UNION ALL SELECT id, 'aggregations' AS metric, key, freq FROM g_aggregations""",
         "graph_edges": g + "\nSELECT source, target, condition, freq FROM edges",
         "graph_edge_weight": g + "\nSELECT source, target, weight FROM edges WHERE is_main",
         "graph_main_condition": g + "\nSELECT source, target, condition, weight FROM edges WHERE is_main",
-        "entity_samples": _with(qlog_cte(), tokens_cte(), FACTS_CTE, GRAPH_CTE, samples_cte())
+        "entity_samples": _with(qlog_cte(), facts_cte(), GRAPH_CTE, samples_cte())
         + "\nSELECT id, \"column\", value, rn FROM samples",
         "graph_stats": g + """
 SELECT (SELECT count(*) FROM node_ids) AS n_nodes,

@@ -18,9 +18,16 @@ _MINED: dict = {}
 _GRAPHS: dict = {}
 
 
+def version(spark: SparkSession, sf_dir: str, names: list[str]) -> tuple:
+    """The files of some tables with their sizes and times: what is kept under it is never read for changed tables."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{sf_dir.rstrip('/')}/{n}.parquet" for n in names])
+             .select("path", "length", F.col("modificationTime").cast("string")).collect())
+    return spark.sparkContext.applicationId, sf_dir, *sorted(map(tuple, files))
+
+
 def mined(spark: SparkSession, sf_dir: str) -> W.MinedLog:
-    """Mine the query log of ``sf_dir`` once per session (checkpointed frames)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """Mine the query log of ``sf_dir`` once per session and state of its tables."""
+    key = version(spark, sf_dir, ["orders"])
     if key not in _MINED:
         _MINED[key] = W.mine(qlog(spark, sf_dir))
     return _MINED[key]
@@ -46,7 +53,7 @@ class _LazyGraph:
 
 def graph(spark: SparkSession, sf_dir: str) -> G.Graph:
     """The workload graph, built once per session; frames are checkpointed lazily."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = version(spark, sf_dir, ["orders"])
     if key not in _GRAPHS:
         _GRAPHS[key] = _LazyGraph(G.build(mined(spark, sf_dir)))
     return _GRAPHS[key]
@@ -96,11 +103,18 @@ def q_pattern_records(spark, sf_dir):
         "query_id",
         F.array_join("nodes", ",").alias("nodes"),
         F.array_join("columns", ",").alias("columns"),
-        F.coalesce(F.size("edges"), F.lit(0)).alias("n_edges"),
-        F.coalesce(F.size(F.map_keys("structural_patterns")), F.lit(0)).alias("n_pattern_tables"),
+        F.array_join(F.array_sort(F.transform("edges", lambda e: F.concat_ws("|", e["source"], e["target"], e["condition"]))), ";").alias("edges"),
+        F.array_join(F.array_sort(F.flatten(F.transform(F.map_entries("structural_patterns"), _pattern_texts))), ";").alias("patterns"),
     )
 
 
+def _pattern_texts(entry):
+    """table/kind/key=n of one table's patterns."""
+    one = lambda kind: F.transform(F.map_entries(entry["value"][kind]), lambda o: F.concat(
+        entry["key"], F.lit(f"/{kind}/"), o["key"], F.lit("="), o["value"].cast("string")))
+    return F.concat(one("operations"), one("aggregations"), one("predicates"))
+
+
 # --- G -----------------------------------------------------------------------
 
 def q_graph_nodes(spark, sf_dir):
@@ -143,7 +157,7 @@ _SAMPLES: dict = {}
 
 def q_entity_samples(spark, sf_dir):
     """Sample values, computed once per session (k per column, checkpointed)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = version(spark, sf_dir, ["orders", *STAR_TABLES])
     if key not in _SAMPLES:
         g = graph(spark, sf_dir)
         tables = {t: table(spark, sf_dir, t) for t in STAR_TABLES}

@@ -53,7 +53,7 @@ QLOG_TEMPLATES = [
      "SELECT t.cnt FROM (SELECT l_orderkey, COUNT(l_linenumber) AS cnt FROM lineitem "
      "WHERE l_orderkey = {k} GROUP BY l_orderkey) AS t ORDER BY t.cnt"),
     (12, "simple", "Is order {k} urgent?",
-     "SELECT o.o_orderkey FROM orders AS o -- FROM part JOIN x\n"
+     "SELECT o.o_orderkey FROM orders AS o -- don't read FROM part JOIN x\n"
      "WHERE o.o_orderpriority = '1-URGENT FROM lineitem JOIN region' AND o.o_orderkey = {k}"),
     (13, "challenging", "List the nation of key {k} together with all regions.",
      "SELECT n_name FROM nation WHERE n_nationkey = {k} UNION SELECT r_name FROM region"),
@@ -65,9 +65,30 @@ QLOG_TEMPLATES = [
      "SELECT r.r_name, COUNT(n.n_nationkey) FROM region AS r JOIN nation AS n "
      "ON r.r_regionkey = n.n_regionkey WHERE n.n_nationkey < {k} GROUP BY r.r_name "
      "ORDER BY r.r_name"),
+    (16, "challenging", "Which customers placed orders with key {k}, by way of a list?",
+     "WITH recent AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_orderkey = {k}) "
+     "SELECT c.c_name FROM customer AS c JOIN recent AS r ON c.c_custkey = r.o_custkey"),
+    (17, "challenging", "Which suppliers deliver the lines of order {k}?",
+     "SELECT s.s_name FROM supplier AS s WHERE s.s_suppkey IN (SELECT l.l_suppkey FROM lineitem AS l "
+     "WHERE l.l_orderkey IN (SELECT o.o_orderkey FROM orders AS o WHERE o.o_orderkey = {k}))"),
+    (18, "simple", "What is the status of order {k} in the main database?",
+     'SELECT "o"."o_orderstatus" FROM main.orders AS "o" WHERE "o"."o_orderkey" = {k}'),
+    (19, "moderate", "Which orders of customers below {k} are the dearest?",
+     "SELECT o_orderkey FROM orders WHERE o_custkey < {k} "
+     "ORDER BY CAST(o_totalprice AS REAL) DESC NULLS LAST LIMIT 5"),
+    (20, "moderate", "How many lines cost less than their order?",
+     "SELECT COUNT(*) FROM orders AS o JOIN lineitem AS l "
+     "ON o.o_orderkey = l.l_orderkey AND l.l_extendedprice < o.o_totalprice"),
+    (21, "challenging", "How do the customers other than {k} rank by balance?",
+     "SELECT c.c_name who, RANK() OVER (PARTITION BY c.c_nationkey ORDER BY c.c_acctbal DESC) place "
+     "FROM customer c WHERE c.c_custkey <> {k}"),
+    (22, "moderate", "What different quantities does order {k} have by return flag?",
+     "SELECT SUM(DISTINCT l.l_quantity), l.l_returnflag FROM lineitem l WHERE l.l_orderkey = {k} GROUP BY l.l_returnflag"),
+    (23, "simple", "Copy region {k}.",
+     "INSERT INTO region SELECT r_regionkey, r_name FROM region WHERE r_regionkey = {k}"),
 ]
 
-# Join conditions for template 5, chosen by (key div 16) % 15: 0-9, 10-12, 13-14.
+# Join conditions for template 5, chosen by (key div 24) % 15: 0-9, 10-12, 13-14.
 QLOG_CONDITIONS = [
     "p.p_partkey = l.l_partkey",
     "p.p_size = l.l_linenumber",
@@ -82,23 +103,23 @@ def templates_df(spark: SparkSession) -> DataFrame:
 
 
 def _condition_for(key: Column) -> Column:
-    bucket = (key.cast("long") / 16).cast("long") % 15
+    bucket = (key.cast("long") / len(QLOG_TEMPLATES)).cast("long") % 15
     return (F.when(bucket < 10, F.lit(QLOG_CONDITIONS[0]))
             .when(bucket < 13, F.lit(QLOG_CONDITIONS[1]))
             .otherwise(F.lit(QLOG_CONDITIONS[2])))
 
 
 def qlog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query log: one SQL statement per order, template by ``o_orderkey % 16``.
+    """Query log: one SQL statement per order, template by ``o_orderkey`` modulo their number.
 
     Columns: query_id, db_id, question, sql, difficulty, tpl_id.  The template
-    table has 16 rows, so it is broadcast; the log is as large as ``orders``.
+    table has 24 rows, so it is broadcast; the log is as large as ``orders``.
     """
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
     tpl = F.broadcast(templates_df(spark))
     k = F.col("o_orderkey").cast("string")
     return (
-        orders.join(tpl, (F.col("o_orderkey") % 16) == F.col("tpl_id"))
+        orders.join(tpl, (F.col("o_orderkey") % len(QLOG_TEMPLATES)) == F.col("tpl_id"))
         .select(
             F.col("o_orderkey").alias("query_id"),
             F.lit(QLOG_DB_ID).alias("db_id"),

@@ -33,44 +33,80 @@ def test_join_alternatives_threshold(spark):
     assert got == ["c1", "c2"]
 
 
-SQLS = [
-    (1, "SELECT T1.a, COUNT(DISTINCT T2.b) FROM x AS T1 INNER JOIN y AS T2 ON T1.id = T2.xid "
-        "WHERE T1.a = 'FROM z JOIN w' GROUP BY T1.a ORDER BY T1.a LIMIT 3"),
-    (2, "SELECT p, q FROM x, y WHERE x.id = y.xid AND x.p > 3"),
-    (3, "SELECT a FROM x WHERE b IN (SELECT b FROM y WHERE c = 1)"),
-    (4, "SELECT a FROM x UNION SELECT a FROM y"),
-    (5, "SELECT t.n FROM (SELECT k, COUNT(v) AS n FROM z GROUP BY k) AS t"),
-    (6, "SELECT a FROM x WHERE b IN (SELECT b FROM y WHERE c IN (SELECT c FROM z))"),
-    (7, "SELECT `T1`.`my col` FROM `tab one` AS `T1` -- comment FROM q\n WHERE `T1`.`my col` = 2"),
-]
+# (statement, expected facts): tables with alias; columns; edges of ON and WHERE; predicates; operations; aggregations.
+# The values follow from the rules in SURVEY section 2.
+CASES = {
+    "literals, comments": (
+        "SELECT T1.a, COUNT(DISTINCT T2.b) FROM x AS T1 /* JOIN q */ INNER JOIN y AS T2 ON T1.id = T2.xid "
+        "WHERE T1.a = 'FROM z JOIN w' -- don't JOIN v\n GROUP BY T1.a ORDER BY T1.a LIMIT 3",
+        [("x", "T1"), ("y", "T2")], {"x.a", "y.b", "x.id", "y.xid"}, {"x.id = y.xid"}, {("x", "a"): 1},
+        {("x", "WHERE"): 1, ("x", "GROUP BY"): 1, ("x", "ORDER BY"): 1, ("x", "LIMIT"): 1, ("y", "LIMIT"): 1}, {("y", "COUNT"): 1, ("y", "DISTINCT"): 1}),
+    "comma join": ("SELECT p, q FROM x, y WHERE x.id = y.xid AND x.p > 3", [("x", None), ("y", None)], {"p", "q", "x.id", "y.xid", "x.p"},
+                   {"x.id = y.xid"}, {("x", "p"): 1}, {("x", "WHERE"): 1}, {}),
+    "ends in a table": ("SELECT COUNT(*) FROM orders", [("orders", None)], set(), set(), {}, {}, {}),
+    "ends in a column of ON": ("SELECT 1 FROM ta AS a JOIN tb AS b ON a.x = b.y", [("ta", "a"), ("tb", "b")], {"ta.x", "tb.y"}, {"ta.x = tb.y"}, {}, {}, {}),
+    "ends in a column of GROUP BY": ("SELECT x FROM t GROUP BY x", [("t", None)], {"x"}, set(), {}, {("t", "GROUP BY"): 1}, {}),
+    "subqueries at the end": ("SELECT 1 FROM ta WHERE x > (SELECT avg(y) FROM tb) AND x IN (SELECT z FROM tc)", [("ta", None), ("tb", None), ("tc", None)],
+                              {"x", "y", "z"}, set(), {}, {}, {}),
+    "owner in a subquery": ("SELECT a.k FROM ta a WHERE a.x > (SELECT AVG(b.y) FROM tb b)", [("ta", "a"), ("tb", "b")], {"ta.k", "ta.x", "tb.y"}, set(),
+                            {("ta", "x"): 1}, {("ta", "WHERE"): 1}, {("tb", "AVG"): 1}),
+    "set operator": ("SELECT a FROM x UNION ALL SELECT a FROM y ORDER BY a", [("x", None), ("y", None)], {"a"}, set(), {}, {}, {}),
+    "depth 2": ("SELECT a.k FROM x a WHERE a.b IN (SELECT c.b FROM y c WHERE c.c IN (SELECT d.c FROM z d WHERE d.e = 1))",
+                [("x", "a"), ("y", "c"), ("z", "d")], {"x.k", "x.b", "y.b", "y.c", "z.c", "z.e"}, set(), {("x", "b"): 1, ("y", "c"): 1, ("z", "e"): 1},
+                {("x", "WHERE"): 1, ("y", "WHERE"): 1, ("z", "WHERE"): 1}, {}),
+    "alias of a subquery": ("SELECT t.n FROM (SELECT k, COUNT(v) AS n FROM z GROUP BY k) AS t WHERE t.n > 1", [("z", None)], {"k", "v"}, set(), {},
+                            {("z", "GROUP BY"): 1}, {("z", "COUNT"): 1}),
+    "quoted names": ("SELECT `T1`.`my col`, \"T1\".\"b\" FROM `tab one` AS `T1` -- comment FROM q\n WHERE `T1`.`my col` = 2", [("tab one", "T1")],
+                     {"tab one.my col", "tab one.b"}, set(), {("tab one", "my col"): 1}, {("tab one", "WHERE"): 1}, {}),
+    "names of several parts": ("SELECT db1.orders.k, o.j FROM db1.orders o JOIN cat.db1.lines l ON o.k = l.k", [("orders", "o"), ("lines", "l")],
+                               {"orders.k", "orders.j", "lines.k"}, {"orders.k = lines.k"}, {}, {}, {}),
+    "WITH": ("WITH r AS (SELECT k FROM t WHERE k > 1), s(a) AS (SELECT 1) SELECT c.n FROM c JOIN r ON c.k = r.k", [("c", None), ("r", None), ("t", None)],
+             {"k", "c.n", "c.k", "r.k"}, {"c.k = r.k"}, {}, {}, {}),
+    "CAST and NULLS LAST": ("SELECT CAST(a AS DOUBLE PRECISION) FROM t ORDER BY CAST(b AS REAL) DESC NULLS LAST", [("t", None)], {"a", "b"}, set(), {},
+                            {("t", "ORDER BY"): 1}, {}),
+    "implicit aliases, OVER": ("SELECT a x, SUM(b) total, ROW_NUMBER() OVER (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) rn FROM t",
+                               [("t", None)], {"a", "b", "c", "d"}, set(), {}, {("t", "ORDER BY"): 1}, {}),
+    "DISTINCT in any call": ("SELECT SUM(DISTINCT x), MAX(y) FROM t", [("t", None)], {"x", "y"}, set(), {}, {}, {("t", "DISTINCT"): 1, ("t", "MAX"): 1}),
+    "whole ON condition": ("SELECT 1 FROM a JOIN b ON a.x < b.y AND (LOWER(a.n) = 'it''s' OR b.m IN (1, 2)) LEFT JOIN c USING (k)",
+                           [("a", None), ("b", None), ("c", None)], {"a.x", "b.y", "a.n", "b.m"},
+                           {"a.x < b.y AND (LOWER(a.n) = 'it''s' OR b.m IN (1, 2))"}, {}, {}, {}),
+    "sides that are no columns": ("SELECT 1 FROM a, b WHERE a.x + 1 = b.y AND 1 + a.z = b.w AND a.v = b.u", [("a", None), ("b", None)],
+                                  {"a.x", "b.y", "a.z", "b.w", "a.v", "b.u"}, {"a.v = b.u"}, {("a", "x"): 1, ("b", "y"): 1, ("a", "z"): 1, ("b", "w"): 1},
+                                  {("a", "WHERE"): 1, ("b", "WHERE"): 1}, {}),
+    "FROM inside a call, typed literals": ("SELECT EXTRACT(YEAR FROM d) FROM t WHERE d > DATE '2020-01-01' AND e < INTERVAL '1' DAY", [("t", None)], {"d", "e"},
+                                           set(), {("t", "d"): 1, ("t", "e"): 1}, {("t", "WHERE"): 1}, {}),
+    "no table": ("SELECT 1", [], set(), set(), {}, {}, {}),
+    "joins in parentheses": ("SELECT 1 FROM (a JOIN b ON a.k = b.k), c", [("a", None), ("b", None), ("c", None)], {"a.k", "b.k"}, {"a.k = b.k"}, {}, {}, {}),
+    "empty": ("", None), "null": (None, None), "comment only": ("-- SELECT 1", None), "insert": ("INSERT INTO t SELECT a FROM u", None),
+    "unmatched": ("SELECT f(a FROM t", None), "unmatched close": ("SELECT a) FROM t", None),
+}
 
 
 def test_mining_literal_statements(spark):
-    log = spark.createDataFrame(SQLS, "query_id long, sql string")
+    names = list(CASES)
+    log = spark.createDataFrame([(k, CASES[n][0]) for k, n in enumerate(names)], "query_id long, sql string")
     m = W.mine(log, checkpoint=False)
-    status = {r["query_id"]: r["reason"] for r in m.status.collect()}
-    assert status[4] == "set operator" and status[6] == "nested subquery" and status[1] is None
-    tables = {}
-    for r in W.query_tables(m).orderBy("query_id", "table_pos").collect():
-        tables.setdefault(r["query_id"], []).append((r["table"], r["alias"]))
-    assert tables[1] == [("x", "T1"), ("y", "T2")]
-    assert tables[2] == [("x", None), ("y", None)]
-    assert tables[3] == [("x", None), ("y", None)]
-    assert tables[5] == [("z", None)]  # the subquery alias t is not a table
-    assert tables[7] == [("tab one", "T1")]
-    edges = {(r["query_id"], r["condition"]) for r in W.join_edges(m).unionByName(W.implicit_edges(m)).collect()}
-    assert (1, "x.id = y.xid") in edges and (2, "x.id = y.xid") in edges
-    aggs = {(r["query_id"], r["table"], r["agg"]): r["n"] for r in W.aggregations(m).collect()}
-    assert aggs[(1, "y", "COUNT")] == 1 and aggs[(1, "y", "DISTINCT")] == 1
-    ops = {(r["query_id"], r["table"], r["op"]): r["n"] for r in W.operations(m).collect()}
-    assert ops[(1, "x", "WHERE")] == 1 and ops[(1, "x", "GROUP BY")] == 1 and ops[(1, "x", "LIMIT")] == 1
-    assert ops[(1, "y", "LIMIT")] == 1 and ops[(2, "x", "WHERE")] == 1
-    preds = {(r["query_id"], r["table"], r["column"]) for r in W.predicates(m).collect()}
-    assert (1, "x", "a") in preds and (2, "x", "p") in preds and (2, "x", "id") not in preds
-    cols = {(r["query_id"], r["full_col"]) for r in W.query_columns(m).collect()}
-    assert (7, "tab one.my col") in cols and (5, "k") in cols and (5, "t.n") not in cols
-    lint = {r["query_id"]: r for r in W.lint(log).collect()}
-    assert lint[4]["union_not_all"] and not lint[1]["union_not_all"] and not lint[1]["data_changing"]
+    facts = {names[r["query_id"]]: r for r in m.facts.collect()}
+    assert {n for n, r in facts.items() if r["reason"]} == {n for n, c in CASES.items() if c[1] is None}
+    assert facts["insert"]["reason"] == "not a query" and facts["empty"]["reason"] == "empty" == facts["null"]["reason"]
+    for n, c in CASES.items():
+        if c[1] is None:
+            continue
+        r, (_, tables, columns, edges, predicates, operations, aggregations) = facts[n], c
+        assert [(t["table"], t["alias"]) for t in r["tables"]] == tables, n
+        assert {x["full_col"] for x in r["columns"]} == columns, n
+        assert {e["condition"] for e in r["join_edges"] + r["implicit_edges"]} == edges, n
+        assert {(p["table"], p["column"]): p["n"] for p in r["predicates"]} == predicates, n
+        assert {(p["table"], p["op"]): p["n"] for p in r["operations"]} == operations, n
+        assert {(p["table"], p["agg"]): p["n"] for p in r["aggregations"]} == aggregations, n
+
+
+def test_lint_sees_through_comments_and_literals(spark):
+    rows = ["SELECT a FROM x UNION SELECT a FROM y", "SELECT 'x UNION y' -- don't UNION\nFROM t", "SELECT 1 /* it's */ UNION ALL SELECT 2",
+            "SELECT a FROM t WHERE a NOT IN (SELECT b FROM u) AND c BETWEEN 1 AND 2", " drop table t"]
+    log = spark.createDataFrame(list(enumerate(rows)), "query_id long, sql string")
+    got = [tuple(r)[1:] for r in W.lint(log).orderBy("query_id").collect()]
+    assert got == [(False, True, False, False), (False, False, False, False), (False, False, False, False), (True, False, True, False), (False, False, False, True)]
 
 
 def test_parse_result_text_and_status(spark):
