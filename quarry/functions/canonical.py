@@ -17,16 +17,41 @@ NULL_TOKEN = "__NULL__"
 NULL_WORDS = ["none", "null", "nan", "na", "n/a"]
 INT_RE = r"^[+-]?[0-9]+$"
 NUM_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-TRIM_RE = r"^\s+|\s+$"
-WHOLE_LIMIT = 1e37  # whole numbers below this print as integer text
-LONG_LIMIT = 9e18
+#: White space as text libraries strip it: blanks, separators, the no-break and the wide spaces.
+SPACES = r"[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+TRIM_RE = "^" + SPACES + "|" + SPACES + "$"
+LONG_LIMIT = 2.0 ** 62  # doubles below it are whole longs; above, digits are worked out in limbs
+LIMB = 1_000_000_000
+
+
+def _large_text(d: Column) -> Column:
+    """All digits of a double of 2^62 or more: a long times a power of two, multiplied out in limbs of nine digits, lowest first."""
+    power = F.greatest(F.lit(0), F.floor(F.log2(d)).cast("int") - 53)
+    first = (d / F.pow(F.lit(2.0), power)).cast("long")  # exact: a division by a power of two
+
+    def times(acc: Column, factor: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            total = x * factor + s["carry"]
+            return F.struct(F.array_append(s["out"], total % LIMB).alias("out"), F.call_function("div", total, F.lit(LIMB)).alias("carry"))
+
+        start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("long").alias("carry"))
+        return F.aggregate(acc, start, step, lambda s: F.when(s["carry"] > 0, F.array_append(s["out"], s["carry"])).otherwise(s["out"]))
+
+    split = F.array(first % LIMB, F.call_function("div", first, F.lit(LIMB)))
+    # 20 doublings at a time: a limb times 2^20 stays far below a long
+    steps = F.when(power == 0, F.array().cast("array<int>")).otherwise(F.transform(
+        F.sequence(F.lit(0), F.floor((power - 1) / 20).cast("int")), lambda k: F.least(F.lit(20), power - 20 * k)))
+    done = F.aggregate(steps, split, lambda acc, n: times(acc, F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))))
+    text = F.array_join(F.transform(F.reverse(done), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
+    return F.regexp_replace(text, "^0+", "")
 
 
 def _whole_text(d: Column) -> Column:
-    """Integer text of a whole double (exact through a long below 9e18)."""
-    ok = d.isNotNull() & ~F.isnan(d) & (F.abs(d) < F.lit(WHOLE_LIMIT)) & ((d % F.lit(1.0)) == 0)
+    """Integer text of a whole double, every digit exact."""
+    ok = d.isNotNull() & ~F.isnan(d) & (F.abs(d) < F.lit(float("inf"))) & ((d % F.lit(1.0)) == 0)
+    sign = F.when(d < 0, F.lit("-")).otherwise(F.lit(""))
     return F.when(ok, F.when(F.abs(d) < F.lit(LONG_LIMIT), d.cast("long").cast("string"))
-                  .otherwise(d.cast("decimal(38,0)").cast("string")))
+                  .otherwise(F.concat(sign, _large_text(F.abs(d)))))
 
 
 def canonical_text(c: Column) -> Column:
@@ -59,11 +84,6 @@ def canonical(c: Column, dtype: T.DataType) -> Column:
     return canonical_text(c.cast("string"))
 
 
-def relaxed(c: Column, dtype: T.DataType) -> Column:
-    """Canonical value, lower case."""
-    return F.lower(canonical(c, dtype))
-
-
 def canonicalize(df, specs: list[tuple[str, Column, T.DataType]], relaxed_mode: bool = False):
     """Add one canonical column per ``(out, column, type)`` in three small projections.
 

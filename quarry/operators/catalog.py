@@ -79,7 +79,7 @@ def table_info_lookup(requests: DataFrame, info: DataFrame) -> DataFrame:
     """Per request (qid, names as "a, b"), the joined info of the named tables, or
     an error text naming the unknown ones.  ``info``: table_name, info (catalog-bounded)."""
     r = requests.select("qid", F.posexplode(F.split("names", r",\s*")).alias("pos", "table_name"))
-    j = r.join(F.broadcast(info), "table_name", "left")
+    j = r.join(info, "table_name", "left")
     per = j.groupBy("qid").agg(
         F.array_sort(F.collect_list(F.when(F.col("info").isNull(), F.col("table_name")))).alias("missing"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "info"))),
@@ -108,8 +108,8 @@ def timed(spark: SparkSession, command: str) -> DataFrame:
         spark.sql(command).write.format("noop").mode("overwrite").save()
     except Exception as e:  # noqa: BLE001 - the error text is the result
         err = f"Error: {e}"
-    return spark.createDataFrame([(command, time.time() - start, err)],
-                                 "query string, seconds double, error string")
+    return spark.createDataFrame([(command, time.time() - start, err is None, err)],
+                                 "query string, seconds double, ran boolean, error string")
 
 
 def parse_result_text(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """Schema linking (L1-L5) and context assembly (K1-K6).
 
-Schema metadata (tables, columns, samples) is bounded by the catalog, so it
-is broadcast into per-question joins.  Text is assembled with format_string
+Schema metadata (tables, columns, samples) is joined to the questions without
+hints.  Text is assembled with format_string
 and ordered array_join over bounded groups (k hits, a question's tables).
 """
 
@@ -17,7 +17,6 @@ from . import navigate as N
 NO_EXAMPLES = TX.NO_EXAMPLES
 FENCE_RE = r"```json|```"
 LINK_TOKEN_RE = r"[a-z0-9]+"
-MIN_TOKEN_LEN = 3
 GRAPH_CTX_HEAD = TX.GRAPH_CTX_HEAD
 QUESTION_TAIL = TX.QUESTION_TAIL
 V1_NO_COLUMNS = TX.V1_NO_COLUMNS
@@ -39,8 +38,7 @@ def router_context(columns: DataFrame, samples: DataFrame, available: DataFrame)
     vals = samples.groupBy("id", "column").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rn", "value"))),
         lambda x: F.concat(F.lit("'"), x["value"], F.lit("'"))), ", ").alias("vals"))
-    c = (columns.select("id", "column").join(F.broadcast(available.select(F.col("table").alias("id"))), "id",
-                                             "left_semi")
+    c = (columns.select("id", "column").join(available.select(F.col("table").alias("id")), "id", "left_semi")
          .join(vals, ["id", "column"], "left")
          .withColumn("text", F.when(F.col("vals").isNotNull(), F.format_string(TX.ROUTER_EXAMPLES, "vals"))
                      .otherwise(F.lit(NO_EXAMPLES))))
@@ -58,39 +56,27 @@ def parse_table_list(response: Column, available: list[str]) -> Column:
 
 def linked_samples(linked: DataFrame, samples: DataFrame) -> DataFrame:
     """L4: sample values of the selected tables only (qid, id, column, value, rn)."""
-    return linked.select("qid", F.col("table").alias("id")).join(F.broadcast(samples), "id")
+    return linked.select("qid", F.col("table").alias("id")).join(samples, "id")
 
 
-def metadata_tokens(columns: DataFrame, samples: DataFrame, max_table_share: float = 1.0) -> DataFrame:
-    """Tokens naming each table: its name, its column names, its sample values.
-
-    Tokens that name more than ``max_table_share`` of the tables say little about
-    any one table and are dropped (the catalog is small, so this is one
-    aggregate over the token list).
-    """
+def metadata_tokens(columns: DataFrame, samples: DataFrame) -> DataFrame:
+    """Tokens naming each table: its name, its column names, its sample values, of any length."""
     def toks(c: Column) -> Column:
         return F.explode(F.regexp_extract_all(F.lower(c), F.lit(LINK_TOKEN_RE), F.lit(0)))
     t = (columns.select("id", toks(F.col("id")).alias("token"))
          .unionByName(columns.select("id", toks(F.col("column")).alias("token")))
          .unionByName(samples.select("id", toks(F.col("value")).alias("token"))))
-    t = t.where(F.length("token") >= MIN_TOKEN_LEN).distinct()
-    if max_table_share >= 1.0:
-        return t
-    n_tables = columns.select("id").distinct().count()  # one scalar, bounded by the catalog
-    per_token = t.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    keep = per_token.where(F.col("n") <= F.lit(max_table_share * n_tables)).select("token")
-    return t.join(keep, "token", "left_semi")
+    return t.distinct()
 
 
 def lexical_link(questions: DataFrame, meta_tokens: DataFrame) -> DataFrame:
     """Tables whose metadata tokens appear in the question, ranked by distinct hits.
 
-    The token list of the catalog is broadcast; question tokens stay where the
-    question is, so the join is map-side and the count is per question.
+    No hint: Spark broadcasts the token list only where it is small.
     """
     qt = questions.select("qid", F.explode(F.array_distinct(
         F.regexp_extract_all(F.lower("question"), F.lit(LINK_TOKEN_RE), F.lit(0)))).alias("token"))
-    hits = qt.join(F.broadcast(meta_tokens), "token")
+    hits = qt.join(meta_tokens, "token")
     per = hits.groupBy("qid", F.col("id").alias("table")).agg(F.count(F.lit(1)).alias("hits"))
     from pyspark.sql import Window
     w = Window.partitionBy("qid").orderBy(F.desc("hits"), "table")
@@ -127,7 +113,7 @@ def v1_graph_context(valid: DataFrame, best: DataFrame, rules: DataFrame, blocks
                              .join(with_rules, "qid", "left_anti"))
                 .select("qid", "table"))
     relevant = path_nodes.join(with_rules, "qid", "left_semi").unionByName(fallback).distinct()
-    meta = (relevant.join(F.broadcast(blocks.withColumnRenamed("id", "table")), "table")
+    meta = (relevant.join(blocks.withColumnRenamed("id", "table"), "table")
             .groupBy("qid").agg(F.array_join(F.transform(
                 F.array_sort(F.collect_list(F.struct("table", "block"))), lambda x: x["block"]), "")
                 .alias("meta")))

@@ -1,9 +1,8 @@
 """Graph navigation (N1-N17) over the workload graph, as DataFrames.
 
-The graph has one node per table, so its edge list and the set of simple
-paths of at most three edges are bounded by the catalog (tables^2 edges,
-paths limited further by ``max_degree``); they are broadcast into the
-per-question joins.  Per-question work is a join of the question's table
+The graph has a node per name that the log uses as a table; its edge list and
+the simple paths of at most three edges are joined without hints, so Spark
+broadcasts them only where they are small.  Per-question work is a join of the question's table
 pairs with those paths and a ranked pick; the greedy connection of hybrid
 navigation is a loop of at most (tables - 1) rounds of joins over all
 questions at once.
@@ -46,7 +45,7 @@ def weight_norm(edges: DataFrame) -> DataFrame:
 
 def paths(edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """Simple paths of 1..max_hops edges: src, dst, path (array), hops, wsum, nsum."""
-    e = F.broadcast(weight_norm(edges).select("src", "dst", "weight", "norm"))  # catalog-bounded
+    e = weight_norm(edges).select("src", "dst", "weight", "norm")
     cur = e.select("src", "dst", F.array("src", "dst").alias("path"), F.lit(1).alias("hops"),
                    F.col("weight").cast("long").alias("wsum"), F.col("norm").alias("nsum"))
     out = cur
@@ -91,7 +90,7 @@ def edge_rules(edges: DataFrame) -> DataFrame:
 
 def valid_tables(requested: DataFrame, nodes: DataFrame) -> DataFrame:
     """Requested (qid, table_pos, table) kept when the table is a graph node."""
-    return requested.join(F.broadcast(nodes.select(F.col("id").alias("table"))), "table", "left_semi")
+    return requested.join(nodes.select(F.col("id").alias("table")), "table", "left_semi")
 
 
 def table_pairs(valid: DataFrame) -> DataFrame:
@@ -104,8 +103,7 @@ def table_pairs(valid: DataFrame) -> DataFrame:
 
 def v1_paths(valid: DataFrame, best: DataFrame) -> DataFrame:
     """N4 per question: the best path of every pair (pairs without a path drop out)."""
-    b = F.broadcast(best.select(F.col("src").alias("ta"), F.col("dst").alias("tb"), "path", "path_key",
-                                "hops", "wsum"))
+    b = best.select(F.col("src").alias("ta"), F.col("dst").alias("tb"), "path", "path_key", "hops", "wsum")
     return table_pairs(valid).join(b, ["ta", "tb"])
 
 
@@ -119,7 +117,7 @@ def path_edges(chosen: DataFrame) -> DataFrame:
 
 def join_rules(chosen: DataFrame, rules: DataFrame) -> DataFrame:
     """Per question the distinct rules along its chosen paths, sorted, one per line."""
-    r = path_edges(chosen).join(F.broadcast(rules), ["source", "target"])
+    r = path_edges(chosen).join(rules, ["source", "target"])
     return r.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_set("rule")), "\n").alias("rules"))
 
 
@@ -164,11 +162,12 @@ def hybrid_score(hist: Column, sem: Column, hops: Column) -> Column:
 def scored_paths(questions: DataFrame, p: DataFrame, pairs: DataFrame) -> DataFrame:
     """N7-N9 for the candidate (question, path) rows of ``pairs`` (qid, src, dst).
 
-    The path text is embedded once per distinct path (catalog-bounded), the
-    question once per question; the cosine is computed per candidate row.
+    Only paths between requested pairs are embedded, each once, as is every
+    question; the cosine is computed per candidate row.
     """
-    pv = V.with_hash_embedding(p.withColumn("path_text", F.array_join("path", " ")), "path_text", "pvec")
-    cand = pairs.join(F.broadcast(pv), ["src", "dst"])
+    asked = p.join(pairs.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
+    pv = V.with_hash_embedding(asked.withColumn("path_text", F.array_join("path", " ")), "path_text", "pvec")
+    cand = pairs.join(pv, ["src", "dst"])
     q = questions.select("qid", F.col("vec").alias("qvec"))
     return (cand.join(q, "qid")
             .withColumn("sem_score", V.cosine(F.col("qvec"), F.col("pvec")))
@@ -192,7 +191,7 @@ def greedy_connect(questions: DataFrame, valid: DataFrame, p: DataFrame, max_rou
     state = ordered.groupBy("qid").agg(
         F.array_sort(F.collect_list(F.struct("rn", "table"))).alias("_t")).select(
         "qid", F.array(F.col("_t")[0]["table"]).alias("connected"),
-        F.transform(F.slice("_t", 2, 1 << 20), lambda x: x["table"]).alias("pending"),
+        F.transform(F.slice("_t", F.lit(2), F.size("_t")), lambda x: x["table"]).alias("pending"),
         F.lit(True).alias("active"))
     picks = None
     spark = questions.sparkSession
@@ -201,7 +200,7 @@ def greedy_connect(questions: DataFrame, valid: DataFrame, p: DataFrame, max_rou
         cand = live.select("qid", F.explode("connected").alias("src"), "pending").select(
             "qid", "src", F.explode("pending").alias("dst"))
         sc = scored_paths(questions, p, cand)
-        w = Window.partitionBy("qid").orderBy(F.desc("total"), "hops", "path_key")
+        w = Window.partitionBy("qid").orderBy(F.desc(F.round("total", 9)), "hops", "path_key")
         best = sc.withColumn("r", F.row_number().over(w)).where("r = 1").select(
             "qid", "path", "path_key", "total")
         nxt = (state.join(best, "qid", "left")

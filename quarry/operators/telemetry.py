@@ -101,14 +101,14 @@ def loop_guard(spans: DataFrame, tool: str = SCHEMA_TOOL, limit: int = MAX_SCHEM
 
 def thought_text(log: Column) -> Column:
     """Text before "Action:", without a "Thought:" prefix, trimmed; else the log as is."""
-    head = F.trim(F.split(log, "Action:", 2).getItem(0))
-    return F.when(log.contains("Action:"),
-                  F.trim(F.regexp_replace(head, r"^Thought:", ""))).otherwise(log)
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    head = bare(F.split(log, "Action:", 2).getItem(0))
+    return F.when(log.contains("Action:"), bare(F.regexp_replace(head, r"^Thought:", ""))).otherwise(log)
 
 
 def parse_run_id(message_id: Column) -> Column:
     """Drop a leading ``lc_run--`` and the last ``-`` part."""
-    s = F.when(message_id.startswith("lc_run--"), F.substring(message_id, 9, 1 << 30)).otherwise(message_id)
+    s = F.when(message_id.startswith("lc_run--"), F.substr(message_id, F.lit(9))).otherwise(message_id)
     return F.when(s.contains("-"), F.regexp_replace(s, r"-[^-]*$", "")).otherwise(s)
 
 

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
-
 from pyspark.sql import functions as F
 
 from ..operators import catalog as C
 from ..operators import mining as W
 from ..operators import telemetry as T
-from ..session import ensure_checkpoint_dir
+from ..session import shared_path, stored
 from ..sources import adapters as A
 from ..sources import artefacts as S
 from ..sources.tables import ALL_TABLES, STAR_TABLES, register_tables, table
@@ -39,6 +36,7 @@ SQL = {
     "sql_run_all": "SELECT r.r_name, count(*) AS n_nations FROM region r JOIN nation n "
                    "ON r.r_regionkey = n.n_regionkey GROUP BY r.r_name",
 }
+SQL_UNKNOWN = "SELECT no_such_column FROM no_such_table"
 SQL_ONE = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey"
 
 
@@ -61,7 +59,34 @@ def q_rows_as_strings(spark, sf_dir):
 
 def q_sql_timed(spark, sf_dir):
     register_tables(spark, sf_dir)
-    return C.timed(spark, SQL["sql_group_count"]).select("query", (F.col("seconds") >= 0).alias("ran"), "error")
+    return C.timed(spark, SQL["sql_group_count"]).select("query", "ran", "error")
+
+
+def q_sql_status(spark, sf_dir):
+    """Statements that run and one that fails, with the status that their error text gives."""
+    register_tables(spark, sf_dir)
+    out = [C.timed(spark, text).select(F.lit(name).alias("name"), "ran", F.when(F.col("error").isNull(), "VALID").otherwise("ERROR").alias("status"),
+                                       F.coalesce(F.col("error").startswith("Error:"), F.lit(False)).alias("told"))
+           for name, text in (("group", SQL["sql_group_count"]), ("most", SQL["sql_most_common"]), ("unknown", SQL_UNKNOWN))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def q_parse_result_text(spark, sf_dir):
+    """Results given as text: every nation as a JSON array of rows, every region as bare text."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.to_json(F.array(
+        F.array(F.col("n_nationkey").cast("string"), "n_name"))).alias("text"))
+    r = table(spark, sf_dir, "region").select((1000 + F.col("r_regionkey")).cast("long").alias("key"), F.col("r_name").alias("text"))
+    rows = n.unionByName(r).select("key", C.parse_result_text(F.col("text")).alias("rows"))
+    return rows.select("key", F.size("rows").cast("long").alias("n_rows"), F.array_join(F.get("rows", F.lit(0)), "|").alias("first_row"))
+
+
+def q_run_log_source(spark, sf_dir):
+    """Run records written as logs of both shapes and read back."""
+    path, runs = shared_path(spark, "logs"), A.runs(spark, sf_dir)
+    rec = T.run_record(runs).join(runs.select("query_id", "accuracy"), "query_id").select(*[f.name for f in S.RUN_SCHEMA.fields])
+    rec.where("query_id % 2 = 0").write.json(path + "/bare")
+    rec.where("query_id % 2 = 1").select(F.array(F.struct(*rec.columns)).alias("detailed_queries")).write.json(path + "/wrapped")
+    return S.read_run_logs(spark, [path + "/bare", path + "/wrapped"], multi_line=False)
 
 
 def q_catalog_tables(spark, sf_dir):
@@ -108,16 +133,11 @@ def q_date_as_string(spark, sf_dir):
     return S.dates_as_string(table(spark, sf_dir, "orders"))
 
 
-def _scratch(spark, sf_dir, kind):
-    tag = hashlib.md5(sf_dir.encode()).hexdigest()[:10]
-    return os.path.join(ensure_checkpoint_dir(spark), "artefacts", kind, tag)
-
-
 def _spec(spark, sf_dir):
     log = A.qlog(spark, sf_dir).select(
         F.col("query_id").alias("question_id"), "db_id", "question", F.lit(None).cast("string").alias("evidence"),
         F.col("sql").alias("SQL"), "difficulty")
-    path = _scratch(spark, sf_dir, "spec")
+    path = shared_path(spark, "spec")
     S.write_spec(log, path)
     return S.read_spec(spark, path, A.QLOG_DB_ID)
 
@@ -133,16 +153,14 @@ def q_spec_lookup(spark, sf_dir):
 
 def q_vector_corpus(spark, sf_dir):
     docs = VQ.benchmark_docs(spark, sf_dir)
-    path = _scratch(spark, sf_dir, "vectors")
-    docs.write.mode("overwrite").parquet(path)
-    back = spark.read.parquet(path)
+    back = stored(docs, "vectors")
     return back.select("cid", "text", "sql", F.size("vec").alias("dims"))
 
 
 def q_results_sink(spark, sf_dir):
     rec = T.run_record(A.runs(spark, sf_dir)).join(
         A.runs(spark, sf_dir).select("query_id", "accuracy"), "query_id")
-    path = _scratch(spark, sf_dir, "runs")
+    path = shared_path(spark, "runs")
     S.write_runs(rec.select(*[f.name for f in S.RUN_SCHEMA.fields]), path)
     return spark.read.schema(S.RUN_SCHEMA).json(path)
 
@@ -159,6 +177,9 @@ QUERIES = {**{k: _sql_query(v) for k, v in SQL.items()},
            "sql_run_one": q_sql_run_one,
            "rows_as_strings": q_rows_as_strings,
            "sql_timed": q_sql_timed,
+           "sql_status": q_sql_status,
+           "parse_result_text": q_parse_result_text,
+           "run_log_source": q_run_log_source,
            "catalog_tables": q_catalog_tables,
            "catalog_usable": q_catalog_usable,
            "schema_ddl": q_schema_ddl,

@@ -120,7 +120,7 @@ def graph_context_v2(spark, sf_dir):
                 .unionByName(picks.where(F.col("fallback").isNotNull()).select("qid", F.explode("fallback").alias("table")))
                 .unionByName(first.select("qid", "table")).distinct())
     blocks = NV.metadata_blocks(spark, sf_dir).withColumnRenamed("id", "table")
-    meta = (relevant.join(F.broadcast(blocks), "table").groupBy("qid").agg(F.array_join(F.transform(
+    meta = (relevant.join(blocks, "table").groupBy("qid").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("table", "block"))), lambda x: x["block"]), "").alias("meta")))
     n = valid.groupBy("qid").agg(F.count(F.lit(1)).alias("n_valid"))
     join_text = (F.when(F.col("n_valid") == 1, F.lit(N.SINGLE_TABLE))

@@ -41,6 +41,14 @@ profile AS (SELECT d.table_name, d.ddl || {q(chr(10) + chr(10) + '/*' + chr(10))
               ON r.table_name = d.table_name)"""
 
 
+# What a run record holds of the fields that logs keep; other providers than the known ones are unknown.
+RECORD = "WITH " + runs_cte().strip("\n") + """
+SELECT query_id, experiment, CASE WHEN provider IN ('google', 'cloudflare', 'claude', 'openai') THEN provider ELSE 'unknown' END AS llm,
+  CASE WHEN spark_error IS NOT NULL THEN 'ERROR' WHEN sparksql_query IS NOT NULL THEN 'VALID' ELSE 'NOT_EXECUTED' END AS execution_status,
+  coalesce(total_time, -1.0) AS total_time, coalesce(spark_time, -1.0) AS spark_time, coalesce(input_tokens, 0) AS input_tokens,
+  coalesce(output_tokens, 0) AS output_tokens, accuracy FROM runs"""
+
+
 def oracle() -> dict[str, str]:
     out = {k: v for k, v in SQL.items()}
     all_in = "(" + ", ".join(q(t) for t in ALL_TABLES) + ")"
@@ -66,6 +74,12 @@ SELECT qid, CASE WHEN count(*) FILTER (WHERE info IS NULL) > 0
                       FILTER (WHERE info IS NULL) || '}} not found in database'
                  ELSE string_agg(info, {q(chr(10) * 2)} ORDER BY pos) END AS info
 FROM j GROUP BY qid""",
+        "sql_status": """SELECT * FROM (VALUES ('group', true, 'VALID', false), ('most', true, 'VALID', false), ('unknown', false, 'ERROR', true)) t(name, ran, status, told)""",
+        "sql_timed": "SELECT " + q(SQL["sql_group_count"]) + " AS query, true AS ran, CAST(NULL AS VARCHAR) AS error",
+        "parse_result_text": """SELECT CAST(n_nationkey AS BIGINT) AS key, CAST(1 AS BIGINT) AS n_rows, n_nationkey || '|' || n_name AS first_row FROM nation
+UNION ALL SELECT 1000 + CAST(r_regionkey AS BIGINT), CAST(1 AS BIGINT), r_name FROM region""",
+        "run_log_source": RECORD,
+        "results_sink": RECORD,
         "date_as_string": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
        CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders""",
         "spec_scan": spec + "\nSELECT * FROM spec",

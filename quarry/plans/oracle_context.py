@@ -100,7 +100,7 @@ mt AS (SELECT DISTINCT id, token FROM (
          SELECT id, unnest(regexp_extract_all(lower(id), {q(L.LINK_TOKEN_RE)})) AS token FROM g_columns
          UNION ALL SELECT id, unnest(regexp_extract_all(lower("column"), {q(L.LINK_TOKEN_RE)})) FROM g_columns
          UNION ALL SELECT id, unnest(regexp_extract_all(lower(value), {q(L.LINK_TOKEN_RE)})) FROM samples)
-       WHERE length(token) >= {L.MIN_TOKEN_LEN}),
+       ),
 qtok AS (SELECT query_id AS qid, unnest(list_distinct(regexp_extract_all(lower(question), {q(L.LINK_TOKEN_RE)}))) AS token
          FROM qlog),
 per AS (SELECT t.qid, m.id AS "table", count(*) AS hits FROM qtok t JOIN mt m ON m.token = t.token GROUP BY t.qid, m.id)

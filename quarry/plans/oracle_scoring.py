@@ -2,38 +2,43 @@
 
 from __future__ import annotations
 
-from ..functions import canonical as C
 from ..operators import scoring as S
 from ..sources import adapters as A
 from .oracle_telemetry import runs_cte
 from .oracle_workload import q
 
 
+NULL_WORDS = ["none", "null", "nan", "na", "n/a"]
+INTEGER = "^[+-]?[0-9]+$"
+NUMBER = "^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"
+SPACES_AT_ENDS = "^[\\s\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{2000}-\\x{200A}]+|[\\s\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{2000}-\\x{200A}]+$"
+
+
 def whole_sql(d: str) -> str:
-    return (f"(CASE WHEN {d} IS NOT NULL AND NOT isnan({d}) AND abs({d}) < {C.WHOLE_LIMIT} AND {d} % 1 = 0 "
-            f"THEN (CASE WHEN abs({d}) < {C.LONG_LIMIT} THEN CAST(CAST({d} AS BIGINT) AS VARCHAR) "
+    return (f"(CASE WHEN {d} IS NOT NULL AND NOT isnan({d}) AND abs({d}) < 1.7e38 AND {d} % 1 = 0 "
+            f"THEN (CASE WHEN abs({d}) < 9e18 THEN CAST(CAST({d} AS BIGINT) AS VARCHAR) "
             f"ELSE CAST(CAST({d} AS HUGEINT) AS VARCHAR) END) END)")
 
 
 def canon_text_sql(c: str) -> str:
-    s = f"regexp_replace({c}, {q(C.TRIM_RE)}, '', 'g')"
+    s = f"regexp_replace({c}, {q(SPACES_AT_ENDS)}, '', 'g')"
     digits = f"regexp_replace({s}, '^[+-]?0*', '')"
-    d = f"(CASE WHEN regexp_matches({s}, {q(C.NUM_RE)}) THEN TRY_CAST({s} AS DOUBLE) END)"
-    words = ", ".join(q(w) for w in C.NULL_WORDS)
-    return (f"(CASE WHEN {c} IS NULL THEN {q(C.NULL_TOKEN)} "
-            f"WHEN regexp_matches({s}, {q(C.INT_RE)}) THEN (CASE WHEN {digits} = '' THEN '0' "
+    d = f"(CASE WHEN regexp_matches({s}, {q(NUMBER)}) THEN TRY_CAST({s} AS DOUBLE) END)"
+    words = ", ".join(q(w) for w in NULL_WORDS)
+    return (f"(CASE WHEN {c} IS NULL THEN '__NULL__' "
+            f"WHEN regexp_matches({s}, {q(INTEGER)}) THEN (CASE WHEN {digits} = '' THEN '0' "
             f"WHEN starts_with({s}, '-') THEN '-' || {digits} ELSE {digits} END) "
             f"WHEN {whole_sql(d)} IS NOT NULL THEN {whole_sql(d)} "
-            f"WHEN lower({s}) IN ({words}) THEN {q(C.NULL_TOKEN)} ELSE {s} END)")
+            f"WHEN lower({s}) IN ({words}) THEN '__NULL__' ELSE {s} END)")
 
 
 def canon_double_sql(c: str) -> str:
-    return (f"(CASE WHEN {c} IS NULL OR isnan({c}) THEN {q(C.NULL_TOKEN)} "
+    return (f"(CASE WHEN {c} IS NULL OR isnan({c}) THEN '__NULL__' "
             f"ELSE coalesce({whole_sql(c)}, CAST({c} AS VARCHAR)) END)")
 
 
 def canon_int_sql(c: str) -> str:
-    return f"(CASE WHEN {c} IS NULL THEN {q(C.NULL_TOKEN)} ELSE CAST({c} AS VARCHAR) END)"
+    return f"(CASE WHEN {c} IS NULL THEN '__NULL__' ELSE CAST({c} AS VARCHAR) END)"
 
 
 def h60_sql(x: str) -> str:

@@ -18,7 +18,7 @@ def spans_cte() -> str:
 spans AS (
   SELECT 'run-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id, event_id AS span_id,
          CASE event_type WHEN 'click' THEN 'llm' WHEN 'view' THEN 'tool' WHEN 'purchase' THEN 'spark'
-                         WHEN 'error' THEN 'tool' END AS type,
+                         ELSE 'tool' END AS type,
          CASE WHEN event_type = 'click' THEN 'llm_call' WHEN event_type = 'purchase' THEN 'spark_run'
               ELSE {_list(A.TOOL_NAMES)}[user_id % {len(A.TOOL_NAMES)} + 1] END AS name,
          epoch_us(ts) AS start,
@@ -26,7 +26,7 @@ spans AS (
               THEN epoch_us(ts) + CAST(round(value * {A.SPAN_SECONDS_PER_VALUE * 1_000_000}) AS BIGINT) END AS "end",
          CASE WHEN event_type = 'click' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) * 7 END AS input_tokens,
          CASE WHEN event_type = 'click' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) * 3 END AS output_tokens
-  FROM events WHERE event_type IN ('click', 'view', 'purchase', 'error')),
+  FROM events),
 bounds AS (SELECT run_id, min(start) AS run_start, max(coalesce("end", start)) AS run_end
            FROM spans GROUP BY run_id),
 closed AS (SELECT s.run_id, s.span_id, s.type, s.name, s.start, coalesce(s."end", b.run_end) AS "end",
@@ -102,7 +102,7 @@ def oracle() -> dict[str, str]:
     prices = ", ".join(f"({q(p)}, {a}, {b})" for p, a, b in PRICES)
     agent_log = """
 agent AS (SELECT conv_id, turn, role,
-            CASE WHEN role = 'assistant' THEN 'Thought: ' || text || ' Action: query_sql_db' ELSE text END AS log,
+            CASE WHEN role = 'assistant' THEN 'Thought: ' || text || chr(10) || 'Action: query_sql_db' ELSE text END AS log,
             CASE WHEN role = 'assistant' THEN 'lc_run--' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) || '-0'
                  ELSE CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) END AS message_id
           FROM conversations)"""
@@ -158,7 +158,7 @@ WHERE call_no = {T.MAX_SCHEMA_CALLS + 1}""",
         "thought_extract": "WITH " + agent_log.strip("\n") + """
 SELECT conv_id, turn,
   CASE WHEN contains(log, 'Action:')
-       THEN trim(regexp_replace(trim(split_part(log, 'Action:', 1)), '^Thought:', ''))
+       THEN trim(regexp_replace(trim(split_part(log, 'Action:', 1), chr(32)||chr(9)||chr(10)||chr(13)), '^Thought:', ''), chr(32)||chr(9)||chr(10)||chr(13))
        ELSE log END AS thought
 FROM agent""",
         "run_id_parse": "WITH " + agent_log.strip("\n") + """,

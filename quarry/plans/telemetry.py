@@ -86,7 +86,7 @@ def q_loop_guard(spark, sf_dir):
 def _agent_log(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     log = F.when(F.col("role") == "assistant",
-                 F.concat(F.lit("Thought: "), F.col("text"), F.lit(" Action: query_sql_db"))
+                 F.concat(F.lit("Thought: "), F.col("text"), F.lit("\nAction: query_sql_db"))
                  ).otherwise(F.col("text"))
     msg = F.when(F.col("role") == "assistant",
                  F.concat(F.lit("lc_run--"), F.col("conv_id").cast("string"), F.lit("-"),

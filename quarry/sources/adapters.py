@@ -137,7 +137,7 @@ def qlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Span type per event type, the reference's tool names, the
 # architectures, difficulty labels and provider labels.
 # ---------------------------------------------------------------------------
-SPAN_TYPE = {"click": "llm", "view": "tool", "purchase": "spark", "error": "tool"}
+SPAN_TYPE = {"click": "llm", "view": "tool", "purchase": "spark", "error": "tool", "signup": "tool"}
 TOOL_NAMES = ["list_tables_sql_db", "schema_sql_db", "query_sql_db", "query_checker_sql_db"]
 ARCHITECTURES = ["baseline", "vector", "graph", "hybrid_v1", "hybrid_v2"]
 DIFFICULTIES = ["simple", "moderate", "challenging"]
@@ -154,15 +154,15 @@ def _tokens_k(props: Column) -> Column:
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One span per click / view / purchase / error event; run = day.
+    """One span per event; run = day.
 
     Columns: run_id, span_id, type, name, start, end (microseconds; ``end`` is null
     for error events: a tool span that never ended), input_tokens, output_tokens.
     """
-    e = table(spark, sf_dir, "events").where(F.col("event_type").isin(*SPAN_TYPE))
+    e = table(spark, sf_dir, "events")
     start = F.unix_micros(F.col("ts").cast("timestamp"))
     dur = F.round(F.col("value") * F.lit(SPAN_SECONDS_PER_VALUE * 1_000_000)).cast("long")
-    stype = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in SPAN_TYPE.items()])
+    stype = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in SPAN_TYPE.items()], F.lit("tool"))
     k = _tokens_k(F.col("props"))
     return e.select(
         F.concat(F.lit("run-"), F.to_date(F.col("ts").cast("timestamp")).cast("string")).alias("run_id"),

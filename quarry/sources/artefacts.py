@@ -48,9 +48,13 @@ def write_spec(items: DataFrame, path: str) -> None:
     items.select(*[F.col(f.name).cast(f.dataType) for f in SPEC_SCHEMA.fields]).write.mode("overwrite").json(path)
 
 
-def read_spec(spark: SparkSession, path: str, db_id: str | None = None) -> DataFrame:
-    """Scan benchmark JSON with the explicit schema; keep one database."""
-    df = spark.read.schema(SPEC_SCHEMA).json(path)
+def read_spec(spark: SparkSession, path: str, db_id: str | None = None, multi_line: bool = False) -> DataFrame:
+    """Scan benchmark JSON with the explicit schema; keep one database.
+
+    ``multi_line``: the file is one JSON array, as benchmarks are published; else one object per line.  Text
+    that is neither raises: a wrong choice must not read as an empty table.
+    """
+    df = spark.read.schema(SPEC_SCHEMA).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
     df = df.withColumn("difficulty", F.coalesce("difficulty", F.lit(DEFAULT_DIFFICULTY)))
     return df.where(F.col("db_id") == db_id) if db_id is not None else df
 
@@ -67,14 +71,14 @@ def lookup(spec: DataFrame, keys: DataFrame, with_db: bool = False) -> DataFrame
 
 
 def write_runs(runs: DataFrame, path: str) -> None:
-    """Run records as JSON, one folder per experiment."""
-    runs.write.mode("overwrite").partitionBy("experiment").json(path)
+    """Run records as JSON, one folder per experiment; appended, each write under file names of its own."""
+    runs.write.mode("append").partitionBy("experiment").json(path)
 
 
-def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
+def read_run_logs(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """Run logs in either shape: ``{summary_metrics, detailed_queries[]}`` or a bare list."""
     wrapped = T.StructType([T.StructField("detailed_queries", T.ArrayType(RUN_SCHEMA))])
-    raw = spark.read.option("multiLine", True).schema(
+    raw = spark.read.option("multiLine", multi_line).schema(
         T.StructType(RUN_SCHEMA.fields + wrapped.fields)).json(path)
     inner = raw.where(F.col("detailed_queries").isNotNull()).select(F.inline("detailed_queries"))
     bare = raw.where(F.col("detailed_queries").isNull()).select(*[f.name for f in RUN_SCHEMA.fields])

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.canonical import canonical, canonicalize
+from quarry.functions.canonical import NULL_TOKEN, canonical, canonicalize
 from quarry.operators import scoring as S
 
 
@@ -106,3 +106,15 @@ def test_strict_signature_is_order_sensitive(spark):
     rb = S.relaxed_signatures(b, "case_id", ["c0"]).first()
     assert (ra["n"], ra["h1"], ra["h2"]) == (rb["n"], rb["h1"], rb["h2"])
     assert not math.isnan(float(sa["h1"]))
+
+
+def test_large_whole_numbers_and_spaces(spark):
+    """Every digit of a whole double, as Python's int gives it; any white space at the ends goes."""
+    values = [1e15, 2.0 ** 53 + 2, -(2.0 ** 62), 2.0 ** 63, 9.3e18, 1e19, 1e22, 1e23, 1e37, -1e37, 1e38, 1.7e308, 12345678901234567890.0, 0.0, -0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.select(canonical(F.col("v"), T.DoubleType())).collect()]
+    assert got == [str(int(v)) for v in values]
+    texts = ["1e23", " 1e37 ", "12345678901234567890.0", " 7 ", " x　", "\x1fnull\x85", "2.50", "inf", "9007199254740994.0"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(canonical(F.col("t"), T.StringType())).collect()]
+    assert got == [str(int(1e23)), str(int(1e37)), "12345678901234567168", "7", "x", NULL_TOKEN, "2.50", "inf", "9007199254740994"]
