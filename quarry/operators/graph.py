@@ -122,54 +122,39 @@ def nodes_long(g: Graph) -> DataFrame:
                                                "key", "freq")))
 
 
-def _k_smallest(k: int, cols: list[str]):
-    """Per Arrow batch: the k smallest distinct non-null values of each column."""
-    import numpy as np
-    import pandas as pd
-
-    def fn(batches):
-        for pdf in batches:
-            out_c, out_v = [], []
-            for c in cols:
-                v = pd.unique(pdf[c].dropna())
-                if len(v):
-                    v = np.sort(v.astype(object))[:k]  # code-point order = UTF-8 byte order
-                    out_c += [c] * len(v)
-                    out_v += list(v)
-            yield pd.DataFrame({"column": pd.Series(out_c, dtype=object),
-                                "value": pd.Series(out_v, dtype=object)})
-    return fn
-
-
 def entity_samples(spark: SparkSession, columns: DataFrame, tables: dict[str, DataFrame],
                    k: int = 3) -> DataFrame:
     """Up to ``k`` distinct non-null values per (table, column), smallest first.
 
-    The (table, column) list comes from the graph and is bounded by the catalog
-    (tables x columns), so it is read on the driver to prune the scans: only the
-    columns the workload names are read, once.  Each Arrow batch keeps only its
-    k smallest distinct values per column (a map-side top-k), so the shuffle
-    carries at most k rows per column and batch instead of every distinct value;
-    a ranked window merges them.
+    Names are matched as the engine resolves them, whatever their case.  Of the graph's names only those
+    that the catalog has come to the driver, to prune the scans.  The values are k passes of ``min`` over
+    the named columns, each above the one before: partial aggregates in the JVM, one row per task and pass.
     """
-    wanted = columns.select("id", "column").distinct().collect()  # bounded by catalog size
-    per_table: dict[str, list[str]] = {}
+    has = [(t, c.lower(), t, c) for t, df in tables.items() for c in df.columns]
+    catalog = spark.createDataFrame(has, "table_key string, column_key string, table_name string, column_name string")
+    wanted = columns.select("id", "column").distinct().join(
+        catalog, (F.col("id") == F.col("table_key")) & (F.lower("column") == F.col("column_key"))).collect()  # at most the catalog's columns per spelling
+    named: dict[str, dict[str, list[str]]] = {}
     for r in wanted:
-        if r["id"] in tables and r["column"] in tables[r["id"]].columns:
-            per_table.setdefault(r["id"], []).append(r["column"])
+        named.setdefault(r["table_name"], {}).setdefault(r["column_name"], []).append(r["column"])
     parts = []
-    for name in sorted(per_table):
-        cols = sorted(set(per_table[name]))
-        df = tables[name].select(*[F.col(c).cast("string").alias(c) for c in cols])
-        parts.append(df.mapInPandas(_k_smallest(k, cols), "column string, value string")
-                     .select(F.lit(name).alias("id"), "column", "value"))
+    for name in sorted(named):
+        cols = sorted(named[name])
+        text = tables[name].select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
+        level = text.agg(*[F.min(f"c{i}").alias(f"m{i}") for i in range(len(cols))])
+        for rank in range(1, k + 1):
+            if rank > 1:  # the row before has one value per column
+                level = text.crossJoin(F.broadcast(level)).agg(*[F.min(F.when(F.col(f"c{i}") > F.col(f"m{i}"), F.col(f"c{i}"))).alias(f"m{i}")
+                                                                 for i in range(len(cols))])
+            found = F.array(*[F.struct(F.lit(spelled).alias("column"), F.col(f"m{i}").alias("value"))
+                              for i, c in enumerate(cols) for spelled in sorted(named[name][c])])
+            parts.append(level.select(F.lit(name).alias("id"), F.inline(found)).select("id", "column", "value", F.lit(rank).alias("rn")))
     if not parts:
         return spark.createDataFrame([], "id string, column string, value string, rn int")
-    u = parts[0]
+    out = parts[0]
     for p in parts[1:]:
-        u = u.unionByName(p)
-    w = Window.partitionBy("id", "column").orderBy("value")
-    return u.distinct().withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+        out = out.unionByName(p)
+    return out.where("value IS NOT NULL")
 
 
 def stats(g: Graph) -> DataFrame:

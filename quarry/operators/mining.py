@@ -106,16 +106,24 @@ def _placed(tk: Column) -> Column:
                 .when(u.isin("GROUP", "ORDER") & (after == "BY"), u)
                 .when(u.isin(SET_OPERATORS), F.lit("SET"))
                 .when((u == ",") & top["clause"].isin("ON", "USING") & ~plain, F.lit("FROM")))
-            entered = frame(top, clause=clause, seg=i, scope=F.when(u == "SELECT", i).otherwise(top["scope"]))
-            distinct = frame(top, dists=F.array_append(top["dists"], i))
-            here = F.when((u == ")") & (F.size(stack) > 1), F.get(stack, F.size(stack) - 2)).when(clause.isNotNull(), entered).when((u == "DISTINCT") & (before == "(") & plain, distinct).otherwise(top)
-            placed = F.struct(*[here[n].alias(n) for n in ("kind", "scope", "level", "clause", "seg", "calls", "dists")],
-                              F.when(u == ")", top["kind"]).alias("closed")).cast(PLACE)
-            stacked = (F.when(u == "(", F.array_append(stack, opened.cast(FRAME)))
-                       .when(u == ")", F.when(F.size(stack) > 1, under).otherwise(stack))
-                       .otherwise(F.array_append(under, here.cast(FRAME))))
-            broken = state["broken"] | ((u == ")") & (F.size(stack) == 1))
-            return F.struct(stacked.alias("stack"), F.array_append(state["out"], placed).alias("out"), broken.alias("broken"))
+            def after_clause(c: Column) -> Column:
+                entered = frame(top, clause=c, seg=i, scope=F.when(u == "SELECT", i).otherwise(top["scope"]))
+                distinct = frame(top, dists=F.array_append(top["dists"], i))
+                opens = (u == "DISTINCT") & (before == "(") & plain
+                here = F.when((u == ")") & (F.size(stack) > 1), F.get(stack, F.size(stack) - 2)).when(c.isNotNull(), entered).when(opens, distinct).otherwise(top)
+
+                def recorded(h: Column) -> Column:
+                    placed = F.struct(*[h[n].alias(n) for n in ("kind", "scope", "level", "clause", "seg", "calls", "dists")],
+                                      F.when(u == ")", top["kind"]).alias("closed")).cast(PLACE)
+                    stacked = (F.when(u == "(", F.array_append(stack, opened.cast(FRAME)))
+                               .when(u == ")", F.when(F.size(stack) > 1, under).otherwise(stack))
+                               .when(c.isNotNull() | opens, F.array_append(under, h.cast(FRAME))).otherwise(stack))
+                    broken = state["broken"] | ((u == ")") & (F.size(stack) == 1))
+                    return F.struct(stacked.alias("stack"), F.array_append(state["out"], placed).alias("out"), broken.alias("broken"))
+
+                return let(here, recorded)
+
+            return let(clause, after_clause)
 
         up = lambda k: F.upper(F.get(tk, k))
         return let(F.struct(up(i).alias("u"), up(i - 1).alias("b"), up(i + 1).alias("a"), F.element_at(state["stack"], -1).alias("top")),
@@ -145,18 +153,20 @@ def _names(tk: str, at: str) -> Column:
             order_word = (u.isin("FIRST", "LAST") & (before == "NULLS")) | ((u == "NULLS") & after.isin("FIRST", "LAST"))
             frame_word = u.isin(FRAME_WORDS) & (place["kind"] == "over")
             is_name = s["t"].rlike(r'^["`A-Za-z_]') & ~u.isin(KEYWORDS) & ~order_word & ~frame_word
-            is_func = is_name & (after == "(")
-            lone = place["kind"] != "plain"
-            comma = (before == ",") & place["clause"].isin("FROM", "JOIN")
-            wrapped = (before == "(") & F.coalesce(F.upper(F.get(t, i - 2)).isin("FROM", "JOIN", ","), F.lit(False))
-            is_table = is_name & ~is_func & place["clause"].isin("FROM", "JOIN") & (
-                before.isin("FROM", "JOIN", "LATERAL") | (comma & lone) | wrapped)
-            parts = F.regexp_extract_all(s["t"], F.lit(NAME_RE + r"|\*"), F.lit(0))
-            n = F.size(parts)
-            return F.struct(i.alias("pos"), s["t"].alias("tok"), u.alias("u"), before.alias("before"), after.alias("after"), place.alias("p"),
-                            F.coalesce(is_name, F.lit(False)).alias("is_name"), F.coalesce(is_func, F.lit(False)).alias("is_func"),
-                            F.coalesce(is_table, F.lit(False)).alias("is_table"),
-                            F.when(is_name, _bare(F.get(parts, n - 1))).alias("name"), F.when(is_name & (n > 1), _bare(F.get(parts, n - 2))).alias("qual"))
+            head = [i.alias("pos"), s["t"].alias("tok"), u.alias("u"), before.alias("before"), after.alias("after"), place.alias("p")]
+            no_name = F.struct(*head, *[F.lit(False).alias(n) for n in ("is_name", "is_func", "is_table")],
+                               *[F.lit(None).cast("string").alias(n) for n in ("name", "qual")])
+
+            def named(parts: Column) -> Column:
+                is_func = after == "("
+                lone = place["kind"] != "plain"
+                comma = (before == ",") & place["clause"].isin("FROM", "JOIN")
+                wrapped = (before == "(") & F.coalesce(F.upper(F.get(t, i - 2)).isin("FROM", "JOIN", ","), F.lit(False))
+                is_table = ~is_func & place["clause"].isin("FROM", "JOIN") & (before.isin("FROM", "JOIN", "LATERAL") | (comma & lone) | wrapped)
+                return F.struct(*head, F.lit(True).alias("is_name"), is_func.alias("is_func"), F.coalesce(is_table, F.lit(False)).alias("is_table"),
+                                _bare(F.get(parts, F.size(parts) - 1)).alias("name"), _bare(F.get(parts, F.size(parts) - 2)).alias("qual"))
+
+            return F.when(is_name, let(F.regexp_extract_all(s["t"], F.lit(NAME_RE + r"|\*"), F.lit(0)), named)).otherwise(no_name)
 
         return let(F.struct(F.get(t, i).alias("t"), F.upper(F.get(t, i)).alias("u"), F.upper(F.get(t, i - 1)).alias("b"),
                             F.upper(F.get(t, i + 1)).alias("a"), F.get(p, i).alias("p")), body)

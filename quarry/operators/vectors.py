@@ -2,26 +2,23 @@
 
 * ``hash_embed``: text -> dense vector of hashed token counts (md5 bucket),
   L2-normalised; built-in array functions only, no shuffle.
-* ``knn``: exact k nearest neighbours, leave-one-out.  Queries and corpus are
-  hashed into blocks of bounded size; every query row is replicated to each
-  corpus block with ``explode(sequence(..))`` and each (query block, corpus
-  block) group is scored with one numpy matrix product inside
-  ``cogroup().applyInPandas``.  A group emits only its k best candidates per
-  query, never all pairs; a final ranked window keeps k of the
-  (corpus blocks x k) candidates per query.
+* ``knn``: exact k nearest neighbours, leave-one-out.  The corpus is dealt once, by
+  the cell of its nearest pivot; a query goes only to cells that can hold one of its
+  k nearest rows.  A block of a cell is scored with one numpy matrix product inside
+  ``cogroup().applyInPandas`` and emits its k best per query, never all pairs.
 * ``cosine``: cosine similarity of two array columns, 0 for empty / missing.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts as TX
+from ..session import stored
+
 DIM = 64
 TOKEN_RE = r"[a-z0-9]+"
 TIE_DECIMALS = 9  # distances are ranked after rounding, so float noise cannot reorder ties
@@ -65,11 +62,6 @@ def with_hash_embedding(df: DataFrame, text: str, out: str = "vec", dim: int = D
             .withColumn(out, embed_buckets(F.col("_buckets"), dim)).drop("_buckets"))
 
 
-def hash_embed(text: Column, dim: int = DIM) -> Column:
-    """V1 as one expression (for a single use; prefer ``with_hash_embedding``)."""
-    return embed_buckets(token_buckets(text, dim), dim)
-
-
 def cosine(a: Column, b: Column) -> Column:
     """V7: cosine similarity; 0 when either vector is missing or empty."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
@@ -79,62 +71,132 @@ def cosine(a: Column, b: Column) -> Column:
             .otherwise(F.try_divide(dot, na * nb)))
 
 
-def _topk_block(k: int, metric: str, exclude_self: bool):
-    def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(c) == 0:
+def _matrix(vectors) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
+def _distances(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "cosine":
+        with np.errstate(invalid="ignore", divide="ignore"):
+            d = 1.0 - (q @ c.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :])
+        return np.nan_to_num(d, nan=1.0)
+    d = (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * (q @ c.T)
+    return np.maximum(d, 0.0)
+
+
+def _block_search(k: int, metric: str, exclude_self: bool):
+    """The k best corpus rows of one block for each query that was sent to it."""
+    def fn(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(corpus):
             return pd.DataFrame({"qid": [], "cid": [], "dist": []})
-        Q = np.stack(q["vec"].to_numpy()).astype(np.float64)
-        C = np.stack(c["vec"].to_numpy()).astype(np.float64)
-        if metric == "cosine":
-            qn = np.linalg.norm(Q, axis=1)[:, None]
-            cn = np.linalg.norm(C, axis=1)[None, :]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                d = 1.0 - (Q @ C.T) / (qn * cn)
-            d = np.nan_to_num(d, nan=1.0)
-        else:  # squared L2
-            d = (Q * Q).sum(1)[:, None] + (C * C).sum(1)[None, :] - 2.0 * (Q @ C.T)
-            np.maximum(d, 0.0, out=d)
-        qids = q["qid"].to_numpy()
-        cids = c["cid"].to_numpy()
+        q, c = _matrix(queries["vec"]), _matrix(corpus["vec"])
+        qids, cids = queries["qid"].to_numpy(), corpus["cid"].to_numpy()
+        rough = _distances(q, c, metric)
         if exclude_self:
-            d[qids[:, None] == cids[None, :]] = np.inf
-        kk = min(k, d.shape[1])
-        # candidates: k smallest by (rounded distance, id); a margin keeps exact ties
-        part = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < d.shape[1] else \
-            np.tile(np.arange(d.shape[1]), (d.shape[0], 1))
-        kth = np.take_along_axis(d, part, 1).max(axis=1)
-        rows, cols = np.nonzero(np.round(d, TIE_DECIMALS) <= np.round(kth, TIE_DECIMALS)[:, None])
-        out = pd.DataFrame({"qid": qids[rows], "cid": cids[cols], "dist": d[rows, cols]})
-        out = out[np.isfinite(out["dist"])]
+            rough[qids[:, None] == cids[None, :]] = np.inf
+        n = min(k, rough.shape[1])
+        kth = np.partition(rough, n - 1, axis=1)[:, n - 1]
+        # The product form cancels for long vectors: what may be among the k is measured again, directly.
+        slack = 2e-9 + 1e-12 * ((q * q).sum(1)[:, None] + (c * c).sum(1)[None, :])
+        rows, cols = np.nonzero((rough <= kth[:, None] + slack) & np.isfinite(rough))
+        dist = rough[rows, cols] if metric == "cosine" else ((q[rows] - c[cols]) ** 2).sum(axis=1)
+        out = pd.DataFrame({"qid": qids[rows], "cid": cids[cols], "dist": dist})
         out["r"] = out["dist"].round(TIE_DECIMALS)
-        out = out.sort_values(["qid", "r", "cid"]).groupby("qid", sort=False).head(k)
-        return out[["qid", "cid", "dist"]]
+        return out.sort_values(["qid", "r", "cid"]).groupby("qid", sort=False).head(k)[["qid", "cid", "dist"]]
+
     return fn
 
 
+def _searched(sent: DataFrame, placed: DataFrame, k: int, metric: str, exclude_self: bool, block_rows: int, types: tuple[str, str]) -> DataFrame:
+    """Candidates of queries (qid, vec, block) among the corpus rows (cid, vec, block) of the same block.
+
+    A block to which more than ``block_rows`` queries go is searched in several parts.
+    """
+    parts = sent.groupBy("block").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
+    left = sent.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")).cast("int")).drop("parts")
+    right = placed.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(
+        _block_search(k, metric, exclude_self), f"qid {types[0]}, cid {types[1]}, dist double")
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str = "l2",
-        exclude_self: bool = True, block_rows: int = 4096) -> DataFrame:
-    """V2-V4: k nearest corpus rows per query: (qid, rank, cid, dist).
+        exclude_self: bool = True, block_rows: int = 4096, n_pivots: int | None = None) -> DataFrame:
+    """V2-V4: k nearest corpus rows per query: (qid, rank, cid, dist), exact.
 
-    ``queries``: qid, vec; ``corpus``: cid, vec.  Leave-one-out when
+    ``queries``: qid, vec; ``corpus``: cid, vec; ids of any type.  Leave-one-out when
     ``exclude_self`` (qid == cid is skipped).  Fewer than k hits when the
-    corpus is small; a query without any hit has no row (callers left-join).
+    corpus is small; a query without any hit, or a row without vector, has no row (callers left-join).
+
+    Corpus rows belong to the cell of their nearest pivot (``n_pivots`` corpus rows, a bounded sample: four for each
+    ``block_rows`` rows of the corpus, 256 at most), cells to blocks of about ``block_rows``.  A query first searches the nearest cells that hold more than k rows,
+    which bounds its k-th distance; then only cells that the triangle inequality does not rule out
+    (distance to the pivot less the cell's radius).  Cosine distances are no metric and rule nothing out.
     """
-    nq, nc = queries.count(), corpus.count()  # two scalars, to size the blocks
-    qb_n = max(1, math.ceil(nq / block_rows))
-    cb_n = max(1, math.ceil(nc / block_rows))
-    q = queries.select(
-        F.col("qid").cast("long").alias("qid"), F.col("vec").cast("array<double>").alias("vec"),
-        F.pmod(F.xxhash64("qid"), F.lit(qb_n)).cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(cb_n - 1))).alias("cb"))
-    c = corpus.select(
-        F.col("cid").cast("long").alias("cid"), F.col("vec").cast("array<double>").alias("vec"),
-        F.pmod(F.xxhash64("cid"), F.lit(cb_n)).cast("int").alias("cb"),
-        F.explode(F.sequence(F.lit(0), F.lit(qb_n - 1))).alias("qb"))
-    cand = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
-            .applyInPandas(_topk_block(k, metric, exclude_self), "qid long, cid long, dist double"))
-    w = Window.partitionBy("qid").orderBy(F.round("dist", TIE_DECIMALS), "cid")
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    types = dict(queries.dtypes)["qid"], dict(corpus.dtypes)["cid"]
+    queries = queries.select("qid", F.col("vec").cast("array<double>").alias("vec")).where("vec IS NOT NULL")
+    corpus = corpus.select("cid", F.col("vec").cast("array<double>").alias("vec")).where("vec IS NOT NULL")
+    n_pivots = n_pivots or min(256, max(1, 4 * corpus.count() // block_rows))
+    picked = corpus.orderBy(F.xxhash64("cid"), "cid").select("vec").limit(n_pivots).toPandas()  # a bounded sample
+    if not len(picked):
+        return queries.sparkSession.createDataFrame([], f"qid {types[0]}, rank int, cid {types[1]}, dist double")
+    pivots = _matrix(picked["vec"])
+
+    def to_pivots(vectors) -> np.ndarray:
+        return np.sqrt(_distances(_matrix(vectors), pivots, "l2"))
+
+    def nearest(batches):
+        for b in batches:
+            d = to_pivots(b["vec"]) if len(b) else np.zeros((0, len(pivots)))
+            cell = d.argmin(axis=1)
+            yield b.assign(cell=cell.astype("int32"), far=d[np.arange(len(b)), cell])
+
+    placed = corpus.mapInPandas(nearest, f"cid {types[1]}, vec array<double>, cell int, far double")
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).toPandas()  # one row per pivot
+    size, radius = np.zeros(len(pivots), dtype=np.int64), np.full(len(pivots), -np.inf)
+    size[cells["cell"]], radius[cells["cell"]] = cells["n"], cells["radius"]
+    blocks = np.maximum(1, -(-size // block_rows))
+    first = np.cumsum(blocks) - blocks
+    of_cell = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1)
+    placed = placed.select("cid", "vec", (F.element_at(F.array(*[F.lit(int(b)) for b in first]), F.col("cell") + 1)
+                                          + F.pmod(F.xxhash64("cid"), of_cell).cast("int")).alias("block"))
+
+    def spread(b: pd.DataFrame, chosen: np.ndarray) -> pd.DataFrame:
+        """A row per query and block of its chosen cells."""
+        row, cell = np.nonzero(chosen & (size > 0))
+        times = blocks[cell]
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        out = b.iloc[np.repeat(row, times)][["qid", "vec"]]
+        return out.assign(block=(np.repeat(first[cell], times) + step).astype("int32"))
+
+    def near_cells(d: np.ndarray) -> np.ndarray:
+        """Per query the nearest cells that hold more than k rows together."""
+        order = np.argsort(d, axis=1, kind="stable")
+        before = np.cumsum(size[order], axis=1) - size[order]
+        chosen = np.zeros(d.shape, dtype=bool)
+        np.put_along_axis(chosen, order, before <= k, axis=1)
+        return chosen
+
+    def send_near(batches):
+        for b in batches:
+            if len(b):
+                yield spread(b, near_cells(to_pivots(b["vec"])))
+
+    def send_rest(batches):
+        for b in batches:
+            if len(b):
+                d = to_pivots(b["vec"])
+                bound = np.sqrt(b["bound"].to_numpy(dtype=np.float64) + 2e-9) if metric == "l2" else np.full(len(b), np.inf)
+                reached = d - radius[None, :] <= (bound * (1 + 1e-9) + 1e-9)[:, None]
+                yield spread(b, reached & ~near_cells(d))
+
+    schema = f"qid {types[0]}, vec array<double>, block int"
+    near = _searched(queries.mapInPandas(send_near, schema), placed, k, metric, exclude_self, block_rows, types)
+    by_rank = Window.partitionBy("qid").orderBy(F.round("dist", TIE_DECIMALS), "cid")
+    near = stored(near.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k).drop("rank"), "near")
+    bound = near.groupBy("qid").agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("bound"))
+    left = queries.join(bound, "qid", "left").select("qid", "vec", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    rest = _searched(left.mapInPandas(send_rest, schema), placed, k, metric, exclude_self, block_rows, types)
+    return (near.unionByName(rest).distinct().withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k)
             .select("qid", "rank", "cid", "dist"))
 
 
@@ -145,9 +207,6 @@ def best_distance(questions: DataFrame, hits: DataFrame) -> DataFrame:
             .select("qid", F.coalesce("best", F.lit(float("inf"))).alias("best_distance")))
 
 
-FEW_SHOT_HEADER = TX.FEW_SHOT_HEADER
-
-
 def few_shot_text(questions: DataFrame, hits: DataFrame, docs: DataFrame) -> DataFrame:
     """V6: per question, the header plus one example block per hit in rank order.
 
@@ -160,4 +219,4 @@ def few_shot_text(questions: DataFrame, hits: DataFrame, docs: DataFrame) -> Dat
     agg = h.groupBy("qid").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "").alias("blocks"))
     return (questions.select("qid").join(agg, "qid", "left")
-            .select("qid", F.concat(F.lit(FEW_SHOT_HEADER), F.coalesce("blocks", F.lit(""))).alias("rag_context")))
+            .select("qid", F.concat(F.lit(TX.FEW_SHOT_HEADER), F.coalesce("blocks", F.lit(""))).alias("rag_context")))

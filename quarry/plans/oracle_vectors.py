@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from ..operators import vectors as V
+from ..functions import texts as TX
 from .oracle_workload import q, qlog_cte
 from .vectors import K, VECTOR_TAIL
 
 
-def hash_embed_sql(text: str, dim: int = V.DIM) -> str:
-    buckets = (f"list_transform(regexp_extract_all(lower({text}), {q(V.TOKEN_RE)}), "
+DIM, TOKEN = 64, "[a-z0-9]+"
+
+
+def hash_embed_sql(text: str, dim: int = DIM) -> str:
+    buckets = (f"list_transform(regexp_extract_all(lower({text}), {q(TOKEN)}), "
                f"lambda t: CAST(CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % {dim} AS INTEGER))")
     counts = f"list_transform(range(0, {dim}), lambda b: CAST(len(list_filter({buckets}, lambda x: x = b)) AS DOUBLE))"
     return counts
@@ -28,7 +31,7 @@ def sqdist_sql(a: str, b: str) -> str:
 def _knn_sql(src: str, k: int) -> str:
     return f"""
 SELECT qid, rank, cid, dist FROM (
-  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, {V.TIE_DECIMALS}), cid) AS rank
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, {9}), cid) AS rank
   FROM (SELECT a.id AS qid, b.id AS cid, {sqdist_sql('a.vec', 'b.vec')} AS dist
         FROM {src} a JOIN {src} b ON a.id <> b.id))
 WHERE rank <= {k}"""
@@ -49,7 +52,7 @@ blocks AS (SELECT h.qid, string_agg(printf('- Example Question: ''%s''\n  Expect
 WITH c AS (SELECT item_id, {hash_embed_sql('text')} AS c FROM benchmark),
 v AS (SELECT item_id, {_norm_sql('c')} AS vec FROM c)
 SELECT item_id, bucket, weight FROM (
-  SELECT item_id, unnest(vec) AS weight, unnest(range(0, {V.DIM})) AS bucket FROM v)
+  SELECT item_id, unnest(vec) AS weight, unnest(range(0, {DIM})) AS bucket FROM v)
 WHERE weight > 0""",
         "knn_top_k": f"""
 SELECT qid AS query_id, rank, cid AS neighbor_id, round(dist, 6) AS distance FROM ({_knn_sql(emb, K)})""",
@@ -68,7 +71,7 @@ SELECT e.vec_id, e.label,
 FROM embeddings e JOIN cent c ON c.label = e.label""",
         "ctx_vector": docs + f"""
 SELECT d.id AS question_id,
-       {q(V.FEW_SHOT_HEADER)} || coalesce(b.blocks, '') || {q(VECTOR_TAIL)} || d.text AS context
+       {q(TX.FEW_SHOT_HEADER)} || coalesce(b.blocks, '') || {q(VECTOR_TAIL)} || d.text AS context
 FROM docs d LEFT JOIN blocks b ON b.qid = d.id""",
         "ctx_baseline": "SELECT item_id AS question_id, text AS context FROM benchmark",
     }

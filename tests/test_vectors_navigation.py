@@ -27,6 +27,22 @@ def test_knn_matches_brute_force(spark):
         assert [c for _, c in sorted(res[i])] == expect
 
 
+def test_knn_with_string_ids_clusters_and_ties(spark):
+    """Clustered rows far from the origin, exact copies, few pivots, blocks smaller than a cell."""
+    rnd = np.random.default_rng(9)
+    X = np.concatenate([1e4 * c + rnd.normal(size=(60, 4)) for c in rnd.normal(size=(5, 4))] + [np.ones((12, 4))])
+    ids = [f"row-{k:03d}" for k in rnd.permutation(len(X))]
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in zip(ids, X)] + [("none", None)], "qid string, vec array<double>")
+    got = {}
+    for r in V.knn(df, df.withColumnRenamed("qid", "cid"), k=4, block_rows=16, n_pivots=7).collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["cid"]))
+    assert set(got) == set(ids)
+    for i, x in zip(ids, X):
+        d = np.round(((X - x) ** 2).sum(1), 9)
+        want = sorted((dd, j) for dd, j in zip(d, ids) if j != i)[:4]
+        assert [c for _, c in sorted(got[i])] == [j for _, j in want]
+
+
 def test_knn_small_corpus_and_best_distance(spark):
     df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "qid long, vec array<double>")
     hits = V.knn(df, df.withColumnRenamed("qid", "cid"), k=3)
