@@ -4,9 +4,10 @@ Lines are exploded, normalised and hashed; distinct documents are counted per
 hash; lines over the threshold are dropped, and each document is put together
 again by line position.  DataFrame functions only.
 
-Plan: one map-side combined aggregation per line hash, one join of the lines
-with the over-threshold hashes (a hot line is a skewed join key, which adaptive
-execution splits), one join of the positions with the documents.  No group of
+Plan: one map-side combined aggregation per line hash, whose over-threshold
+hashes are written; one join of the lines with these (a hot line is a skewed join
+key, which adaptive execution splits, as both sides come from shuffles of their
+own); one join of the positions with the documents.  No group of
 lines or documents is collected; the only list is the dropped positions of one
 document.
 """
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_CHARS, ascii_lower, col_of, let, others
+from .common import WHITE_CHARS, ascii_lower, col_of, let, others, stored
 
 
 def line_key(line: Column) -> Column:
@@ -60,7 +61,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns are ignored, or with ``carry`` kept in the struct ``row``.  Empty table: no rows.
     """
     lines = keyed_lines(docs, id_col, text_col, min_chars)
-    over = shared_lines(lines, max_docs)
+    over = stored(shared_lines(lines, max_docs), "lines")
     lost = (lines.join(over, ["h1", "h2"]).where(F.col("id") > F.col("keeper"))
             .groupBy("id", "th").agg(F.collect_set("pos").alias("lost")))
     carried = ["row"] if carry else []
