@@ -31,7 +31,9 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail the rules go, and so do documents that are rejected."""
     judged = line_quality.judged(docs, carry=True)
-    return _with_text(judged.where("kept"), docs, "cleaned")
+    # A filter would move below the verdict and work it out a second time; a row that is kept is one element, any other none.
+    kept = judged.select(F.inline(F.when(F.col("kept"), F.array(F.struct("row", "id", "cleaned")))))
+    return _with_text(kept, docs, "cleaned")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
