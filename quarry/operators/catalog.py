@@ -12,6 +12,7 @@ import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import texts as TX
 
@@ -45,13 +46,26 @@ def schema_ddl(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, ddl string")
 
 
+def _cell(name: str, kind: T.DataType) -> Column:
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType)):
+        return F.concat(F.lit("["), F.array_join(F.transform(F.col(name), lambda x: x.cast("decimal(38,6)").cast("string")), ", "), F.lit("]"))
+    return F.col(name).cast("string")
+
+
 def sample_rows(tables: dict[str, DataFrame], n: int = 3) -> DataFrame:
-    """C4: first ``n`` rows per table ordered by all columns, tab-separated (rn from 1)."""
+    """C4: first ``n`` rows per table ordered by all columns, tab-separated (rn from 1).
+
+    The first column alone is scanned for its n-th smallest value (one scalar per table); the rows up to it are
+    then read, a filter that the scan gets.  Numbers inside arrays are written with six decimals.
+    """
     parts = []
     for name, df in tables.items():
         cols = df.columns
-        top = df.orderBy(*cols).limit(n)
-        line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in cols])
+        key = F.col(cols[0])
+        last = df.select(key).where(key.isNotNull()).orderBy(key).limit(n).agg(F.max(key), F.count("*")).first()
+        near = df.where(key.isNull() | (key <= F.lit(last[0]))) if last[1] == n else df  # nulls come first
+        top = near.orderBy(*cols).limit(n)
+        line = F.concat_ws("\t", *[F.coalesce(_cell(c, df.schema[c].dataType), F.lit("None")) for c in cols])
         parts.append(top.select(F.lit(name).alias("table_name"), line.alias("line")))
     out = parts[0]
     for p in parts[1:]:

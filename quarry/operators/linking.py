@@ -14,13 +14,8 @@ from ..functions import texts as TX
 from . import navigate as N
 
 # Router texts and context templates.
-NO_EXAMPLES = TX.NO_EXAMPLES
 FENCE_RE = r"```json|```"
 LINK_TOKEN_RE = r"[a-z0-9]+"
-GRAPH_CTX_HEAD = TX.GRAPH_CTX_HEAD
-QUESTION_TAIL = TX.QUESTION_TAIL
-V1_NO_COLUMNS = TX.V1_NO_COLUMNS
-V1_NO_FILTERS = TX.V1_NO_FILTERS
 
 
 def schema_metadata(columns: DataFrame, samples: DataFrame) -> DataFrame:
@@ -41,7 +36,7 @@ def router_context(columns: DataFrame, samples: DataFrame, available: DataFrame)
     c = (columns.select("id", "column").join(available.select(F.col("table").alias("id")), "id", "left_semi")
          .join(vals, ["id", "column"], "left")
          .withColumn("text", F.when(F.col("vals").isNotNull(), F.format_string(TX.ROUTER_EXAMPLES, "vals"))
-                     .otherwise(F.lit(NO_EXAMPLES))))
+                     .otherwise(F.lit(TX.NO_EXAMPLES))))
     return c.groupBy("id").agg(F.to_json(F.map_from_entries(F.array_sort(
         F.collect_list(F.struct("column", "text"))))).alias("router_json"))
 
@@ -91,8 +86,8 @@ def v1_node_blocks(columns: DataFrame) -> DataFrame:
     return top.select("id", F.concat(
         F.format_string(TX.TABLE_LINE, "id"),
         F.when(F.col("top").isNotNull(), F.format_string(TX.V1_TOP_COLUMNS, "top"))
-        .otherwise(F.lit(V1_NO_COLUMNS)),
-        F.lit(V1_NO_FILTERS)).alias("block"))
+        .otherwise(F.lit(TX.V1_NO_COLUMNS)),
+        F.lit(TX.V1_NO_FILTERS)).alias("block"))
 
 
 def v1_graph_context(valid: DataFrame, best: DataFrame, rules: DataFrame, blocks: DataFrame,
@@ -117,19 +112,19 @@ def v1_graph_context(valid: DataFrame, best: DataFrame, rules: DataFrame, blocks
             .groupBy("qid").agg(F.array_join(F.transform(
                 F.array_sort(F.collect_list(F.struct("table", "block"))), lambda x: x["block"]), "")
                 .alias("meta")))
-    join_text = (F.when(F.col("n_valid") == 1, F.lit(N.SINGLE_TABLE))
-                 .otherwise(F.concat(F.lit(N.JOIN_HEADER),
-                                     F.coalesce(F.concat("rules", F.lit("\n")), F.lit(N.NO_PATHS)))))
-    body = F.concat(join_text, F.lit(N.METADATA_HEADER), F.coalesce("meta", F.lit("")))
+    join_text = (F.when(F.col("n_valid") == 1, F.lit(TX.SINGLE_TABLE))
+                 .otherwise(F.concat(F.lit(TX.JOIN_HEADER),
+                                     F.coalesce(F.concat("rules", F.lit("\n")), F.lit(TX.NO_PATHS)))))
+    body = F.concat(join_text, F.lit(TX.METADATA_HEADER), F.coalesce("meta", F.lit("")))
     return (all_ids.select("qid").join(n, "qid", "left").join(qrules, "qid", "left").join(meta, "qid", "left")
-            .select("qid", F.when(F.col("n_valid").isNull(), F.lit(N.NO_VALID_TABLES)).otherwise(body)
+            .select("qid", F.when(F.col("n_valid").isNull(), F.lit(TX.NO_VALID_TABLES)).otherwise(body)
                     .alias("graph_ctx")))
 
 
 def hybrid1_text(vector_text: Column, graph_text: Column, question: Column) -> Column:
     """K4: vector and graph parts in one block, then the question."""
     return F.concat(F.lit(TX.HYBRID1_SEMANTIC), vector_text, F.lit(TX.HYBRID1_STRUCTURAL), graph_text,
-                    F.lit(TX.HYBRID1_END), F.lit(QUESTION_TAIL), question)
+                    F.lit(TX.HYBRID1_END), F.lit(TX.QUESTION_TAIL), question)
 
 
 def entity_section(samples: DataFrame) -> DataFrame:

@@ -22,11 +22,6 @@ ALPHA = 0.4
 LENGTH_DECAY = 0.95
 MAX_HOPS = 3
 TOP_K_METADATA = 3
-NO_VALID_TABLES = TX.NO_VALID_TABLES
-SINGLE_TABLE = TX.SINGLE_TABLE
-JOIN_HEADER = TX.JOIN_HEADER
-NO_PATHS = TX.NO_PATHS
-METADATA_HEADER = TX.METADATA_HEADER
 
 
 def undirected(edges: DataFrame) -> DataFrame:

@@ -10,9 +10,6 @@ from .telemetry import execution_status
 
 # Difficulty order of the report, the default texts of the log summary.
 DIFFICULTY_ORDER = ["Simple", "Moderate", "Challenging"]
-NOT_FOUND = TX.NOT_FOUND
-NO_SQL = TX.NO_SQL
-NOT_AVAILABLE = TX.NOT_AVAILABLE
 QUESTION_RANGE = (195, 339)
 
 
@@ -43,11 +40,11 @@ def log_summary(runs: DataFrame, questions: DataFrame) -> DataFrame:
     s = scored(runs)
     return s.join(q, "query_id", "left").select(
         "query_id",
-        F.coalesce("q_text", F.lit(NOT_FOUND)).alias("nl_query"),
-        F.coalesce("q_sql", F.lit(NOT_FOUND)).alias("golden_query"),
-        F.coalesce("sparksql_query", F.lit(NO_SQL)).alias("generated_query"),
+        F.coalesce("q_text", F.lit(TX.NOT_FOUND)).alias("nl_query"),
+        F.coalesce("q_sql", F.lit(TX.NOT_FOUND)).alias("golden_query"),
+        F.coalesce("sparksql_query", F.lit(TX.NO_SQL)).alias("generated_query"),
         "execution_status", "spark_error",
-        F.coalesce(F.col("accuracy").cast("string"), F.lit(NOT_AVAILABLE)).alias("accuracy"),
+        F.coalesce(F.col("accuracy").cast("string"), F.lit(TX.NOT_AVAILABLE)).alias("accuracy"),
     )
 
 

@@ -17,8 +17,6 @@ from . import intervals as I
 
 # The reasons written when a tool span is still open at the end
 # of a run, the schema tool and its call limit, the provider labels.
-EARLY_EXIT_SCHEMA = TX.EARLY_EXIT_SCHEMA
-EARLY_EXIT_OTHER = TX.EARLY_EXIT_OTHER
 SCHEMA_TOOL = "schema_sql_db"
 MAX_SCHEMA_CALLS = 3
 KNOWN_PROVIDERS = ["google", "cloudflare", "claude", "openai"]
@@ -51,8 +49,8 @@ def pair_spans(events: DataFrame) -> DataFrame:
 def close_open_spans(spans: DataFrame, bounds: DataFrame) -> DataFrame:
     """Spans that never ended are closed at the run end, with a reason."""
     reason = (F.when(F.col("end").isNotNull(), F.lit(None).cast("string"))
-              .when(F.col("name") == SCHEMA_TOOL, F.lit(EARLY_EXIT_SCHEMA))
-              .otherwise(F.lit(EARLY_EXIT_OTHER)))
+              .when(F.col("name") == SCHEMA_TOOL, F.lit(TX.EARLY_EXIT_SCHEMA))
+              .otherwise(F.lit(TX.EARLY_EXIT_OTHER)))
     return (spans.join(bounds.select("run_id", "run_end"), "run_id", "left")
             .withColumns({"closed_reason": reason,
                           "end": F.coalesce(F.col("end"), F.col("run_end"))})

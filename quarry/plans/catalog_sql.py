@@ -10,7 +10,7 @@ from ..operators import telemetry as T
 from ..session import shared_path, stored
 from ..sources import adapters as A
 from ..sources import artefacts as S
-from ..sources.tables import ALL_TABLES, STAR_TABLES, register_tables, table
+from ..sources.tables import ALL_TABLES, register_tables, table
 from . import vectors as VQ
 from . import workload
 
@@ -99,20 +99,20 @@ def q_catalog_usable(spark, sf_dir):
     return C.usable_tables(q_catalog_tables(spark, sf_dir), ignore=IGNORED)
 
 
-def _star(spark, sf_dir):
-    return {t: table(spark, sf_dir, t) for t in STAR_TABLES}
+def _all(spark, sf_dir):
+    return {t: table(spark, sf_dir, t) for t in ALL_TABLES}
 
 
 def q_schema_ddl(spark, sf_dir):
-    return C.schema_ddl(spark, _star(spark, sf_dir))
+    return C.schema_ddl(spark, _all(spark, sf_dir))
 
 
 def q_sample_rows(spark, sf_dir):
-    return C.sample_rows(_star(spark, sf_dir))
+    return C.sample_rows(_all(spark, sf_dir))
 
 
 def q_table_profile(spark, sf_dir):
-    return C.table_profile(spark, _star(spark, sf_dir))
+    return C.table_profile(spark, _all(spark, sf_dir))
 
 
 def table_requests(spark, sf_dir):
@@ -125,7 +125,7 @@ def table_requests(spark, sf_dir):
 
 
 def q_table_info_lookup(spark, sf_dir):
-    info = C.table_profile(spark, _star(spark, sf_dir))
+    info = C.table_profile(spark, _all(spark, sf_dir))
     return C.table_info_lookup(table_requests(spark, sf_dir), info)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import texts as TX
 from ..operators import linking as L
 from ..operators import mining as W
 from ..operators import navigate as N
@@ -93,7 +94,7 @@ def q_ctx_graph(spark, sf_dir):
     items = _items(spark, sf_dir)
     g = graph_context_v1(spark, sf_dir)
     return items.join(g, "qid").select(F.col("qid").alias("question_id"), F.concat(
-        F.lit(L.GRAPH_CTX_HEAD), "graph_ctx", F.lit(L.QUESTION_TAIL), "question").alias("context"))
+        F.lit(TX.GRAPH_CTX_HEAD), "graph_ctx", F.lit(TX.QUESTION_TAIL), "question").alias("context"))
 
 
 def q_ctx_hybrid1(spark, sf_dir):
@@ -123,12 +124,12 @@ def graph_context_v2(spark, sf_dir):
     meta = (relevant.join(blocks, "table").groupBy("qid").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("table", "block"))), lambda x: x["block"]), "").alias("meta")))
     n = valid.groupBy("qid").agg(F.count(F.lit(1)).alias("n_valid"))
-    join_text = (F.when(F.col("n_valid") == 1, F.lit(N.SINGLE_TABLE))
-                 .otherwise(F.concat(F.lit(N.JOIN_HEADER),
-                                     F.coalesce(F.concat("rules", F.lit("\n")), F.lit(N.NO_PATHS)))))
-    body = F.concat(join_text, F.lit(N.METADATA_HEADER), F.coalesce("meta", F.lit("")))
+    join_text = (F.when(F.col("n_valid") == 1, F.lit(TX.SINGLE_TABLE))
+                 .otherwise(F.concat(F.lit(TX.JOIN_HEADER),
+                                     F.coalesce(F.concat("rules", F.lit("\n")), F.lit(TX.NO_PATHS)))))
+    body = F.concat(join_text, F.lit(TX.METADATA_HEADER), F.coalesce("meta", F.lit("")))
     return (items.select("qid").join(n, "qid", "left").join(rules, "qid", "left").join(meta, "qid", "left")
-            .select("qid", F.when(F.col("n_valid").isNull(), F.lit(N.NO_VALID_TABLES)).otherwise(body)
+            .select("qid", F.when(F.col("n_valid").isNull(), F.lit(TX.NO_VALID_TABLES)).otherwise(body)
                     .alias("graph_ctx")))
 
 

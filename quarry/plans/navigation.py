@@ -71,9 +71,9 @@ def nav_join_text(spark, sf_dir):
     chosen = N.v1_paths(valid, N.best_paths(_paths(spark, sf_dir)))
     rules = N.join_rules(chosen, N.edge_rules(_graph(spark, sf_dir).edges))
     n = valid.groupBy("qid").agg(F.count(F.lit(1)).alias("n_valid"))
-    text = (F.when(F.col("n_valid") == 1, F.lit(N.SINGLE_TABLE))
-            .otherwise(F.concat(F.lit(N.JOIN_HEADER),
-                                F.coalesce(F.concat("rules", F.lit("\n")), F.lit(N.NO_PATHS)))))
+    text = (F.when(F.col("n_valid") == 1, F.lit(TX.SINGLE_TABLE))
+            .otherwise(F.concat(F.lit(TX.JOIN_HEADER),
+                                F.coalesce(F.concat("rules", F.lit("\n")), F.lit(TX.NO_PATHS)))))
     return n.join(rules, "qid", "left").select("qid", "n_valid", text.alias("join_text"))
 
 

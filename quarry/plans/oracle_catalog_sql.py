@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources import adapters as A
-from ..sources.tables import ALL_TABLES, STAR_TABLES
+from ..sources.tables import ALL_TABLES
 from .catalog_sql import GHOST_TABLE, IGNORED, SQL, SQL_ONE
 from .oracle_telemetry import runs_cte
 from .oracle_workload import STAR_COLUMNS, _with, facts_cte, q, qlog_cte
@@ -13,7 +13,12 @@ NL = q(chr(10))
 TYPE_MAP = "CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' " \
            "WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' " \
            "ELSE lower(data_type) END"
-STAR_IN = "(" + ", ".join(q(t) for t in STAR_TABLES) + ")"
+COLUMNS = STAR_COLUMNS | {
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"], "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "embeddings": ["vec_id", "embedding", "label"], "pages": ["page_id", "url", "html"], "benchmark": ["item_id", "text"],
+    "labels": ["doc_id", "quality", "toxic"], "conversations": ["conv_id", "turn", "role", "text"],
+}
+STAR_IN = "(" + ", ".join(q(t) for t in COLUMNS) + ")"
 
 
 def _ddl_cte() -> str:
@@ -25,11 +30,12 @@ ddl AS (SELECT table_name, 'CREATE TABLE ' || table_name || ' (' ||
 
 def _samples_cte(n: int = 3) -> str:
     parts = []
-    for t, cols in STAR_COLUMNS.items():
-        line = " || chr(9) || ".join(f"coalesce(CAST({c} AS VARCHAR), 'None')" for c in cols)
+    for t, cols in COLUMNS.items():
+        cell = lambda c: f"CAST({c} AS VARCHAR)" if c != "embedding" else "'[' || array_to_string(list_transform(embedding, lambda x: CAST(x AS DECIMAL(38,6))), ', ') || ']'"
+        line = " || chr(9) || ".join(f"coalesce({cell(c)}, 'None')" for c in cols)
         parts.append(f"(SELECT {q(t)} AS table_name, {line} AS line FROM (SELECT * FROM {t} ORDER BY {', '.join(cols)} LIMIT {n}))")
     union = "\n  UNION ALL ".join(parts)
-    headers = ", ".join(f"({q(t)}, {q(chr(9).join(cols))})" for t, cols in STAR_COLUMNS.items())
+    headers = ", ".join(f"({q(t)}, {q(chr(9).join(cols))})" for t, cols in COLUMNS.items())
     return f"""
 srows AS (SELECT table_name, row_number() OVER (PARTITION BY table_name ORDER BY line) AS rn, line FROM (
   {union})),

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import linking as L
-from ..operators import navigate as N
+from ..functions import texts as TX
 from ..sources.tables import STAR_TABLES
 from .context import BAD_RESPONSE, GHOST_TABLE
 from .oracle_navigation import NAV_CTE
@@ -11,6 +10,7 @@ from .oracle_vectors import K, _knn_sql, _norm_sql, hash_embed_sql
 from .oracle_workload import AGGREGATIONS, GRAPH_CTE, OPERATIONS, _with, facts_cte, q, qlog_cte, samples_cte
 
 NL = q(chr(10))
+WORD, FENCE = "[a-z0-9]+", "```json|```"
 AVAIL = "[" + ", ".join(q(t) for t in STAR_TABLES) + "]"
 
 LINK_CTE = f"""
@@ -21,7 +21,7 @@ resp AS (SELECT l.query_id AS qid,
                 THEN '```json' || {NL} || to_json(list_append(t.tables, {q(GHOST_TABLE)})) || {NL} || '```'
                 ELSE {q(BAD_RESPONSE)} END AS response
          FROM qlog l LEFT JOIN qtabs t ON t.query_id = l.query_id),
-parsed AS (SELECT qid, trim(regexp_replace(trim(response), {q(L.FENCE_RE)}, '', 'g')) AS txt FROM resp),
+parsed AS (SELECT qid, trim(regexp_replace(trim(response), {q(FENCE)}, '', 'g')) AS txt FROM resp),
 linked AS (SELECT qid, coalesce(list_filter(CASE WHEN json_valid(txt) THEN from_json(txt, '["VARCHAR"]') END,
                                             lambda t: list_contains({AVAIL}, t)), []) AS tables FROM parsed)"""
 
@@ -46,14 +46,14 @@ relevant AS (SELECT DISTINCT qid, "table" FROM (
 v1top AS (SELECT id, string_agg(printf('%s (freq: %d)', "column", freq), ', ' ORDER BY rank) AS top
           FROM top_cols GROUP BY id),
 v1blocks AS (SELECT id, printf('{NL[1:-1]}Table: [%s]{NL[1:-1]}', id)
-                 || CASE WHEN top IS NOT NULL THEN printf('  - Top Columns: %s{NL[1:-1]}', top) ELSE {q(L.V1_NO_COLUMNS)} END
-                 || {q(L.V1_NO_FILTERS)} AS block FROM v1top),
+                 || CASE WHEN top IS NOT NULL THEN printf('  - Top Columns: %s{NL[1:-1]}', top) ELSE {q(TX.V1_NO_COLUMNS)} END
+                 || {q(TX.V1_NO_FILTERS)} AS block FROM v1top),
 imeta AS (SELECT r.qid, string_agg(b.block, '' ORDER BY r."table") AS meta
           FROM relevant r JOIN v1blocks b ON b.id = r."table" GROUP BY r.qid),
-gctx AS (SELECT i.qid, CASE WHEN n.n_valid IS NULL THEN {q(N.NO_VALID_TABLES)} ELSE
-            (CASE WHEN n.n_valid = 1 THEN {q(N.SINGLE_TABLE)}
-                  ELSE {q(N.JOIN_HEADER)} || coalesce(r.rules || {NL}, {q(N.NO_PATHS)}) END)
-            || {q(N.METADATA_HEADER)} || coalesce(m.meta, '') END AS graph_ctx
+gctx AS (SELECT i.qid, CASE WHEN n.n_valid IS NULL THEN {q(TX.NO_VALID_TABLES)} ELSE
+            (CASE WHEN n.n_valid = 1 THEN {q(TX.SINGLE_TABLE)}
+                  ELSE {q(TX.JOIN_HEADER)} || coalesce(r.rules || {NL}, {q(TX.NO_PATHS)}) END)
+            || {q(TX.METADATA_HEADER)} || coalesce(m.meta, '') END AS graph_ctx
          FROM items i LEFT JOIN invalid n ON n.qid = i.qid LEFT JOIN irules r ON r.qid = i.qid
          LEFT JOIN imeta m ON m.qid = i.qid)"""
 
@@ -86,7 +86,7 @@ GROUP BY c.id""",
         "router_context": g + f""",
 svals AS (SELECT id, "column", string_agg('''' || value || '''', ', ' ORDER BY rn) AS vals FROM samples GROUP BY id, "column")
 SELECT c.id, to_json(map_from_entries(list(struct_pack(k := c."column",
-         v := CASE WHEN v.vals IS NOT NULL THEN 'Examples: [' || v.vals || ']' ELSE {q(L.NO_EXAMPLES)} END)
+         v := CASE WHEN v.vals IS NOT NULL THEN 'Examples: [' || v.vals || ']' ELSE {q(TX.NO_EXAMPLES)} END)
          ORDER BY c."column"))) AS router_json
 FROM g_columns c LEFT JOIN svals v ON v.id = c.id AND v."column" = c."column"
 WHERE list_contains({AVAIL}, c.id)
@@ -97,21 +97,21 @@ SELECT l.qid, s.id, s."column", s.value, s.rn
 FROM (SELECT qid, unnest(tables) AS id FROM linked) l JOIN samples s ON s.id = l.id""",
         "lexical_link": g + f""",
 mt AS (SELECT DISTINCT id, token FROM (
-         SELECT id, unnest(regexp_extract_all(lower(id), {q(L.LINK_TOKEN_RE)})) AS token FROM g_columns
-         UNION ALL SELECT id, unnest(regexp_extract_all(lower("column"), {q(L.LINK_TOKEN_RE)})) FROM g_columns
-         UNION ALL SELECT id, unnest(regexp_extract_all(lower(value), {q(L.LINK_TOKEN_RE)})) FROM samples)
+         SELECT id, unnest(regexp_extract_all(lower(id), {q(WORD)})) AS token FROM g_columns
+         UNION ALL SELECT id, unnest(regexp_extract_all(lower("column"), {q(WORD)})) FROM g_columns
+         UNION ALL SELECT id, unnest(regexp_extract_all(lower(value), {q(WORD)})) FROM samples)
        ),
-qtok AS (SELECT query_id AS qid, unnest(list_distinct(regexp_extract_all(lower(question), {q(L.LINK_TOKEN_RE)}))) AS token
+qtok AS (SELECT query_id AS qid, unnest(list_distinct(regexp_extract_all(lower(question), {q(WORD)}))) AS token
          FROM qlog),
 per AS (SELECT t.qid, m.id AS "table", count(*) AS hits FROM qtok t JOIN mt m ON m.token = t.token GROUP BY t.qid, m.id)
 SELECT qid, "table", hits, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, "table") AS rank FROM per""",
         "ctx_graph": gn + f"""
-SELECT i.qid AS question_id, {q(L.GRAPH_CTX_HEAD)} || g.graph_ctx || {q(L.QUESTION_TAIL)} || i.question AS context
+SELECT i.qid AS question_id, {q(TX.GRAPH_CTX_HEAD)} || g.graph_ctx || {q(TX.QUESTION_TAIL)} || i.question AS context
 FROM items i JOIN gctx g ON g.qid = i.qid""",
         "ctx_hybrid1": gh + f"""
 SELECT i.qid AS question_id,
   '{NL[1:-1]}        --- SEMANTIC CONTEXT (Examples) ---{NL[1:-1]}        ' || coalesce(r.rag_context, '')
   || '{NL[1:-1]}{NL[1:-1]}        --- STRUCTURAL CONTEXT (Graph Rules) ---{NL[1:-1]}        ' || g.graph_ctx
-  || '{NL[1:-1]}        ' || {q(L.QUESTION_TAIL)} || i.question AS context
+  || '{NL[1:-1]}        ' || {q(TX.QUESTION_TAIL)} || i.question AS context
 FROM items i LEFT JOIN rag r ON r.qid = i.qid LEFT JOIN gctx g ON g.qid = i.qid""",
     }

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import mining as W
-from ..operators import navigate as N
+from ..functions import texts as TX
 from .oracle_vectors import _norm_sql, hash_embed_sql
 from .oracle_workload import AGGREGATIONS, GRAPH_CTE, OPERATIONS, _with, facts_cte, q, qlog_cte, samples_cte
 
@@ -30,7 +29,7 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER
 alts AS (SELECT source, target, alt_rank, condition, freq FROM (
            SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY freq DESC, condition) AS alt_rank,
                   max(freq) OVER (PARTITION BY source, target) AS top_freq FROM edges)
-         WHERE freq / top_freq >= {N.JOIN_ALTERNATIVE_THRESHOLD}),
+         WHERE freq / top_freq >= {0.3}),
 rules AS (SELECT source, target,
             CASE WHEN n_alt = 1 THEN printf('- For joining %s and %s use: %s', source, target, conds)
                  ELSE printf('- For joining %s and %s, multiple valid conditions exist depending on context, choose the correct one: %s', source, target, conds) END AS rule
@@ -47,14 +46,14 @@ qrules AS (SELECT qid, string_agg(rule, {q(chr(10))} ORDER BY rule) AS rules FRO
            GROUP BY qid),
 nvalid AS (SELECT qid, count(*) AS n_valid FROM valid GROUP BY qid),
 top_cols AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY freq DESC, "column") AS rank FROM g_columns)
-             WHERE rank <= {N.TOP_K_METADATA}),
+             WHERE rank <= {3}),
 act_ops AS (SELECT id, string_agg(key, ', ' ORDER BY freq DESC, {_dom_case('key', OPERATIONS)}) AS operations
             FROM g_operations WHERE freq > 0 GROUP BY id),
 act_aggs AS (SELECT id, string_agg(key, ', ' ORDER BY freq DESC, {_dom_case('key', AGGREGATIONS)}) AS aggregations
              FROM g_aggregations WHERE freq > 0 GROUP BY id),
 act_preds AS (SELECT id, string_agg("column", ', ' ORDER BY rank) AS predicates FROM (
                 SELECT *, row_number() OVER (PARTITION BY id ORDER BY freq DESC, "column") AS rank FROM g_predicates)
-              WHERE rank <= {N.TOP_K_METADATA} GROUP BY id),
+              WHERE rank <= {3} GROUP BY id),
 patterns AS (SELECT n.id, o.operations, a.aggregations, p.predicates FROM node_ids n
              LEFT JOIN act_ops o ON o.id = n.id LEFT JOIN act_aggs a ON a.id = n.id LEFT JOIN act_preds p ON p.id = n.id)"""
 
@@ -82,7 +81,7 @@ pv0 AS (SELECT DISTINCT path_key, array_to_string(path, ' ') AS path_text FROM c
 pv AS (SELECT path_key, {_norm_sql(hash_embed_sql('path_text'))} AS pvec FROM pv0),
 sc AS (SELECT c.qid, c.path_key, c.hops, c.hist_score, {_cos('v.qvec', 'p.pvec')} AS sem_score
        FROM cand c JOIN pv p ON p.path_key = c.path_key JOIN qv v ON v.qid = c.qid),
-tot AS (SELECT *, ({N.ALPHA} * hist_score + {1 - N.ALPHA} * sem_score) * pow({N.LENGTH_DECAY}, hops - 1) AS total FROM sc)"""
+tot AS (SELECT *, ({0.4} * hist_score + {0.6} * sem_score) * pow({0.95}, hops - 1) AS total FROM sc)"""
     newline = q(chr(10))
     return {
         "graph_undirected": g + "\nSELECT src, dst, weight FROM und",
@@ -93,8 +92,8 @@ tot AS (SELECT *, ({N.ALPHA} * hist_score + {1 - N.ALPHA} * sem_score) * pow({N.
         "nav_valid_tables": g + "\nSELECT qid, table_pos, \"table\" FROM valid",
         "nav_pairs": g + "\nSELECT qid, ta, tb FROM pairs",
         "nav_join_rules": g + f"""
-SELECT n.qid, CASE WHEN n.n_valid = 1 THEN {q(N.SINGLE_TABLE)}
-                   ELSE {q(N.JOIN_HEADER)} || coalesce(r.rules || {newline}, {q(N.NO_PATHS)}) END AS join_text
+SELECT n.qid, CASE WHEN n.n_valid = 1 THEN {q(TX.SINGLE_TABLE)}
+                   ELSE {q(TX.JOIN_HEADER)} || coalesce(r.rules || {newline}, {q(TX.NO_PATHS)}) END AS join_text
 FROM nvalid n LEFT JOIN qrules r ON r.qid = n.qid""",
         "nav_top_columns": g + "\nSELECT id, rank, \"column\", freq FROM top_cols",
         "nav_active_patterns": g + "\nSELECT id, operations, aggregations, predicates FROM patterns",

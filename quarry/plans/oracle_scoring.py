@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from ..operators import scoring as S
 from ..sources import adapters as A
 from .oracle_telemetry import runs_cte
 from .oracle_workload import q
 
 
 NULL_WORDS = ["none", "null", "nan", "na", "n/a"]
+SALT = "s2|"
 INTEGER = "^[+-]?[0-9]+$"
 NUMBER = "^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"
 SPACES_AT_ENDS = "^[\\s\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{2000}-\\x{200A}]+|[\\s\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{2000}-\\x{200A}]+$"
@@ -74,17 +74,17 @@ pcells AS (SELECT case_id, pos, 0 AS col_idx, {canon_text_sql('p0')} AS value FR
            UNION ALL SELECT case_id, pos, 3, {canon_text_sql('p3')} FROM pred),
 gsig AS (SELECT case_id, col_idx, count(*) AS n,
                 bit_xor({h60_sql("CAST(pos AS VARCHAR) || '|' || value")}) AS h1,
-                bit_xor({h60_sql(q(S.SALT) + " || CAST(pos AS VARCHAR) || '|' || value")}) AS h2
+                bit_xor({h60_sql(q(SALT) + " || CAST(pos AS VARCHAR) || '|' || value")}) AS h2
          FROM gcells GROUP BY case_id, col_idx),
 psig AS (SELECT case_id, col_idx, count(*) AS n,
                 bit_xor({h60_sql("CAST(pos AS VARCHAR) || '|' || value")}) AS h1,
-                bit_xor({h60_sql(q(S.SALT) + " || CAST(pos AS VARCHAR) || '|' || value")}) AS h2
+                bit_xor({h60_sql(q(SALT) + " || CAST(pos AS VARCHAR) || '|' || value")}) AS h2
          FROM pcells GROUP BY case_id, col_idx),
 grel AS (SELECT case_id, col_idx, count(*) AS n, bit_xor({h60_sql('value')}) AS h1,
-                bit_xor({h60_sql(q(S.SALT) + ' || value')}) AS h2
+                bit_xor({h60_sql(q(SALT) + ' || value')}) AS h2
          FROM (SELECT DISTINCT case_id, col_idx, lower(value) AS value FROM gcells) GROUP BY case_id, col_idx),
 prel AS (SELECT case_id, col_idx, count(*) AS n, bit_xor({h60_sql('value')}) AS h1,
-                bit_xor({h60_sql(q(S.SALT) + ' || value')}) AS h2
+                bit_xor({h60_sql(q(SALT) + ' || value')}) AS h2
          FROM (SELECT DISTINCT case_id, col_idx, lower(value) AS value FROM pcells) GROUP BY case_id, col_idx),
 grows AS (SELECT case_id, count(*) AS rows FROM gold GROUP BY case_id),
 prows AS (SELECT case_id, count(*) AS rows FROM pred GROUP BY case_id)"""

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from ..operators import reports as R
-from ..operators import telemetry as T
+from ..functions import texts as TX
 from ..sources import adapters as A
 from .oracle_workload import qlog_cte, q
 from .telemetry import PRICES
 
+SCHEMA_TOOL, MAX_SCHEMA_CALLS = "schema_sql_db", 3
+KNOWN_PROVIDERS = ["google", "cloudflare", "claude", "openai"]
+DIFFICULTY_ORDER = ["Simple", "Moderate", "Challenging"]
+QUESTION_RANGE = (195, 339)
+
 
 def _list(values) -> str:
     return "[" + ", ".join(q(v) for v in values) + "]"
@@ -31,8 +35,8 @@ bounds AS (SELECT run_id, min(start) AS run_start, max(coalesce("end", start)) A
            FROM spans GROUP BY run_id),
 closed AS (SELECT s.run_id, s.span_id, s.type, s.name, s.start, coalesce(s."end", b.run_end) AS "end",
                   CASE WHEN s."end" IS NOT NULL THEN NULL
-                       WHEN s.name = {q(T.SCHEMA_TOOL)} THEN {q(T.EARLY_EXIT_SCHEMA)}
-                       ELSE {q(T.EARLY_EXIT_OTHER)} END AS closed_reason
+                       WHEN s.name = {q(SCHEMA_TOOL)} THEN {q(TX.EARLY_EXIT_SCHEMA)}
+                       ELSE {q(TX.EARLY_EXIT_OTHER)} END AS closed_reason
            FROM spans s LEFT JOIN bounds b ON b.run_id = s.run_id)"""
 
 
@@ -153,8 +157,8 @@ FROM spans WHERE type = 'llm' GROUP BY run_id""",
         "loop_guard": w + f"""
 SELECT run_id, span_id, {_s('start')} AS start, call_no FROM (
   SELECT *, count(*) OVER (PARTITION BY run_id ORDER BY start, span_id ROWS UNBOUNDED PRECEDING) AS call_no
-  FROM spans WHERE type = 'tool' AND name = {q(T.SCHEMA_TOOL)})
-WHERE call_no = {T.MAX_SCHEMA_CALLS + 1}""",
+  FROM spans WHERE type = 'tool' AND name = {q(SCHEMA_TOOL)})
+WHERE call_no = {MAX_SCHEMA_CALLS + 1}""",
         "thought_extract": "WITH " + agent_log.strip("\n") + """
 SELECT conv_id, turn,
   CASE WHEN contains(log, 'Action:')
@@ -176,7 +180,7 @@ SELECT r.query_id, r.provider,
 FROM runs r LEFT JOIN prices p ON p.provider = r.provider""",
         "run_record": wr + f"""
 SELECT query_id, experiment, difficulty,
-       CASE WHEN provider IN {tuple(T.KNOWN_PROVIDERS)} THEN provider ELSE 'unknown' END AS llm,
+       CASE WHEN provider IN {tuple(KNOWN_PROVIDERS)} THEN provider ELSE 'unknown' END AS llm,
        CASE WHEN spark_error IS NOT NULL THEN 'ERROR' WHEN sparksql_query IS NOT NULL THEN 'VALID'
             ELSE 'NOT_EXECUTED' END AS execution_status,
        coalesce(total_time, -1.0) AS total_time, coalesce(spark_time, -1.0) AS spark_time,
@@ -201,17 +205,17 @@ SELECT experiment, count(*) AS evaluated_queries, round(avg(score), 6) AS averag
        round(coalesce(sum(input_tokens + output_tokens) / count(*), 0.0), 6) AS avg_tokens_per_query
 FROM scored GROUP BY experiment""",
         "log_summary": wr + f"""
-SELECT s.query_id, coalesce(l.question, {q(R.NOT_FOUND)}) AS nl_query,
-       coalesce(l.sql, {q(R.NOT_FOUND)}) AS golden_query,
-       coalesce(s.sparksql_query, {q(R.NO_SQL)}) AS generated_query,
+SELECT s.query_id, coalesce(l.question, {q(TX.NOT_FOUND)}) AS nl_query,
+       coalesce(l.sql, {q(TX.NOT_FOUND)}) AS golden_query,
+       coalesce(s.sparksql_query, {q(TX.NO_SQL)}) AS generated_query,
        s.execution_status, s.spark_error,
-       coalesce(CAST(s.accuracy AS VARCHAR), {q(R.NOT_AVAILABLE)}) AS accuracy
+       coalesce(CAST(s.accuracy AS VARCHAR), {q(TX.NOT_AVAILABLE)}) AS accuracy
 FROM scored s LEFT JOIN qlog l ON l.query_id = s.query_id""",
         "accuracy_by_arch": wr + """
 SELECT architecture, round(accuracy, 6) AS accuracy, round(accuracy_pct, 6) AS accuracy_pct FROM by_arch""",
         "accuracy_by_difficulty": wr + """,
 ord(difficulty_label, difficulty_rank) AS (VALUES """ + ", ".join(
-            f"({q(d)}, {i})" for i, d in enumerate(R.DIFFICULTY_ORDER)) + """)
+            f"({q(d)}, {i})" for i, d in enumerate(DIFFICULTY_ORDER)) + """)
 SELECT s.experiment AS architecture, o.difficulty_label, o.difficulty_rank, round(avg(s.score), 6) AS accuracy
 FROM scored s JOIN ord o ON o.difficulty_label = upper(substr(s.difficulty, 1, 1)) || lower(substr(s.difficulty, 2))
 GROUP BY s.experiment, o.difficulty_label, o.difficulty_rank""",
@@ -224,5 +228,5 @@ SELECT experiment, round(avg(score), 6) AS strict_accuracy, round(avg(relaxed_sc
        round(avg(relaxed_score) - avg(score), 6) AS difference
 FROM scored GROUP BY experiment""",
         "spec_range": "WITH " + qlog_cte().strip("\n") + f"""
-SELECT query_id, question, sql, difficulty FROM qlog WHERE query_id BETWEEN {R.QUESTION_RANGE[0]} AND {R.QUESTION_RANGE[1]}""",
+SELECT query_id, question, sql, difficulty FROM qlog WHERE query_id BETWEEN {QUESTION_RANGE[0]} AND {QUESTION_RANGE[1]}""",
     }
