@@ -167,10 +167,21 @@ def q_results_sink(spark, sf_dir):
 
 def q_graph_node_link(spark, sf_dir):
     g = workload.graph(spark, sf_dir)
-    nodes, edges = S.graph_node_link(g.nodes, g.columns, g.operations, g.aggregations, g.predicates,
-                                     workload.q_entity_samples(spark, sf_dir), g.edges)
-    return nodes.select(F.lit("node").alias("kind"), F.col("id").alias("key"), "json").unionByName(
-        edges.select(F.lit("edge").alias("kind"), F.concat_ws("->", "source", "target").alias("key"), "json"))
+    path = shared_path(spark, "graph")
+    S.write_node_link(*S.graph_node_link(g.nodes, g.columns, g.operations, g.aggregations, g.predicates,
+                                         workload.q_entity_samples(spark, sf_dir), g.edges), path)
+    nodes, edges = S.read_node_link(spark, path)
+    text = lambda m: F.coalesce(F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(
+        e["key"], F.lit("="), e["value"].cast("string")))), ","), F.lit(""))
+    samples = F.coalesce(F.array_join(F.array_sort(F.transform(F.map_entries("sample_values"), lambda e: F.concat(
+        e["key"], F.lit("="), F.array_join(e["value"], "|")))), ","), F.lit(""))
+    nodes = nodes.select(F.lit("node").alias("kind"), F.col("id").alias("key"), text("columns_freq").alias("entries"), text("operations_freq").alias("operations"),
+                         text("aggregations_freq").alias("aggregations"), text("predicates_freq").alias("predicates"), samples.alias("samples"),
+                         F.lit(None).cast("long").alias("weight"))
+    none = F.lit("")
+    return nodes.unionByName(edges.select(
+        F.lit("edge").alias("kind"), F.concat_ws("->", "source", "target").alias("key"), text("conditions").alias("entries"), none.alias("operations"),
+        none.alias("aggregations"), none.alias("predicates"), F.col("condition").alias("samples"), "weight"))
 
 
 QUERIES = {**{k: _sql_query(v) for k, v in SQL.items()},

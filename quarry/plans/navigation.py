@@ -12,7 +12,9 @@ from ..functions import texts as TX
 from ..operators import mining as W
 from ..operators import navigate as N
 from ..operators import vectors as V
+from ..session import shared_path
 from ..sources import adapters as A
+from ..sources import artefacts as S
 from . import workload
 
 
@@ -36,7 +38,12 @@ def _questions(spark, sf_dir):
 
 
 def q_graph_undirected(spark, sf_dir):
-    return N.undirected(_graph(spark, sf_dir).edges)
+    """The stored graph, read back, in both orientations."""
+    path = shared_path(spark, "graph")
+    empty = spark.createDataFrame([], "id string, column string, key string, freq long, value string, rn int")
+    S.write_node_link(*S.graph_node_link(empty.select("id"), empty, empty, empty, empty, empty, _graph(spark, sf_dir).edges), path)
+    _, links = S.read_node_link(spark, path)
+    return N.undirected(links.withColumn("is_main", F.lit(True)))
 
 
 def q_graph_weight_norm(spark, sf_dir):

@@ -273,4 +273,18 @@ SELECT (SELECT count(*) FROM node_ids) AS n_nodes,
        (SELECT count(*) FROM edges WHERE is_main) AS n_edges,
        (SELECT string_agg(source || ' -> ' || target, ', ' ORDER BY source || ' -> ' || target)
         FROM edges WHERE is_main) AS edge_list""",
+        "graph_node_link": _with(qlog_cte(), facts_cte(), GRAPH_CTE, samples_cte()) + """,
+cols AS (SELECT id, string_agg("column" || '=' || freq, ',' ORDER BY "column" || '=' || freq) AS t FROM g_columns GROUP BY id),
+ops AS (SELECT id, string_agg(key || '=' || freq, ',' ORDER BY key || '=' || freq) AS t FROM g_operations GROUP BY id),
+agg AS (SELECT id, string_agg(key || '=' || freq, ',' ORDER BY key || '=' || freq) AS t FROM g_aggregations GROUP BY id),
+prd AS (SELECT id, string_agg("column" || '=' || freq, ',' ORDER BY "column" || '=' || freq) AS t FROM g_predicates GROUP BY id),
+per AS (SELECT id, "column" || '=' || string_agg(value, '|' ORDER BY rn) AS t FROM samples GROUP BY id, "column"),
+smp AS (SELECT id, string_agg(t, ',' ORDER BY t) AS t FROM per GROUP BY id)
+SELECT 'node' AS kind, n.id AS key, coalesce(cols.t, '') AS entries, coalesce(ops.t, '') AS operations, coalesce(agg.t, '') AS aggregations,
+       coalesce(prd.t, '') AS predicates, coalesce(smp.t, '') AS samples, CAST(NULL AS BIGINT) AS weight
+FROM node_ids n LEFT JOIN cols ON cols.id = n.id LEFT JOIN ops ON ops.id = n.id LEFT JOIN agg ON agg.id = n.id
+LEFT JOIN prd ON prd.id = n.id LEFT JOIN smp ON smp.id = n.id
+UNION ALL
+SELECT 'edge', source || '->' || target, string_agg(condition || '=' || freq, ',' ORDER BY condition || '=' || freq), '', '', '',
+       max(condition) FILTER (is_main), CAST(max(weight) AS BIGINT) FROM edges GROUP BY source, target""",
     }

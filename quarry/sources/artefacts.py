@@ -104,3 +104,22 @@ def graph_node_link(nodes: DataFrame, columns: DataFrame, operations: DataFrame,
         F.max("weight").alias("weight"), F.max(F.when(F.col("is_main"), F.col("condition"))).alias("condition"))
     edge_json = conds.select("source", "target", F.to_json(F.struct(*conds.columns)).alias("json"))
     return node_json, edge_json
+
+
+NODE_SCHEMA = ("id string, columns_freq map<string,bigint>, operations_freq map<string,bigint>, aggregations_freq map<string,bigint>, "
+               "predicates_freq map<string,bigint>, sample_values map<string,array<string>>")
+EDGE_SCHEMA = "source string, target string, conditions map<string,bigint>, weight bigint, condition string"
+
+
+def write_node_link(node_json: DataFrame, edge_json: DataFrame, path: str) -> None:
+    """The export of ``graph_node_link`` as JSON lines, nodes and edges in folders of their own."""
+    node_json.select("json").write.text(f"{path}/nodes")
+    edge_json.select("json").write.text(f"{path}/links")
+
+
+def read_node_link(spark: SparkSession, path: str | None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a stored graph; an empty graph where none was stored (``path`` is None)."""
+    if path is None:
+        return spark.createDataFrame([], NODE_SCHEMA), spark.createDataFrame([], EDGE_SCHEMA)
+    return tuple(spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/{part}")
+                 for part, schema in (("nodes", NODE_SCHEMA), ("links", EDGE_SCHEMA)))
