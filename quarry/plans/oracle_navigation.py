@@ -70,6 +70,30 @@ def _cos(a: str, b: str) -> str:
             f"(sqrt(list_sum(list_transform({a}, lambda x: x * x))) * sqrt(list_sum(list_transform({b}, lambda x: x * x)))) END)")
 
 
+def greedy_cte() -> str:
+    """The greedy connection unrolled: no question of the log asks for more than three tables, so two rounds suffice."""
+    def step(n: int) -> str:
+        return f"""
+c{n} AS (SELECT s.qid, x.path, x.path_key, x.hops, x.hist_score FROM s{n} s JOIN paths x
+         ON list_contains(s.connected, x.src) AND list_contains(s.pending, x.dst) WHERE s.active AND len(s.pending) > 0),
+t{n} AS (SELECT c.*, (0.4 * hist_score + 0.6 * {_cos('v.qvec', 'p.pvec')}) * pow(0.95, hops - 1) AS total
+         FROM c{n} c JOIN gpv p ON p.path_key = c.path_key JOIN qv v ON v.qid = c.qid),
+b{n} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(total, 9) DESC, hops, path_key) AS r FROM t{n}) WHERE r = 1),
+j{n} AS (SELECT s.*, b.path, b.path_key, b.total FROM s{n} s LEFT JOIN b{n} b ON b.qid = s.qid),
+o{n} AS (SELECT qid, {n} AS round, path_key, round(total, 6) AS total,
+                CASE WHEN path IS NULL THEN array_to_string(pending, ',') END AS fallback
+         FROM j{n} WHERE path IS NOT NULL OR active AND len(pending) > 0),
+s{n + 1} AS (SELECT qid, CASE WHEN path IS NULL THEN connected ELSE list_concat(connected, list_filter(path, lambda x: NOT list_contains(connected, x))) END AS connected,
+                CASE WHEN path IS NULL THEN pending ELSE list_filter(pending, lambda x: NOT list_contains(path, x)) END AS pending,
+                active AND path IS NOT NULL AS active FROM j{n})"""
+
+    return f"""
+gpv0 AS (SELECT DISTINCT path_key, array_to_string(path, ' ') AS path_text FROM paths),
+gpv AS (SELECT path_key, {_norm_sql(hash_embed_sql('path_text'))} AS pvec FROM gpv0),
+asked AS (SELECT qid, list("table" ORDER BY table_pos) AS ts FROM valid GROUP BY qid),
+s1 AS (SELECT qid, ts[1:1] AS connected, ts[2:] AS pending, true AS active FROM asked),{step(1)},{step(2)}"""
+
+
 def oracle() -> dict[str, str]:
     g = _with(qlog_cte(), facts_cte(), GRAPH_CTE, NAV_CTE)
     gs = _with(qlog_cte(), facts_cte(), GRAPH_CTE, samples_cte(), NAV_CTE)
@@ -114,6 +138,8 @@ SELECT p.id,
             || CASE WHEN p.aggregations IS NOT NULL THEN printf('    * Aggregations: %s{newline[1:-1]}', p.aggregations) ELSE '' END
      END AS block
 FROM patterns p LEFT JOIN top t ON t.id = p.id LEFT JOIN slines s ON s.id = p.id""",
+        "nav_greedy_connect": _with(qlog_cte(), facts_cte(), GRAPH_CTE, NAV_CTE, _questions_cte(), greedy_cte())
+        + "\nSELECT * FROM o1 UNION ALL SELECT * FROM o2",
         "path_hybrid_score": two + """
 SELECT qid, path_key, hops, round(hist_score, 6) AS hist_score, round(sem_score, 6) AS sem_score,
        round(total, 6) AS total FROM tot""",
