@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from ..functions import texts as TX
 from ..sources.tables import STAR_TABLES
-from .context import BAD_RESPONSE, GHOST_TABLE
-from .oracle_navigation import NAV_CTE
+from .context import BAD_RESPONSE, DEFAULT_INSTRUCTIONS, GHOST_TABLE
+from .oracle_navigation import NAV_CTE, _questions_cte, greedy_cte, metadata_cte
 from .oracle_vectors import K, _knn_sql, _norm_sql, hash_embed_sql
+from .oracle_vectors import oracle as oracle_vectors
 from .oracle_workload import AGGREGATIONS, GRAPH_CTE, OPERATIONS, _with, facts_cte, q, qlog_cte, samples_cte
 
 NL = q(chr(10))
@@ -71,13 +72,36 @@ rag AS (SELECT d.id AS qid, 'As a strict reference, here are some examples:{NL[1
         FROM docs d LEFT JOIN blocks b ON b.qid = d.id)"""
 
 
+def _hybrid2_cte() -> str:
+    return f"""
+picked AS (SELECT * FROM (SELECT * FROM o1 UNION ALL SELECT * FROM o2) WHERE qid IN (SELECT qid FROM items)),
+h2chosen AS (SELECT qid, string_split(path_key, '>') AS path FROM picked WHERE path_key IS NOT NULL),
+h2edges AS (SELECT DISTINCT qid, least(x, y) AS source, greatest(x, y) AS target FROM (
+              SELECT qid, path[i] AS x, path[i + 1] AS y FROM (SELECT qid, path, unnest(range(1, len(path))) AS i FROM h2chosen))),
+h2rules AS (SELECT qid, string_agg(rule, {NL} ORDER BY rule) AS rules FROM (
+              SELECT DISTINCT e.qid, r.rule FROM h2edges e JOIN rules r ON r.source = e.source AND r.target = e.target) GROUP BY qid),
+h2tables AS (SELECT DISTINCT qid, "table" FROM (
+               SELECT qid, unnest(path) AS "table" FROM h2chosen
+               UNION ALL SELECT qid, unnest(string_split(fallback, ',')) FROM picked WHERE fallback IS NOT NULL
+               UNION ALL SELECT qid, arg_min("table", table_pos) FROM ivalid GROUP BY qid)),
+h2meta AS (SELECT t.qid, string_agg(b.block, '' ORDER BY t."table") AS meta FROM h2tables t JOIN v2blocks b ON b.id = t."table" GROUP BY t.qid),
+g2 AS (SELECT i.qid, CASE WHEN n.n_valid IS NULL THEN {q(TX.NO_VALID_TABLES)} ELSE
+          (CASE WHEN n.n_valid = 1 THEN {q(TX.SINGLE_TABLE)} ELSE {q(TX.JOIN_HEADER)} || coalesce(r.rules || {NL}, {q(TX.NO_PATHS)}) END)
+          || {q(TX.METADATA_HEADER)} || coalesce(m.meta, '') END AS graph_ctx
+       FROM items i LEFT JOIN invalid n ON n.qid = i.qid LEFT JOIN h2rules r ON r.qid = i.qid LEFT JOIN h2meta m ON m.qid = i.qid),
+elines AS (SELECT l.qid, v.id, string_agg('  - Column ''' || v."column" || ''' matches categorical values: [' || v.vals || ']' || {NL}, '' ORDER BY v."column") AS lines
+           FROM (SELECT qid, unnest(tables) AS id FROM linked WHERE qid IN (SELECT qid FROM items)) l JOIN svals v ON v.id = l.id GROUP BY l.qid, v.id),
+ents AS (SELECT qid, {q(TX.HYBRID2_ENTITIES)} || string_agg('Table [' || id || ']:' || {NL} || lines, '' ORDER BY id) || {NL} AS entities FROM elines GROUP BY qid)"""
+
+
 def oracle() -> dict[str, str]:
     base = [qlog_cte(), facts_cte(), GRAPH_CTE, samples_cte()]
     g = _with(*base)
     gl = _with(*base, LINK_CTE)
     gn = _with(*base, NAV_CTE, _ctx_cte())
     gh = _with(*base, NAV_CTE, _ctx_cte(), _vector_cte())
-    return {
+    h2 = _with(*base, LINK_CTE, NAV_CTE, _ctx_cte(), _vector_cte(), _questions_cte(), greedy_cte(), metadata_cte(), _hybrid2_cte())
+    out = {
         "schema_metadata": g + """
 SELECT c.id, string_agg(c."column", ',' ORDER BY c."column") AS columns,
        coalesce(string_agg(CASE WHEN s.id IS NOT NULL THEN c."column" END, ',' ORDER BY c."column"), '') AS sample_columns
@@ -114,4 +138,12 @@ SELECT i.qid AS question_id,
   || '{NL[1:-1]}{NL[1:-1]}        --- STRUCTURAL CONTEXT (Graph Rules) ---{NL[1:-1]}        ' || g.graph_ctx
   || '{NL[1:-1]}        ' || {q(TX.QUESTION_TAIL)} || i.question AS context
 FROM items i LEFT JOIN rag r ON r.qid = i.qid LEFT JOIN gctx g ON g.qid = i.qid""",
+        "ctx_hybrid2": h2 + f"""
+SELECT i.qid AS question_id, {q(DEFAULT_INSTRUCTIONS)} || {q(TX.HYBRID2_SEMANTIC)} || coalesce(r.rag_context, '') || {NL} || {NL}
+  || coalesce(e.entities, '') || {q(TX.HYBRID2_STRUCTURAL)} || g.graph_ctx || {NL} || {NL} || {q(TX.HYBRID2_QUESTION)} || i.question || {NL} || {NL} AS context
+FROM items i LEFT JOIN rag r ON r.qid = i.qid LEFT JOIN g2 g ON g.qid = i.qid LEFT JOIN ents e ON e.qid = i.qid""",
     }
+    parts = [("baseline", oracle_vectors()["ctx_baseline"]), ("vector", oracle_vectors()["ctx_vector"]), ("graph", out["ctx_graph"]),
+             ("hybrid_v1", out["ctx_hybrid1"]), ("hybrid_v2", out["ctx_hybrid2"])]
+    out["ctx_all"] = "\nUNION ALL\n".join(f"SELECT {q(name)} AS strategy, question_id, context FROM ({sql})" for name, sql in parts)
+    return out

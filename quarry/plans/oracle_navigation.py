@@ -70,6 +70,29 @@ def _cos(a: str, b: str) -> str:
             f"(sqrt(list_sum(list_transform({a}, lambda x: x * x))) * sqrt(list_sum(list_transform({b}, lambda x: x * x)))) END)")
 
 
+def metadata_cte() -> str:
+    """The metadata block of every table, version 2."""
+    newline = q(chr(10))
+    return f"""
+top AS (SELECT id, string_agg("column", ', ' ORDER BY rank) AS top FROM top_cols GROUP BY id),
+scol AS (SELECT id, "column", string_agg('''' || value || '''', ', ' ORDER BY rn) AS vals FROM samples GROUP BY id, "column"),
+slines AS (SELECT id, string_agg(printf('    * %s: [%s]' || {newline}, "column", vals), '' ORDER BY "column") AS samples
+           FROM scol GROUP BY id),
+v2blocks AS (
+SELECT p.id,
+  printf('{newline[1:-1]}Table: [%s]{newline[1:-1]}', p.id)
+  || CASE WHEN t.top IS NOT NULL THEN printf('  - Frequently referenced columns: %s{newline[1:-1]}', t.top) ELSE '' END
+  || CASE WHEN s.samples IS NOT NULL THEN '  - Sample data formats:{newline[1:-1]}' || s.samples ELSE '' END
+  || '  - Historical SQL patterns:{newline[1:-1]}'
+  || CASE WHEN p.predicates IS NULL AND p.operations IS NULL AND p.aggregations IS NULL
+          THEN '    * No structural patterns identified.{newline[1:-1]}'
+          ELSE CASE WHEN p.predicates IS NOT NULL THEN printf('    * WHERE clauses frequently use: %s{newline[1:-1]}', p.predicates) ELSE '' END
+            || CASE WHEN p.operations IS NOT NULL THEN printf('    * Used operators: %s{newline[1:-1]}', p.operations) ELSE '' END
+            || CASE WHEN p.aggregations IS NOT NULL THEN printf('    * Aggregations: %s{newline[1:-1]}', p.aggregations) ELSE '' END
+     END AS block
+FROM patterns p LEFT JOIN top t ON t.id = p.id LEFT JOIN slines s ON s.id = p.id)"""
+
+
 def greedy_cte() -> str:
     """The greedy connection unrolled: no question of the log asks for more than three tables, so two rounds suffice."""
     def step(n: int) -> str:
@@ -121,23 +144,7 @@ SELECT n.qid, CASE WHEN n.n_valid = 1 THEN {q(TX.SINGLE_TABLE)}
 FROM nvalid n LEFT JOIN qrules r ON r.qid = n.qid""",
         "nav_top_columns": g + "\nSELECT id, rank, \"column\", freq FROM top_cols",
         "nav_active_patterns": g + "\nSELECT id, operations, aggregations, predicates FROM patterns",
-        "nav_metadata_text": gs + f""",
-top AS (SELECT id, string_agg("column", ', ' ORDER BY rank) AS top FROM top_cols GROUP BY id),
-scol AS (SELECT id, "column", string_agg('''' || value || '''', ', ' ORDER BY rn) AS vals FROM samples GROUP BY id, "column"),
-slines AS (SELECT id, string_agg(printf('    * %s: [%s]' || {newline}, "column", vals), '' ORDER BY "column") AS samples
-           FROM scol GROUP BY id)
-SELECT p.id,
-  printf('{newline[1:-1]}Table: [%s]{newline[1:-1]}', p.id)
-  || CASE WHEN t.top IS NOT NULL THEN printf('  - Frequently referenced columns: %s{newline[1:-1]}', t.top) ELSE '' END
-  || CASE WHEN s.samples IS NOT NULL THEN '  - Sample data formats:{newline[1:-1]}' || s.samples ELSE '' END
-  || '  - Historical SQL patterns:{newline[1:-1]}'
-  || CASE WHEN p.predicates IS NULL AND p.operations IS NULL AND p.aggregations IS NULL
-          THEN '    * No structural patterns identified.{newline[1:-1]}'
-          ELSE CASE WHEN p.predicates IS NOT NULL THEN printf('    * WHERE clauses frequently use: %s{newline[1:-1]}', p.predicates) ELSE '' END
-            || CASE WHEN p.operations IS NOT NULL THEN printf('    * Used operators: %s{newline[1:-1]}', p.operations) ELSE '' END
-            || CASE WHEN p.aggregations IS NOT NULL THEN printf('    * Aggregations: %s{newline[1:-1]}', p.aggregations) ELSE '' END
-     END AS block
-FROM patterns p LEFT JOIN top t ON t.id = p.id LEFT JOIN slines s ON s.id = p.id""",
+        "nav_metadata_text": gs + "," + metadata_cte() + "\nSELECT id, block FROM v2blocks",
         "nav_greedy_connect": _with(qlog_cte(), facts_cte(), GRAPH_CTE, NAV_CTE, _questions_cte(), greedy_cte())
         + "\nSELECT * FROM o1 UNION ALL SELECT * FROM o2",
         "path_hybrid_score": two + """
