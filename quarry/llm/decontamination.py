@@ -24,7 +24,7 @@ from .common import col_of, let
 
 #: The words that each mask reads, from its place on.
 MASKS = [[0, 1, 3, 4, 7], [0, 3, 5, 6, 7]]
-WINDOW = 20
+WINDOW = 13
 MIN_ITEM_WORDS = 9
 BLOCK_BYTES = 1 << 20
 
@@ -34,8 +34,8 @@ def tokens(text: Column) -> Column:
 
 
 def substitutions(window: Column) -> Column:
-    """How many words of a window may differ: 4 of 20, in a shorter item one of each 6."""
-    return F.when(window >= WINDOW, F.lit(4)).otherwise(F.floor(window / 6).cast("int"))
+    """How many words of a window may differ: 2 of 13, in a shorter item one of each 6."""
+    return F.when(window >= WINDOW, F.lit(2)).otherwise(F.floor(window / 6).cast("int"))
 
 
 def _seeds(words: str, at: str) -> Column:
@@ -62,7 +62,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
              item_text_col: str = "text") -> DataFrame:
     """One row per document and benchmark item that it overlaps: id, item, n_matched, n_window.
 
-    A document overlaps an item if n_window words of the item in a row (20, or the
+    A document overlaps an item if n_window words of the item in a row (13, or the
     whole of a shorter item) stand in the document at the same distances, all but the
     allowed substitutions equal; n_matched is the best count.  Items of fewer than
     ``MIN_ITEM_WORDS`` words cannot be told from chance and match nothing.  Null

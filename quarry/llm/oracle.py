@@ -55,7 +55,7 @@ WITH d AS (SELECT doc_id, string_split_regex(lower(text), '[^\p{L}\p{N}]+') AS w
 b AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM benchmark),
 dw AS (SELECT doc_id, len(words) AS n, unnest(range(len(words))) AS i, unnest(words) AS w FROM d),
 bw AS (SELECT item_id, len(words) AS n, unnest(range(len(words))) AS j, unnest(words) AS w FROM b WHERE len(words) >= 9),
-lim AS (SELECT item_id, n, least(n, 20) AS win, least(n, 20) - CASE WHEN n >= 20 THEN 4 ELSE n // 6 END AS need FROM (SELECT DISTINCT item_id, n FROM bw)),
+lim AS (SELECT item_id, n, least(n, 13) AS win, least(n, 13) - CASE WHEN n >= 13 THEN 2 ELSE n // 6 END AS need FROM (SELECT DISTINCT item_id, n FROM bw)),
 same AS (SELECT dw.doc_id, bw.item_id, dw.i - bw.j AS shift, bw.j, dw.n AS dn FROM dw JOIN bw ON dw.w = bw.w),
 diag AS (SELECT doc_id, item_id, shift, dn, list(j) AS js FROM same GROUP BY doc_id, item_id, shift, dn),
 cand AS (SELECT diag.*, win, need, lim.n FROM diag JOIN lim USING (item_id) WHERE len(js) >= need),

@@ -98,8 +98,8 @@ def overlaps(docs, items):
             item = [w for w in split(it) if w]
             if i is None or k is None or len(item) < 9:
                 continue
-            n = min(20, len(item))
-            allowed = 4 if n == 20 else n // 6
+            n = min(13, len(item))
+            allowed = 2 if n == 13 else n // 6
             best = max((sum(a == b for a, b in zip(item[s:s + n], words[p:p + n]))
                         for s in range(len(item) - n + 1) for p in range(len(words) - n + 1)), default=0)
             if best >= n - allowed:
