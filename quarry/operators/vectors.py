@@ -127,7 +127,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str = "l2",
     ``exclude_self`` (qid == cid is skipped).  Fewer than k hits when the
     corpus is small; a query without any hit, or a row without vector, has no row (callers left-join).
 
-    Corpus rows belong to the cell of their nearest pivot (``n_pivots`` corpus rows, a bounded sample: four for each
+    Corpus rows belong to the cell of their nearest pivot (``n_pivots`` corpus rows, a bounded sample: one for each
     ``block_rows`` rows of the corpus, 256 at most), cells to blocks of about ``block_rows``.  A query first searches the nearest cells that hold more than k rows,
     which bounds its k-th distance; then only cells that the triangle inequality does not rule out
     (distance to the pivot less the cell's radius).  Cosine distances are no metric and rule nothing out.
@@ -135,7 +135,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str = "l2",
     types = dict(queries.dtypes)["qid"], dict(corpus.dtypes)["cid"]
     queries = queries.select("qid", F.col("vec").cast("array<double>").alias("vec")).where("vec IS NOT NULL")
     corpus = corpus.select("cid", F.col("vec").cast("array<double>").alias("vec")).where("vec IS NOT NULL")
-    n_pivots = n_pivots or min(256, max(1, 4 * corpus.count() // block_rows))
+    n_pivots = n_pivots or min(256, max(1, corpus.count() // block_rows))
     picked = corpus.orderBy(F.xxhash64("cid"), "cid").select("vec").limit(n_pivots).toPandas()  # a bounded sample
     if not len(picked):
         return queries.sparkSession.createDataFrame([], f"qid {types[0]}, rank int, cid {types[1]}, dist double")
@@ -192,6 +192,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str = "l2",
     schema = f"qid {types[0]}, vec array<double>, block int"
     near = _searched(queries.mapInPandas(send_near, schema), placed, k, metric, exclude_self, block_rows, types)
     by_rank = Window.partitionBy("qid").orderBy(F.round("dist", TIE_DECIMALS), "cid")
+    if len(pivots) == 1:  # one cell: it was searched as a whole
+        return near.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k).select("qid", "rank", "cid", "dist")
     near = stored(near.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k).drop("rank"), "near")
     bound = near.groupBy("qid").agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("bound"))
     left = queries.join(bound, "qid", "left").select("qid", "vec", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
