@@ -141,14 +141,14 @@ def entity_samples(spark: SparkSession, columns: DataFrame, tables: dict[str, Da
     for name in sorted(named):
         cols = sorted(named[name])
         text = tables[name].select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
-        level = text.agg(*[F.min(f"c{i}").alias(f"m{i}") for i in range(len(cols))])
-        for rank in range(1, k + 1):
-            if rank > 1:  # the row before has one value per column
-                level = text.crossJoin(F.broadcast(level)).agg(*[F.min(F.when(F.col(f"c{i}") > F.col(f"m{i}"), F.col(f"c{i}"))).alias(f"m{i}")
-                                                                 for i in range(len(cols))])
-            found = F.array(*[F.struct(F.lit(spelled).alias("column"), F.col(f"m{i}").alias("value"))
-                              for i, c in enumerate(cols) for spelled in sorted(named[name][c])])
-            parts.append(level.select(F.lit(name).alias("id"), F.inline(found)).select("id", "column", "value", F.lit(rank).alias("rn")))
+        level = text.agg(*[F.min(f"c{i}").alias(f"m{i}_1") for i in range(len(cols))])
+        for rank in range(2, k + 1):  # the row before has one value per column and rank, and passes them on
+            before = [F.min(f"m{i}_{r}").alias(f"m{i}_{r}") for i in range(len(cols)) for r in range(1, rank)]
+            above = [F.min(F.when(F.col(f"c{i}") > F.col(f"m{i}_{rank - 1}"), F.col(f"c{i}"))).alias(f"m{i}_{rank}") for i in range(len(cols))]
+            level = text.crossJoin(F.broadcast(level)).agg(*before, *above)
+        found = F.array(*[F.struct(F.lit(spelled).alias("column"), F.col(f"m{i}_{r}").alias("value"), F.lit(r).alias("rn"))
+                          for i, c in enumerate(cols) for spelled in sorted(named[name][c]) for r in range(1, k + 1)])
+        parts.append(level.select(F.lit(name).alias("id"), F.inline(found)).select("id", "column", "value", "rn"))
     if not parts:
         return spark.createDataFrame([], "id string, column string, value string, rn int")
     out = parts[0]
