@@ -24,6 +24,10 @@ BOILERPLATE = [
     "sign up", "log in", "subscribe now", "subscribe to our", "enable javascript", "powered by", "lorem ipsum",
     "share this", "skip to content", "back to top", "read more", "copyright (c)", "©",
 ]
+#: The phrases as they stand, and where no letter or digit touches their first or last letter.
+PHRASE = "|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE)
+WHOLE_PHRASE = rf"(?:(?<![\p{{L}}\p{{N}}])|(?=©))(?:{PHRASE})(?:(?![\p{{L}}\p{{N}}])|(?<=[©)]))"
+MAX_PHRASE_PERCENT = 50
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_NOISE_PERCENT = 20
@@ -40,13 +44,21 @@ def chars_in_words(text: Column) -> Column:
 
 
 def line_passes(line: Column) -> Column:
-    """The three rules on one line that has a word."""
+    """The three rules on one line that has a word; boilerplate fails a line that mostly consists of it."""
     bare = F.btrim(line, F.lit(WHITE_CHARS))
     n_words = n_matches(bare, f"[{WHITE}]+") + 1
     punctuation = bare.rlike(SENTENCE_END) & (100 * n_matches(bare, NOISE) <= MAX_NOISE_PERCENT * n_words)
     navigation = n_matches(bare, SEPARATOR) < MIN_SEPARATORS
-    boilerplate = ~F.lower(bare).rlike("|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE))
-    return punctuation & navigation & boilerplate
+    return punctuation & navigation & ~mostly_boilerplate(bare)
+
+
+def mostly_boilerplate(bare: Column) -> Column:
+    """Whether more than half of a line's letters, digits and signs are in boilerplate phrases."""
+    def share(t: Column) -> Column:
+        whole = chars_in_words(t)
+        return 100 * (whole - chars_in_words(F.regexp_replace(t, WHOLE_PHRASE, ""))) > MAX_PHRASE_PERCENT * whole
+
+    return F.lower(bare).rlike(PHRASE) & let(F.lower(bare), share)
 
 
 def repeated_words(words: Column) -> Column:

@@ -34,6 +34,17 @@ def test_line_rules(spark):
     assert [r.line for r in df.where(line_quality.line_passes(F.col("line")) != F.col("want")).collect()] == []
 
 
+def test_boilerplate_phrase_in_a_clean_line(spark):
+    rng = random.Random(5)
+    good = ["Find it in the catalog in the hall.", "An analog input fails.", "They spread more seeds.", "We design up to ten.", "Relog in.",
+            "© 2020 the committee wrote a report on the river and its banks.", prose(rng, 90) + " Our privacy policy is long. " + prose(rng, 90)]
+    bad = ["Read more.", "Log in, sign up.", "© All rights reserved.", "Click here: terms of use.", "Copyright (c) Ann.", "Privacy policy | Cookie policy."]
+    df = spark.createDataFrame([(x, x in good) for x in good + bad], "line string, want boolean")
+    assert [r.line for r in df.where(line_quality.line_passes(F.col("line")) != F.col("want")).collect()] == []
+    rows = line_quality.judged(docs(spark, [good[-1]])).collect()
+    assert rows[0].kept and rows[0].cleaned == good[-1]
+
+
 def test_verdict_on_lost_text(spark):
     rng = random.Random(3)
     clean = prose(rng, 100)
