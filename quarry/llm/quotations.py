@@ -1,20 +1,20 @@
 """Quotation linking: who answers whom, read from quoted passages, and conversations without the quotes.
 
 Lines are parsed for nested quote marks.  Neighbouring quoted lines of one level
-form a passage; passages and the lines of the messages' own text are
-normalised and hashed, and quoted lines are joined to the messages that said them
-first.  A message's parent is the latest earlier message of its conversation that
+form a passage; a passage, its lines and its sentences are normalised and hashed, and
+joined to the messages that said them last before: as a text, line or sentence of their own, or
+from ``RUN`` words on anywhere in their text, however the lines are wrapped.  A message's parent is the latest earlier message of its conversation that
 one of its outermost passages comes from; the reply order is by thread (the
 first message that the parents lead to) and turn.
 
-Everything is a map-side combined aggregation or a join on hashes: for a line that
-many messages share only its first speaker is kept per conversation, so neither a
+Everything is a map-side combined aggregation, a join on hashes or a scan in two levels
+(inside blocks of turns, over the blocks): messages that share a line are never paired, so neither a
 hot line nor a hot conversation makes pairs or lists.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col_of, discard, let, stored
@@ -23,6 +23,12 @@ from .common import col_of, discard, let, stored
 MARKS = r"^[ \t]*(?:>[ \t]?)+"
 ATTRIBUTION = r"(?i)^[^>]{1,200}\b(wrote|writes|said|schrieb|escribió|a écrit) ?:[ \t]*$"
 
+#: Where a sentence ends, scripts without blanks, words from which on a run is found inside a text, turns of a block.
+SENTENCE_END = r"(?<=[.!?…])[\s\x{A0}]+|(?<=[。！？])\s*"
+NO_BLANKS = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])"
+RUN = 4
+TURNS = 1024
+
 
 def quote_level(line: Column) -> Column:
     """How many quote marks a line begins with."""
@@ -31,8 +37,15 @@ def quote_level(line: Column) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    """Lower case, words only, one blank between them."""
-    return F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    """Lower case, words only, one blank between them; in scripts without blanks every character is a word."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(text), NO_BLANKS, " $1 "), r"[^\p{L}\p{N}]+", " "))
+
+
+def pieces_of(text: Column) -> Column:
+    """Normalised lines and sentences of a text, sentences inside lines and over them; empty ones go."""
+    lines = F.split(text, "\n", -1)
+    found = F.concat(lines, F.flatten(F.transform(lines, lambda x: F.split(x, SENTENCE_END, -1))), F.split(F.translate(text, "\n", " "), SENTENCE_END, -1))
+    return F.filter(F.array_distinct(F.transform(found, normalised)), lambda x: x != "")
 
 
 def _key(text: Column) -> Column:
@@ -70,28 +83,63 @@ def passages(messages: DataFrame) -> DataFrame:
     return lines.select("conv", "turn", F.explode(found).alias("p")).select("conv", "turn", "p.level", "p.first", "p.text")
 
 
-def first_said(messages: DataFrame) -> DataFrame:
-    """conv, h1, h2, said: the first turn of a conversation whose own text has the line or, in one piece, the text."""
-    own = messages.select("conv", "turn", own_text(F.col("text")).alias("own"))
-    pieces = own.select("conv", "turn", F.explode(F.array_append(F.split("own", "\n", -1), F.col("own"))).alias("piece"))
-    keys = pieces.select("conv", "turn", normalised(F.col("piece")).alias("piece")).where("piece <> ''")
-    return keys.select("conv", "turn", _key(F.col("piece")).alias("k")).groupBy("conv", "k.h1", "k.h2").agg(F.min("turn").alias("said"))
+def said(messages: DataFrame, quoted: DataFrame) -> DataFrame:
+    """conv, h1, h2, at: the turns whose own text is, has as a line or sentence, or holds a quoted piece.
+
+    ``quoted`` has a row per piece: conv, piece.  Long pieces are looked up by their first words; at the
+    places found the run of as many words is hashed like the piece, so only equal runs are left.
+    """
+    own = messages.select("conv", "turn", own_text(F.col("text")).alias("own")).where("conv IS NOT NULL AND turn IS NOT NULL AND own <> ''")
+    own = stored(own.select("conv", "turn", normalised(F.col("own")).alias("flat"), pieces_of(F.col("own")).alias("pieces")).distinct(), "said")
+    whole = own.select("conv", F.col("turn").alias("at"), F.explode(F.array_append("pieces", F.col("flat"))).alias("piece"))
+    whole = whole.where("piece <> ''").select("conv", "at", _key(F.col("piece")).alias("k"))
+
+    def begin(words: str, i: Column) -> Column:
+        return F.xxhash64(*[F.get(F.col(words), i + k) for k in range(RUN)])
+
+    runs = quoted.select("conv", F.split("piece", " ").alias("w")).where(F.size("w") >= RUN)
+    runs = runs.select("conv", begin("w", F.lit(0)).alias("begin"), F.size("w").alias("n")).distinct()
+    words = own.select("conv", "turn", F.xxhash64("flat").alias("version"), F.split("flat", " ").alias("w")).where(F.size("w") >= RUN)
+    places = words.select("conv", "turn", "version", F.size("w").alias("size"), "w", F.explode(F.sequence(F.lit(0), F.size("w") - RUN)).alias("i"))
+    places = places.select("conv", "turn", "version", "size", "i", begin("w", F.col("i")).alias("begin"))
+    hits = places.join(runs, ["conv", "begin"]).where("i + n <= size").select("conv", "turn", "version", "i", "n").distinct()
+    inside = hits.join(words, ["conv", "turn", "version"])
+    inside = inside.select("conv", F.col("turn").alias("at"), _key(F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " ")).alias("k"))
+    return whole.unionByName(inside).select("conv", "k.h1", "k.h2", "at").distinct()
+
+
+def last_said(asked: DataFrame, said: DataFrame) -> DataFrame:
+    """The rows of ``asked`` (conv, h1, h2, turn) with the last earlier turn of ``said`` (conv, h1, h2, at), as quoted; those without one go."""
+    key = ["conv", "h1", "h2"]
+    numbers = dict(asked.dtypes)["turn"] in ("tinyint", "smallint", "int", "bigint")
+    block = F.floor(F.col("turn") / TURNS) if numbers else F.lit(0)
+    both = asked.select(*key, "turn", F.lit(None).cast(dict(said.dtypes)["at"]).alias("at")).distinct().unionByName(
+        said.select(*key, F.col("at").alias("turn"), "at")).withColumn("block", block)
+    # At one turn the question stands before what is said: only earlier turns count.
+    inside = Window.partitionBy(*key, "block").orderBy("turn", F.col("at").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = both.groupBy(*key, "block").agg(F.max("at").alias("last")).select(*key, "block", F.max("last").over(before).alias("earlier"))
+    found = both.withColumn("near", F.max("at").over(inside)).where("at IS NULL").join(blocks, [*key, "block"])
+    return found.select(*key, "turn", F.coalesce("near", "earlier").alias("quoted")).where("quoted IS NOT NULL")
 
 
 def linked_passages(messages: DataFrame) -> DataFrame:
     """Per passage the turn that it quotes: conv, turn, level, first, quoted.
 
-    A passage is looked up whole, then line by line; of several turns the latest that is earlier than the
-    quoting message counts.
+    A passage is looked up whole, then by its lines and sentences; of several turns the latest that is
+    earlier than the quoting message counts.
     """
     quoted = passages(messages).where("conv IS NOT NULL AND turn IS NOT NULL")
+    flat = normalised(F.col("text"))
+    pieces = F.array_append(F.transform(pieces_of(F.col("text")), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("piece"))),
+                            F.struct(F.lit(True).alias("whole"), flat.alias("piece")))
+    asked = quoted.select("conv", "turn", "level", "first", F.explode(pieces).alias("p")).where("p.piece <> ''")
+    asked = asked.select("conv", "turn", "level", "first", "p.whole", "p.piece", _key(F.col("p.piece")).alias("k")).select("*", "k.h1", "k.h2").drop("k").distinct()
+    asked = stored(asked, "quoted")
     # Only conversations with a quotation need an index.
-    said = first_said(messages.join(quoted.select("conv").distinct(), "conv", "left_semi"))
-    pieces = quoted.select("conv", "turn", "level", "first", F.explode(F.array_append(F.split("text", "\n", -1), F.col("text"))).alias("piece"))
-    pieces = pieces.select("conv", "turn", "level", "first", normalised(F.col("piece")).alias("piece")).where("piece <> ''")
-    keys = pieces.select("conv", "turn", "level", "first", _key(F.col("piece")).alias("k")).select("conv", "turn", "level", "first", "k.h1", "k.h2").distinct()
-    return (keys.join(said, ["conv", "h1", "h2"]).where("said < turn")
-            .groupBy("conv", "turn", "level", "first").agg(F.max("said").alias("quoted")))
+    found = last_said(asked, said(messages.join(asked.select("conv").distinct(), "conv", "left_semi"), asked))
+    return (asked.join(found, ["conv", "h1", "h2", "turn"]).groupBy("conv", "turn", "level", "first")
+            .agg(F.max(F.struct("whole", "quoted"))["quoted"].alias("quoted")))
 
 
 def threads(parents: DataFrame) -> DataFrame:

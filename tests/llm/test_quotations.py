@@ -35,6 +35,29 @@ def test_nested_quotes(spark):
     assert at(None, 0)[1:] == (None, 0, 1, 0, "") and at(3, None) == (None, None, 0, 1, 0, "x")
 
 
+def test_parts_and_rewrapped_passages(spark):
+    paragraph = "The first point is short. Sorting a list twice does not change the order at all! Yes. The third point comes last"
+    lines = "One line about the river bank,\nanother about the old mill,\na third about the road,\na fourth on the bridge,\nand a fifth."
+    rows = [
+        (1, 0, "user", paragraph), (1, 1, "assistant", lines),
+        (1, 2, "user", "> Sorting a list twice does not change the order at all!\nWhy?"),
+        (1, 3, "user", "> another about the\n> old mill, a third\n> about the road,\nGo on."),
+        (1, 4, "user", "> Yes.\nFine."), (1, 5, "user", "> a list twice does not change the order\nPart of a sentence."),
+        (1, 6, "user", "> a list twice does not change her order\nNo one said this."), (1, 7, "user", "第一点很短。排序两次不会改变顺序。还有别的"),
+        (1, 8, "user", "> 排序两次不会改变顺序。\n对"), (1, 9, "user", "> another about the mill\nNot in one piece."),
+    ]
+    got = run(spark, rows)
+    assert [got[1, t].parent for t in range(2, 10)] == [0, 1, 0, 0, None, None, 7, None]
+
+
+def test_latest_earlier_speaker(spark):
+    rows = [(1, 1, "user", "Use sorted."), (1, 9, "user", "Use sorted."), (1, 10, "user", "> Use sorted.\nWhy?"), (1, 5, "user", "> Use sorted.\nAnd then?"),
+            (1, 1, "user", "Use sorted."), (1, 5000, "user", "> Use sorted.\nMuch later"), (1, 5001, "user", "> Use sorted.\nUse sorted."),
+            (2, 0, "user", "I did this and that.\nThanks."), (2, 1, "user", "Thanks."), (2, 2, "user", "> I did this and that.\n> Thanks.\nThe whole passage counts first.")]
+    got = run(spark, rows)
+    assert [got[1, t].parent for t in (1, 9, 10, 5, 5000, 5001)] == [None, None, 9, 1, 9, 9] and got[2, 2].parent == 0
+
+
 def test_replies_follow_what_they_answer(spark):
     """Random trees of quotations: threads and depths as plain pointer walking gives them."""
     rng = random.Random(3)
