@@ -50,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go; rows without id stay."""
-    found = decontamination.overlaps(docs, table(spark, sf_dir, "benchmark"))
+    found = decontamination.all_overlaps(docs, table(spark, sf_dir, "benchmark"))
     return _without(docs, found.select(F.col("id").alias("doc_id")).distinct())
 
 

@@ -1,11 +1,13 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions.
 
-Texts and benchmark items become words (runs of letters and digits, lower case).
+Texts and benchmark items become words (runs of letters and digits, lower case; in scripts
+written without blanks every character is one).
 A mask reads some of eight neighbouring words and ignores the others; its hash over
 every place of the corpus is joined with those of the benchmark.  Around each hit
 the text is laid along the item word by word, and the best window of the item
 decides: it must agree but for a few substituted words.  The two masks meet every such
 window somewhere (the tests try all places of substitutions), so nothing is lost by seeding.
+Items too short for the masks are found whole and unchanged, by a hash of all their words.
 
 Plan: one scan and no shuffle of the corpus.  Places are exploded, hashed and
 looked up inside one code-generated stage; only hits leave it.  The benchmark's
@@ -27,10 +29,12 @@ MASKS = [[0, 1, 3, 4, 7], [0, 3, 5, 6, 7]]
 WINDOW = 13
 MIN_ITEM_WORDS = 9
 BLOCK_BYTES = 1 << 20
+NO_BLANKS = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])"
 
 
 def tokens(text: Column) -> Column:
-    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    spaced = F.when(F.length(text) == F.octet_length(text), text).otherwise(F.regexp_replace(text, NO_BLANKS, " $1 "))
+    return F.split(F.lower(spaced), r"[^\p{L}\p{N}]+")
 
 
 def substitutions(window: Column) -> Column:
@@ -58,6 +62,19 @@ def _best(words: Column, item: Column, shift: Column, window: Column) -> Column:
     return let(agreeing(words), lambda f: F.when(f.isNotNull(), best(f)))
 
 
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    return benchmark.select(col_of(benchmark, item_col).alias("item"), F.filter(tokens(col_of(benchmark, item_text_col)), lambda x: x != "").alias("item_words"),
+                            F.octet_length(col_of(benchmark, item_text_col)).alias("size")).where(F.col("item").isNotNull())
+
+
+def _blocks(items: DataFrame) -> int:
+    return int((items.agg(F.sum("size")).first()[0] or 0) // BLOCK_BYTES) + 1
+
+
+def _block(items: DataFrame, blocks: int, k: int) -> DataFrame:
+    return items.where(F.pmod(F.xxhash64("item", "item_words"), F.lit(blocks)) == k).drop("size").distinct()
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
              item_text_col: str = "text") -> DataFrame:
     """One row per document and benchmark item that it overlaps: id, item, n_matched, n_window.
@@ -65,7 +82,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     A document overlaps an item if n_window words of the item in a row (13, or the
     whole of a shorter item) stand in the document at the same distances, all but the
     allowed substitutions equal; n_matched is the best count.  Items of fewer than
-    ``MIN_ITEM_WORDS`` words cannot be told from chance and match nothing.  Null
+    ``MIN_ITEM_WORDS`` words match nothing here, see ``short_overlaps``.  Null
     texts have no words; null ids take no part, in either table.  Repeated rows give
     one result row.  Other input columns are ignored.  An empty table on either side
     gives no rows.
@@ -74,13 +91,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     places = rows.where(F.size("words") >= MIN_ITEM_WORDS).select("id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 8)).alias("i"))
     places = places.select("id", "words", "i", F.explode(_seeds("words", "i")).alias("h"))
 
-    items = benchmark.select(col_of(benchmark, item_col).alias("item"), F.filter(tokens(col_of(benchmark, item_text_col)), lambda x: x != "").alias("item_words"),
-                             F.octet_length(col_of(benchmark, item_text_col)).alias("size")).where(F.col("item").isNotNull())
-    items = items.where(F.size("item_words") >= MIN_ITEM_WORDS)
-    blocks = int((items.agg(F.sum("size")).first()[0] or 0) // BLOCK_BYTES) + 1
+    items = _items(benchmark, item_col, item_text_col).where(F.size("item_words") >= MIN_ITEM_WORDS)
+    blocks = _blocks(items)
 
     def searched(k: int) -> DataFrame:
-        block = items.where(F.pmod(F.xxhash64("item", "item_words"), F.lit(blocks)) == k).drop("size").distinct()
+        block = _block(items, blocks, k)
         seeds = block.select("item", "item_words", F.explode(F.sequence(F.lit(0), F.size("item_words") - 8)).alias("j"))
         seeds = seeds.select("item", F.xxhash64("item_words").alias("version"), "j", F.explode(_seeds("item_words", "j")).alias("h"))
         whole = block.select("item", F.xxhash64("item_words").alias("version"), "item_words")
@@ -92,3 +107,41 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     hits = reduce(DataFrame.unionByName, [searched(k) for k in range(blocks)])
     return hits.groupBy("id", "item").agg(F.max("n_matched").cast("long").alias("n_matched"), F.max("n_window").cast("long").alias("n_window"))
+
+
+def short_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+                   item_text_col: str = "text") -> DataFrame | None:
+    """Like ``overlaps``, for the items of 1 to ``MIN_ITEM_WORDS`` - 1 words: a document overlaps one if it holds all its words in a row.
+
+    n_matched and n_window are the item's words.  None where the benchmark has no such item.
+    """
+    items = _items(benchmark, item_col, item_text_col).where(F.size("item_words").between(1, MIN_ITEM_WORDS - 1))
+    sizes = sorted(r[0] for r in items.select(F.size("item_words")).distinct().collect())
+    if not sizes:
+        return None
+    blocks = _blocks(items)
+    rows = docs.select(col_of(docs, id_col).alias("id"), tokens(col_of(docs, text_col)).alias("words")).where("id IS NOT NULL")
+    places = rows.where(F.size("words") >= sizes[0]).select("id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - sizes[0])).alias("i"))
+    hashes = F.array(*[F.xxhash64(F.lit(n), *[F.get(F.col("words"), F.col("i") + k) for k in range(n)]) for n in sizes])
+    places = places.select("id", "words", "i", F.explode(hashes).alias("h"))
+
+    def searched(k: int) -> DataFrame:
+        block = _block(items, blocks, k)
+        n = F.size("item_words")
+        key = F.coalesce(*[F.when(n == m, F.xxhash64(F.lit(m), *[F.get(F.col("item_words"), F.lit(j)) for j in range(m)])) for m in sizes])
+        hits = places.join(F.broadcast(block.select("item", "item_words", key.alias("h"))), "h")
+        return hits.where(F.slice("words", F.col("i") + 1, n) == F.col("item_words")).select("id", "item", n.cast("long").alias("n"))
+
+    hits = reduce(DataFrame.unionByName, [searched(k) for k in range(blocks)])
+    return hits.groupBy("id", "item").agg(F.max("n").alias("n_matched"), F.max("n").alias("n_window"))
+
+
+def all_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+                 item_text_col: str = "text") -> DataFrame:
+    """``overlaps`` of the long items and ``short_overlaps`` of the others."""
+    columns = (id_col, text_col, item_col, item_text_col)
+    short, long = short_overlaps(docs, benchmark, *columns), overlaps(docs, benchmark, *columns)
+    if short is None:
+        return long
+    # An item id may have a long and a short text.
+    return long.unionByName(short).groupBy("id", "item").agg(F.max(F.struct("n_window", "n_matched")).alias("m")).select("id", "item", "m.n_matched", "m.n_window")

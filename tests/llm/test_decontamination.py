@@ -52,6 +52,20 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     assert decontamination.overlaps(docs(spark, texts), bench(spark, [])).count() == 0
 
 
+def test_short_items_are_found_whole(spark, monkeypatch):
+    items = [(0, "Who wrote Hamlet?", 1, 2), (1, "What is the capital of the old kingdom", 1, 2), (2, "Zugzwang", 1, 2), (3, "第一点很短。排序两次不会改变顺序", 1, 2), (4, "天空是蓝色", 1, 2),
+             (5, "a1 b1 c1 d1 e1 f1 g1 h1 i1 j1", 1, 2), (6, "", 1, 2), (7, None, 1, 2), (None, "and who", 1, 2), (0, "Who wrote Hamlet?", 1, 2)]
+    texts = ["So, who wrote Hamlet", "who wrote a Hamlet", "Tell me: what is the capital of the old kingdom? And who wrote hamlet.", "a zugzwang!", "zugzwangs", None, "",
+             "他说第一点很短。排序两次不会改变顺序。", "今天天空是蓝色的", "天空蓝色", "x a1 b1 c1 d1 e1 f1 g1 h1 i1 j1 y", "who wrote"]
+    want = {(0, 0): (3, 3), (2, 0): (3, 3), (2, 1): (8, 8), (3, 2): (1, 1), (7, 3): (13, 13), (8, 4): (5, 5), (10, 5): (10, 10)}
+    for size in (1 << 20, 16):
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
+        got = decontamination.all_overlaps(with_clashes(docs(spark, texts + texts[:1], [*range(len(texts)), 0])), bench(spark, items)).collect()
+        assert {(r.id, r.item): (r.n_matched, r.n_window) for r in got} == want and len(got) == len(want)
+    assert decontamination.all_overlaps(docs(spark, []), bench(spark, items)).count() == 0
+    assert decontamination.all_overlaps(docs(spark, texts), bench(spark, [])).count() == 0
+
+
 def test_op4_on_documents(spark):
     sf = "/root/testdata/sf0.001"
     texts = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
