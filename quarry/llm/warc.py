@@ -32,7 +32,16 @@ FIELDS = ["key", "warc_type", "record_id", "refers_to", "target_uri", "date", "c
 DERIVATIVE = ("key long, warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, "
               "content_length long, block_digest string, source_block_digest string, source_payload_digest string, block string")
 
-DROPPED = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|$)|<head\b.*?(?:</head\s*>|(?=<body\b)|$)", re.S | re.I)
+# What a page does not show; an unclosed comment, script or style runs to the page's end, as in browsers, of the others only the tag goes.
+HIDDEN = re.compile(r"<!--|<(script|style|noscript|template|svg)\b", re.I)
+HIDDEN_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template", "svg")}
+TO_THE_END = ("script", "style")
+SELF_CLOSED = re.compile(r"""<svg\b(?:[^>"']|"[^"]*"|'[^']*')*(?<=/)>""", re.I)
+HEAD_OR_BODY = re.compile(r"<(head|body)(?=[\s/>])[^>]*>", re.I)
+# What may stand in a head: anything else ends it, with or without end tag.
+IN_HEAD = re.compile(r"\s+|<title\b[^>]*>.*?</title\s*>|<(?:title|meta|link|base|basefont|bgsound|noscript|template|noframes|head)\b[^>]*>|<[!?][^>]*>"
+                     r"|</(?!(?:head|body|html|br)\b)[a-z][^>]*>", re.S | re.I)
+HEAD_END = re.compile(r"</head\s*>", re.I)
 BREAKS = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|main|aside|blockquote|pre|hr|dd|dt|form|title)\b[^>]*>", re.I)
 TAG = re.compile(r"<!?/?[a-zA-Z][^>]*>|<![^>]*>|<\?[^>]*>")
 TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
@@ -49,9 +58,43 @@ def record_id(name: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE_OF_IDS, name)}>"
 
 
+def _shown(page: str) -> str:
+    """A page without comments, hidden elements and head."""
+    parts, at, missing = [], 0, set()
+    while found := HIDDEN.search(page, at):
+        parts.append(page[at:found.start()])
+        name = (found[1] or "").lower()
+        single = SELF_CLOSED.match(page, found.start()) if name == "svg" else None
+        if single:
+            at = single.end()
+        elif not name:
+            end = page.find("-->", found.end())
+            at = len(page) if end < 0 else end + 3
+        else:
+            end = None if name in missing else HIDDEN_END[name].search(page, found.end())
+            if end:
+                at = end.end()
+            elif name in TO_THE_END:
+                at = len(page)
+            else:
+                missing.add(name)
+                tag = page.find(">", found.end())
+                at = found.end() if tag < 0 else tag + 1
+        parts.append(" ")
+    page = "".join([*parts, page[at:]])
+    head = HEAD_OR_BODY.search(page)
+    if not head or head[1].lower() == "body":
+        return page
+    at = head.end()
+    while part := IN_HEAD.match(page, at):
+        at = part.end()
+    end = HEAD_END.match(page, at)
+    return page[:head.start()] + " " + page[end.end() if end else at:]
+
+
 def plain_text(page: str) -> str:
     """Visible text of an HTML page, a line per block; comments, scripts, styles and the head go."""
-    text = TAG.sub("", BREAKS.sub("\n", DROPPED.sub(" ", page)))
+    text = TAG.sub("", BREAKS.sub("\n", _shown(page)))
     lines = (BLANKS.sub(" ", line).strip() for line in html.unescape(text).split("\n"))
     return "\n".join(line for line in lines if line)
 
@@ -66,8 +109,8 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], headers, payload
 
 
-def _body(headers: dict[str, str], payload: bytes) -> bytes:
-    """The payload without transfer and content coding; as it is where a coding is broken."""
+def _body(headers: dict[str, str], payload: bytes) -> bytes | None:
+    """The payload without transfer and content coding; as it is where a coding is broken, None where one is unknown (br, zstd)."""
     data = payload
     if "chunked" in headers.get("transfer-encoding", "").lower():
         parts, rest = [], data
@@ -80,24 +123,45 @@ def _body(headers: dict[str, str], payload: bytes) -> bytes:
             parts.append(rest[:n])
             rest = rest[n + 2:] if n else b""
         data = b"".join(parts)
-    kind = headers.get("content-encoding", "").lower()
-    if kind in ("gzip", "x-gzip", "deflate"):
-        try:
-            data = zlib.decompress(data, 47 if "gzip" in kind else 15)
-        except zlib.error:
-            return payload
+    for kind in reversed([c.strip() for c in headers.get("content-encoding", "").lower().split(",")]):
+        if kind in ("gzip", "x-gzip", "deflate"):
+            data = _inflated(data, "gzip" in kind)
+            if data is None:
+                return payload
+        elif kind not in ("", "identity"):
+            return None
     return data
 
 
+def _inflated(data: bytes, gzip: bool) -> bytes | None:
+    """All members of a gzip body, or a deflate body with or without zlib's head; None where it is broken. What follows the last member is ignored."""
+    for bits in (47,) if gzip else (15, -15):
+        parts, rest = [], data
+        while rest and (not parts or gzip):
+            member = zlib.decompressobj(31 if parts else bits)
+            try:
+                part = member.decompress(rest) + member.flush()
+            except zlib.error:
+                break
+            if not parts and not member.eof:
+                break
+            parts.append(part)
+            rest = member.unused_data
+        if parts:
+            return b"".join(parts)
+    return None
+
+
 def derived(key, source_id: str, uri: str | None, date: str | None, block: bytes) -> list[tuple]:
     """The derivative records of one response, as rows of ``FIELDS``."""
     status, headers, payload = http_parts(block)
     by_name = dict(reversed(headers))  # the first of equal names
     kind = by_name.get("content-type", "text/html").split(";")[0].strip().lower()
     block_digest, payload_digest = digest(block), digest(payload)
-    page = ""
+    page, data = "", None
     if kind.startswith("text/") or kind.endswith(("xml", "json")):
         data = _body(by_name, payload)
+    if data is not None:
         named = CHARSET.search(by_name.get("content-type", "")) or CHARSET.search(data[:1024].decode("latin-1"))
         try:
             page = data.decode(named[1] if named else "utf-8", "replace")
@@ -112,7 +176,7 @@ def derived(key, source_id: str, uri: str | None, date: str | None, block: bytes
         fields += [("title", html.unescape(BLANKS.sub(" ", t.replace("\n", " "))).strip()) for t in TITLE.findall(page)[:1]]
         fields += [("outlink", html.unescape(a or b or c)) for a, b, c in LINK.findall(page)]
     made = [("metadata", "application/warc-fields", "".join(f"{n}: {BLANKS.sub(' ', v.replace(chr(10), ' ')).strip()}\r\n" for n, v in fields))]
-    if kind.startswith("text/") or marked:
+    if data is not None and (kind.startswith("text/") or marked):
         made.append(("conversion", "text/plain", plain_text(page) if marked else page))
     out = []
     for name, content_type, text in made:
@@ -145,8 +209,8 @@ def responses(pages: DataFrame, date: str, key_col: str = "page_id", uri_col: st
 def derivatives(records: DataFrame) -> DataFrame:
     """Metadata and conversion records of response records (the columns of ``responses``): the columns of ``FIELDS``.
 
-    A response without payload gives empty conversion text; one whose type is no text gives
-    metadata only.  A null block counts as empty, a null record id as one made from key and address.  Repeated responses give
+    A response without payload gives empty conversion text; one whose type is no text, or whose content
+    coding has no decoder here (br, zstd), gives metadata only.  A null block counts as empty, a null record id as one made from key and address.  Repeated responses give
     repeated records.  Other input columns are ignored.  Empty table: no rows.
     """
     rows = records.select(*[col_of(records, c) for c in ("key", "record_id", "target_uri", "date", "block")])

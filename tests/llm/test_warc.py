@@ -3,6 +3,7 @@ import glob
 import gzip
 import hashlib
 import tempfile
+import zlib
 
 from quarry.llm import queries, warc
 from quarry.sources.tables import table
@@ -43,6 +44,27 @@ def test_odd_responses(spark):
     assert warc.derivatives(responses(spark, blocks).limit(0)).count() == 0
 
 
+def test_open_elements_leave_the_text():
+    pages = {
+        "<html><head><title>x</title><p>All of the text": "All of the text", "<head><meta charset=a><link href=b>Bare text <b>here</b>": "Bare text here",
+        "<head><title>x</title></head>y": "y", "<head><title>x</title><script>'</head>'</script><body>y": "y", "<p>a<svg class=\"i\"/>b<p>c": "a b\nc",
+        "<p>a<svg class='>'/>b": "a b", "<p>a<svg><path d='x'/>no</svg>b": "a b", "<p>a<noscript>b<p>c": "a b\nc", "<p>a<template id=t>b": "a b", "<p>a<svg>b": "a b",
+        "<p>a<noscript>no</noscript>b<noscript>c": "a b c", "<p>a<script>no": "a", "<p>a<!-- no": "a", "<body><p>a<head>b": "ab"}
+    assert {p: warc.plain_text(p) for p in pages} == pages
+
+
+def test_content_codings():
+    def text(coding, body):
+        rows = warc.derived(1, "s", "u", "d", b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Encoding: " + coding + b"\r\n\r\n" + body)
+        return [r[-1] for r in rows if r[1] == "conversion"]
+
+    raw = zlib.compressobj(wbits=-15)
+    assert text(b"gzip", gzip.compress(b"<p>one ") + gzip.compress(b"two ") + gzip.compress(b"three")) == ["one two three"]
+    assert text(b"gzip", gzip.compress(b"<p>one") + b"\0\0") == ["one"] and text(b"deflate", zlib.compress(b"<p>z")) == ["z"]
+    assert text(b"deflate", raw.compress(b"<p>raw") + raw.flush()) == ["raw"] and text(b"gzip, gzip", gzip.compress(gzip.compress(b"twice"))) == ["twice"]
+    assert text(b"br", b"\x0b\x02\x80<p>a\x03") == [] and text(b"gzip", gzip.compress(b"cut " * 99)[:-9])[0] != ""
+
+
 def test_null_pages(spark):
     df = spark.createDataFrame([(1, None, None, 1), (None, "http://x", "<p>t", 2), (1, None, None, 1)], "page_id long, url string, html string, block long")
     rows = warc.derivatives(warc.responses(df, "2024")).collect()
