@@ -77,3 +77,57 @@ FROM documents JOIN comp ON comp.doc_id = documents.doc_id LEFT JOIN n ON n.doc_
 """
 
 ORACLE |= {"op4_decontamination": OP4, "op8_jaccard_join": OP8}
+
+OP11 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT d.part, coalesce(lab.good, false) AS good, coalesce(lab.toxic, false) AS toxic,
+        CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * list_unique(w) < 80 * len(w) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 10 * length(d.text) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN d.doc_id > firsts.first THEN 'E' ELSE '' END AS fails
+      FROM d JOIN firsts ON firsts.text = d.text LEFT JOIN lab ON lab.doc_id = d.doc_id),
+cells AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+perms AS (SELECT '' AS o UNION ALL SELECT o || x FROM perms JOIN letters ON NOT contains(o, x)),
+steps AS (SELECT o, unnest(range(1, 6)) AS step FROM perms WHERE length(o) = 5),
+s AS (SELECT o, step, substr(o, step, 1) AS x, substr(o, 1, step - 1) AS before FROM steps),
+j AS (SELECT part, o, step, x, n, good, toxic, contains(fails, x) AS hit, fails = x AS only_this,
+        translate(fails, before, '') <> fails AND before <> '' AS gone FROM s CROSS JOIN cells),
+r AS (SELECT part, o AS filter_order, step, x, sum(n) FILTER (NOT gone AND NOT hit) AS kept, sum(n) FILTER (hit AND NOT gone) AS removed,
+        sum(n) FILTER (hit AND gone) AS redundant, sum(n) FILTER (only_this) AS unique_fails,
+        sum(good) FILTER (hit AND NOT gone) AS good_lost, sum(toxic) FILTER (hit AND NOT gone) AS toxic_lost
+      FROM j GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+  coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, sum(coalesce(removed, 0)) OVER (PARTITION BY part, x)::BIGINT AS shapley
+FROM r
+"""
+
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN kept ON kept.lang = o.lang AND kept.term = o.term GROUP BY ALL),
+cl AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+tot AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+p AS (SELECT tot.lang, tot.source, kept.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (tot.total + 2 * v.v) AS p
+      FROM tot JOIN v ON v.lang = tot.lang JOIN kept ON kept.lang = tot.lang
+      LEFT JOIN c ON c.lang = tot.lang AND c.source = tot.source AND c.term = kept.term),
+q AS (SELECT cl.lang, cl.term, 1 + (1000000000::HUGEINT * (cl.n + 2)) // (sum(cl.n) OVER (PARTITION BY cl.lang) + 2 * v.v) AS q FROM cl JOIN v ON v.lang = cl.lang),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+         FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sums.value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p.p - q.q) * (p.p - q.q) // (p.p + q.q) AS value
+          FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+           FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLE |= {"op11_filter_audit": OP11, "op13_source_divergence": OP13}

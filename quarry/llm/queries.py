@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.sources.tables import table
 
-from . import (decontamination, jaccard_join, line_dedup, line_quality, quotations, repeated_bytes, secrets_scan, sentence_pieces,
-               token_counts, warc)
+from . import (decontamination, filter_audit, jaccard_join, line_dedup, line_quality, order_minhash, quotations, repeated_bytes, secrets_scan,
+               sentence_pieces, source_divergence, token_counts, warc)
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
 MAX_TOKENS = 2048
@@ -84,5 +84,24 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from ``documents``, per language, in every order of the filters."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of ``documents`` and of their edited texts, and how alike they are to each other and to the next document's."""
+    out = order_minhash.compare_with_next(table(spark, sf_dir, "documents"))
+    near = lambda c: order_minhash.likeness(F.col("fingerprint"), F.col(c))
+    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+                      near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the words of each source of ``documents`` differ from other sources of its language, and which words stand out."""
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_line_quality, op3_line_dedup, op4_decontamination, op5_sentence_pieces, op6_secret_scan,
-                                   op7_quotations, op8_jaccard_join, op9_token_counts, op10_repeated_bytes)}
+                                   op7_quotations, op8_jaccard_join, op9_token_counts, op10_repeated_bytes, op11_filter_audit, op12_order_minhash,
+                                   op13_source_divergence)}
