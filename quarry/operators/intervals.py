@@ -1,11 +1,15 @@
 """Interval algebra on DataFrames.
 
-Intervals are rows ``(keys..., start, end)`` in integer microseconds.  Every
-ordered scan (running max for gaps-and-islands, running sums for the boundary
-sweep, next boundary) is done in two levels: inside a (key, time bucket)
-window, plus a per-bucket offset from a window over the buckets of the key.
-A run with a third of all spans is therefore spread over its buckets instead
-of landing in one task, and nothing is collected.
+Intervals are rows ``(keys..., start, end)`` in integer microseconds.  All operators
+are one sweep over the intervals' boundaries: a span row becomes a start and an end
+row by one ``inline``, each with a vector of deltas (one entry per side that the span
+belongs to), and running sums of the vector tell at each point which sides are open
+before it and after it.  Unions and differences are the points where that state changes.
+
+Ordered scans are done in two levels: inside a (key, bucket) window, plus a
+per-bucket offset from a window over the buckets of the key.  Buckets are fitted to the
+data: rows are range-partitioned by key and time, so a run with a third of all spans,
+or a burst within a second, is spread over many tasks.  Only rows of one key and one microsecond stay together.
 """
 
 from __future__ import annotations
@@ -13,11 +17,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKET_US = 3600 * 1_000_000  # one hour of start time per bucket
+DEFAULT_BUCKET_US = None  # buckets are fitted to the data; a number is a fixed width in time
+ROWS_PER_BUCKET = 100_000
 
 
-def _bucket(c: Column, width: int) -> Column:
-    return F.floor(c / F.lit(width)).cast("long")
+def bucketed(df: DataFrame, keys: list[str], order: str, bucket_us: int | None = DEFAULT_BUCKET_US) -> DataFrame:
+    """``df`` checkpointed, with ``bucket``: monotone in ``order`` within ``keys``, of about ``ROWS_PER_BUCKET`` rows.
+
+    The input is evaluated once; sizes and bounds of the buckets are taken from its checkpoint.
+    """
+    if bucket_us is not None:
+        return df.withColumn("bucket", F.floor(F.col(order) / F.lit(bucket_us)).cast("long")).checkpoint(eager=True)
+    df = df.checkpoint(eager=True)
+    n = -(-df.count() // ROWS_PER_BUCKET)
+    if n <= 1:
+        return df.withColumn("bucket", F.lit(0).cast("long"))
+    return df.repartitionByRange(n, *keys, order).withColumn("bucket", F.spark_partition_id().cast("long")).checkpoint(eager=True)
 
 
 def running(df: DataFrame, keys: list[str], order: list, values: dict[str, str],
@@ -58,26 +73,58 @@ def next_value(df: DataFrame, keys: list[str], order: str, out: str = "next",
             .drop("_lead", "_next_first"))
 
 
-def union(df: DataFrame, keys: list[str], start: str = "start", end: str = "end",
-          bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
-    """Merged union per key.  Null or reversed intervals are dropped; touching ones merge.
+def points(spans: DataFrame, keys: list[str], sides: dict[str, Column], start: str = "start", end: str = "end",
+           open_ends: bool = False) -> DataFrame:
+    """Boundary points: keys, t, and per side d_<side> (opened minus closed at t) and s_<side> (opened at t).
 
-    Gaps and islands: a row opens an island when its start is after the largest
-    end of all earlier rows (ordered by start, end); island = running count.
+    ``sides`` maps a name to a condition on a span.  Null or reversed intervals count on
+    no side; with ``open_ends`` an interval without end only opens.  ``lo`` and ``hi``: the least start and the greatest end (or
+    start) of all rows at t, whatever their side.
     """
-    v = (df.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) >= F.col(start)))
-         .select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
-         .withColumn("bucket", _bucket(F.col("_s"), bucket_us)))
-    # each scan reads its input in three branches (offsets, window, join): materialise
-    # it once instead of re-deriving it from the source in every branch
-    v = v.checkpoint(eager=True)
-    v = running(v, keys, ["_s", "_e"], {"_prev_end": "_e"}, how="max", exclusive=True)
-    v = v.withColumn("_new", F.when(F.col("_prev_end").isNull() | (F.col("_s") > F.col("_prev_end")), 1)
-                     .otherwise(0)).checkpoint(eager=True)
-    # among equal (start, end) the row that opens an island must come first
-    v = running(v, keys, ["_s", "_e", F.desc("_new")], {"island": "_new"}, how="sum")
-    return (v.groupBy(*keys, "island")
-            .agg(F.min("_s").alias(start), F.max("_e").alias(end)))
+    whole = F.col(start).isNotNull() & (F.col(end) >= F.col(start))
+    counts = F.coalesce(whole | (F.col(end).isNull() & F.col(start).isNotNull() if open_ends else F.lit(False)), F.lit(False))
+    flags = [F.when(counts & cond, F.lit(1)).otherwise(F.lit(0)).alias(f"f_{n}") for n, cond in sides.items()]
+    hi = F.coalesce(F.col(end), F.col(start))
+    both = F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("sign"), F.col(start).alias("lo"), hi.alias("hi")),
+                   F.struct(F.col(end).alias("t"), F.lit(-1).alias("sign"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi")))
+    rows = spans.select(*keys, *flags, F.inline(both)).where(F.col("t").isNotNull())
+    return rows.groupBy(*keys, "t").agg(
+        *[F.sum(F.col("sign") * F.col(f"f_{n}")).alias(f"d_{n}") for n in sides],
+        *[F.sum(F.when(F.col("sign") > 0, F.col(f"f_{n}")).otherwise(0)).alias(f"s_{n}") for n in sides],
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def sweep(spans: DataFrame, keys: list[str], sides: dict[str, Column], start: str = "start", end: str = "end",
+          bucket_us: int | None = DEFAULT_BUCKET_US, open_ends: bool = False) -> DataFrame:
+    """``points`` in order, with b_<side> and c_<side>: intervals of a side open before t and from t on."""
+    pts = bucketed(points(spans, keys, sides, start, end, open_ends), keys, "t", bucket_us)
+    pts = running(pts, keys, ["t"], {f"c_{n}": f"d_{n}" for n in sides}, how="sum")
+    return pts.withColumns({f"b_{n}": F.col(f"c_{n}") - F.col(f"d_{n}") for n in sides})
+
+
+def _stretches(swept: DataFrame, keys: list[str], opens: Column, closes: Column, start: str, end: str, to_last: bool = False) -> DataFrame:
+    """From each opening point to the next closing one (which may be the same point).
+
+    ``to_last``: what never closes ends at the key's last point.
+    """
+    flags = [opens.alias("opens"), closes.alias("closes")]
+    edges = swept.select(*keys, "bucket", "t", *flags).where("opens OR closes").checkpoint(eager=True)
+    edges = next_value(edges, keys, "t").where("opens")
+    stop = F.when(F.col("closes"), F.col("t")).otherwise(F.col("next"))
+    if to_last:
+        last = swept.groupBy(*keys).agg(F.max("t").alias("last"))
+        edges = edges.join(last, keys)
+        stop = F.coalesce(stop, F.col("last"))
+    return edges.select(*keys, F.col("t").alias(start), stop.alias(end))
+
+
+def union(df: DataFrame, keys: list[str], start: str = "start", end: str = "end",
+          bucket_us: int | None = DEFAULT_BUCKET_US) -> DataFrame:
+    """Merged union per key.  Null or reversed intervals are dropped; touching ones merge; one of no length stays where it stands alone."""
+    swept = sweep(df, keys, {"u": F.lit(True)}, start, end, bucket_us)
+    opens = (F.col("b_u") == 0) & (F.col("s_u") > 0)
+    closes = (F.col("c_u") == 0) & (F.col("b_u") + F.col("s_u") > 0)
+    return _stretches(swept, keys, opens, closes, start, end)
 
 
 def total(df: DataFrame, keys: list[str], start: str = "start", end: str = "end",
@@ -86,58 +133,56 @@ def total(df: DataFrame, keys: list[str], start: str = "start", end: str = "end"
     return df.groupBy(*keys).agg(F.sum(F.col(end) - F.col(start)).alias(out))
 
 
-def _sweep(sides: dict[str, DataFrame], keys: list[str], bucket_us: int) -> DataFrame:
-    """Boundary sweep: per key and boundary point, running cover counts per side and
-    the next boundary.  ``sides`` maps a side name to intervals (keys, start, end)."""
-    ev = None
-    for name, d in sides.items():
-        d = d.where(F.col("start").isNotNull() & F.col("end").isNotNull()
-                    & (F.col("end") >= F.col("start")))
-        zero = {o: F.lit(0) for o in sides if o != name}
-        up = d.select(*keys, F.col("start").alias("t"), F.lit(1).alias(f"d_{name}"),
-                      *[v.alias(f"d_{o}") for o, v in zero.items()])
-        down = d.select(*keys, F.col("end").alias("t"), F.lit(-1).alias(f"d_{name}"),
-                        *[v.alias(f"d_{o}") for o, v in zero.items()])
-        part = up.unionByName(down)
-        ev = part if ev is None else ev.unionByName(part)
-    pts = (ev.groupBy(*keys, "t").agg(*[F.sum(f"d_{n}").alias(f"d_{n}") for n in sides])
-           .withColumn("bucket", _bucket(F.col("t"), bucket_us))).checkpoint(eager=True)
-    pts = running(pts, keys, ["t"], {f"c_{n}": f"d_{n}" for n in sides}, how="sum").checkpoint(eager=True)
-    pts = next_value(pts, keys, "t", out="t_next")
-    return pts.withColumn("seg", F.coalesce(F.col("t_next") - F.col("t"), F.lit(0)))
+def subtract_sides(spans: DataFrame, keys: list[str], base: Column, other: Column, bucket_us: int | None = DEFAULT_BUCKET_US,
+                   open_ends: bool = False) -> DataFrame:
+    """T5 on one table of spans: those of ``base`` minus those of ``other``, merged.  One scan of the spans, one sweep.
+
+    With ``open_ends`` spans without end run to the key's last point.  Pieces of no length are left out.
+    """
+    swept = sweep(spans, keys, {"b": base, "o": other}, bucket_us=bucket_us, open_ends=open_ends)
+    inside = lambda at: (F.col(f"{at}_b") > 0) & (F.col(f"{at}_o") == 0)
+    found = _stretches(swept, keys, inside("c") & ~inside("b"), inside("b") & ~inside("c"), "start", "end", to_last=open_ends)
+    return found.where("end > start")
 
 
 def subtract(base: DataFrame, other: DataFrame, keys: list[str],
-             bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
+             bucket_us: int | None = DEFAULT_BUCKET_US) -> DataFrame:
     """T5: base minus other, merged.  No range join: one sweep over both boundary sets."""
-    s = _sweep({"b": base, "o": other}, keys, bucket_us)
-    pieces = s.where((F.col("c_b") > 0) & (F.col("c_o") == 0) & (F.col("seg") > 0)).select(
-        *keys, F.col("t").alias("start"), F.col("t_next").alias("end"))
-    return union(pieces, keys, bucket_us=bucket_us).drop("island")
+    both = (base.select(*keys, "start", "end", F.lit(True).alias("is_base"))
+            .unionByName(other.select(*keys, "start", "end", F.lit(False).alias("is_base"))))
+    return subtract_sides(both, keys, F.col("is_base"), ~F.col("is_base"), bucket_us)
 
 
-def breakdown(spans: DataFrame, bounds: DataFrame, keys: list[str],
-              bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
+def breakdown(spans: DataFrame, bounds: DataFrame | None, keys: list[str],
+              bucket_us: int | None = DEFAULT_BUCKET_US) -> DataFrame:
     """Per key total, llm, spark, tool overhead and orchestration time (microseconds).
 
-    ``spans``: keys, type in (llm, tool, spark), start, end (already closed, T2).
-    ``bounds``: keys, run_start, run_end.  Tool overhead = tool union minus the
-    union of llm and spark; orchestration = max(0, total - llm - spark - tool).
+    ``spans``: keys, type in (llm, tool, spark), start, end; a span without end runs to the run's end (T2).
+    ``bounds``: keys, run_start, run_end; None: from the first start to the last known end, in the same scan.
+    Tool overhead = tool union minus the union of llm and spark; orchestration = max(0, total - llm - spark - tool).
     ``llm_spark_overlap`` is the time where llm and spark spans overlap (D14).
+
+    A state's length is the sum of the points that close it minus the sum of those that
+    open it, so no point needs to know the next one.
     """
-    sides = {t: spans.where(F.col("type") == t).select(*keys, "start", "end")
-             for t in ("llm", "spark", "tool")}
-    s = _sweep(sides, keys, bucket_us)
-    parts = s.groupBy(*keys).agg(
-        F.sum(F.when(F.col("c_llm") > 0, F.col("seg")).otherwise(0)).alias("llm_us"),
-        F.sum(F.when(F.col("c_spark") > 0, F.col("seg")).otherwise(0)).alias("spark_us"),
-        F.sum(F.when((F.col("c_tool") > 0) & (F.col("c_llm") == 0) & (F.col("c_spark") == 0),
-                     F.col("seg")).otherwise(0)).alias("tool_overhead_us"),
-        F.sum(F.when((F.col("c_llm") > 0) & (F.col("c_spark") > 0), F.col("seg")).otherwise(0))
-        .alias("llm_spark_overlap_us"),
-    )
-    b = bounds.select(*keys, (F.col("run_end") - F.col("run_start")).alias("total_us"))
-    out = b.join(parts, keys, "left").fillna(0, ["llm_us", "spark_us", "tool_overhead_us",
-                                                 "llm_spark_overlap_us"])
+    sides = ("llm", "spark", "tool")
+    swept = sweep(spans, keys, {t: F.col("type") == t for t in sides}, bucket_us=bucket_us, open_ends=True)
+
+    def states(at):
+        llm, spark, tool = (at(t) > 0 for t in sides)
+        return {"llm_us": llm, "spark_us": spark, "tool_overhead_us": tool & ~llm & ~spark, "llm_spark_overlap_us": llm & spark}
+
+    before, after = states(lambda t: F.col(f"b_{t}")), states(lambda t: F.col(f"c_{t}"))
+    exact = lambda c: c.cast("decimal(38,0)")  # noqa: E731  many points of one kind may lie in one partial sum
+    change = {n: F.sum(exact(F.col("t") * (before[n].cast("int") - after[n].cast("int")))).alias(n) for n in before}
+    parts = swept.groupBy(*keys).agg(*change.values(), *[F.sum(f"d_{t}").alias(f"left_{t}") for t in sides],
+                                     F.min("lo").alias("run_lo"), F.max("hi").alias("run_hi"))
+    if bounds is None:
+        parts = parts.withColumns({"run_start": F.col("run_lo"), "run_end": F.col("run_hi")})
+    else:
+        parts = bounds.select(*keys, "run_start", "run_end").join(parts, keys, "left")
+    still = states(lambda t: F.col(f"left_{t}"))  # what never closed ends with the run
+    out = parts.select(*keys, (F.col("run_end") - F.col("run_start")).alias("total_us"), *[
+        F.coalesce((F.col(n) + F.when(still[n], F.col("run_end")).otherwise(0)).cast("long"), F.lit(0)).alias(n) for n in before])
     return out.withColumn("orchestration_us", F.greatest(
         F.lit(0), F.col("total_us") - F.col("llm_us") - F.col("spark_us") - F.col("tool_overhead_us")))

@@ -28,22 +28,35 @@ def seconds(c: Column) -> Column:
 
 
 def span_events(spans: DataFrame) -> DataFrame:
-    """Callback-style event log of spans: one start row, one end row when the span ended."""
+    """Callback-style event log of spans: one start row, one end row when the span ended.
+
+    Where the spans have them, the parent and what is known at the start (length of the prompt) come with the start row,
+    what is known at the end (tokens) with the end row, as ``meta``.
+    """
+    text = lambda c: F.col(c).cast("string") if c in spans.columns else F.lit(None).cast("string")
+    known = lambda **c: F.map_filter(F.map_from_arrays(F.array(*map(F.lit, c)), F.array(*c.values())), lambda k, v: v.isNotNull())
+    parent = F.col("parent_id") if "parent_id" in spans.columns else F.lit(None).cast("long")
     cols = ["run_id", "span_id", "type", "name"]
-    st = spans.select(*cols, F.lit("start").alias("kind"), F.col("start").alias("t"))
-    en = spans.where(F.col("end").isNotNull()).select(*cols, F.lit("end").alias("kind"),
-                                                      F.col("end").alias("t"))
+    st = spans.select(*cols, parent.alias("parent_id"), F.lit("start").alias("kind"), F.col("start").alias("t"),
+                      known(prompt_len=F.length(text("prompt")).cast("string")).alias("meta"))
+    en = spans.where(F.col("end").isNotNull()).select(
+        *cols, parent.alias("parent_id"), F.lit("end").alias("kind"), F.col("end").alias("t"),
+        known(input_tokens=text("input_tokens"), output_tokens=text("output_tokens")).alias("meta"))
     return st.unionByName(en)
 
 
 def pair_spans(events: DataFrame) -> DataFrame:
-    """Pair start and end events by span id; duration = end - start."""
-    return events.groupBy("span_id").agg(
+    """Pair start and end events by span id; duration = end - start; meta of both, that of the end counts where a name is in both."""
+    of = lambda kind, c: F.max_by(c, F.col("kind") == kind)
+    paired = events.groupBy("span_id").agg(
         F.first("run_id").alias("run_id"), F.first("type").alias("type"),
-        F.first("name").alias("name"),
+        F.first("name").alias("name"), F.max("parent_id").alias("parent_id"),
         F.max(F.when(F.col("kind") == "start", F.col("t"))).alias("start"),
         F.max(F.when(F.col("kind") == "end", F.col("t"))).alias("end"),
-    ).withColumn("duration", F.col("end") - F.col("start"))
+        of("start", "meta").alias("_first"), of("end", "meta").alias("_last"),
+    )
+    only_first = F.map_filter("_first", lambda k, v: ~F.map_contains_key("_last", k))
+    return paired.withColumns({"duration": F.col("end") - F.col("start"), "meta": F.map_concat(only_first, "_last")}).drop("_first", "_last")
 
 
 def close_open_spans(spans: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -87,12 +100,11 @@ def token_totals(spans: DataFrame) -> DataFrame:
 
 
 def loop_guard(spans: DataFrame, tool: str = SCHEMA_TOOL, limit: int = MAX_SCHEMA_CALLS,
-               bucket_us: int = I.DEFAULT_BUCKET_US) -> DataFrame:
+               bucket_us: int | None = I.DEFAULT_BUCKET_US) -> DataFrame:
     """The call of ``tool`` that passes ``limit`` calls in a run (the stop point)."""
     t = (spans.where((F.col("type") == "tool") & (F.col("name") == tool))
-         .select("run_id", "span_id", "start")
-         .withColumn("bucket", F.floor(F.col("start") / F.lit(bucket_us)).cast("long"))
-         .withColumn("one", F.lit(1)))
+         .select("run_id", "span_id", "start", F.lit(1).alias("one")))
+    t = I.bucketed(t, ["run_id"], "start", bucket_us)
     t = I.running(t, ["run_id"], ["start", "span_id"], {"call_no": "one"}, how="sum")
     return t.where(F.col("call_no") == limit + 1).select("run_id", "span_id", "start", "call_no")
 
@@ -164,13 +176,12 @@ def first_query_per_run(spans: DataFrame) -> DataFrame:
                     (F.col("f.end") - F.col("f.start")).alias("duration")))
 
 
-def run_trace(spans: DataFrame, bucket_us: int = I.DEFAULT_BUCKET_US) -> DataFrame:
+def run_trace(spans: DataFrame, bucket_us: int | None = I.DEFAULT_BUCKET_US) -> DataFrame:
     """Ordered trace of steps per run, long form (run_id, step_no, type, name).
 
     Kept long instead of one string per run: a run is unbounded in steps.
     """
-    t = (spans.select("run_id", "span_id", "type", "name", "start")
-         .withColumn("bucket", F.floor(F.col("start") / F.lit(bucket_us)).cast("long"))
-         .withColumn("one", F.lit(1)))
+    t = spans.select("run_id", "span_id", "type", "name", "start", F.lit(1).alias("one"))
+    t = I.bucketed(t, ["run_id"], "start", bucket_us)
     t = I.running(t, ["run_id"], ["start", "span_id"], {"step_no": "one"}, how="sum")
     return t.select("run_id", "step_no", "span_id", "type", "name")

@@ -29,7 +29,11 @@ spans AS (
          CASE WHEN event_type <> 'error'
               THEN epoch_us(ts) + CAST(round(value * {A.SPAN_SECONDS_PER_VALUE * 1_000_000}) AS BIGINT) END AS "end",
          CASE WHEN event_type = 'click' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) * 7 END AS input_tokens,
-         CASE WHEN event_type = 'click' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) * 3 END AS output_tokens
+         CASE WHEN event_type = 'click' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) * 3 END AS output_tokens,
+         CASE WHEN event_id - 1 - event_id % 3 >= 0 THEN event_id - 1 - event_id % 3 END AS parent_id,
+         CASE WHEN event_type = 'click' THEN 'Prompt ' || event_id || ' of user ' || user_id END AS prompt,
+         CASE WHEN event_type = 'click' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS cache_read,
+         CASE WHEN event_type = 'click' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) // 2 END AS reasoning
   FROM events),
 bounds AS (SELECT run_id, min(start) AS run_start, max(coalesce("end", start)) AS run_end
            FROM spans GROUP BY run_id),
@@ -68,6 +72,51 @@ by_arch AS (SELECT experiment AS architecture, avg(score) AS accuracy, avg(score
             FROM scored GROUP BY experiment)"""
 
 
+def agent_cte() -> str:
+    """Runs of eight events: ``ev`` (one row per span, open tool spans closed) and the pieces of the full record."""
+    tools = _list(A.TOOL_NAMES)
+    return f"""
+raw AS (SELECT s.*, event_id // 8 AS query_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id FROM spans s JOIN events ON event_id = span_id),
+ends AS (SELECT query_id, min(start) AS run_start, max(coalesce("end", start)) AS run_end FROM raw GROUP BY query_id),
+ev AS (
+  SELECT raw.query_id, span_id, type, name, start, coalesce("end", run_end) AS "end", parent_id, k, coalesce(input_tokens, 0) AS tin, coalesce(output_tokens, 0) AS tout,
+    cache_read, reasoning, run_start, run_end,
+    CASE type WHEN 'llm' THEN prompt WHEN 'tool' THEN 'table_' || user_id % 5 ELSE 'SELECT * FROM t WHERE id = ' || span_id END AS input,
+    CASE WHEN type = 'llm' THEN CASE WHEN k % 5 = 0 THEN ' ' || chr(10) ELSE 'Thought: value ' || k || chr(10) END
+         WHEN type = 'spark' THEN CASE WHEN k % 10 <> 3 THEN '[[' || k || ']]' END
+         WHEN "end" IS NOT NULL THEN 'rows ' || k WHEN name = {q(SCHEMA_TOOL)} THEN {q(TX.EARLY_EXIT_SCHEMA)} ELSE {q(TX.EARLY_EXIT_OTHER)} END AS output,
+    CASE WHEN type = 'spark' AND k % 10 = 3 THEN 'Error: AnalysisException' END AS error,
+    CASE WHEN type = 'llm' AND k % 2 = 0 THEN {tools}[k % 4 + 1] || '/q=' || k || '/call-' || span_id || '/tool_call' ELSE '' END AS tool_calls
+  FROM raw JOIN ends ON ends.query_id = raw.query_id),
+sql1 AS (SELECT query_id, arg_min(input, (start, span_id)) AS sparksql_query, min(start) AS s0, arg_min("end" - start, (start, span_id)) AS us,
+           arg_min(coalesce(error, ''), (start, span_id)) AS err, arg_min(coalesce(output, ''), (start, span_id)) AS res FROM ev WHERE type = 'spark' GROUP BY query_id),
+per_tool AS (SELECT query_id, name, count(*) AS n, sum("end" - start) AS us,
+    string_agg(span_id || '=' || ("end" - start) || ':' || input || ':' || output || ':' || coalesce(CAST(parent_id AS VARCHAR), ''), ',' ORDER BY CAST(span_id AS VARCHAR)) AS calls
+  FROM ev WHERE type = 'tool' GROUP BY query_id, name),
+tools AS (SELECT query_id, string_agg(name || '=' || us, ',' ORDER BY name) AS times, sum(us) AS us,
+    string_agg(name || '=' || n || ':' || us || '(' || calls || ')', ',' ORDER BY name) AS metrics FROM per_tool GROUP BY query_id),
+llm AS (SELECT query_id, count(*) AS n, sum(tin) AS tin, sum(tout) AS tout, sum("end" - start) AS us,
+    string_agg(span_id || '=' || ("end" - start), ',' ORDER BY CAST(span_id AS VARCHAR)) AS times,
+    string_agg(span_id || '=' || cache_read, ',' ORDER BY CAST(span_id AS VARCHAR)) AS din,
+    string_agg(span_id || '=' || reasoning, ',' ORDER BY CAST(span_id AS VARCHAR)) AS dout,
+    string_agg(CASE WHEN trim(output, ' ' || chr(10)) <> '' THEN trim(output, ' ' || chr(10)) END, '|' ORDER BY start, span_id) AS thoughts,
+    arg_max(input, (start, span_id)) AS prompt, arg_max(output, ("end", start, span_id)) AS answer,
+    string_agg(span_id || '=' || concat_ws(':', input, span_id, coalesce(CAST(parent_id AS VARCHAR), ''), tin + tout, tin, tout, cache_read, reasoning, "end" - start, tool_calls, output),
+               ',' ORDER BY CAST(span_id AS VARCHAR)) AS calls
+  FROM ev WHERE type = 'llm' GROUP BY query_id),
+said AS (
+  SELECT query_id, start AS t, 0 AS no, span_id, CASE type WHEN 'tool' THEN 'Action: ' || name || chr(10) || 'Action Input: ' || input ELSE 'Spark Query Executed: ' || input END AS text
+  FROM ev WHERE type <> 'llm' UNION ALL SELECT query_id, "end", 1, span_id, 'Observation: ' || output FROM ev WHERE type = 'tool'),
+chain AS (SELECT query_id, string_agg(text, '|' ORDER BY t, no, span_id) AS text FROM said GROUP BY query_id),
+aev AS (SELECT query_id AS run_id, start AS t, CAST(type = 'llm' AS INTEGER) AS dl, CAST(type = 'spark' AS INTEGER) AS ds, CAST(type = 'tool' AS INTEGER) AS dt FROM ev
+        UNION ALL SELECT query_id, "end", -CAST(type = 'llm' AS INTEGER), -CAST(type = 'spark' AS INTEGER), -CAST(type = 'tool' AS INTEGER) FROM ev),
+apts AS (SELECT run_id, t, sum(dl) AS dl, sum(ds) AS ds, sum(dt) AS dt FROM aev GROUP BY run_id, t),
+asw AS (SELECT run_id, sum(dl) OVER w AS cl, sum(ds) OVER w AS cs, sum(dt) OVER w AS ct, coalesce(lead(t) OVER w - t, 0) AS seg
+        FROM apts WINDOW w AS (PARTITION BY run_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+parts AS (SELECT run_id AS query_id, sum(CASE WHEN cl > 0 THEN seg ELSE 0 END) + sum(CASE WHEN cs > 0 THEN seg ELSE 0 END) AS busy,
+            sum(CASE WHEN ct > 0 AND cl = 0 AND cs = 0 THEN seg ELSE 0 END) AS overhead FROM asw GROUP BY run_id)"""
+
+
 def _s(x: str) -> str:
     return f"round(({x}) / 1e6, 6)"
 
@@ -86,6 +135,14 @@ sw AS (SELECT *, sum(dl) OVER w AS cl, sum(ds) OVER w AS cs, sum(dt) OVER w AS c
        FROM pts WINDOW w AS (PARTITION BY run_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
+CALLS = """,
+held AS (SELECT c.span_id, arg_max(t.span_id, {'s': t.start, 'i': t.span_id}) AS tool_span_id
+         FROM spans c JOIN spans t ON t.run_id = c.run_id AND t.start <= c.start AND (t."end" > c.start OR t."end" IS NULL)
+         WHERE c.type = 'llm' AND t.type = 'tool' GROUP BY c.span_id),
+calls AS (SELECT c.*, held.tool_span_id, t.name AS tool FROM spans c LEFT JOIN held ON held.span_id = c.span_id
+          LEFT JOIN spans t ON t.span_id = held.tool_span_id WHERE c.type = 'llm')"""
+
+
 def _union_sql(src: str, keys: str) -> str:
     """Gaps-and-islands over ``src`` (keys, s, e) -> (keys, start_us, end_us)."""
     return f"""
@@ -116,6 +173,50 @@ SELECT span_id, run_id, type, name, {_s('start')} AS start, {_s('"end"')} AS "en
        {_s('"end" - start')} AS duration FROM spans""",
         "span_close_open": w + f"""
 SELECT span_id, run_id, name, {_s('"end"')} AS "end", closed_reason FROM closed""",
+        "span_meta": w + """
+SELECT span_id, parent_id, concat_ws(',', CASE WHEN "end" IS NOT NULL AND input_tokens IS NOT NULL THEN 'input_tokens=' || input_tokens END,
+  CASE WHEN "end" IS NOT NULL AND output_tokens IS NOT NULL THEN 'output_tokens=' || output_tokens END,
+  CASE WHEN prompt IS NOT NULL THEN 'prompt_len=' || length(prompt) END) AS meta FROM spans""",
+        "span_tree": w.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+own AS (SELECT s.*, p.span_id AS up FROM spans s LEFT JOIN spans p ON p.run_id = s.run_id AND p.span_id = s.parent_id),
+above AS (SELECT run_id, span_id, span_id AS anc, 0 AS d FROM own
+          UNION ALL SELECT a.run_id, a.span_id, o.up, a.d + 1 FROM above a JOIN own o ON o.run_id = a.run_id AND o.span_id = a.anc WHERE o.up IS NOT NULL),
+depths AS (SELECT run_id, span_id, max(d) AS depth, arg_max(anc, d) AS root FROM above GROUP BY run_id, span_id),
+below AS (SELECT a.run_id, a.anc AS span_id, count(*) - 1 AS n_below, sum(coalesce(o.input_tokens, 0)) AS input_tokens_below,
+            sum(coalesce(o.output_tokens, 0)) AS output_tokens_below
+          FROM above a JOIN own o ON o.run_id = a.run_id AND o.span_id = a.span_id GROUP BY a.run_id, a.anc),
+clipped AS (SELECT c.run_id, c.up, greatest(c.start, p.start) AS s, least(c."end", p."end") AS e
+            FROM own c JOIN own p ON p.run_id = c.run_id AND p.span_id = c.up
+            WHERE c."end" IS NOT NULL AND p."end" IS NOT NULL AND least(c."end", p."end") >= greatest(c.start, p.start)),
+covered AS (SELECT run_id, up, sum(end_us - start_us) AS us FROM ({_union_sql('clipped', 'run_id, up')}) GROUP BY run_id, up)
+SELECT o.run_id, o.span_id, o.up AS parent_id, d.root, d.depth::BIGINT AS depth, b.n_below::BIGINT AS n_below,
+  b.input_tokens_below::BIGINT AS input_tokens_below, b.output_tokens_below::BIGINT AS output_tokens_below,
+  {_s('o."end" - o.start')} AS duration, {_s('o."end" - o.start - coalesce(c.us, 0)')} AS self_time
+FROM own o JOIN depths d ON d.run_id = o.run_id AND d.span_id = o.span_id JOIN below b ON b.run_id = o.run_id AND b.span_id = o.span_id
+LEFT JOIN covered c ON c.run_id = o.run_id AND c.up = o.span_id""",
+        "llm_calls": w + CALLS + f"""
+SELECT run_id, span_id, parent_id, prompt, {_s('"end" - start')} AS duration, input_tokens, output_tokens,
+  input_tokens + output_tokens AS total_tokens, cache_read, reasoning, tool_span_id, tool FROM calls""",
+        "tool_tokens": w + CALLS + """
+SELECT run_id, tool, count(*) AS llm_calls, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens,
+  sum(input_tokens + output_tokens)::BIGINT AS total_tokens FROM calls GROUP BY run_id, tool""",
+        "run_record_full": w + "," + agent_cte() + f"""
+SELECT 'q-' || e.query_id AS run_id,
+  CASE WHEN {_list(A.PROVIDERS)}[e.query_id % 5 + 1] IN ({", ".join(q(p) for p in KNOWN_PROVIDERS)}) THEN {_list(A.PROVIDERS)}[e.query_id % 5 + 1] ELSE 'unknown' END AS llm,
+  sparksql_query, e.query_id::BIGINT AS query_id, 1 AS iteration, {_list(A.DIFFICULTIES)}[e.query_id % 3 + 1] AS difficulty,
+  CASE WHEN sparksql_query IS NULL THEN 'NOT_EXECUTED' WHEN err <> '' THEN 'ERROR' ELSE 'VALID' END AS execution_status,
+  nullif(res, '') AS query_result, nullif(err, '') AS spark_error, {_s('run_end - run_start')} AS total_time,
+  CASE WHEN sql1.us IS NULL THEN -1.0 ELSE {_s('sql1.us')} END AS spark_time, CASE WHEN sql1.us IS NULL THEN 0.0 ELSE {_s('run_end - run_start - sql1.us')} END AS translation_time,
+  coalesce(tools.times, '') AS total_times_per_tool, {_s('coalesce(tools.us, 0)')} AS total_time_tools, {_s('overhead')} AS total_time_tools_excl_spark_llm,
+  coalesce(llm.times, '') AS total_times_per_llm_call, {_s('coalesce(llm.us, 0)')} AS total_time_llm_calls,
+  {_s('greatest(0, run_end - run_start - busy - overhead)')} AS orchestration_time, coalesce(llm.n, 0)::BIGINT AS llm_requests,
+  coalesce(chain.text, '') AS chain_of_thought, coalesce(thoughts, '') AS agent_thoughts,
+  coalesce(tin + tout, 0)::BIGINT AS total_tokens, coalesce(tin, 0)::BIGINT AS input_tokens, coalesce(din, '') AS input_token_details,
+  coalesce(tout, 0)::BIGINT AS output_tokens, coalesce(dout, '') AS output_token_details,
+  CASE WHEN e.query_id % 5 = 1 THEN round(coalesce(tin, 0) / 1e6 * (0.27 / 0.011 * 1000) + coalesce(tout, 0) / 1e6 * (0.85 / 0.011 * 1000), 6) END AS cloudflare_neurons,
+  prompt, answer AS final_answer, coalesce(calls, '') AS llm_calls, coalesce(metrics, '') AS tool_metrics
+FROM ends e JOIN parts ON parts.query_id = e.query_id LEFT JOIN sql1 ON sql1.query_id = e.query_id LEFT JOIN tools ON tools.query_id = e.query_id
+LEFT JOIN llm ON llm.query_id = e.query_id LEFT JOIN chain ON chain.query_id = e.query_id""",
         "interval_union": w + f"""
 SELECT run_id, type, {_s('start_us')} AS start, {_s('end_us')} AS "end" FROM ({_union_sql(raw_iv, 'run_id, type')})""",
         "interval_total": w + f"""

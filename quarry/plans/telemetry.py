@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import calls as C
 from ..operators import intervals as I
+from ..operators import records as RR
 from ..operators import reports as R
 from ..operators import telemetry as T
 from ..sources import adapters as A
@@ -30,6 +32,31 @@ def q_span_pairing(spark, sf_dir):
                     _s(F.col("end")).alias("end"), _s(F.col("duration")).alias("duration"))
 
 
+def q_span_meta(spark, sf_dir):
+    p = T.pair_spans(T.span_events(A.spans(spark, sf_dir)))
+    items = F.transform(F.array_sort(F.map_entries("meta")), lambda m: F.concat(m["key"], F.lit("="), m["value"]))
+    return p.select("span_id", "parent_id", F.array_join(items, ",").alias("meta"))
+
+
+def q_span_tree(spark, sf_dir):
+    spans = A.spans(spark, sf_dir)
+    tree = C.span_tree(spans, ["run_id"], ["input_tokens", "output_tokens"])
+    own = C.self_times(spans, ["run_id"])
+    return tree.join(own, ["run_id", "span_id"]).select(
+        "run_id", "span_id", "parent_id", "root", "depth", "n_below", "input_tokens_below", "output_tokens_below",
+        _s(F.col("duration")).alias("duration"), _s(F.col("self_time")).alias("self_time"))
+
+
+def q_llm_calls(spark, sf_dir):
+    c = C.llm_calls(A.spans(spark, sf_dir))
+    return c.select("run_id", "span_id", "parent_id", "prompt", _s(F.col("duration")).alias("duration"), "input_tokens", "output_tokens",
+                    "total_tokens", "cache_read", "reasoning", "tool_span_id", "tool")
+
+
+def q_tool_tokens(spark, sf_dir):
+    return C.tool_tokens(C.llm_calls(A.spans(spark, sf_dir)))
+
+
 def q_span_close_open(spark, sf_dir):
     c = _closed(spark, sf_dir)
     return c.select("span_id", "run_id", "name", _s(F.col("end")).alias("end"), "closed_reason")
@@ -46,15 +73,12 @@ def q_interval_total(spark, sf_dir):
 
 
 def q_interval_subtract(spark, sf_dir):
-    c = _closed(spark, sf_dir)
-    base = c.where(F.col("type") == "tool").select("run_id", "start", "end")
-    other = c.where(F.col("type").isin("llm", "spark")).select("run_id", "start", "end")
-    d = I.subtract(base, other, ["run_id"])
+    d = I.subtract_sides(A.spans(spark, sf_dir), ["run_id"], F.col("type") == "tool", F.col("type").isin("llm", "spark"), open_ends=True)
     return d.select("run_id", _s(F.col("start")).alias("start"), _s(F.col("end")).alias("end"))
 
 
 def q_time_breakdown(spark, sf_dir):
-    b = I.breakdown(_closed(spark, sf_dir), A.run_bounds(spark, sf_dir), ["run_id"])
+    b = I.breakdown(A.spans(spark, sf_dir), None, ["run_id"])
     return b.select("run_id", _s(F.col("total_us")).alias("total_time"),
                     _s(F.col("llm_us")).alias("llm_time"), _s(F.col("spark_us")).alias("spark_time"),
                     _s(F.col("tool_overhead_us")).alias("tool_overhead_time"),
@@ -115,6 +139,38 @@ def q_run_record(spark, sf_dir):
     return T.run_record(A.runs(spark, sf_dir))
 
 
+def q_run_record_full(spark, sf_dir):
+    """All 30 fields; maps and lists as text, their entries in order of key or time, times in them in microseconds."""
+    prices = next((a, b) for p, a, b in PRICES if p == "cloudflare")
+    r = RR.run_records(A.agent_events(spark, sf_dir), prices)
+    us = lambda c: F.coalesce(F.round(c * T.US).cast("long").cast("string"), F.lit(""))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+
+    def entries(c, value):
+        shown = F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("k"), value(e["value"]).alias("v"))))
+        return F.array_join(F.transform(shown, lambda e: F.concat(e["k"], F.lit("="), e["v"])), ",")
+
+    def call(v):
+        tools = F.array_join(F.transform(F.coalesce(v["tool_calls"], F.array()), lambda t: F.concat_ws("/", t["name"], t["args"], t["id"], t["type"])), "+")
+        parts = [text(v[c]) for c in ("prompt", "run_id", "parent_run_id", "total_tokens", "input_tokens", "output_tokens")]
+        details = [text(v["input_token_details"]["cache_read"]), text(v["output_token_details"]["reasoning"])]
+        return F.concat_ws(":", *parts, *details, us(v["duration"]), tools, text(v["thought"]))
+
+    def tool(v):
+        calls = entries(v["calls"], lambda c: F.concat_ws(":", us(c["duration"]), text(c["input"]), text(c["output"]), text(c["parent_run_id"])))
+        return F.concat(text(v["call_count"]), F.lit(":"), us(v["total_duration"]), F.lit("("), calls, F.lit(")"))
+
+    shown = {c: F.round(c, 6) for c in ("total_time", "spark_time", "translation_time", "total_time_tools", "total_time_tools_excl_spark_llm",
+                                       "total_time_llm_calls", "orchestration_time", "cloudflare_neurons")}
+    shown |= {c: entries(F.col(c), us) for c in ("total_times_per_tool", "total_times_per_llm_call")}
+    shown |= {c: F.array_join(c, "|") for c in ("chain_of_thought", "agent_thoughts")}
+    shown |= {"input_token_details": entries(F.col("input_token_details"), lambda v: text(v["cache_read"])),
+              "output_token_details": entries(F.col("output_token_details"), lambda v: text(v["reasoning"])),
+              "llm_calls": entries(F.col("llm_calls"), call), "tool_metrics": entries(F.col("tool_metrics"), tool),
+              "llm_requests": F.col("llm_requests").cast("long")}
+    return r.select("run_id", *[(shown[f].alias(f) if f in shown else F.col(f)) for f in RR.FIELDS])
+
+
 def q_run_trace(spark, sf_dir):
     return T.run_trace(A.spans(spark, sf_dir))
 
@@ -174,6 +230,10 @@ def q_spec_range(spark, sf_dir):
 QUERIES = {
     "span_pairing": q_span_pairing,
     "span_close_open": q_span_close_open,
+    "span_meta": q_span_meta,
+    "span_tree": q_span_tree,
+    "llm_calls": q_llm_calls,
+    "tool_tokens": q_tool_tokens,
     "interval_union": q_interval_union,
     "interval_total": q_interval_total,
     "interval_subtract": q_interval_subtract,
@@ -186,6 +246,7 @@ QUERIES = {
     "run_id_parse": q_run_id_parse,
     "token_cost": q_token_cost,
     "run_record": q_run_record,
+    "run_record_full": q_run_record_full,
     "run_trace": q_run_trace,
     "first_query_per_run": q_first_query_per_run,
     "run_status": q_run_status,

@@ -153,17 +153,20 @@ def _tokens_k(props: Column) -> Column:
     return F.get_json_object(props, "$.k").cast("long")
 
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spans(spark: SparkSession, sf_dir: str, own_columns: list[str] = ()) -> DataFrame:
     """One span per event; run = day.
 
     Columns: run_id, span_id, type, name, start, end (microseconds; ``end`` is null
-    for error events: a tool span that never ended), input_tokens, output_tokens.
+    for error events: a tool span that never ended), input_tokens, output_tokens; parent_id: one of
+    the three events before (it may be of another day), prompt, cache_read and reasoning of model calls;
+    ``own_columns`` of the events as they are.
     """
     e = table(spark, sf_dir, "events")
     start = F.unix_micros(F.col("ts").cast("timestamp"))
     dur = F.round(F.col("value") * F.lit(SPAN_SECONDS_PER_VALUE * 1_000_000)).cast("long")
     stype = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in SPAN_TYPE.items()], F.lit("tool"))
     k = _tokens_k(F.col("props"))
+    parent = F.col("event_id") - 1 - F.col("event_id") % 3
     return e.select(
         F.concat(F.lit("run-"), F.to_date(F.col("ts").cast("timestamp")).cast("string")).alias("run_id"),
         F.col("event_id").alias("span_id"),
@@ -174,9 +177,39 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") != "error", start + dur).alias("end"),
         F.when(stype == "llm", k * 7).alias("input_tokens"),
         F.when(stype == "llm", k * 3).alias("output_tokens"),
+        F.when(parent >= 0, parent).alias("parent_id"),
+        F.when(stype == "llm", F.concat(F.lit("Prompt "), F.col("event_id"), F.lit(" of user "), F.col("user_id"))).alias("prompt"),
+        F.when(stype == "llm", k).alias("cache_read"),
+        F.when(stype == "llm", F.floor(k / 2)).alias("reasoning"),
+        *own_columns,
     )
 
 
+RUN_EVENTS = 8  # events of one agent run
+
+
+def agent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events as runs of an agent, ``RUN_EVENTS`` in a row each: the mixed rows of ``records.run_records``.
+
+    Columns: those of ``spans`` without prompt; input, output, error, tool_calls; query_id, iteration, difficulty, provider
+    by the run's number.  Statements whose ``k`` ends in 3 fail.
+    """
+    s = spans(spark, sf_dir, own_columns=["user_id", "props"]).withColumns({"k": _tokens_k(F.col("props")), "query_id": F.floor(F.col("span_id") / RUN_EVENTS)})
+    kind = lambda llm, tool, sql: F.when(F.col("type") == "llm", llm).when(F.col("type") == "tool", tool).otherwise(sql)
+    failed = (F.col("type") == "spark") & (F.col("k") % 10 == 3)
+    called = F.struct(_pick(TOOL_NAMES, F.col("k") % len(TOOL_NAMES)).alias("name"), F.concat(F.lit("q="), F.col("k")).alias("args"),
+                      F.concat(F.lit("call-"), F.col("span_id")).alias("id"), F.lit("tool_call").alias("type"))
+    return s.select(
+        F.concat(F.lit("q-"), F.col("query_id")).alias("run_id"), "span_id", "type", "name", "start", "end", "parent_id",
+        kind(F.col("prompt"), F.concat(F.lit("table_"), F.col("user_id") % 5), F.concat(F.lit("SELECT * FROM t WHERE id = "), F.col("span_id"))).alias("input"),
+        kind(F.when(F.col("k") % 5 == 0, F.lit(" \n")).otherwise(F.concat(F.lit("Thought: value "), F.col("k"), F.lit("\n"))),
+             F.when(F.col("end").isNotNull(), F.concat(F.lit("rows "), F.col("k"))), F.when(~failed, F.concat(F.lit("[["), F.col("k"), F.lit("]]")))).alias("output"),
+        F.when(failed, F.lit("Error: AnalysisException")).alias("error"), "input_tokens", "output_tokens", "cache_read", "reasoning",
+        F.when((F.col("type") == "llm") & (F.col("k") % 2 == 0), F.array(called)).alias("tool_calls"),
+        "query_id", F.lit(1).alias("iteration"), _pick(DIFFICULTIES, F.col("query_id") % len(DIFFICULTIES)).alias("difficulty"),
+        _pick(PROVIDERS, F.col("query_id") % len(PROVIDERS)).alias("provider"))
+
+
 def run_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run start / end per day: first span start, last known end (or start)."""
     s = spans(spark, sf_dir)

@@ -100,3 +100,31 @@ def test_running_two_level_equals_one_level(spark):
     for _, t, v in rows:
         acc += v
         assert got[t] == acc
+
+
+def test_one_scan_of_the_spans(spark):
+    """The plan over the source is evaluated once, whatever the number of sides."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [("r", "llm", 1, 5), ("r", "tool", 2, None), ("r", "spark", 9, 12), ("q", "tool", 0, 3)]
+    spans = spark.createDataFrame(rows, "run_id string, type string, start long, end long").mapInArrow(count, "run_id string, type string, start long, end long")
+    got = {r["run_id"]: tuple(r)[1:] for r in I.breakdown(spans, None, ["run_id"]).collect()}
+    assert got == {"r": (11, 4, 3, 4, 0, 0), "q": (3, 0, 0, 3, 0, 0)} and seen.value == len(rows)
+    left = I.subtract_sides(spans, ["run_id"], F.col("type") == "tool", F.col("type") != "tool", open_ends=True)
+    assert {tuple(r) for r in left.collect()} == {("r", 5, 9), ("q", 0, 3)} and seen.value == 2 * len(rows)
+
+
+def test_fitted_buckets_equal_fixed_ones(spark, monkeypatch):
+    rnd = random.Random(11)
+    rows = [(rnd.choice("aab"), s, s + rnd.choice([0, 1, 5, 900])) for s in (rnd.choice([rnd.randint(0, 40), rnd.randint(0, 3000)]) for _ in range(400))]
+    df = frame(spark, rows)
+    want = {k: py_union([(s, e) for g, s, e in rows if g == k]) for k in "ab"}
+    monkeypatch.setattr(I, "ROWS_PER_BUCKET", 30)
+    for bucket in (None, 50):
+        got = I.union(df, ["k"], bucket_us=bucket).collect()
+        assert {k: sorted((r["start"], r["end"]) for r in got if r["k"] == k) for k in "ab"} == want
