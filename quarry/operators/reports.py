@@ -43,7 +43,7 @@ def log_summary(runs: DataFrame, questions: DataFrame) -> DataFrame:
         F.coalesce("q_text", F.lit(TX.NOT_FOUND)).alias("nl_query"),
         F.coalesce("q_sql", F.lit(TX.NOT_FOUND)).alias("golden_query"),
         F.coalesce("sparksql_query", F.lit(TX.NO_SQL)).alias("generated_query"),
-        "execution_status", "spark_error",
+        "execution_status", "spark_error", (F.col("query_result") if "query_result" in runs.columns else F.lit(None).cast("string")).alias("query_result"),
         F.coalesce(F.col("accuracy").cast("string"), F.lit(TX.NOT_AVAILABLE)).alias("accuracy"),
     )
 

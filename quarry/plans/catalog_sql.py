@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as TY
 
 from ..operators import catalog as C
 from ..operators import mining as W
+from ..operators import records as RR
+from ..operators import reports as R
 from ..operators import telemetry as T
 from ..session import shared_path, stored
 from ..sources import adapters as A
 from ..sources import artefacts as S
+from ..sources import collections as VC
 from ..sources.tables import ALL_TABLES, register_tables, table
 from . import vectors as VQ
 from . import workload
@@ -86,7 +90,7 @@ def q_run_log_source(spark, sf_dir):
     rec = T.run_record(runs).join(runs.select("query_id", "accuracy"), "query_id").select(*[f.name for f in S.RUN_SCHEMA.fields])
     rec.where("query_id % 2 = 0").write.json(path + "/bare")
     rec.where("query_id % 2 = 1").select(F.array(F.struct(*rec.columns)).alias("detailed_queries")).write.json(path + "/wrapped")
-    return S.read_run_logs(spark, [path + "/bare", path + "/wrapped"], multi_line=False)
+    return S.read_run_logs(spark, [path + "/bare", path + "/wrapped"], multi_line=False).drop("record")
 
 
 def q_catalog_tables(spark, sf_dir):
@@ -162,7 +166,44 @@ def q_results_sink(spark, sf_dir):
         A.runs(spark, sf_dir).select("query_id", "accuracy"), "query_id")
     path = shared_path(spark, "runs")
     S.write_runs(rec.select(*[f.name for f in S.RUN_SCHEMA.fields]), path)
-    return spark.read.schema(S.RUN_SCHEMA).json(path)
+    return S.read_runs(spark, path).drop("record", "write")
+
+
+def q_results_extra(spark, sf_dir):
+    """Full run records with fields of no schema, written twice under one name; known, nested and unknown fields of what is read back."""
+    rec = RR.run_records(A.agent_events(spark, sf_dir))
+    known = ["query_id", "llm", "execution_status", "total_time", "total_times_per_tool", "llm_requests", "input_token_details", "agent_thoughts"]
+    extra = F.map_from_arrays(F.array(F.lit("note"), F.lit("seed"), F.lit("llm")),
+                              F.array(F.concat(F.lit("run "), F.col("run_id")).cast("variant"), (F.col("query_id") * 3).cast("variant"), F.lit("replaced").cast("variant")))
+    rows = rec.select("run_id", F.concat(F.lit("e"), F.col("query_id") % 3).alias("experiment"), *known, F.when(F.col("query_id") % 2 == 0, extra).alias("more"))
+    path = shared_path(spark, "results")
+    for _ in range(2):
+        S.write_runs(rows, path, "benchmark-1", extra="more")
+    of = lambda at, kind: F.try_variant_get("record", f"$.{at}", kind)
+    back = S.read_runs(spark, path)
+    return back.select("query_id", "experiment", "llm", "execution_status", F.round("total_time", 6).alias("total_time"), of("run_id", "string").alias("run_id"),
+                       of("llm_requests", "bigint").alias("llm_requests"), F.round(of("total_times_per_tool.query_sql_db", "double"), 6).alias("time_query_sql_db"),
+                       of("agent_thoughts[0]", "string").alias("first_thought"), of("note", "string").alias("note"), of("seed", "bigint").alias("seed"), "write")
+
+
+def q_log_summary_file(spark, sf_dir):
+    """The log summary written as JSON and read back."""
+    path = shared_path(spark, "summary")
+    S.write_runs(R.log_summary(A.runs(spark, sf_dir), A.qlog(spark, sf_dir)), path, "summary")
+    names = ["nl_query", "golden_query", "generated_query", "execution_status", "spark_error", "query_result", "accuracy"]
+    schema = TY.StructType([TY.StructField("query_id", TY.LongType()), *[TY.StructField(n, TY.StringType()) for n in names]])
+    return S.read_runs(spark, path, schema).drop("record", "write")
+
+
+def q_vector_collection(spark, sf_dir):
+    """The collection opened, filled, filled again with the same ids and other texts, and with a few new ids; every row once."""
+    docs = VQ.benchmark_docs(spark, sf_dir).select("cid", "text", "sql", "vec")
+    path = shared_path(spark, "collection")
+    VC.get_or_create(spark, path, "cid long, text string, sql string, vec array<double>")
+    VC.insert(spark, path, docs, "cid")
+    VC.insert(spark, path, docs.withColumn("text", F.upper("text")), "cid")
+    last = VC.insert(spark, path, docs.unionByName(docs.withColumn("cid", F.col("cid") + 1_000_000).where("cid % 2 = 0")), "cid")
+    return VC.get_or_create(spark, path, "").select("cid", "text", "sql", F.size("vec").alias("dims"), F.lit(last).cast("long").alias("version"))
 
 
 def q_graph_node_link(spark, sf_dir):
@@ -202,4 +243,7 @@ QUERIES = {**{k: _sql_query(v) for k, v in SQL.items()},
            "spec_lookup": q_spec_lookup,
            "vector_corpus": q_vector_corpus,
            "results_sink": q_results_sink,
+           "results_extra": q_results_extra,
+           "log_summary_file": q_log_summary_file,
+           "vector_collection": q_vector_collection,
            "graph_node_link": q_graph_node_link}

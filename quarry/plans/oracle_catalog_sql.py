@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..sources import adapters as A
 from ..sources.tables import ALL_TABLES
 from .catalog_sql import GHOST_TABLE, IGNORED, SQL, SQL_ONE
+from . import oracle_telemetry
 from .oracle_telemetry import runs_cte
 from .oracle_workload import STAR_COLUMNS, _with, facts_cte, q, qlog_cte
 from .oracle_vectors import _norm_sql, hash_embed_sql
@@ -86,6 +87,20 @@ FROM j GROUP BY qid""",
 UNION ALL SELECT 1000 + CAST(r_regionkey AS BIGINT), CAST(1 AS BIGINT), r_name FROM region""",
         "run_log_source": RECORD,
         "results_sink": RECORD,
+        "log_summary_file": oracle_telemetry.oracle()["log_summary"],
+        "results_extra": "WITH " + oracle_telemetry.spans_cte().strip("\n") + "," + oracle_telemetry.agent_cte() + f"""
+SELECT e.query_id, 'e' || e.query_id % 3 AS experiment, CASE WHEN e.query_id % 2 = 0 THEN 'replaced' WHEN e.query_id % 5 = 4 THEN 'unknown'
+    ELSE {oracle_telemetry._list(A.PROVIDERS)}[e.query_id % 5 + 1] END AS llm,
+  CASE WHEN sparksql_query IS NULL THEN 'NOT_EXECUTED' WHEN err <> '' THEN 'ERROR' ELSE 'VALID' END AS execution_status,
+  round((run_end - run_start) / 1e6, 6) AS total_time, 'q-' || e.query_id AS run_id, coalesce(llm.n, 0)::BIGINT AS llm_requests,
+  round(per_tool.us / 1e6, 6) AS time_query_sql_db, nullif(split_part(thoughts, '|', 1), '') AS first_thought,
+  CASE WHEN e.query_id % 2 = 0 THEN 'run q-' || e.query_id END AS note, CASE WHEN e.query_id % 2 = 0 THEN e.query_id * 3 END AS seed, 'benchmark-1' AS write
+FROM ends e LEFT JOIN sql1 ON sql1.query_id = e.query_id LEFT JOIN llm ON llm.query_id = e.query_id
+LEFT JOIN per_tool ON per_tool.query_id = e.query_id AND per_tool.name = 'query_sql_db'""",
+        "vector_collection": "WITH " + qlog_cte().strip("\n") + """,
+d AS (SELECT b.item_id AS cid, b.text, coalesce(l.sql, '') AS sql FROM benchmark b LEFT JOIN qlog l ON l.query_id = b.item_id)
+SELECT cid, text, sql, 64 AS dims, CAST(2 AS BIGINT) AS version FROM d
+UNION ALL SELECT cid + 1000000, text, sql, 64, 2 FROM d WHERE cid % 2 = 0""",
         "date_as_string": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
        CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders""",
         "spec_scan": spec + "\nSELECT * FROM spec",

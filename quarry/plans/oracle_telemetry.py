@@ -53,6 +53,7 @@ runs AS (
          {_list(A.PROVIDERS)}[user_id % 5 + 1] AS provider,
          CASE WHEN event_type <> 'signup' THEN 'SELECT * FROM t WHERE id = ' || CAST(event_id AS VARCHAR) END AS sparksql_query,
          CASE WHEN event_type = 'error' THEN 'Error: AnalysisException' END AS spark_error,
+         CASE WHEN event_type NOT IN ('signup', 'error') THEN '[[' || json_extract_string(props, '$.k') || ']]' END AS query_result,
          CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS accuracy,
          CASE WHEN event_type IN ('purchase', 'view') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS relaxed_accuracy,
          CAST(json_extract_string(props, '$.k') AS BIGINT) * 7 AS input_tokens,
@@ -309,7 +310,7 @@ FROM scored GROUP BY experiment""",
 SELECT s.query_id, coalesce(l.question, {q(TX.NOT_FOUND)}) AS nl_query,
        coalesce(l.sql, {q(TX.NOT_FOUND)}) AS golden_query,
        coalesce(s.sparksql_query, {q(TX.NO_SQL)}) AS generated_query,
-       s.execution_status, s.spark_error,
+       s.execution_status, s.spark_error, s.query_result,
        coalesce(CAST(s.accuracy AS VARCHAR), {q(TX.NOT_AVAILABLE)}) AS accuracy
 FROM scored s LEFT JOIN qlog l ON l.query_id = s.query_id""",
         "accuracy_by_arch": wr + """

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import files
+
 SPEC_SCHEMA = T.StructType([
     T.StructField("question_id", T.LongType()),
     T.StructField("db_id", T.StringType()),
@@ -70,19 +75,77 @@ def lookup(spec: DataFrame, keys: DataFrame, with_db: bool = False) -> DataFrame
         F.col("SQL").alias("sql"), "difficulty"))
 
 
-def write_runs(runs: DataFrame, path: str) -> None:
-    """Run records as JSON, one folder per experiment; appended, each write under file names of its own."""
-    runs.write.mode("append").partitionBy("experiment").json(path)
+def write_name(query_id=None, iteration: int = 1) -> str:
+    """The default name of a write: time, query id, iteration and eight random characters."""
+    return f"{datetime.datetime.now():%Y%m%d_%H%M%S}_ID_{query_id}_ITER_{iteration}_{uuid.uuid4().hex[:8]}"
+
+
+def as_variant(c: Column, kind: T.DataType) -> Column:
+    """A column of any type as VARIANT: nested ones field by field, others as they are."""
+    return F.call_function("to_variant_object", c) if isinstance(kind, (T.StructType, T.MapType, T.ArrayType)) else c.cast("variant")
+
 
+def merged_json(df: DataFrame, extra: str | None = None) -> Column:
+    """Each row as one JSON object; ``extra`` (a column map<string, variant>) adds fields of any kind, and replaces those of its names."""
+    kinds = {f.name: f.dataType for f in df.schema.fields if f.name != extra}
+    known = F.map_from_arrays(F.array(*[F.lit(c) for c in kinds]), F.array(*[as_variant(df[f"`{c}`"], k) for c, k in kinds.items()]))
+    if extra is None:
+        return F.to_json(known)
+    more = F.coalesce(extra, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>")))
+    return F.to_json(F.map_concat(F.map_filter(known, lambda k, v: ~F.map_contains_key(more, k)), more))
 
-def read_run_logs(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
-    """Run logs in either shape: ``{summary_metrics, detailed_queries[]}`` or a bare list."""
-    wrapped = T.StructType([T.StructField("detailed_queries", T.ArrayType(RUN_SCHEMA))])
-    raw = spark.read.option("multiLine", multi_line).schema(
-        T.StructType(RUN_SCHEMA.fields + wrapped.fields)).json(path)
-    inner = raw.where(F.col("detailed_queries").isNotNull()).select(F.inline("detailed_queries"))
-    bare = raw.where(F.col("detailed_queries").isNull()).select(*[f.name for f in RUN_SCHEMA.fields])
-    return inner.unionByName(bare)
+
+def write_runs(runs: DataFrame, path: str, write: str | None = None, extra: str | None = None) -> bool:
+    """Records as JSON lines, all fields and those of ``extra``, one folder per write and experiment; whether this call added it.
+
+    A write is a folder that appears under its name by one rename, when all of it is
+    written: a failed task that runs again, or a job that is given up, leaves no rows.  A write whose name is
+    there already adds nothing, so a caller that does not know whether its write succeeded may
+    repeat it under the same name.  Without a name each call is a write of its own.
+    """
+    spark = runs.sparkSession
+    name = write or write_name()
+    if files.exists(spark, f"{path}/write={name}"):
+        return False
+    staged = f"{path}/_staged/{uuid.uuid4().hex}"
+    by = ["experiment"] if "experiment" in runs.columns else []
+    runs.select(merged_json(runs, extra).alias("value"), *by).write.partitionBy(*by).text(staged)
+    if files.rename(spark, staged, f"{path}/write={name}"):
+        return True
+    files.delete(spark, staged)
+    return False
+
+
+def read_runs(spark: SparkSession, path: str, schema: T.StructType = RUN_SCHEMA) -> DataFrame:
+    """What ``write_runs`` committed: the schema's columns, write, and the whole record as VARIANT, unknown fields included."""
+    rows = spark.read.option("basePath", path).schema("value string, write string").text(f"{path}/write=*")
+    return _records(rows.select("write", F.col("value").alias("text")), schema)
+
+
+def _records(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """``text`` (one JSON object each) as the schema's columns and ``record``; text that is no JSON raises."""
+    typed = F.from_json("text", schema, {"mode": "FAILFAST"})
+    rows = rows.select("*", typed.alias("typed"), F.parse_json("text").alias("record"))
+    return rows.select(*[F.col(f"typed.`{f.name}`").alias(f.name) for f in schema.fields], *[c for c in rows.columns if c not in ("text", "typed", "record")], "record")
+
+
+def read_run_logs(spark: SparkSession, path: str | list[str], multi_line: bool = True, schema: T.StructType = RUN_SCHEMA) -> DataFrame:
+    """Run logs in either shape: ``{summary_metrics, detailed_queries[]}`` or a bare list (or a bare object).
+
+    Columns: the schema's, and ``record``, the whole run as VARIANT, so that fields of no schema stay.
+    ``multi_line``: a file is one JSON value; else each line is one.  The wrong choice raises, as does text that is
+    no JSON; blank lines and files are no runs.
+    """
+    text = F.col("value")
+    rows = spark.read.text(path, wholetext=multi_line).where(text.rlike(r"\S"))
+    if multi_line:
+        first = F.regexp_extract(text, r"^\s*([\[{][^\n]*)\n\s*\S", 1)
+        several = (first != "") & F.try_parse_json(first).isNotNull()
+        rows = rows.select(F.when(several, F.raise_error(F.lit("the file holds one JSON value a line: read it with multi_line=False"))).otherwise(text).alias("value"))
+    fail = {"mode": "FAILFAST"}
+    runs_of = F.when(text.rlike(r"^\s*\["), F.from_json(text, "array<string>", fail)).otherwise(
+        F.coalesce(F.from_json(text, "detailed_queries array<string>", fail)["detailed_queries"], F.array(text)))
+    return _records(rows.select(F.explode(runs_of).alias("text")), schema)
 
 
 def graph_node_link(nodes: DataFrame, columns: DataFrame, operations: DataFrame,
