@@ -22,22 +22,23 @@ from pyspark.sql import functions as F
 
 from .common import col_of
 
-KMER = 8  # code points
+KMER = 8  # code points, a power of two
 PICKED = 2
 ENTRIES = 64
 DIGITS = 8  # hexadecimal digits of an entry
 BLOCK = 4096  # k-mers that meet all hash functions at a time
 PASS_SIZE = 1 << 20  # k-mers of a text that are numbered at a time
 RUN_BYTES = 8 << 20
+RUNS_A_TASK = 16  # runs are dealt out by hash: with many a task, tasks are about as long as each other
 MAX_RUNS = 1 << 16
 OUT_ROWS = 500
 
 FINGERPRINTS = "id long, n_chars long, fingerprint string"
-COMPARED = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string"
+COMPARED = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_NONE = np.uint32(0xFFFFFFFF)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -47,74 +48,81 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: The hash functions: a numbered k-mer v becomes (v ^ MASKS[i]) * FACTORS[i].
-MASKS = mixed(np.arange(1, ENTRIES + 1, dtype=np.uint64) * ODD)
-FACTORS = mixed(MASKS) | np.uint64(1)
+_SEEDS = mixed(np.arange(1, ENTRIES + 1, dtype=np.uint64) * ODD)
+#: The hash functions: a numbered k-mer v of 32 bits becomes (v ^ MASKS[i]) * FACTORS[i].
+MASKS = _SEEDS.astype(np.uint32)[:, None]
+FACTORS = mixed(_SEEDS).astype(np.uint32)[:, None] | np.uint32(1)
 
 
 def _kmers(text: str, lo: int, hi: int) -> np.ndarray:
-    """Hashes of the k-mers that start at lo to hi - 1; a text shorter than a k-mer is one."""
-    width = min(KMER, len(text))
-    codes = np.frombuffer(text[lo:hi + width - 1].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    h = np.full(hi - lo, width, np.uint64)
-    for j in range(width):
-        h = h * ODD + codes[j:j + hi - lo] + np.uint64(1)
-    return mixed(h)
+    """Hashes of the k-mers that start at lo to hi - 1; a text shorter than a k-mer is one.
+
+    The hash is a polynomial of the code points: those of 2, 4 and 8 of them come from two halves.
+    """
+    width, odd = min(KMER, len(text)), int(ODD)
+    h = np.frombuffer(text[lo:hi + width - 1].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+    half, powers = 1, [np.uint64(pow(odd, j, 1 << 64)) for j in range(KMER)]
+    if width < KMER:
+        h = np.add.reduce(h * np.array(powers[:width][::-1]), keepdims=True)
+    else:
+        while half < KMER:
+            h = h[:-half] * powers[half] + h[half:]
+            half *= 2
+    return mixed(h + np.uint64(width * pow(odd, width, 1 << 64) % (1 << 64)))
 
 
 def _numbered(h: np.ndarray) -> np.ndarray:
-    """k-mer hashes, in text order, with their occurrence number mixed in.
+    """k-mer hashes, in text order, with their occurrence number mixed in, as 32 bits.
 
     Sorting the hash above the position puts equal k-mers side by side in text order.
     """
     bits = np.uint64(max(1, int(len(h)).bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
     key = np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64))
-    at = (key & low).astype(np.int64)
-    new = np.ones(len(h), bool)
-    new[1:] = (key[1:] ^ key[:-1]) > low
-    places = np.arange(len(h))
-    out = np.empty_like(h)
-    out[at] = (places - np.maximum.accumulate(np.where(new, places, 0))).astype(np.uint64)
-    return mixed(h + out * ODD)
+    again = np.flatnonzero((key[1:] ^ key[:-1]) <= low) + 1  # places of k-mers that stood before
+    out = h.copy()
+    if len(again):
+        first = np.concatenate([[True], again[1:] != again[:-1] + 1])
+        begins = np.maximum.accumulate(np.where(first, np.arange(len(again)), 0))
+        out[(key[again] & low).astype(np.int64)] += (np.arange(len(again)) - begins + 1).astype(np.uint64) * ODD
+    return (mixed(out) >> np.uint64(32)).astype(np.uint32)
 
 
 class _Least:
-    """For each hash function the ``PICKED`` least values so far, where they stand and the k-mer there."""
+    """For each hash function the ``PICKED`` least values of every block, where they stand and the k-mer there."""
 
     def __init__(self):
-        self.value = np.full((ENTRIES, PICKED), _NONE)
-        self.at = np.full((ENTRIES, PICKED), -1, np.int64)
-        self.kmer = np.zeros((ENTRIES, PICKED), np.uint64)
+        self.values, self.places, self.kmers = [], [], []
 
     def add(self, numbered: np.ndarray, at: np.ndarray, kmers: np.ndarray) -> None:
-        every = np.arange(ENTRIES)
+        every, work = np.arange(ENTRIES), np.empty((ENTRIES, min(BLOCK, len(numbered))), np.uint32)
         for lo in range(0, len(numbered), BLOCK):
-            x = (numbered[None, lo:lo + BLOCK] ^ MASKS[:, None]) * FACTORS[:, None]
+            part = numbered[None, lo:lo + BLOCK]
+            x = work[:, :part.shape[1]]
+            np.multiply(np.bitwise_xor(part, MASKS, out=x), FACTORS, out=x)
             for _ in range(min(PICKED, x.shape[1])):
                 k = x.argmin(axis=1)
-                self._put(x[every, k], at[lo + k], kmers[lo + k])
+                self.values.append(x[every, k])
+                self.places.append(at[lo + k])
+                self.kmers.append(kmers[lo + k])
                 x[every, k] = _NONE
 
-    def _put(self, value: np.ndarray, at: np.ndarray, kmer: np.ndarray) -> None:
-        every = np.arange(ENTRIES)
-        worst = np.where((self.at < 0).any(axis=1), (self.at < 0).argmax(axis=1), self.value.argmax(axis=1))
-        rows = every[(self.at[every, worst] < 0) | (value < self.value[every, worst])]
-        for own, new in ((self.value, value), (self.at, at), (self.kmer, kmer)):
-            own[rows, worst[rows]] = new[rows]
-
     def entries(self) -> np.ndarray:
-        order = np.argsort(self.at, axis=1)
+        """The k-mers of the least values, in text order, hashed to one number for each function."""
         out = np.zeros(ENTRIES, np.uint64)
-        for j in range(PICKED):
-            k = order[:, j]
-            there = np.take_along_axis(self.at, k[:, None], 1)[:, 0] >= 0
-            out = np.where(there, mixed(out * ODD + np.take_along_axis(self.kmer, k[:, None], 1)[:, 0] + np.uint64(1)), out)
-        return out >> np.uint64(64 - 4 * DIGITS)
+        if self.values:
+            values, places, kmers = (np.stack(c, axis=1) for c in (self.values, self.places, self.kmers))
+            if values.shape[1] > PICKED:
+                least = np.lexsort((places, values), axis=1)[:, :PICKED]
+                places, kmers = (np.take_along_axis(c, least, 1) for c in (places, kmers))
+            kmers = np.take_along_axis(kmers, np.argsort(places, axis=1), 1)
+            for j in range(kmers.shape[1]):
+                out = mixed(out * ODD + kmers[:, j] + np.uint64(1))
+        return (out >> np.uint64(64 - 4 * DIGITS)).astype(">u4")
 
 
-def fingerprint_of(text: str) -> str:
-    """The fingerprint of one text: ``ENTRIES`` entries of ``DIGITS`` hexadecimal digits; of an empty text all zeros.
+def entries_of(text: str) -> np.ndarray:
+    """The entries of one text's fingerprint.
 
     A text of more than ``PASS_SIZE`` k-mers is read once per so many k-mers, each pass numbering a part of the
     k-mers' hashes, so that the memory beside the text does not grow with it.
@@ -124,13 +132,18 @@ def fingerprint_of(text: str) -> str:
     for k in range(passes):
         found = []
         for lo in range(0, n, PASS_SIZE):
-            h = _kmers(text, lo, min(n, lo + PASS_SIZE))
-            mine = np.flatnonzero(h % np.uint64(passes) == k) if passes > 1 else np.arange(len(h))
-            found.append((h[mine], mine + lo))
-        h, at = (np.concatenate(c) for c in zip(*found))
+            h, at = _kmers(text, lo, min(n, lo + PASS_SIZE)), np.arange(lo, min(n, lo + PASS_SIZE))
+            mine = h % np.uint64(passes) == k if passes > 1 else slice(None)
+            found.append((h[mine], at[mine]))
+        h, at = found[0] if passes == 1 else (np.concatenate(c) for c in zip(*found))
         if len(h):
             least.add(_numbered(h), at, h)
-    return "".join(f"{e:0{DIGITS}x}" for e in least.entries().tolist())
+    return least.entries()
+
+
+def fingerprint_of(text: str) -> str:
+    """The fingerprint of one text: ``ENTRIES`` entries of ``DIGITS`` hexadecimal digits; of an empty text all zeros."""
+    return entries_of(text).tobytes().hex()
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -143,12 +156,13 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(col_of(docs, id_col).cast("long").alias("id"), F.coalesce(col_of(docs, text_col), F.lit("")).alias("text"))
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in ("id", "n_chars") else pa.string()) for n, c in zip(names, zip(*rows))], names=names)
+def _batch(rows: list[tuple], fields: list[tuple[str, str]]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for (_, kind), c in zip(fields, zip(*rows))], names=[n for n, _ in fields])
 
 
-def _fields(schema: str) -> list[str]:
-    return [f.split()[0] for f in schema.split(", ")]
+def _fields(schema: str) -> list[tuple[str, str]]:
+    return [tuple(f.split()) for f in schema.split(", ")]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,7 +204,7 @@ def _runs(rows: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     size = rows.agg(F.count("id").alias("n"), F.count(F.lit(1)).alias("all"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    n_runs = min(MAX_RUNS, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), (size["bytes"] or 0) // RUN_BYTES))
+    n_runs = min(MAX_RUNS, max(RUNS_A_TASK * int(spark.conf.get("spark.sql.shuffle.partitions")), (size["bytes"] or 0) // RUN_BYTES))
     bounds: list[int] = []
     if size["n"]:
         at = [k / n_runs for k in range(1, n_runs)]
@@ -208,7 +222,7 @@ def _runs(rows: DataFrame) -> DataFrame:
 
 def _compared(batches):
     """Rows in reading order, run by run; the last row of a run is the first of the next one, marked as a guest."""
-    names, rows, before, run = _fields(COMPARED), [], None, None
+    fields, rows, before, run = _fields(COMPARED), [], None, None
     for batch in batches:
         for r, guest, i, text in zip(*(batch.column(c) for c in ("run", "guest", "id", "text"))):
             r, guest, text = r.as_py(), guest.as_py(), text.as_py()
@@ -216,25 +230,27 @@ def _compared(batches):
                 run, before = r, None
             elif before is None:  # a further guest: a copy of the first
                 continue
-            this = (i.as_py(), text, fingerprint_of(text))
+            this = (i.as_py(), text, entries_of(text))
             if before:
-                old_id, old, old_print = before
+                old_id, old, own = before
                 cut = len(old) // 3
                 edited = old[:len(old) - cut] + text[:cut]
-                rows.append((old_id, len(old), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), old_print,
-                             old_print if edited == old else fingerprint_of(edited), this[2]))
+                other = own if edited == old else entries_of(edited)
+                rows.append((old_id, len(old), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own.tobytes().hex(),
+                             other.tobytes().hex(), float((own == other).mean()), float((own == this[2]).mean())))
             before = None if guest else this
             if len(rows) >= OUT_ROWS:
-                yield _batch(rows, names)
+                yield _batch(rows, fields)
                 rows = []
     if rows:
-        yield _batch(rows, names)
+        yield _batch(rows, fields)
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint.
+    """One row per input row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or
+    near_edited and near_next are the shares of entries, 0 to 1, in which the fingerprint agrees with the edited text's and with the
+    next document's, as ``likeness`` tells them.  The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or
     all) of the next document: the one with the next smaller id; after the last comes the first.  A single document is
     its own next.  Rows without id come last; rows of one id follow by a hash of their text.  A null text is
     empty and stays so.  Ids are whole numbers.  Rows that agree in id and text are alike and

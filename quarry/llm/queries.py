@@ -92,9 +92,7 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of ``documents`` and of their edited texts, and how alike they are to each other and to the next document's."""
     out = order_minhash.compare_with_next(table(spark, sf_dir, "documents"))
-    near = lambda c: order_minhash.likeness(F.col("fingerprint"), F.col(c))
-    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-                      near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))
+    return out.withColumnRenamed("id", "doc_id")
 
 
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
