@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,21 +109,35 @@ def run_sql(spark: SparkSession, command: str, fetch: str = "all") -> DataFrame:
     return df.limit(1) if fetch == "one" else df
 
 
+def by_position(df: DataFrame) -> DataFrame:
+    """Columns named by position (c0, c1, ..), so that two of one name stay two."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def rows_as_strings(df: DataFrame) -> DataFrame:
     """Every cell as text, columns by position (c0, c1, ..), duplicates kept."""
-    return df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(df.columns)])
+    df = by_position(df)
+    return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
 
 
 def timed(spark: SparkSession, command: str) -> DataFrame:
-    """Run to completion on the no-op sink, time it, keep the error text."""
+    """Run to completion on the no-op sink: query, seconds, ran, error, rows, bytes.
+
+    rows and bytes (of all cells as text) are observed on the run itself; a statement that fails has
+    neither, but its time and its error text.  The result never comes to the driver.
+    """
     start = time.time()
-    err = None
+    err, seen = None, {}
     try:
-        spark.sql(command).write.format("noop").mode("overwrite").save()
+        df = by_position(run_sql(spark, command))
+        size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
+        metrics = Observation()
+        df.observe(metrics, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).write.format("noop").mode("overwrite").save()
+        seen = metrics.get
     except Exception as e:  # noqa: BLE001 - the error text is the result
         err = f"Error: {e}"
-    return spark.createDataFrame([(command, time.time() - start, err is None, err)],
-                                 "query string, seconds double, ran boolean, error string")
+    return spark.createDataFrame([(command, time.time() - start, err is None, err, seen.get("rows"), seen.get("bytes"))],
+                                 "query string, seconds double, ran boolean, error string, rows long, bytes long")
 
 
 def parse_result_text(text: Column) -> Column:

@@ -1,13 +1,16 @@
 """Result-set scoring (E3-E8): does a predicted result contain every gold column?
 
 A result set is a wide DataFrame (case column, position column, value columns).
-A column is summarised by a signature: value count and two 60-bit md5 hashes
-XOR-ed over its cells (strict: over (position, value), so order matters;
+A column is summarised by a signature: value count and two 60-bit halves of one md5 digest
+a cell, XOR-ed over its cells (strict: over (position, value), so order matters;
 relaxed: over distinct lower-cased values, so it is a set).  XOR is
 associative, so the strict signature is one partial aggregation per case (no
 unpivot of the data); a case with a third of all rows is combined map-side.
 Matching is an equivalence, so "every gold column has its own equal predicted
 column" is, per signature, gold count <= predicted count.
+
+Signatures that agree are strong evidence, no proof.  With ``exact`` the cases that
+pass are read once more and their columns compared cell by cell (``proven``).
 """
 
 from __future__ import annotations
@@ -17,12 +20,9 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import canonicalize
 
-SALT = "s2|"
-
-
-def h60(s: Column) -> Column:
-    """First 60 bits of md5 as a signed bigint (same value in Spark and DuckDB)."""
-    return F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("bigint")
+def halves(s: Column) -> list[Column]:
+    """The first 15 and the last 15 hexadecimal digits of one md5 digest, as bigints (same values in Spark and DuckDB)."""
+    return [F.conv(F.substring(s, at, 15), 16, 10).cast("bigint") for at in (1, 18)]
 
 
 def _canon(df: DataFrame, keep: list[str], cols: list[str], relaxed_mode: bool) -> DataFrame:
@@ -36,11 +36,8 @@ def strict_signatures(df: DataFrame, case: str, pos: str, cols: list[str]) -> Da
     """(case, col_idx, n, h1, h2) per column, in one wide aggregation per case."""
     v = _canon(df.select(F.col(case).alias("case_id"), F.col(pos).cast("string").alias("_p"), *cols),
                ["case_id", "_p"], cols, False)
-    aggs = []
-    for i in range(len(cols)):
-        cell = F.concat_ws("|", F.col("_p"), F.col(f"_v{i}"))
-        aggs += [F.bit_xor(h60(cell)).alias(f"h1_{i}"),
-                 F.bit_xor(h60(F.concat(F.lit(SALT), cell))).alias(f"h2_{i}")]
+    v = v.select("case_id", *[F.md5(F.concat_ws("|", "_p", f"_v{i}")).alias(f"_d{i}") for i in range(len(cols))])
+    aggs = [F.bit_xor(h).alias(f"h{k}_{i}") for i in range(len(cols)) for k, h in enumerate(halves(F.col(f"_d{i}")), 1)]
     wide = v.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), *aggs)
     # unpivot the one row per case (not the data)
     stacked = F.inline(F.array(*[F.struct(F.lit(i).alias("col_idx"), F.col(f"h1_{i}").alias("h1"),
@@ -57,11 +54,9 @@ def relaxed_signatures(df: DataFrame, case: str, cols: list[str]) -> DataFrame:
     v = _canon(df.select(F.col(case).alias("case_id"), *cols), ["case_id"], cols, True)
     cells = v.select("case_id", F.inline(F.array(*[
         F.struct(F.lit(i).alias("col_idx"), F.col(f"_v{i}").alias("value")) for i in range(len(cols))])))
-    d = cells.distinct()
-    return d.groupBy("case_id", "col_idx").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.bit_xor(h60(F.col("value"))).alias("h1"),
-        F.bit_xor(h60(F.concat(F.lit(SALT), F.col("value")))).alias("h2"))
+    d = cells.distinct().select("case_id", "col_idx", F.md5("value").alias("_d"))
+    h1, h2 = halves(F.col("_d"))
+    return d.groupBy("case_id", "col_idx").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h1).alias("h1"), F.bit_xor(h2).alias("h2"))
 
 
 def match(gold_sigs: DataFrame, pred_sigs: DataFrame, cases: DataFrame,
@@ -94,17 +89,56 @@ def row_counts(df: DataFrame, case: str) -> DataFrame:
     return df.groupBy(F.col(case).alias("case_id")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def proven(gold: DataFrame, pred: DataFrame, gcols: list[str], pcols: list[str], case: str, pos: str, relaxed_mode: bool) -> DataFrame:
+    """case_id of the cases in which every gold column has its own predicted column with the same cells, compared value by value.
+
+    Strict: gold and predicted rows meet by (case, position).  Relaxed: each distinct value of a case
+    tells the columns that hold it.  Either way a row tells which columns agree there, and a
+    case's columns are equal if they agree on all its rows: a conjunction that is combined before the shuffle, for any size of a case.
+    """
+    keep = ["case_id"] if relaxed_mode else ["case_id", "_p"]
+    sides = []
+    for df, cols in ((gold, gcols), (pred, pcols)):
+        at = [F.col(case).alias("case_id")] if relaxed_mode else [F.col(case).alias("case_id"), F.col(pos).cast("string").alias("_p")]
+        sides.append(_canon(df.select(*at, *cols), keep, cols, relaxed_mode))
+    n, m = len(gcols), len(pcols)
+    if relaxed_mode:
+        held = [v.select("case_id", F.inline(F.array(*[F.struct(F.lit(i + shift).alias("c"), F.col(f"_v{i}").alias("value")) for i in range(k)])))
+                for v, k, shift in ((sides[0], n, 0), (sides[1], m, n))]
+        rows = held[0].unionByName(held[1]).groupBy("case_id", "value").agg(*[F.max(F.col("c") == i).alias(f"_v{i}") for i in range(n + m)])
+    else:
+        g, p = (v.toDF("case_id", "_p", *[f"_v{i + shift}" for i in range(k)]) for v, k, shift in ((sides[0], n, 0), (sides[1], m, n)))
+        rows = g.join(p, ["case_id", "_p"], "full")
+    same = {(i, j): F.bool_and(F.col(f"_v{i}").eqNullSafe(F.col(f"_v{j}"))) for i in range(n) for j in range(n + m) if i != j}
+    equal = rows.groupBy("case_id").agg(*[c.alias(f"e{i}_{j}") for (i, j), c in same.items()])
+    count = lambda i, js: sum((F.col(f"e{i}_{j}").cast("int") for j in js if j != i), F.lit(0))
+    found = [count(i, range(n, n + m)) >= count(i, range(n)) + 1 for i in range(n)]
+    return equal.where(F.array_min(F.array(*found))).select("case_id")
+
+
 def execution_accuracy(gold: DataFrame, pred: DataFrame, cases: DataFrame, case: str = "case_id",
-                       pos: str = "pos", relaxed_mode: bool = False) -> DataFrame:
-    """E5 (strict) or the relaxed variant, per case: score 1.0 / 0.0."""
+                       pos: str = "pos", relaxed_mode: bool = False, exact: bool = False) -> DataFrame:
+    """E5 (strict) or the relaxed variant, per case: score 1.0 / 0.0.
+
+    ``exact``: a case whose signatures agree scores only if its cells do; positions are then unique within a case.
+    """
     gcols = [c for c in gold.columns if c not in (case, pos)]
     pcols = [c for c in pred.columns if c not in (case, pos)]
     if relaxed_mode:
         gs, ps = relaxed_signatures(gold, case, gcols), relaxed_signatures(pred, case, pcols)
-        return match(gs, ps, cases, row_counts(gold, case), row_counts(pred, case))
-    gs, ps = strict_signatures(gold, case, pos, gcols), strict_signatures(pred, case, pos, pcols)
-    # the strict signature already counts every row of the case: no second pass
-    return match(gs, ps, cases, _rows_from(gs), _rows_from(ps))
+        scores = match(gs, ps, cases, row_counts(gold, case), row_counts(pred, case))
+    else:
+        gs, ps = strict_signatures(gold, case, pos, gcols), strict_signatures(pred, case, pos, pcols)
+        # the strict signature already counts every row of the case: no second pass
+        scores = match(gs, ps, cases, _rows_from(gs), _rows_from(ps))
+    if not exact:
+        return scores
+    scores = scores.checkpoint(eager=True)
+    passed = gs.select("case_id").distinct().join(scores.where("score = 1.0"), "case_id", "left_semi")  # both empty: nothing to prove
+    of_passed = lambda df: df.join(passed.select(F.col("case_id").alias(case)), case, "left_semi")
+    proof = proven(of_passed(gold), of_passed(pred), gcols, pcols, case, pos, relaxed_mode).withColumn("proven", F.lit(True))
+    failed = passed.join(proof, "case_id", "left_anti").withColumn("failed", F.lit(True))
+    return scores.join(failed, "case_id", "left").select("case_id", F.when(F.col("failed"), F.lit(0.0)).otherwise(F.col("score")).alias("score"))
 
 
 def _rows_from(sigs: DataFrame) -> DataFrame:

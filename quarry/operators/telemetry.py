@@ -169,11 +169,15 @@ def run_record(runs: DataFrame) -> DataFrame:
 
 
 def first_query_per_run(spans: DataFrame) -> DataFrame:
-    """The first executed query (spark span) of each run, as an algebraic min."""
-    first = F.min(F.struct("start", "span_id", "end"))
-    return (spans.where(F.col("type") == "spark").groupBy("run_id").agg(first.alias("f"))
-            .select("run_id", F.col("f.span_id").alias("span_id"), F.col("f.start").alias("start"),
-                    (F.col("f.end") - F.col("f.start")).alias("duration")))
+    """The first executed statement (spark span) of each run, as an algebraic min: its text, result, error and time.
+
+    Spans without ``input``, ``output`` or ``error`` give nulls.  A statement that failed has no result.
+    """
+    of = lambda c: (F.col(c) if c in spans.columns else F.lit(None).cast("string")).alias(c)
+    first = F.min(F.struct("start", "span_id", "end", of("input"), of("output"), of("error")))
+    return (spans.where((F.col("type") == "spark") & F.col("start").isNotNull()).groupBy("run_id").agg(first.alias("f"))
+            .select("run_id", F.col("f.span_id").alias("span_id"), F.col("f.start").alias("start"), (F.col("f.end") - F.col("f.start")).alias("duration"),
+                    F.col("f.input").alias("query"), F.when(F.col("f.error").isNull(), F.col("f.output")).alias("result"), F.col("f.error").alias("error")))
 
 
 def run_trace(spans: DataFrame, bucket_us: int | None = I.DEFAULT_BUCKET_US) -> DataFrame:

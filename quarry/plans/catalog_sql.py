@@ -40,6 +40,7 @@ SQL = {
     "sql_run_all": "SELECT r.r_name, count(*) AS n_nations FROM region r JOIN nation n "
                    "ON r.r_regionkey = n.n_regionkey GROUP BY r.r_name",
 }
+SQL_SAME_NAMES = "SELECT o_orderkey AS k, o_custkey AS k FROM orders"
 SQL_UNKNOWN = "SELECT no_such_column FROM no_such_table"
 SQL_ONE = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey"
 
@@ -61,9 +62,15 @@ def q_rows_as_strings(spark, sf_dir):
     return C.rows_as_strings(C.run_sql(spark, SQL["sql_join_on"]))
 
 
+def q_rows_same_names(spark, sf_dir):
+    """A result with two columns of one name keeps both, by position."""
+    register_tables(spark, sf_dir)
+    return C.rows_as_strings(C.run_sql(spark, SQL_SAME_NAMES))
+
+
 def q_sql_timed(spark, sf_dir):
     register_tables(spark, sf_dir)
-    return C.timed(spark, SQL["sql_group_count"]).select("query", "ran", "error")
+    return C.timed(spark, SQL["sql_group_count"]).select("query", "ran", "error", "rows", "bytes", (F.col("seconds") > 0).alias("took_time"))
 
 
 def q_sql_status(spark, sf_dir):
@@ -228,6 +235,7 @@ def q_graph_node_link(spark, sf_dir):
 QUERIES = {**{k: _sql_query(v) for k, v in SQL.items()},
            "sql_run_one": q_sql_run_one,
            "rows_as_strings": q_rows_as_strings,
+           "rows_same_names": q_rows_same_names,
            "sql_timed": q_sql_timed,
            "sql_status": q_sql_status,
            "parse_result_text": q_parse_result_text,

@@ -82,7 +82,9 @@ SELECT qid, CASE WHEN count(*) FILTER (WHERE info IS NULL) > 0
                  ELSE string_agg(info, {q(chr(10) * 2)} ORDER BY pos) END AS info
 FROM j GROUP BY qid""",
         "sql_status": """SELECT * FROM (VALUES ('group', true, 'VALID', false), ('most', true, 'VALID', false), ('unknown', false, 'ERROR', true)) t(name, ran, status, told)""",
-        "sql_timed": "SELECT " + q(SQL["sql_group_count"]) + " AS query, true AS ran, CAST(NULL AS VARCHAR) AS error",
+        "sql_timed": "SELECT " + q(SQL["sql_group_count"]) + " AS query, true AS ran, CAST(NULL AS VARCHAR) AS error, count(*) AS rows, "
+        "sum(strlen(l_returnflag) + strlen(l_linestatus) + strlen(CAST(n AS VARCHAR)))::BIGINT AS bytes, true AS took_time FROM (" + SQL["sql_group_count"] + ")",
+        "rows_same_names": "SELECT CAST(o_orderkey AS VARCHAR) AS c0, CAST(o_custkey AS VARCHAR) AS c1 FROM orders",
         "parse_result_text": """SELECT CAST(n_nationkey AS BIGINT) AS key, CAST(1 AS BIGINT) AS n_rows, n_nationkey || '|' || n_name AS first_row FROM nation
 UNION ALL SELECT 1000 + CAST(r_regionkey AS BIGINT), CAST(1 AS BIGINT), r_name FROM region""",
         "run_log_source": RECORD,

@@ -8,7 +8,6 @@ from .oracle_workload import q
 
 
 NULL_WORDS = ["none", "null", "nan", "na", "n/a"]
-SALT = "s2|"
 INTEGER = "^[+-]?[0-9]+$"
 NUMBER = "^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"
 SPACES_AT_ENDS = "^[\\s\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{2000}-\\x{200A}]+|[\\s\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{2000}-\\x{200A}]+$"
@@ -41,8 +40,8 @@ def canon_int_sql(c: str) -> str:
     return f"(CASE WHEN {c} IS NULL THEN '__NULL__' ELSE CAST({c} AS VARCHAR) END)"
 
 
-def h60_sql(x: str) -> str:
-    return f"CAST(('0x' || substr(md5({x}), 1, 15)) AS BIGINT)"
+def h60_sql(x: str, at: int = 1) -> str:
+    return f"CAST(('0x' || substr(md5({x}), {at}, 15)) AS BIGINT)"
 
 
 CASES_CTE = f"""
@@ -74,17 +73,17 @@ pcells AS (SELECT case_id, pos, 0 AS col_idx, {canon_text_sql('p0')} AS value FR
            UNION ALL SELECT case_id, pos, 3, {canon_text_sql('p3')} FROM pred),
 gsig AS (SELECT case_id, col_idx, count(*) AS n,
                 bit_xor({h60_sql("CAST(pos AS VARCHAR) || '|' || value")}) AS h1,
-                bit_xor({h60_sql(q(SALT) + " || CAST(pos AS VARCHAR) || '|' || value")}) AS h2
+                bit_xor({h60_sql("CAST(pos AS VARCHAR) || '|' || value", 18)}) AS h2
          FROM gcells GROUP BY case_id, col_idx),
 psig AS (SELECT case_id, col_idx, count(*) AS n,
                 bit_xor({h60_sql("CAST(pos AS VARCHAR) || '|' || value")}) AS h1,
-                bit_xor({h60_sql(q(SALT) + " || CAST(pos AS VARCHAR) || '|' || value")}) AS h2
+                bit_xor({h60_sql("CAST(pos AS VARCHAR) || '|' || value", 18)}) AS h2
          FROM pcells GROUP BY case_id, col_idx),
 grel AS (SELECT case_id, col_idx, count(*) AS n, bit_xor({h60_sql('value')}) AS h1,
-                bit_xor({h60_sql(q(SALT) + ' || value')}) AS h2
+                bit_xor({h60_sql('value', 18)}) AS h2
          FROM (SELECT DISTINCT case_id, col_idx, lower(value) AS value FROM gcells) GROUP BY case_id, col_idx),
 prel AS (SELECT case_id, col_idx, count(*) AS n, bit_xor({h60_sql('value')}) AS h1,
-                bit_xor({h60_sql(q(SALT) + ' || value')}) AS h2
+                bit_xor({h60_sql('value', 18)}) AS h2
          FROM (SELECT DISTINCT case_id, col_idx, lower(value) AS value FROM pcells) GROUP BY case_id, col_idx),
 grows AS (SELECT case_id, count(*) AS rows FROM gold GROUP BY case_id),
 prows AS (SELECT case_id, count(*) AS rows FROM pred GROUP BY case_id)"""
@@ -104,6 +103,13 @@ LEFT JOIN (SELECT g.case_id, bool_and(coalesce(p.p_cnt, 0) >= g.g_cnt) AS all_fo
            GROUP BY g.case_id) ok ON ok.case_id = c.case_id"""
 
 
+EMPTY_RULES = f"""
+SELECT f.case_id, CASE WHEN g AND p THEN 1.0::DOUBLE WHEN g OR p THEN 0.0::DOUBLE ELSE f.score END AS score
+FROM (SELECT c.case_id, f.score, c.case_id % 4 < 2 OR gr.rows IS NULL AS g, c.case_id % 2 = 0 OR pr.rows IS NULL AS p
+      FROM cases c JOIN ({_score_sql('gsig', 'psig')}) f ON f.case_id = c.case_id
+      LEFT JOIN grows gr ON gr.case_id = c.case_id LEFT JOIN prows pr ON pr.case_id = c.case_id) f"""
+
+
 def oracle() -> dict[str, str]:
     w = "WITH " + CASES_CTE.strip("\n")
     canon_src = """
@@ -114,6 +120,9 @@ s AS (SELECT l_orderkey, l_linenumber, l_quantity, l_tax, l_partkey, l_returnfla
              CAST(l_quantity AS VARCHAR) || 'e2' AS sci_txt
       FROM lineitem)"""
     return {
+        "accuracy_empty_rules": w + EMPTY_RULES,
+        "execution_accuracy_exact": w + _score_sql("gsig", "psig"),
+        "execution_accuracy_relaxed_exact": w + _score_sql("grel", "prel"),
         "canonical_value": "WITH " + canon_src.strip("\n") + f"""
 SELECT l_orderkey, l_linenumber, {canon_double_sql('l_quantity')} AS quantity, {canon_double_sql('l_tax')} AS tax,
        {canon_int_sql('l_partkey')} AS partkey, {canon_text_sql('padded_key')} AS padded_key,

@@ -293,10 +293,10 @@ FROM runs""",
         "run_trace": w + """
 SELECT run_id, count(*) OVER (PARTITION BY run_id ORDER BY start, span_id ROWS UNBOUNDED PRECEDING) AS step_no,
        span_id, type, name FROM spans""",
-        "first_query_per_run": w + f"""
-SELECT run_id, span_id, {_s('start')} AS start, {_s('"end" - start')} AS duration FROM (
-  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY start, span_id, "end") AS rn
-  FROM spans WHERE type = 'spark') WHERE rn = 1""",
+        "first_query_per_run": w + "," + agent_cte() + f"""
+SELECT 'q-' || query_id AS run_id, span_id, {_s('start')} AS start, {_s('"end" - start')} AS duration, input AS query,
+  CASE WHEN error IS NULL THEN output END AS result, error FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY start, span_id) AS rn FROM ev WHERE type = 'spark') WHERE rn = 1""",
         "run_status": wr + """
 SELECT query_id, CASE WHEN spark_error IS NOT NULL THEN 'ERROR' WHEN sparksql_query IS NOT NULL THEN 'VALID'
                       ELSE 'NOT_EXECUTED' END AS execution_status FROM runs""",

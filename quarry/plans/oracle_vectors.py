@@ -56,6 +56,13 @@ SELECT item_id, bucket, weight FROM (
 WHERE weight > 0""",
         "knn_top_k": f"""
 SELECT qid AS query_id, rank, cid AS neighbor_id, round(dist, 6) AS distance FROM ({_knn_sql(emb, K)})""",
+        "knn_ivf_recall": f"""
+SELECT (sum(least({K}, (SELECT count(*) - 1 FROM embeddings))))::BIGINT AS n_exact, true AS recall_reached FROM embeddings WHERE vec_id % 50 = 0""",
+        "knn_small_corpus": """
+WITH x AS (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+c AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM x GROUP BY label, i)
+SELECT a.label, b.label AS neighbor, round(sum((a.m - b.m) * (a.m - b.m)), 6) AS distance
+FROM c a JOIN c b ON a.i = b.i AND a.label <> b.label GROUP BY a.label, b.label""",
         "knn_best_distance": f"""
 SELECT e.vec_id AS query_id, round(coalesce(min(h.dist), 'inf'::DOUBLE), 6) AS best_distance
 FROM embeddings e LEFT JOIN ({_knn_sql(emb, K)}) h ON h.qid = e.vec_id GROUP BY e.vec_id""",

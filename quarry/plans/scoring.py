@@ -64,9 +64,9 @@ def q_column_signature_relaxed(spark, sf_dir):
     return _sigs(spark, sf_dir, True)
 
 
-def _accuracy(spark, sf_dir, relaxed_mode):
+def _accuracy(spark, sf_dir, relaxed_mode, exact=False):
     cases, gold, pred = A.result_cases(spark, sf_dir)
-    return S.execution_accuracy(gold, pred, cases, relaxed_mode=relaxed_mode)
+    return S.execution_accuracy(gold, pred, cases, relaxed_mode=relaxed_mode, exact=exact)
 
 
 def q_execution_accuracy(spark, sf_dir):
@@ -77,6 +77,20 @@ def q_execution_accuracy_relaxed(spark, sf_dir):
     return _accuracy(spark, sf_dir, True)
 
 
+def q_execution_accuracy_exact(spark, sf_dir):
+    return _accuracy(spark, sf_dir, False, exact=True)
+
+
+def q_execution_accuracy_relaxed_exact(spark, sf_dir):
+    return _accuracy(spark, sf_dir, True, exact=True)
+
+
+def q_accuracy_empty_rules(spark, sf_dir):
+    """Of every four cases one has rows on both sides, one on none, and one on either."""
+    cases, gold, pred = A.result_cases(spark, sf_dir)
+    return S.execution_accuracy(gold.where("case_id % 4 >= 2"), pred.where("case_id % 2 = 1"), cases)
+
+
 def q_accuracy_per_run(spark, sf_dir):
     cases, gold, pred = A.result_cases(spark, sf_dir)
     scores = S.execution_accuracy(gold, pred, cases)
@@ -91,5 +105,8 @@ QUERIES = {
     "column_signature_relaxed": q_column_signature_relaxed,
     "execution_accuracy": q_execution_accuracy,
     "execution_accuracy_relaxed": q_execution_accuracy_relaxed,
+    "execution_accuracy_exact": q_execution_accuracy_exact,
+    "execution_accuracy_relaxed_exact": q_execution_accuracy_relaxed_exact,
+    "accuracy_empty_rules": q_accuracy_empty_rules,
     "accuracy_per_run": q_accuracy_per_run,
 }

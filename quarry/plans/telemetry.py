@@ -176,9 +176,9 @@ def q_run_trace(spark, sf_dir):
 
 
 def q_first_query_per_run(spark, sf_dir):
-    f = T.first_query_per_run(A.spans(spark, sf_dir))
+    f = T.first_query_per_run(A.agent_events(spark, sf_dir))
     return f.select("run_id", "span_id", _s(F.col("start")).alias("start"),
-                    _s(F.col("duration")).alias("duration"))
+                    _s(F.col("duration")).alias("duration"), "query", "result", "error")
 
 
 def q_run_status(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import texts as TX
+from ..operators import ann
 from ..operators import vectors as V
 from ..sources import adapters as A
 from ..sources.tables import table
@@ -35,6 +36,36 @@ def q_knn_top_k(spark, sf_dir):
                     F.round("dist", 6).alias("distance"))
 
 
+def _every_50th(e):
+    """The stated query set of searches: the rows whose id is divisible by 50, against all rows."""
+    return e.where("qid % 50 = 0").select("qid", "vec")
+
+
+def q_knn_ivf(spark, sf_dir):
+    """V2: approximate neighbours of every 50th embedding among all of them."""
+    e = _embeddings(spark, sf_dir)
+    index = ann.build_index(e.select(F.col("qid").alias("cid"), "vec"), K)
+    h = ann.search(index, _every_50th(e), K)
+    return h.select(F.col("qid").alias("query_id"), "rank", F.col("cid").alias("neighbor_id"), F.round("dist", 6).alias("distance"))
+
+
+def q_knn_ivf_recall(spark, sf_dir):
+    """V2: whether the approximate search finds at least 0.9 of the exact neighbours."""
+    e = _embeddings(spark, sf_dir)
+    corpus = e.select(F.col("qid").alias("cid"), "vec")
+    found = ann.search(ann.build_index(corpus, K), _every_50th(e), K)
+    r = ann.recall(found, V.knn(_every_50th(e), corpus, K))
+    return r.select("n_exact", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
+def q_knn_small_corpus(spark, sf_dir):
+    """V4: more neighbours asked for than there are rows: each label's centroid among the others."""
+    comp = _embeddings(spark, sf_dir).select("label", F.posexplode("vec").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    c = comp.groupBy(F.col("label").alias("qid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vec"))
+    h = V.knn(c, c.withColumnRenamed("qid", "cid"), k=1000)
+    return h.select(F.col("qid").alias("label"), F.col("cid").alias("neighbor"), F.round("dist", 6).alias("distance"))
+
+
 def q_knn_best_distance(spark, sf_dir):
     e = _embeddings(spark, sf_dir)
     b = V.best_distance(e, _knn_embeddings(spark, sf_dir))
@@ -84,6 +115,9 @@ def q_ctx_baseline(spark, sf_dir):
 QUERIES = {
     "hash_embed": q_hash_embed,
     "knn_top_k": q_knn_top_k,
+    "knn_ivf": q_knn_ivf,
+    "knn_ivf_recall": q_knn_ivf_recall,
+    "knn_small_corpus": q_knn_small_corpus,
     "knn_best_distance": q_knn_best_distance,
     "cosine_similarity": q_cosine_similarity,
     "ctx_vector": q_ctx_vector,

@@ -118,3 +118,28 @@ def test_large_whole_numbers_and_spaces(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(canonical(F.col("t"), T.StringType())).collect()]
     assert got == [str(int(1e23)), str(int(1e37)), "12345678901234567168", "7", "x", NULL_TOKEN, "2.50", "inf", "9007199254740994"]
+
+
+def _result(spark, rows, cols):
+    return spark.createDataFrame([("c", k, *r) for k, r in enumerate(rows)], "case_id string, pos long, " + ", ".join(f"{c} string" for c in cols))
+
+
+def test_exact_mode_equals_signatures_on_the_reference_rules(spark):
+    cases = spark.createDataFrame([("c",)], "case_id string")
+    rows = [("1", "x"), ("2", "y"), ("2", "y")]
+    swapped, more = [(b, a) for a, b in rows], [(b, a, "z") for a, b in rows]
+    twice = [(a, a) for a, _ in rows]
+    for gold, pred, strict, relaxed in ((rows, swapped, 1, 1), (rows, more, 1, 1), (rows, rows[::-1], 0, 1), (rows, rows[:2], 0, 1), (rows, twice, 0, 0), (twice, rows, 0, 0),
+                                        (twice, twice, 1, 1), ([], [], 1, 1), (rows, [], 0, 0), ([("A", "b")], [("B", "a")], 0, 1)):
+        g, p = _result(spark, gold, "gh"), _result(spark, pred, "pqr"[:len(pred[0]) if pred else 2])
+        for mode, want in ((False, strict), (True, relaxed)):
+            assert S.execution_accuracy(g, p, cases, relaxed_mode=mode, exact=True).first().score == want, (gold, pred, mode)
+
+
+def test_forced_hash_clash_is_scored_zero_in_exact_mode(spark, monkeypatch):
+    cases = spark.createDataFrame([("c",)], "case_id string")
+    g, p = _result(spark, [("1", "x"), ("2", "y")], "gh"), _result(spark, [("1", "x"), ("2", "other")], "pq")
+    monkeypatch.setattr(S, "halves", lambda s: [F.lit(5).cast("bigint") + F.length(s) * 0, F.lit(7).cast("bigint") + F.length(s) * 0])
+    for mode in (False, True):
+        assert S.execution_accuracy(g, p, cases, relaxed_mode=mode).first().score == 1.0
+        assert S.execution_accuracy(g, p, cases, relaxed_mode=mode, exact=True).first().score == 0.0

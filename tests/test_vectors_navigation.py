@@ -95,3 +95,46 @@ def test_paths_match_dfs(spark):
         got.setdefault((r["src"], r["dst"]), set()).add(tuple(r["path"]))
     for s, t in itertools.permutations(nodes, 2):
         assert got.get((s, t), set()) == set(dfs_paths(pairs, s, t)), (s, t)
+
+
+def _brute(X, asked, k):
+    out = {}
+    for i in asked:
+        d = np.round(((X - X[i]) ** 2).sum(1), 9)
+        out[i] = [int(j) for j in np.lexsort((np.arange(len(X)), d)) if j != i][:k]
+    return out
+
+
+def test_approximate_search_reaches_its_recall(spark):
+    from quarry.operators import ann
+    rnd = np.random.default_rng(2)
+    X = np.concatenate([c + 0.4 * rnd.normal(size=(150, 16)) for c in rnd.normal(size=(20, 16))])
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(X)], "qid long, vec array<double>")
+    index = ann.build_index(df.withColumnRenamed("qid", "cid"), 5)
+    assert len(index.centers) == 54 and index.n_probes < 54
+    asked = df.where("qid % 50 = 0")
+    found = ann.search(index, asked, 5)
+    want = _brute(X, range(0, len(X), 50), 5)
+    exact = spark.createDataFrame([(q, c) for q, cs in want.items() for c in cs], "qid long, cid long")
+    r = ann.recall(found, exact).first()
+    assert r.n_exact == 300 and r.recall >= 0.9
+    for row in found.where("rank = 1").collect():  # distances are exact
+        assert abs(row.dist - ((X[row.qid] - X[row.cid]) ** 2).sum()) < 1e-9
+
+
+def test_approximate_search_with_a_hot_cell_and_odd_rows(spark):
+    from quarry.operators import ann
+    rnd = np.random.default_rng(3)
+    X = np.concatenate([np.ones((120, 3)), rnd.normal(size=(80, 3)) * 9])
+    rows = [(f"r{i:03d}", [float(v) for v in x]) for i, x in enumerate(X)] + [("none", None)]
+    df = spark.createDataFrame(rows, "qid string, vec array<double>")
+    index = ann.build_index(df.withColumnRenamed("qid", "cid"), 3, n_cells=6, target=1.0, block_rows=16)
+    assert index.blocks.max() >= 8  # the cell of the copies is dealt out
+    got = {}
+    for r in ann.search(index, df, 3).collect():
+        got.setdefault(int(r.qid[1:]), []).append((r["rank"], int(r.cid[1:])))
+    want = _brute(X, range(len(X)), 3)
+    assert sum(c in want[q] for q, cs in got.items() for _, c in cs) >= 0.97 * 600
+    assert {q: [c for _, c in sorted(got[q])] for q in range(120)} == {q: want[q] for q in range(120)}
+    assert ann.build_index(df.where("vec IS NULL").withColumnRenamed("qid", "cid"), 3) is None
+    assert ann.search(None, df, 3).count() == 0
