@@ -29,17 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_rows import list_column
+from .arrow_rows import list_column, slices
 from .common import col_of, discard, stored
 from .shingles import mixed, powers
 
 WIDTH = 50
 GRAM = 24
-PIECE_BYTES = 2 << 20
-SEND_BYTES = 32 << 20
+PIECE_BYTES = 512 << 10
+SEND_BYTES = 8 << 20
 GROUP_BYTES = 2 << 20
 _VALUE = np.random.default_rng(0xB17E5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PACKED = "kind int, bucket int, data binary"
+CUT = "id long, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept binary"
 DONE, OPEN = 1, 0  # kinds of records: decided, or to be compared within their bucket
 
 
@@ -170,18 +171,21 @@ def _pointers(rows: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         hs, ds, size = [], [], 0
-        for batch in batches:
-            texts = ((i, 0, t) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()) if t)
+        for part in (p for batch in batches for p in slices(batch, "text", PIECE_BYTES)):
+            texts = ((i.as_py(), 0, t) for i, t in zip(part.column("id"), (v.as_py() for v in part.column("text"))) if t)
             for block, docs, _ in _blocks(texts):
                 lo, _, h = block.runs()
                 hs.append(h)
                 ds.append(docs[np.searchsorted(block.starts, lo, "right") - 1])
                 size += block.n
                 if size >= SEND_BYTES:
-                    yield from _table(list(send(np.concatenate(hs), np.concatenate(ds)))).to_batches()
+                    yield from sent(hs, ds)
                     hs, ds, size = [], [], 0
         if hs:
-            yield from _table(list(send(np.concatenate(hs), np.concatenate(ds)))).to_batches()
+            yield from sent(hs, ds)
+
+    def sent(hs, ds):
+        return _table(list(send(np.concatenate(hs), np.concatenate(ds)))).to_batches()
 
     return rows.mapInArrow(run, PACKED)
 
@@ -207,15 +211,15 @@ def _in_two_documents(n: int):
 def _grouped_texts(rows: DataFrame, n: int) -> DataFrame:
     """bucket, data: the rows of each bucket of documents as compressed Arrow streams, which move in half the bytes of single rows."""
     def run(batches):
-        for batch in batches:
-            to = np.asarray(batch.column("id").fill_null(0)) % n
+        for batch in (p for whole in batches for p in slices(whole, "text", SEND_BYTES)):
+            to = np.asarray(batch.column("id")) % n
             order = np.argsort(to, kind="stable")
             cuts = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
-            sorted_rows, buckets, data = batch.take(pa.array(order)), [], []
+            buckets, data = [], []
             for a, b in zip(cuts[:-1], cuts[1:]):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(sorted_rows.slice(a, b - a))
+                    out.write_batch(batch.take(pa.array(order[a:b])))
                 buckets.append(int(to[order[a]]))
                 data.append(sink.getvalue().to_pybytes())
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
@@ -231,7 +235,7 @@ def _rows_of(left: pa.Table) -> tuple[list, list]:
 
 def _texts_of(ids: list, texts: list):
     """(id, base offset, bytes) of a group of documents; different texts of one id follow each other in a fixed order."""
-    found = sorted({(i, t) for i, t in zip(ids, texts) if i is not None and t})
+    found = sorted({(i, t) for i, t in zip(ids, texts) if t})
     base = 0
     for k, (i, t) in enumerate(found):
         base = base if k and found[k - 1][0] == i else 0
@@ -356,10 +360,11 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     document of a smaller id; strings never cross texts and are judged on the
     input.  Null or empty text: no bytes.  Repeated rows and rows of one id are
     never smaller than each other; each keeps what its own text is left with.  A null
-    id takes no part and keeps its text.  Other input columns are ignored.  Empty
+    id takes no part and keeps its text: such rows are never dealt out.  Other input columns are ignored.  Empty
     table: no rows.
     """
-    rows = docs.select(col_of(docs, id_col).cast("long").alias("id"), col_of(docs, text_col).cast("binary").alias("text"))
+    every = docs.select(col_of(docs, id_col).cast("long").alias("id"), col_of(docs, text_col).cast("binary").alias("text"))
+    rows = every.where("id IS NOT NULL")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = prime_from(total // GROUP_BYTES + 1)
     dealt = _grouped_texts(rows, n)
@@ -370,7 +375,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def with_texts(others: DataFrame, step, schema: str) -> DataFrame:
         return dealt.groupBy("bucket").cogroup(others.groupBy("bucket")).applyInArrow(step, schema)
 
-    candidates = stored(grouped(_pointers(rows.where("id IS NOT NULL"), n), _in_two_documents(n)), "pointers")
+    candidates = stored(grouped(_pointers(rows, n), _in_two_documents(n)), "pointers")
     runs = stored(grouped(with_texts(candidates, _whole_runs(n), PACKED), _refined(n)), "runs")
     discard(candidates)
 
@@ -385,4 +390,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     strings = stored(grouped(with_texts(open_runs, _single_strings(n), PACKED), _refined(n)).where(F.col("kind") == DONE), "strings")
     discard(open_runs)
     repeats = runs.where(F.col("kind") == DONE).unionByName(strings)
-    return with_texts(repeats, _cut, "id long, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept binary")
+    cut = with_texts(repeats, _cut, CUT)
+    whole, none, no_runs = F.coalesce("text", F.lit(b"")), F.lit(0).cast("long"), F.array().cast("array<long>")
+    alone = every.where("id IS NULL").select("id", F.length(whole).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"),
+                                             no_runs.alias("starts"), no_runs.alias("ends"), whole.alias("kept"))
+    return cut.unionByName(alone)

@@ -82,3 +82,25 @@ def test_op10_on_documents(spark):
     sf = "/root/testdata/sf0.001"
     want = brute([(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()])
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op10_repeated_bytes(spark, sf).collect()} == want
+
+
+def test_a_third_without_ids_is_not_dealt(spark):
+    """Rows without id keep their text, take no part, and reach no group."""
+    shared = "a passage of well over fifty bytes that several documents hold, word for word"
+    texts = [shared + f" and {k}" for k in range(30)]
+    df = docs(spark, texts, [None if k % 3 == 0 else k for k in range(30)])
+    got = repeated_bytes.cut_repeats(df).collect()
+    nulls = [r for r in got if r.id is None]
+    assert len(got) == 30 and sorted(bytes(r.kept) for r in nulls) == sorted(t.encode() for t in texts[::3])
+    assert all((r.n_removed, r.n_spans, r.starts, r.ends) == (0, 0, [], []) for r in nulls)
+    assert {r.id for r in got if r.id is not None and not r.n_removed} == {1}
+    only = repeated_bytes.cut_repeats(docs(spark, ["x" * 90, None, ""], [None, None, None])).collect()
+    assert sorted((r.n_bytes, r.n_removed) for r in only) == [(0, 0), (0, 0), (90, 0)]
+
+
+def test_long_text_in_many_pieces(spark):
+    rng = random.Random(12)
+    long = "".join(rng.choice("abcdefgh \n") for _ in range(2_500_000))
+    rows = [(1, long), (2, long[1_000_000:1_700_000] + "Z" * 60), (3, "q" * 40)]
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeated_bytes.cut_repeats(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect()}
+    assert got == {1: (2_500_000, 0, 0), 2: (700_060, 700_000, 1), 3: (40, 0, 0)}
