@@ -1,15 +1,16 @@
 """Graph navigation (N1-N17) over the workload graph, as DataFrames.
 
-The graph has a node per name that the log uses as a table; its edge list and
-the simple paths of at most three edges are joined without hints, so Spark
-broadcasts them only where they are small.  Per-question work is a join of the question's table
-pairs with those paths and a ranked pick; the greedy connection of hybrid
-navigation is a loop of at most (tables - 1) rounds of joins over all
-questions at once.
+The graph has a node per name that the log uses as a table; its edge list is joined without hints, so Spark
+broadcasts it only where it is small.  Paths are searched between the pairs that somebody asked for
+(``paths_between``), from both ends, and never over the whole graph; ``paths`` lists them all for graphs of a
+catalog's size.  The greedy connection of hybrid navigation is a delta iteration over all questions at once:
+a round looks only at what the last one connected, and finished questions leave.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +57,39 @@ def paths(edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
                             "hist_score": F.col("nsum") / F.col("hops")})
 
 
+def paths_between(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+    """N3 for asked pairs (src, dst) only: the rows of ``paths`` between them, each pair once; at most three edges.
+
+    One edge: a look-up.  Two: the neighbours of the end with fewer of them, looked up at the other.  Three: the neighbours of
+    both ends, met in the middle.  Every edge of the graph is followed only from its end of lower degree, so a
+    hub in the middle is reached, but never expanded.  Pairs of a node with itself, or with nulls, have no path.
+    """
+    if max_hops > 3:
+        raise ValueError("paths_between searches paths of at most three edges")
+    e = weight_norm(edges).select("src", "dst", F.col("weight").cast("long").alias("w"), F.col("norm").alias("n")).checkpoint(eager=True)
+    degree = e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    named = lambda df, *to: df.toDF(*to)
+    asked = pairs.select("src", "dst").where("src <> dst").distinct()
+    asked = asked.join(named(degree, "src", "ds"), "src").join(named(degree, "dst", "dd"), "dst").select("src", "dst", "ds", "dd").checkpoint(eager=True)
+    row = lambda path, hops, w, n: ["src", "dst", path.alias("path"), F.lit(hops).alias("hops"), w.alias("wsum"), n.alias("nsum")]
+    out = asked.join(e, ["src", "dst"]).select(*row(F.array("src", "dst"), 1, F.col("w"), F.col("n")))
+    if max_hops > 1:
+        from_src = asked.where("ds <= dd").join(named(e, "src", "a", "w1", "n1"), "src").where("a <> dst").join(named(e, "a", "dst", "w2", "n2"), ["a", "dst"])
+        from_dst = asked.where("ds > dd").join(named(e, "dst", "a", "w2", "n2"), "dst").where("a <> src").join(named(e, "a", "src", "w1", "n1"), ["a", "src"])
+        two = lambda df: df.select(*row(F.array("src", "a", "dst"), 2, F.col("w1") + F.col("w2"), F.col("n1") + F.col("n2")))
+        out = out.unionByName(two(from_src)).unionByName(two(from_dst))
+    if max_hops > 2:
+        ranked = e.join(named(degree, "src", "d1"), "src").join(named(degree, "dst", "d2"), "dst")
+        up = ranked.where("d1 < d2 OR (d1 = d2 AND src < dst)").select("src", "dst", "w", "n")
+        left = asked.select("src", "dst").join(named(e, "src", "a", "w1", "n1"), "src").where("a <> dst")
+        right = asked.select("src", "dst").join(named(e, "dst", "b", "w3", "n3"), "dst").where("b <> src")
+        left_up = left.join(named(up, "a", "b", "w2", "n2"), "a").join(right, ["src", "dst", "b"])
+        right_up = right.join(named(up, "b", "a", "w2", "n2"), "b").join(left, ["src", "dst", "a"])
+        three = lambda df: df.select(*row(F.array("src", "a", "b", "dst"), 3, F.col("w1") + F.col("w2") + F.col("w3"), F.col("n1") + F.col("n2") + F.col("n3")))
+        out = out.unionByName(three(left_up)).unionByName(three(right_up))
+    return out.withColumns({"path_key": F.array_join("path", ">"), "hist_score": F.col("nsum") / F.col("hops")})
+
+
 def best_paths(p: DataFrame) -> DataFrame:
     """N4 (v1): per (src, dst) the path with the largest weight sum; then fewer hops, path."""
     w = Window.partitionBy("src", "dst").orderBy(F.desc("wsum"), "hops", "path_key")
@@ -154,70 +188,72 @@ def hybrid_score(hist: Column, sem: Column, hops: Column) -> Column:
     return (F.lit(ALPHA) * hist + F.lit(1 - ALPHA) * sem) * F.pow(F.lit(LENGTH_DECAY), hops - 1)
 
 
-def scored_paths(questions: DataFrame, p: DataFrame, pairs: DataFrame) -> DataFrame:
-    """N7-N9 for the candidate (question, path) rows of ``pairs`` (qid, src, dst).
+def path_similarity(vec: Column, path: Column) -> Column:
+    """Cosine of a question's vector and the hashed token counts of a path's node names, from the few buckets that the path has.
 
-    Only paths between requested pairs are embedded, each once, as is every
-    question; the cosine is computed per candidate row.
+    The path's squared norm is the sum, over its tokens, of how many of them fall in the same bucket.
     """
-    asked = p.join(pairs.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
-    pv = V.with_hash_embedding(asked.withColumn("path_text", F.array_join("path", " ")), "path_text", "pvec")
-    cand = pairs.join(pv, ["src", "dst"])
+    buckets = V.token_buckets(F.array_join(path, " "))
+    number = F.lit(0.0)
+    dot = F.aggregate(buckets, number, lambda s, b: s + F.get(vec, b))
+    q2 = F.aggregate(vec, number, lambda s, x: s + x * x)
+    p2 = F.aggregate(buckets, number, lambda s, b: s + F.size(F.filter(buckets, lambda o: o == b)))
+    return F.when(vec.isNull() | (F.size(vec) == 0), F.lit(0.0)).otherwise(F.try_divide(dot, F.sqrt(q2) * F.sqrt(p2)))
+
+
+def scored_paths(questions: DataFrame, p: DataFrame, pairs: DataFrame) -> DataFrame:
+    """N7-N9 for the candidate (question, path) rows of ``pairs`` (qid, src, dst)."""
     q = questions.select("qid", F.col("vec").alias("qvec"))
-    return (cand.join(q, "qid")
-            .withColumn("sem_score", V.cosine(F.col("qvec"), F.col("pvec")))
+    return (pairs.join(p, ["src", "dst"]).join(q, "qid")
+            .withColumn("sem_score", path_similarity(F.col("qvec"), F.col("path")))
             .withColumn("total", hybrid_score(F.col("hist_score"), F.col("sem_score"), F.col("hops")))
-            .drop("qvec", "pvec"))
+            .drop("qvec"))
 
 
-def greedy_connect(questions: DataFrame, valid: DataFrame, p: DataFrame, max_rounds: int) -> DataFrame:
+def greedy_connect(questions: DataFrame, valid: DataFrame, p: DataFrame | Callable[[DataFrame], DataFrame], max_rounds: int | None = None) -> DataFrame:
     """Grow a connected set from the first table by the best-scored path per round.
 
-    State per question: connected and pending arrays.  Each round joins all
-    questions' (connected x pending) candidates to the scored paths, keeps the
-    best per question (total desc, hops, path) and absorbs its nodes.  A
-    question without any candidate stops and adds its pending tables (v2).
-    Lineage is cut with a reliable checkpoint every round.
-    Returns (qid, round, path_key, path) rows for the chosen paths and
+    ``p``: paths, or a function that finds them for pairs (src, dst), as ``paths_between`` does.
+    A delta iteration: a round takes the nodes that the last one connected (the frontier), finds the
+    paths from them to pending tables that were not searched before, and scores each (question, path) once; scored candidates
+    stay until their table is connected.  The best per question (total desc, hops, path) is absorbed.  A question without
+    candidate stops and adds its pending tables (v2); finished questions leave the state.  Every round's tables are
+    checkpointed.  ``max_rounds`` None: until no question is left.
+    Returns (qid, round, path_key, path, total) rows for the chosen paths and
     (qid, round, fallback) rows for pending tables added without a path.
     """
-    first = Window.partitionBy("qid").orderBy("table_pos")
-    ordered = valid.withColumn("rn", F.row_number().over(first))
-    state = ordered.groupBy("qid").agg(
-        F.array_sort(F.collect_list(F.struct("rn", "table"))).alias("_t")).select(
-        "qid", F.array(F.col("_t")[0]["table"]).alias("connected"),
-        F.transform(F.slice("_t", F.lit(2), F.size("_t")), lambda x: x["table"]).alias("pending"),
-        F.lit(True).alias("active"))
-    picks = None
     spark = questions.sparkSession
-    for rnd in range(1, max_rounds + 1):
-        live = state.where(F.col("active") & (F.size("pending") > 0))
-        cand = live.select("qid", F.explode("connected").alias("src"), "pending").select(
-            "qid", "src", F.explode("pending").alias("dst"))
-        sc = scored_paths(questions, p, cand)
-        w = Window.partitionBy("qid").orderBy(F.desc(F.round("total", 9)), "hops", "path_key")
-        best = sc.withColumn("r", F.row_number().over(w)).where("r = 1").select(
-            "qid", "path", "path_key", "total")
-        nxt = (state.join(best, "qid", "left")
-               .select("qid",
-                       F.when(F.col("path").isNotNull(), F.array_union("connected", "path"))
-                       .otherwise(F.col("connected")).alias("connected"),
-                       F.when(F.col("path").isNotNull(), F.array_except("pending", "path"))
-                       .otherwise(F.col("pending")).alias("pending"),
-                       (F.col("active") & F.col("path").isNotNull()).alias("active"),
-                       F.col("active").alias("was_active"), "path", "path_key", "total"))
-        nxt = nxt.checkpoint(eager=True)
-        chosen = nxt.where(F.col("path").isNotNull()).select(
+    questions = questions.select("qid", "vec").checkpoint(eager=True)
+    tables = valid.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("table_pos", "table"))).alias("t"))
+    names = F.transform("t", lambda x: x["table"])
+    state = tables.select("qid", F.slice(names, 1, 1).alias("connected"), F.slice(names, F.lit(2), F.size("t")).alias("pending"))
+    state = state.withColumn("frontier", F.col("connected")).where(F.size("pending") > 0).checkpoint(eager=True)
+    kind = dict(questions.dtypes)["qid"]
+    picks = spark.createDataFrame([], f"qid {kind}, round int, path_key string, path array<string>, total double, fallback array<string>")
+    searched = found = cands = None
+    rnd = 0
+    while (max_rounds is None or rnd < max_rounds) and not state.isEmpty():
+        rnd += 1
+        new = state.select("qid", F.explode("frontier").alias("src"), "pending").select("qid", "src", F.explode("pending").alias("dst"))
+        ask = new.select("src", "dst").distinct()
+        if callable(p):
+            ask = (ask if searched is None else ask.join(searched, ["src", "dst"], "left_anti")).checkpoint(eager=True)
+            more = p(ask)
+            found = (more if found is None else found.unionByName(more)).checkpoint(eager=True)
+            searched = ask if searched is None else searched.unionByName(ask)
+        scored = scored_paths(questions, found if callable(p) else p, new).select("qid", "dst", "path", "path_key", "hops", "total")
+        if cands is not None:
+            left = cands.join(state.select("qid", "pending"), "qid").where(F.array_contains("pending", F.col("dst"))).drop("pending")
+            scored = left.unionByName(scored)
+        cands = scored.checkpoint(eager=True)
+        rank = F.coalesce(-F.round("total", 9), F.lit(float("inf")))
+        best = cands.groupBy("qid").agg(F.min(F.struct(rank.alias("rank"), "hops", "path_key", "path", "total")).alias("best"))
+        step = state.join(best, "qid", "left").select("qid", "connected", "pending", "best.path", "best.path_key", "best.total").checkpoint(eager=True)
+        got = F.col("path").isNotNull()
+        picks = picks.unionByName(step.select(
             "qid", F.lit(rnd).alias("round"), "path_key", "path", "total",
-            F.lit(None).cast("array<string>").alias("fallback"))
-        stuck = nxt.where(F.col("was_active") & F.col("path").isNull() & (F.size("pending") > 0)).select(
-            "qid", F.lit(rnd).alias("round"), F.lit(None).cast("string").alias("path_key"),
-            F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("double").alias("total"),
-            F.col("pending").alias("fallback"))
-        part = chosen.unionByName(stuck)
-        picks = part if picks is None else picks.unionByName(part)
-        state = nxt.select("qid", "connected", "pending", "active")
-    if picks is None:
-        return spark.createDataFrame([], "qid long, round int, path_key string, path array<string>, "
-                                         "total double, fallback array<string>")
+            F.when(~got, F.col("pending")).otherwise(F.lit(None).cast("array<string>")).alias("fallback")))
+        state = step.where(got).select("qid", F.array_union("connected", "path").alias("connected"), F.array_except("pending", "path").alias("pending"),
+                                       F.array_except("path", "connected").alias("frontier"))
+        state = state.where(F.size("pending") > 0).checkpoint(eager=True)
     return picks

@@ -85,8 +85,9 @@ def _item_valid(spark, sf_dir):
 
 def graph_context_v1(spark, sf_dir):
     g = workload.graph(spark, sf_dir)
-    best = N.best_paths(NV._paths(spark, sf_dir))
-    return L.v1_graph_context(_item_valid(spark, sf_dir), best, N.edge_rules(g.edges),
+    valid = _item_valid(spark, sf_dir)
+    best = NV.best_asked(spark, sf_dir, valid)
+    return L.v1_graph_context(valid, best, N.edge_rules(g.edges),
                               L.v1_node_blocks(g.columns), _items(spark, sf_dir))
 
 
@@ -112,8 +113,7 @@ def graph_context_v2(spark, sf_dir):
     items = _items(spark, sf_dir)
     valid = _item_valid(spark, sf_dir)
     qv = NV._questions(spark, sf_dir).join(items.select("qid"), "qid", "left_semi")
-    most = valid.groupBy("qid").count().agg(F.max("count")).first()[0] or 1  # one scalar
-    picks = N.greedy_connect(qv, valid, NV._paths(spark, sf_dir), max(1, most - 1))
+    picks = N.greedy_connect(qv, valid, NV.finder(spark, sf_dir))
     chosen = picks.where(F.col("path").isNotNull()).select("qid", "path")
     rules = N.join_rules(chosen, N.edge_rules(workload.graph(spark, sf_dir).edges))
     first = valid.join(valid.groupBy("qid").agg(F.min("table_pos").alias("table_pos")), ["qid", "table_pos"])

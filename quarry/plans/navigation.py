@@ -26,6 +26,18 @@ def _paths(spark, sf_dir):
     return N.paths(_graph(spark, sf_dir).edges)
 
 
+def finder(spark, sf_dir):
+    """Paths of the workload graph between asked pairs."""
+    edges = _graph(spark, sf_dir).edges
+    return lambda pairs: N.paths_between(edges, pairs)
+
+
+def best_asked(spark, sf_dir, valid):
+    """The best path of every pair of tables that some question asks for."""
+    pairs = N.table_pairs(valid).select(F.col("ta").alias("src"), F.col("tb").alias("dst"))
+    return N.best_paths(finder(spark, sf_dir)(pairs))
+
+
 def _valid(spark, sf_dir):
     m = workload.mined(spark, sf_dir)
     req = W.query_tables(m).select(F.col("query_id").alias("qid"), "table_pos", "table")
@@ -57,7 +69,7 @@ def q_graph_paths_3hop(spark, sf_dir):
 
 
 def q_graph_best_path(spark, sf_dir):
-    return N.best_paths(_paths(spark, sf_dir)).select("src", "dst", "path_key", "hops", "wsum")
+    return best_asked(spark, sf_dir, _valid(spark, sf_dir)).select("src", "dst", "path_key", "hops", "wsum")
 
 
 def q_graph_join_alternatives(spark, sf_dir):
@@ -75,7 +87,7 @@ def q_nav_pairs(spark, sf_dir):
 def nav_join_text(spark, sf_dir):
     """The v1 join section per question and its relevant tables."""
     valid = _valid(spark, sf_dir)
-    chosen = N.v1_paths(valid, N.best_paths(_paths(spark, sf_dir)))
+    chosen = N.v1_paths(valid, best_asked(spark, sf_dir, valid))
     rules = N.join_rules(chosen, N.edge_rules(_graph(spark, sf_dir).edges))
     n = valid.groupBy("qid").agg(F.count(F.lit(1)).alias("n_valid"))
     text = (F.when(F.col("n_valid") == 1, F.lit(TX.SINGLE_TABLE))
@@ -136,7 +148,7 @@ def _two_table_candidates(spark, sf_dir):
     n = valid.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
     two = valid.join(n.where("n = 2"), "qid", "left_semi")
     pairs = N.table_pairs(two).select("qid", F.col("ta").alias("src"), F.col("tb").alias("dst"))
-    return N.scored_paths(_questions(spark, sf_dir), _paths(spark, sf_dir), pairs)
+    return N.scored_paths(_questions(spark, sf_dir), finder(spark, sf_dir)(pairs), pairs)
 
 
 def q_path_hybrid_score(spark, sf_dir):
@@ -153,14 +165,23 @@ def q_nav_two_tables(spark, sf_dir):
             .select("qid", "path_key", F.round("total", 6).alias("total")))
 
 
-def q_nav_greedy_connect(spark, sf_dir):
-    valid = _valid(spark, sf_dir)
-    most = valid.groupBy("qid").count().agg(F.max("count")).first()[0] or 1  # one scalar
-    picks = N.greedy_connect(_questions(spark, sf_dir), valid, _paths(spark, sf_dir), max(1, most - 1))
+def _greedy(spark, sf_dir, valid):
+    picks = N.greedy_connect(_questions(spark, sf_dir), valid, finder(spark, sf_dir))
     return picks.select("qid", "round", "path_key", F.round("total", 6).alias("total"),
                         F.array_join("fallback", ",").alias("fallback"))
 
 
+def q_nav_greedy_connect(spark, sf_dir):
+    return _greedy(spark, sf_dir, _valid(spark, sf_dir))
+
+
+def q_nav_fallback(spark, sf_dir):
+    """Questions for two tables also ask for one that no edge reaches, which is added without a path."""
+    valid = _valid(spark, sf_dir)
+    two = valid.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), (F.max("table_pos") + 1).alias("table_pos")).where("n = 2")
+    return _greedy(spark, sf_dir, valid.unionByName(two.select("qid", "table_pos", F.lit("ghost").alias("table"))))
+
+
 QUERIES = {
     "graph_undirected": q_graph_undirected,
     "graph_weight_norm": q_graph_weight_norm,
@@ -176,4 +197,5 @@ QUERIES = {
     "path_hybrid_score": q_path_hybrid_score,
     "nav_two_tables": q_nav_two_tables,
     "nav_greedy_connect": q_nav_greedy_connect,
+    "nav_fallback": q_nav_fallback,
 }

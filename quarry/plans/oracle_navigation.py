@@ -93,8 +93,11 @@ SELECT p.id,
 FROM patterns p LEFT JOIN top t ON t.id = p.id LEFT JOIN slines s ON s.id = p.id)"""
 
 
-def greedy_cte() -> str:
-    """The greedy connection unrolled: no question of the log asks for more than three tables, so two rounds suffice."""
+def greedy_cte(ghost: bool = False) -> str:
+    """The greedy connection unrolled: no question of the log asks for more than three tables, so two rounds suffice.
+
+    ``ghost``: questions for two tables ask for a third one that is in no edge.
+    """
     def step(n: int) -> str:
         return f"""
 c{n} AS (SELECT s.qid, x.path, x.path_key, x.hops, x.hist_score FROM s{n} s JOIN paths x
@@ -113,7 +116,8 @@ s{n + 1} AS (SELECT qid, CASE WHEN path IS NULL THEN connected ELSE list_concat(
     return f"""
 gpv0 AS (SELECT DISTINCT path_key, array_to_string(path, ' ') AS path_text FROM paths),
 gpv AS (SELECT path_key, {_norm_sql(hash_embed_sql('path_text'))} AS pvec FROM gpv0),
-asked AS (SELECT qid, list("table" ORDER BY table_pos) AS ts FROM valid GROUP BY qid),
+asked0 AS (SELECT qid, list("table" ORDER BY table_pos) AS ts FROM valid GROUP BY qid),
+asked AS (SELECT qid, {"CASE WHEN len(ts) = 2 THEN list_append(ts, 'ghost') ELSE ts END" if ghost else "ts"} AS ts FROM asked0),
 s1 AS (SELECT qid, ts[1:1] AS connected, ts[2:] AS pending, true AS active FROM asked),{step(1)},{step(2)}"""
 
 
@@ -134,7 +138,7 @@ tot AS (SELECT *, ({0.4} * hist_score + {0.6} * sem_score) * pow({0.95}, hops -
         "graph_undirected": g + "\nSELECT src, dst, weight FROM und",
         "graph_weight_norm": g + "\nSELECT src, dst, weight, round(norm, 6) AS norm FROM wn",
         "graph_paths_3hop": g + "\nSELECT src, dst, path_key, hops, wsum, round(hist_score, 6) AS hist_score FROM paths",
-        "graph_best_path": g + "\nSELECT src, dst, path_key, hops, wsum FROM best",
+        "graph_best_path": g + "\nSELECT src, dst, path_key, hops, wsum FROM best WHERE EXISTS (SELECT 1 FROM pairs WHERE ta = src AND tb = dst)",
         "graph_join_alternatives": g + "\nSELECT source, target, alt_rank, condition, freq FROM alts",
         "nav_valid_tables": g + "\nSELECT qid, table_pos, \"table\" FROM valid",
         "nav_pairs": g + "\nSELECT qid, ta, tb FROM pairs",
@@ -147,6 +151,8 @@ FROM nvalid n LEFT JOIN qrules r ON r.qid = n.qid""",
         "nav_metadata_text": gs + "," + metadata_cte() + "\nSELECT id, block FROM v2blocks",
         "nav_greedy_connect": _with(qlog_cte(), facts_cte(), GRAPH_CTE, NAV_CTE, _questions_cte(), greedy_cte())
         + "\nSELECT * FROM o1 UNION ALL SELECT * FROM o2",
+        "nav_fallback": _with(qlog_cte(), facts_cte(), GRAPH_CTE, NAV_CTE, _questions_cte(), greedy_cte(ghost=True))
+        + "\nSELECT * FROM o1 UNION ALL SELECT * FROM o2",
         "path_hybrid_score": two + """
 SELECT qid, path_key, hops, round(hist_score, 6) AS hist_score, round(sem_score, 6) AS sem_score,
        round(total, 6) AS total FROM tot""",

@@ -138,3 +138,59 @@ def test_approximate_search_with_a_hot_cell_and_odd_rows(spark):
     assert {q: [c for _, c in sorted(got[q])] for q in range(120)} == {q: want[q] for q in range(120)}
     assert ann.build_index(df.where("vec IS NULL").withColumnRenamed("qid", "cid"), 3) is None
     assert ann.search(None, df, 3).count() == 0
+
+
+def _edges(spark, pairs):
+    return spark.createDataFrame([(min(a, b), max(a, b), f"{a}={b}", 1 + k % 7, 1 + k % 7, True) for k, (a, b) in enumerate(pairs)],
+                                 "source string, target string, condition string, freq long, weight long, is_main boolean")
+
+
+def test_paths_between_equal_the_asked_part_of_all_paths(spark):
+    rnd = random.Random(8)
+    nodes = [f"n{k}" for k in range(14)]
+    edges = _edges(spark, {tuple(sorted(rnd.sample(nodes, 2))) for _ in range(30)})
+    asked = spark.createDataFrame([tuple(rnd.choice(nodes) for _ in range(2)) for _ in range(40)] + [("n1", "lost"), (None, "n2"), ("n1", "n1")], "src string, dst string")
+    cols = ["src", "dst", "path_key", "hops", "wsum", F.round("hist_score", 9).alias("score")]
+    for hops in (1, 2, 3):
+        want = N.paths(edges, hops).join(asked.distinct(), ["src", "dst"], "left_semi").select(*cols).collect()
+        got = N.paths_between(edges, asked, hops).select(*cols).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
+
+
+def test_paths_through_a_hub_of_ten_thousand(spark):
+    """All paths of the star are 10^8; the asked ones are a few rows."""
+    star = [("hub", f"leaf{k:05d}") for k in range(10_000)]
+    edges = _edges(spark, star + [("leaf00001", "leaf00002"), ("leaf00003", "far")])
+    asked = spark.createDataFrame([("leaf00001", "leaf00002"), ("hub", "leaf00009"), ("leaf00004", "far"), ("hub", "far"), ("leaf00005", "leaf00006")], "src string, dst string")
+    got = {(r.src, r.dst, r.path_key) for r in N.paths_between(edges, asked).collect()}
+    assert got == {("leaf00001", "leaf00002", "leaf00001>leaf00002"), ("leaf00001", "leaf00002", "leaf00001>hub>leaf00002"), ("hub", "leaf00009", "hub>leaf00009"),
+                   ("leaf00004", "far", "leaf00004>hub>leaf00003>far"), ("hub", "far", "hub>leaf00003>far"), ("leaf00005", "leaf00006", "leaf00005>hub>leaf00006")}
+
+
+def test_path_similarity_equals_cosine_of_embeddings(spark):
+    df = spark.createDataFrame([("list the order items of a user", ["order_items", "user", "a"]), ("", ["x"]), ("b", ["c"])], "q string, path array<string>")
+    df = V.with_hash_embedding(df, "q", "qv").withColumn("text", F.array_join("path", " "))
+    df = V.with_hash_embedding(df, "text", "pv")
+    for r in df.select(N.path_similarity(F.col("qv"), F.col("path")).alias("a"), V.cosine(F.col("qv"), F.col("pv")).alias("b")).collect():
+        assert (r.a is None and r.b is None) or abs(r.a - r.b) < 1e-12
+
+
+def test_greedy_searches_each_pair_once_and_finished_questions_leave(spark):
+    edges = _edges(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("x", "y")])
+    valid = spark.createDataFrame([(q, k, t) for q, ts in {1: "af", 2: "afd", 3: "xy", 4: "ay", 5: "b", 6: "dae"}.items() for k, t in enumerate(ts)], "qid long, table_pos int, table string")
+    q = V.with_hash_embedding(spark.createDataFrame([(k, "a b c d e f") for k in range(1, 7)], "qid long, question string"), "question", "vec")
+    asked = []
+
+    def find(pairs):
+        asked.extend((r.src, r.dst) for r in pairs.collect())
+        return N.paths_between(edges, pairs)
+
+    got = {}
+    for r in N.greedy_connect(q, valid, find).collect():
+        got.setdefault(r.qid, {})[r["round"]] = (r.path_key, r.fallback)
+    whole = {}
+    for r in N.greedy_connect(q, valid, N.paths(edges), 5).collect():
+        whole.setdefault(r.qid, {})[r["round"]] = (r.path_key, r.fallback)
+    assert got == whole and len(asked) == len(set(asked))
+    assert got[1] == {1: (None, ["f"])} and got[3] == {1: ("x>y", None)} and got[4] == {1: (None, ["y"])} and 5 not in got
+    assert got[2] == {1: ("a>b>c>d", None), 2: ("c>d>e>f", None)}  # more of the question in the longer path
