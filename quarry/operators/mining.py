@@ -1,16 +1,17 @@
-"""Workload mining (W1-W14): SQL text in a query log -> facts per statement.
-
-Each statement is read inside its row: one ``regexp_extract_all`` gives its
-tokens (comments, literals and quoted names are tokens, so text inside them is
-never taken for SQL), one pass over them keeps a stack of open parentheses and
-notes for each token its SELECT, its clause and the calls around it, and array
-functions turn that into the statement's facts.  No token leaves its row and
-nothing is shuffled; the facts of all statements are one table, written once, of
-which each fact query reads only the columns that it needs.
-
-Understood: WITH, set operators, subqueries of any depth, JOIN .. ON / USING,
-names of several parts, quoted names, implicit aliases, CAST, OVER, FILTER.
-Statements that are no queries, and those whose parentheses do not match, are
+"""Workload mining (W1-W14): SQL text in a query log -> facts per statement, by flat rules over text.
+
+1. Literals and comments are blanked, so that statements which differ in their values
+   are one template.  Templates are few next to statements, and each is read once; a
+   statement keeps its template's key and its literals.
+2. A template is read by regular expressions only.  Innermost parentheses are peeled off, a layer at a time: those
+   that hold a subquery become texts of their own, all others become brackets.  What is left has no nesting
+   and is split at set operators and at clause words.
+3. Names in a clause's text are taken by one pattern, and told apart by the words next to them: tables with their aliases,
+   columns, neither.  Calls of aggregates are one pattern each.
+4. The facts of a statement are its template's, by a join on the key; conditions get the statement's literals back.
+
+No grammar is followed: what the rules do not see (more than ``MAX_LAYERS`` layers of parentheses, aggregates around three
+layers of brackets) is not in the facts.  Statements that are no queries, and those whose parentheses do not match, are
 rejected and stay visible in ``rejects``.
 """
 
@@ -29,9 +30,26 @@ from ..session import stored
 # --------------------------------------------------------------------------
 COMMENT_RE = r"--[^\n]*|/\*(?s:.*?)\*/"
 LITERAL_RE = r"'[^']*(?:''[^']*)*'"
-NAME_RE = r"""(?:"[^"]*(?:""[^"]*)*"|`[^`]*`|[A-Za-z_][A-Za-z0-9_$]*)"""
-TOKEN_RE = (COMMENT_RE + "|" + LITERAL_RE + "|" + NAME_RE + r"(?:\s*\.\s*(?:" + NAME_RE + r"|\*))*"
-            + r"|[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|<>|!=|<=|>=|==|\|\||[=<>(),*;+/%-]")
+QUOTED_RE = r"""\"[^"]*(?:""[^"]*)*"|`[^`]*`"""
+WORD_RE = r"[A-Za-z_][A-Za-z0-9_$]*"
+NUMBER_RE = r"[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+NAME_RE = f"(?:{QUOTED_RE}|{WORD_RE})"
+CHUNK_RE = f"{COMMENT_RE}|{LITERAL_RE}|{QUOTED_RE}|{WORD_RE}|{NUMBER_RE}|\\s+|(?s:.)"
+
+# Marks that stand in a template's text for what was there: a literal (with its number between two of them), the two
+# sides of a bracket, a subquery, and the borders of a clause word.
+LITERAL, OPEN, CLOSE, SUBQUERY, BORDER, BODY = (chr(0xE000 + k) for k in range(6))
+MAX_LAYERS = 16
+_FLAT = f"[^{OPEN}{CLOSE}]"
+_IN_BRACKETS = f"(?:{_FLAT}++|{OPEN}(?:{_FLAT}++|{OPEN}{_FLAT}*+{CLOSE})*+{CLOSE})*+"
+_OTHER_PARENTHESES = r"(?i)\((?!\s*(?:SELECT|WITH)\b)([^()]*)\)"
+_SUBQUERY = r"(?i)\(\s*((?:SELECT|WITH)\b[^()]*)\)"
+_SET_OPERATORS = r"(?i)\b(?:UNION|INTERSECT|EXCEPT)(?:\s+(?:ALL|DISTINCT))?\b"
+_FRAME_END = f"(?:UNBOUNDED|CURRENT|{LITERAL}\\d+{LITERAL})\\s+(?:PRECEDING|FOLLOWING|ROW)"
+_FRAMES = f"(?i)\\b(?:ROWS|RANGE)\\s+(?:BETWEEN\\s+)?{_FRAME_END}(?:\\s+AND\\s+{_FRAME_END})?"
+_CLAUSES = (rf"(?i)\b(SELECT|FROM(?!{_FLAT}*{CLOSE})|(?:(?:NATURAL|INNER|CROSS|LEFT|RIGHT|FULL|OUTER)\s+)*JOIN|ON|USING|WHERE|GROUP\s+BY|HAVING"
+            r"|ORDER\s+BY|LIMIT|OFFSET|WINDOW|FETCH|WITH)\b")
+_TOKENS = f"{NAME_RE}(?:\\s*\\.\\s*(?:{NAME_RE}|\\*))*|{LITERAL}\\d+{LITERAL}|<>|!=|<=|>=|==|\\|\\||[=<>,*;+/%{OPEN}{CLOSE}{SUBQUERY}-]"
 
 KEYWORDS = [
     "SELECT", "FROM", "WHERE", "JOIN", "INNER", "LEFT", "RIGHT", "FULL", "OUTER",
@@ -41,10 +59,7 @@ KEYWORDS = [
     "DISTINCT", "ASC", "DESC", "EXISTS", "TRUE", "FALSE", "WITH", "RECURSIVE", "OVER", "PARTITION",
     "FILTER", "WITHIN", "INTERVAL", "LATERAL", "WINDOW", "FETCH", "COLLATE",
 ]
-FRAME_WORDS = ["ROWS", "RANGE", "UNBOUNDED", "PRECEDING", "FOLLOWING", "CURRENT", "ROW"]
-JOIN_WORDS = ["JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "NATURAL"]
-PLAIN_CLAUSES = ["ON", "USING", "WHERE", "HAVING", "LIMIT", "WINDOW", "FETCH", "OFFSET"]
-SET_OPERATORS = ["UNION", "INTERSECT", "EXCEPT"]
+COLUMN_CLAUSES = ["SELECT", "ON", "WHERE", "GROUP BY", "HAVING", "ORDER BY"]
 VALUE_WORDS = ["END", "NULL", "TRUE", "FALSE"]
 ARITHMETIC = ["+", "-", "*", "/", "%", "||"]
 TRACKED_AGGREGATES = ["COUNT", "MAX", "MIN", "AVG"]
@@ -57,9 +72,6 @@ LINT_UNION_ALL = r"(?i)\bunion\s+all\b"
 LINT_BETWEEN = r"(?i)\bbetween\b"
 LINT_DATA_CHANGING = r"(?i)^\s*(insert|update|delete|drop|alter|create|merge|truncate)\b"
 
-FRAME = "struct<kind:string,scope:int,level:int,clause:string,seg:int,calls:array<int>,dists:array<int>>"
-PLACE = "struct<kind:string,scope:int,level:int,clause:string,seg:int,calls:array<int>,dists:array<int>,closed:string>"
-
 
 def clean_sql(sql: Column) -> Column:
     """Literals blanked and comments dropped: whichever begins first, so a quote inside a comment opens nothing."""
@@ -68,73 +80,65 @@ def clean_sql(sql: Column) -> Column:
 
 @dataclass
 class MinedLog:
-    """The facts of a log: one row per statement with arrays of structs."""
-
-    facts: DataFrame      # query_id, reason, tables, columns, join_edges, implicit_edges, predicates, operations, aggregations
-
-
-def _ints(*values: Column) -> Column:
-    return F.array(*values).cast("array<int>")
-
-
-def _placed(tk: Column) -> Column:
-    """For every token where it stands: SELECT (scope) and its nesting, clause and the clause's first token, calls and
-    DISTINCTs around it, and for a closing parenthesis what it closes."""
-    def step(state: Column, i: Column) -> Column:
-        def frame(top: Column, **changed: Column) -> Column:
-            names = ["kind", "scope", "level", "clause", "seg", "calls", "dists"]
-            return F.struct(*[changed.get(n, top[n]).alias(n) for n in names])
-
-        def moved(u: Column, before: Column, after: Column, top: Column) -> Column:
-            stack = state["stack"]
-            under = F.slice(stack, 1, F.size(stack) - 1)
-            named = F.get(tk, i - 1).rlike(r'^["`A-Za-z_]') & ~F.coalesce(before, F.lit("")).isin(KEYWORDS)
-            opened = F.when(after.isin("SELECT", "WITH"), F.struct(
-                F.lit("sub").alias("kind"), i.alias("scope"), (top["level"] + 1).alias("level"), F.lit(None).cast("string").alias("clause"),
-                i.alias("seg"), _ints().alias("calls"), _ints().alias("dists"))
-            ).when(before == "OVER", frame(top, kind=F.lit("over"), clause=F.lit("OVER"), seg=i)
-                   ).otherwise(frame(top, kind=F.lit("plain"), calls=F.when(named, F.array_append(top["calls"], i - 1)).otherwise(top["calls"])))
-            plain = top["kind"] == "plain"
-            joining = top["clause"].isin("FROM", "JOIN", "ON", "USING")
-            clause = (
-                F.when((u == "SELECT") & ~plain, F.lit("SELECT"))
-                .when((u == "WITH") & top["clause"].isNull(), F.lit("WITH"))
-                .when((u == "FROM") & ~plain, F.lit("FROM"))
-                .when(u.isin(JOIN_WORDS) & joining & (F.coalesce(after, F.lit("")) != "("), F.lit("JOIN"))
-                .when((u == "ON") & joining, F.lit("ON")).when((u == "USING") & joining, F.lit("USING"))
-                .when(u.isin(PLAIN_CLAUSES) & ~u.isin("ON", "USING"), u)
-                .when(u.isin("GROUP", "ORDER") & (after == "BY"), u)
-                .when(u.isin(SET_OPERATORS), F.lit("SET"))
-                .when((u == ",") & top["clause"].isin("ON", "USING") & ~plain, F.lit("FROM")))
-            def after_clause(c: Column) -> Column:
-                entered = frame(top, clause=c, seg=i, scope=F.when(u == "SELECT", i).otherwise(top["scope"]))
-                distinct = frame(top, dists=F.array_append(top["dists"], i))
-                opens = (u == "DISTINCT") & (before == "(") & plain
-                here = F.when((u == ")") & (F.size(stack) > 1), F.get(stack, F.size(stack) - 2)).when(c.isNotNull(), entered).when(opens, distinct).otherwise(top)
-
-                def recorded(h: Column) -> Column:
-                    placed = F.struct(*[h[n].alias(n) for n in ("kind", "scope", "level", "clause", "seg", "calls", "dists")],
-                                      F.when(u == ")", top["kind"]).alias("closed")).cast(PLACE)
-                    stacked = (F.when(u == "(", F.array_append(stack, opened.cast(FRAME)))
-                               .when(u == ")", F.when(F.size(stack) > 1, under).otherwise(stack))
-                               .when(c.isNotNull() | opens, F.array_append(under, h.cast(FRAME))).otherwise(stack))
-                    broken = state["broken"] | ((u == ")") & (F.size(stack) == 1))
-                    return F.struct(stacked.alias("stack"), F.array_append(state["out"], placed).alias("out"), broken.alias("broken"))
-
-                return let(here, recorded)
-
-            return let(clause, after_clause)
-
-        up = lambda k: F.upper(F.get(tk, k))
-        return let(F.struct(up(i).alias("u"), up(i - 1).alias("b"), up(i + 1).alias("a"), F.element_at(state["stack"], -1).alias("top")),
-                   lambda s: moved(s["u"], s["b"], s["a"], s["top"]))
-
-    ground = F.struct(F.lit("sub").alias("kind"), F.lit(-1).alias("scope"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("clause"),
-                      F.lit(-1).alias("seg"), _ints().alias("calls"), _ints().alias("dists")).cast(FRAME)
-    start = F.struct(F.array(ground).alias("stack"), F.array().cast(f"array<{PLACE}>").alias("out"), F.lit(False).alias("broken"))
-    places = F.sequence(F.lit(0), F.size(tk) - 1)
-    return F.when(F.size(tk) > 0, F.aggregate(places, start, step, lambda s: F.struct(
-        s["out"].alias("out"), (s["broken"] | (F.size(s["stack"]) > 1)).alias("broken"))))
+    """Which template each statement has, and the templates' facts."""
+
+    statements: DataFrame  # query_id, template, literals
+    templates: DataFrame   # template, reason, tables, columns, join_edges, implicit_edges, predicates, operations, aggregations
+
+    @property
+    def facts(self) -> DataFrame:
+        """One row per statement with arrays of structs; conditions with the statement's own literals."""
+        def own(edge: Column) -> Column:
+            filled = F.aggregate(F.sequence(F.lit(0), F.size("literals") - 1), edge["condition"], lambda text, k: F.replace(
+                text, F.concat(F.lit(LITERAL), k.cast("string"), F.lit(LITERAL)), F.get("literals", k)))
+            return edge.withField("condition", F.when(edge["condition"].contains(LITERAL), filled).otherwise(edge["condition"]))
+
+        rows = self.statements.join(self.templates, "template")
+        edges = {c: F.transform(c, own) for c in ("join_edges", "implicit_edges")}
+        return rows.select("query_id", *[edges[c].alias(c) if c in edges else F.col(c) for c in self.templates.columns if c != "template"])
+
+
+def templated(log: DataFrame) -> DataFrame:
+    """query_id, text (comments and literals blanked), literals (as written, in order): one regular expression a statement."""
+    sql = F.translate(F.coalesce(F.col("sql"), F.lit("")), LITERAL + OPEN + CLOSE + SUBQUERY + BORDER + BODY, "")
+    rows = log.select("query_id", F.regexp_extract_all(sql, F.lit(CHUNK_RE), F.lit(0)).alias("chunks"))
+    is_literal = lambda c: c.rlike("^['0-9]")
+    blank = lambda c: F.when(c.rlike(r"^(--|/\*|\s)"), F.lit(" ")).when(is_literal(c), F.lit(LITERAL)).otherwise(c)
+    text = F.regexp_replace(F.array_join(F.transform("chunks", blank), ""), " +", " ")
+    return rows.select("query_id", F.btrim(text).alias("text"), F.filter("chunks", is_literal).alias("literals"))
+
+
+def _peeled(text: Column) -> Column:
+    """``units``: the texts of all subqueries, those of the outer layers first, then ``text``, what is left of the statement."""
+    start = F.struct(text.alias("text"), F.array().cast("array<string>").alias("units"))
+
+    def layer(state: Column, _: Column) -> Column:
+        return let(F.regexp_replace(state["text"], _OTHER_PARENTHESES, f"{OPEN}$1{CLOSE}"), lambda t: F.struct(
+            F.regexp_replace(t, _SUBQUERY, f" {SUBQUERY} ").alias("text"),
+            F.concat(F.regexp_extract_all(t, F.lit(_SUBQUERY), F.lit(1)), state["units"]).alias("units")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_LAYERS)), start, layer)
+
+
+def _pieces(part: Column) -> Column:
+    """The clauses of a text without nesting: clause and body.
+
+    What comes after a bracket that the clause did not open, as after ORDER BY in OVER, or after the comma that ends ON, is not
+    the clause's any more.
+    """
+    def cut(piece: Column) -> Column:
+        word = F.upper(F.regexp_replace(F.substring_index(piece, BODY, 1), r"\s+", " "))
+        return F.struct(F.when(word.endswith("JOIN"), F.lit("JOIN")).otherwise(word).alias("clause"), F.substring_index(piece, BODY, -1).alias("body"))
+
+    def parted(c: Column) -> Column:
+        top = lambda char: f"^((?:[^{OPEN}{CLOSE}{char}]++|{OPEN}{_IN_BRACKETS}{CLOSE})*+)"
+        own = F.when(c["clause"] == "ON", F.regexp_extract(c["body"], top(","), 1)).otherwise(F.regexp_extract(c["body"], top(""), 1))
+        after = F.when(c["clause"].isin("ON", "USING", "FROM", "JOIN"), F.lit("FROM")).otherwise(F.lit("SELECT"))
+        return let(own, lambda o: F.array(F.struct(c["clause"].alias("clause"), o.alias("body")),
+                                          F.struct(after.alias("clause"), F.substring(c["body"], F.length(o) + 1, F.length(c["body"])).alias("body"))))
+
+    pieces = F.filter(F.split(F.regexp_replace(part, _CLAUSES, f"{BORDER}$1{BODY}"), BORDER), lambda p: p.contains(BODY))
+    return F.filter(F.flatten(F.transform(F.transform(pieces, cut), parted)), lambda c: (F.btrim(c["body"]) != "") | (c["clause"] == "LIMIT"))
 
 
 def _bare(name: Column) -> Column:
@@ -143,58 +147,51 @@ def _bare(name: Column) -> Column:
                   ).when(name.startswith("`"), F.substring(name, F.lit(2), F.length(name) - 2)).otherwise(name)
 
 
-def _names(tk: str, at: str) -> Column:
-    """Tokens with their place and their kind as a name: is_name, is_func, is_table, name and qualifier."""
-    t, p = F.col(tk), F.col(at)
-
-    def one(i: Column) -> Column:
-        def body(s: Column) -> Column:
-            u, before, after, place = s["u"], F.coalesce(s["b"], F.lit("")), F.coalesce(s["a"], F.lit("")), s["p"]
-            order_word = (u.isin("FIRST", "LAST") & (before == "NULLS")) | ((u == "NULLS") & after.isin("FIRST", "LAST"))
-            frame_word = u.isin(FRAME_WORDS) & (place["kind"] == "over")
-            is_name = s["t"].rlike(r'^["`A-Za-z_]') & ~u.isin(KEYWORDS) & ~order_word & ~frame_word
-            head = [i.alias("pos"), s["t"].alias("tok"), u.alias("u"), before.alias("before"), after.alias("after"), place.alias("p")]
-            no_name = F.struct(*head, *[F.lit(False).alias(n) for n in ("is_name", "is_func", "is_table")],
-                               *[F.lit(None).cast("string").alias(n) for n in ("name", "qual")])
-
-            def named(parts: Column) -> Column:
-                is_func = after == "("
-                lone = place["kind"] != "plain"
-                comma = (before == ",") & place["clause"].isin("FROM", "JOIN")
-                wrapped = (before == "(") & F.coalesce(F.upper(F.get(t, i - 2)).isin("FROM", "JOIN", ","), F.lit(False))
-                is_table = ~is_func & place["clause"].isin("FROM", "JOIN") & (before.isin("FROM", "JOIN", "LATERAL") | (comma & lone) | wrapped)
-                return F.struct(*head, F.lit(True).alias("is_name"), is_func.alias("is_func"), F.coalesce(is_table, F.lit(False)).alias("is_table"),
-                                _bare(F.get(parts, F.size(parts) - 1)).alias("name"), _bare(F.get(parts, F.size(parts) - 2)).alias("qual"))
-
-            return F.when(is_name, let(F.regexp_extract_all(s["t"], F.lit(NAME_RE + r"|\*"), F.lit(0)), named)).otherwise(no_name)
-
-        return let(F.struct(F.get(t, i).alias("t"), F.upper(F.get(t, i)).alias("u"), F.upper(F.get(t, i - 1)).alias("b"),
-                            F.upper(F.get(t, i + 1)).alias("a"), F.get(p, i).alias("p")), body)
-
-    return F.transform(F.sequence(F.lit(0), F.size(t) - 1), one)
-
-
-def _roles(names: str) -> Column:
-    """Names with their role: alias of a table, alias of a subquery, or column."""
-    a = F.col(names)
-
-    def one(x: Column, i: Column) -> Column:
-        prev = lambda k: F.get(a, i - k)
-        after_as = x["before"] == "AS"
-        of_table = F.when(after_as, prev(2)["is_table"]).otherwise(prev(1)["is_table"])
-        of_sub = F.when(after_as, prev(2)["p"]["closed"]).otherwise(prev(1)["p"]["closed"]) == "sub"
-        single = x["is_name"] & x["qual"].isNull() & ~x["is_func"] & ~x["is_table"]
-        is_alias = single & F.coalesce(of_table, F.lit(False))
-        is_sub_alias = single & F.coalesce(of_sub, F.lit(False)) & F.coalesce(x["p"]["clause"].isin("FROM", "JOIN"), F.lit(False))
-        follows_value = F.coalesce(prev(1)["is_name"] | prev(1)["tok"].rlike(r"^['0-9]") | x["before"].isin(")", *VALUE_WORDS), F.lit(False))
-        typed = x["qual"].isNull() & F.coalesce(F.get(a, i + 1)["tok"].startswith("'"), F.lit(False))
-        unit = (x["after"] == "FROM") & (x["p"]["kind"] == "plain")
-        is_col = (x["is_name"] & ~x["is_func"] & ~x["is_table"] & ~is_alias & ~is_sub_alias & ~after_as & ~follows_value & ~typed & ~unit
-                  & (x["name"] != "*") & ~F.coalesce(x["p"]["clause"], F.lit("WITH")).isin("WITH", "USING", "SET"))
-        return F.struct(*[x[n].alias(n) for n in ("pos", "tok", "u", "before", "after", "p", "is_name", "is_func", "is_table", "name", "qual")],
-                        is_alias.alias("is_alias"), is_sub_alias.alias("is_sub_alias"), is_col.alias("is_col"))
-
-    return F.transform(a, one)
+def _is_name(token: Column) -> Column:
+    return F.coalesce(token.rlike(r'^["`A-Za-z_]') & ~F.upper(token).isin(KEYWORDS), F.lit(False))
+
+
+def _mentions(body: Column, clause: Column) -> Column:
+    """The words and signs of a clause's text, each with what its neighbours make of it: table (and alias), alias of a subquery, column, or neither."""
+    calls = f"""([A-Za-z0-9_$"`])\\s*{OPEN}{_FLAT}*{CLOSE}"""
+    sources = clause.isin("FROM", "JOIN")
+    read = F.when(sources, F.regexp_replace(F.regexp_replace(body, calls, f"$1{OPEN}"), calls, f"$1{OPEN}")).otherwise(body)
+
+    def told(tk: Column) -> Column:
+        def one(t: Column, i: Column) -> Column:
+            def by_neighbours(s: Column) -> Column:
+                u, before, after, second = (F.coalesce(F.upper(s[c]), F.lit("")) for c in ("t", "b", "a", "a2"))
+                order_word = (u.isin("FIRST", "LAST") & (before == "NULLS")) | ((u == "NULLS") & after.isin("FIRST", "LAST"))
+                is_name = _is_name(s["t"]) & ~order_word
+                is_func = is_name & (after == OPEN)
+                first = (i == 0) | (before == ",") | (before == "LATERAL") | ((before == OPEN) & ((i == 1) | (F.coalesce(F.get(tk, i - 2), F.lit("")) == ",")))
+                is_table = sources & is_name & ~is_func & first & ~((clause == "JOIN") & (before == ","))
+                alias = F.when((after == "AS") & _is_name(s["a2"]), s["a2"]).when(_is_name(s["a"]), s["a"])
+                follows_value = _is_name(s["b"]) | before.rlike(f"^[{LITERAL}{CLOSE}{SUBQUERY}]") | before.isin(VALUE_WORDS)
+                single = ~s["t"].rlike(r"\.")
+                no_column = is_func | (before == "AS") | follows_value | (single & after.startswith(LITERAL)) | (after == "FROM") | s["t"].endswith("*")
+                return let(F.regexp_extract_all(s["t"], F.lit(NAME_RE + r"|\*"), F.lit(0)), lambda parts: F.struct(
+                    i.alias("pos"), s["t"].alias("tok"), u.alias("u"), before.alias("before"), after.alias("after"), is_name.alias("is_name"), is_func.alias("is_func"),
+                    is_table.alias("is_table"), F.when(is_table | (sources & (u == SUBQUERY)), _bare(alias)).alias("alias"),
+                    (is_name & clause.isin(COLUMN_CLAUSES) & ~no_column).alias("is_col"),
+                    _bare(F.get(parts, F.size(parts) - 1)).alias("name"), _bare(F.get(parts, F.size(parts) - 2)).alias("qual")))
+
+            return let(F.struct(t.alias("t"), F.get(tk, i - 1).alias("b"), F.get(tk, i + 1).alias("a"), F.get(tk, i + 2).alias("a2")), by_neighbours)
+
+        return F.transform(tk, one)
+
+    return let(F.regexp_extract_all(read, F.lit(_TOKENS), F.lit(0)), told)
+
+
+def _called(body: Column, clause: Column) -> Column:
+    """The arguments of each call of a tracked aggregate in a text, and of each DISTINCT that opens a call's arguments."""
+    rules = {a: rf"(?i)(?<![A-Za-z0-9_$.]){a}\s*{OPEN}({_IN_BRACKETS}){CLOSE}" for a in TRACKED_AGGREGATES}
+    rules["DISTINCT"] = rf"(?i){OPEN}\s*DISTINCT\b({_IN_BRACKETS}){CLOSE}"
+    def calls(name: str, rule: str) -> Column:
+        return F.transform(F.regexp_extract_all(body, F.lit(rule), F.lit(1)), lambda inner: F.struct(
+            F.lit(name).alias("agg"), F.filter(_mentions(inner, clause), lambda m: m["is_col"]).alias("cols")))
+
+    return F.flatten(F.array(*[calls(name, rule) for name, rule in rules.items()]))
 
 
 def _counted(pairs: Column, names: tuple[str, str]) -> Column:
@@ -205,117 +202,105 @@ def _counted(pairs: Column, names: tuple[str, str]) -> Column:
 
 
 def _text(tokens: Column) -> Column:
-    """Tokens of a condition as text: one blank between them, none inside parentheses, before commas and after function names."""
+    """A condition as text: one blank between its words and signs, none inside parentheses, before commas and after function names."""
     def spaced(x: Column, i: Column) -> Column:
         prev = F.get(tokens, i - 1)
-        tight = (i == 0) | x["tok"].isin(")", ",") | (prev["tok"] == "(") | ((x["tok"] == "(") & prev["is_func"])
-        word = F.when(x["is_col"] & x["table"].isNotNull() & x["qual"].isNotNull(), F.concat_ws(".", x["table"], x["name"])
-                      ).when(x["is_name"], x["tok"]).when(x["u"].isin(KEYWORDS), x["u"]).otherwise(x["tok"])
+        tight = (i == 0) | x["tok"].isin(CLOSE, ",") | (prev["tok"] == OPEN) | ((x["tok"] == OPEN) & prev["is_func"])
+        word = (F.when(x["is_col"] & x["table"].isNotNull() & x["qual"].isNotNull(), F.concat_ws(".", x["table"], x["name"]))
+                .when(x["tok"] == SUBQUERY, F.lit("(...)")).when(x["is_name"], x["tok"]).when(x["u"].isin(KEYWORDS), x["u"]).otherwise(x["tok"]))
         return F.concat(F.when(tight, F.lit("")).otherwise(F.lit(" ")), word)
 
-    return F.array_join(F.transform(tokens, spaced), "")
-
-
-def statement_facts(log: DataFrame) -> DataFrame:
-    """The facts of every statement of ``log`` (query_id, sql), row by row.
-
-    Null or empty text is rejected as empty.  query_id is carried as it is; repeated rows are repeated statements.
-    """
-    sql = F.coalesce(F.col("sql"), F.lit(""))
-    tk = F.filter(F.regexp_extract_all(sql, F.lit(TOKEN_RE), F.lit(0)), lambda t: ~t.rlike(r"^(--|/\*)"))
-    t = log.select("query_id", tk.alias("tk"))
-    t = t.select("query_id", "tk", let(F.col("tk"), _placed).alias("st"))
-    t = t.select("query_id", "tk", F.col("st.out").alias("at"), F.coalesce("st.broken", F.lit(False)).alias("broken"))
-    first = F.upper(F.get("tk", F.lit(0)))
-    opener = F.upper(F.get(F.filter("tk", lambda x: x != "("), F.lit(0)))
-    reason = (F.when(first.isNull(), F.lit("empty")).when(F.coalesce(~opener.isin("SELECT", "WITH"), F.lit(True)), F.lit("not a query"))
-              .when(F.col("broken"), F.lit("unmatched parentheses")))
-    t = t.select("query_id", reason.alias("reason"), F.when(reason.isNull(), F.col("tk")).alias("tk"), "at")
-    t = t.select("query_id", "reason", F.when(F.size("tk") > 0, _names("tk", "at")).alias("names"))
-    t = t.select("query_id", "reason", F.when(F.size("names") > 0, _roles("names")).alias("x"))
-    x = F.col("x")
-
-    # Tables in the order of nesting and place; aliases of subqueries are none, and no alias either.
-    subs = F.transform(F.filter(x, lambda n: n["is_sub_alias"]), lambda n: n["name"])
-    alias_of = lambda i: F.when(F.get(x, i + 1)["is_alias"], F.get(x, i + 1)["name"]).when(
-        (F.get(x, i + 1)["u"] == "AS") & F.get(x, i + 2)["is_alias"], F.get(x, i + 2)["name"])
-    tabs = F.array_sort(F.transform(F.filter(x, lambda n: n["is_table"]), lambda n: F.struct(
-        n["p"]["level"].alias("level"), n["pos"].alias("pos"), n["name"].alias("table"), alias_of(n["pos"]).alias("alias"))))
-    t = t.select("query_id", "reason", "x", subs.alias("subs"), tabs.alias("tabs"))
-    t = t.select("query_id", "reason", "x", "subs", F.filter("tabs", lambda n: ~F.array_contains("subs", n["table"])).alias("tabs"),
-                 F.filter("tabs", lambda n: n["alias"].isNotNull() & ~F.array_contains("subs", n["alias"])).alias("named"))
-    distinct_tables = F.array_distinct(F.transform("tabs", lambda n: n["table"]))
-    t = t.select("*", distinct_tables.alias("dt"))
-
-    def owned(n: Column) -> Column:
-        by_alias = F.get(F.reverse(F.filter("named", lambda a: a["alias"] == n["qual"])), F.lit(0))["table"]
-        table = F.when(n["qual"].isNotNull(), F.coalesce(by_alias, n["qual"])).when(F.size("dt") == 1, F.get("dt", F.lit(0)))
-        of_sub = n["qual"].isNotNull() & F.coalesce(F.array_contains("subs", n["qual"]), F.lit(False))
-        return F.struct(*[n[c].alias(c) for c in ("pos", "tok", "u", "before", "after", "p", "is_name", "is_func", "is_col", "name", "qual")],
-                        F.when(n["is_col"], table).alias("table"), (n["is_col"] & of_sub).alias("of_sub"))
-
-    t = t.select("query_id", "reason", "tabs", "dt", F.transform("x", owned).alias("x"))
-    equal = F.filter("x", lambda e: e["tok"].isin("=", "=="))
-    equal = F.transform(equal, lambda e: F.struct(e.alias("e"), F.get("x", e["pos"] - 1).alias("l"), F.get("x", e["pos"] + 1).alias("r")))
-    # Both sides are columns as they stand, not parts of an expression.
-    equal = F.filter(equal, lambda q: q["l"]["is_col"] & q["r"]["is_col"] & ~q["l"]["before"].isin(ARITHMETIC) & ~q["r"]["after"].isin(*ARITHMETIC, "(")
-                     & q["l"]["qual"].isNotNull() & q["r"]["qual"].isNotNull() & (q["e"]["p"]["clause"] == "WHERE") & (q["l"]["table"] != q["r"]["table"]))
-    cols = F.filter("x", lambda n: n["is_col"] & ~n["of_sub"])
-    t = t.select("query_id", "reason", "tabs", "dt", "x", equal.alias("joins"), cols.alias("cols"))
-
-    col = F.col
-    tables = F.transform("dt", lambda d, k: F.struct((k + 1).alias("table_pos"), d.alias("table"),
-                                                     F.get(F.filter("tabs", lambda n: n["table"] == d), F.lit(0))["alias"].alias("alias")))
-    full = lambda n: F.when(n["qual"].isNotNull(), F.concat_ws(".", n["table"], n["name"])).otherwise(n["name"])
-    every = F.transform("cols", lambda n: F.struct(n["pos"].alias("pos"), full(n).alias("full_col"), n["qual"].isNotNull().alias("qualified"),
-                                                   n["table"].alias("table"), n["name"].alias("column")))
-    columns = let(every, lambda c: F.filter(c, lambda n, k: F.array_position(F.transform(c, lambda m: m["full_col"]), n["full_col"]) == k + 1))
-    segs = F.array_distinct(F.transform(F.filter("cols", lambda n: (n["p"]["clause"] == "ON") & n["qual"].isNotNull()), lambda n: n["p"]["seg"]))
+    return F.translate(F.array_join(F.transform(tokens, spaced), ""), OPEN + CLOSE, "()")
+
+
+def template_facts(templates: DataFrame) -> DataFrame:
+    """The facts of every template (template, text), row by row."""
+    numbered = F.array_join(F.transform(F.split("text", LITERAL), lambda p, k: F.when(k == 0, p).otherwise(
+        F.concat(F.lit(LITERAL), (k - 1).cast("string"), F.lit(LITERAL), p))), "")
+    t = templates.select("template", F.regexp_replace(numbered, _FRAMES, " ").alias("text"))
+    t = t.select("template", "text", _peeled(F.col("text")).alias("peeled"))
+    opener = F.upper(F.regexp_extract("text", rf"^[\s(]*({WORD_RE})", 1))
+    reason = (F.when(F.col("text") == "", F.lit("empty")).when(~opener.isin("SELECT", "WITH"), F.lit("not a query"))
+              .when(F.col("peeled.text").rlike("[()]"), F.lit("unmatched parentheses")))
+    t = t.select("template", "text", reason.alias("reason"), F.when(reason.isNull(), F.concat(F.array("peeled.text"), "peeled.units")).alias("units"))
+    parts = F.flatten(F.transform("units", lambda u: F.split(u, _SET_OPERATORS)))
+    t = t.select("template", "text", "reason", F.flatten(F.transform(parts, _pieces)).alias("clauses"))
+    t = t.select("template", "text", "reason", F.transform("clauses", lambda c, k: F.struct(
+        k.alias("seg"), c["clause"].alias("clause"), _mentions(c["body"], c["clause"]).alias("x"), _called(c["body"], c["clause"]).alias("called"))).alias("segs"))
+
+    # Tables in the order of their texts, outer ones first; aliases of subqueries are none, and no alias either.
+    x = F.flatten(F.transform("segs", lambda s: s["x"]))
+    subs = F.transform(F.filter(x, lambda m: ~m["is_table"] & m["alias"].isNotNull()), lambda m: m["alias"])
+    t = t.select("*", subs.alias("subs"), F.filter(x, lambda m: m["is_table"]).alias("tabs"))
+    t = t.withColumn("tabs", F.filter("tabs", lambda m: ~F.array_contains("subs", m["name"])))
+    t = t.withColumns({"named": F.reverse(F.filter("tabs", lambda m: m["alias"].isNotNull() & ~F.array_contains("subs", m["alias"]))),
+                       "dt": F.array_distinct(F.transform("tabs", lambda m: m["name"]))})
+
+    def owned(m: Column) -> Column:
+        by_alias = F.get(F.filter("named", lambda a: a["alias"] == m["qual"]), F.lit(0))["name"]
+        table = F.when(m["qual"].isNotNull(), F.coalesce(by_alias, m["qual"])).when(F.size("dt") == 1, F.get("dt", F.lit(0)))
+        of_sub = m["qual"].isNotNull() & F.coalesce(F.array_contains("subs", m["qual"]), F.lit(False))
+        return m.withField("table", F.when(m["is_col"], table)).withField("is_col", m["is_col"] & ~of_sub)
+
+    t = t.select("template", "text", "reason", "tabs", "dt", F.transform("segs", lambda s: F.struct(
+        s["seg"].alias("seg"), s["clause"].alias("clause"), F.transform(s["x"], owned).alias("x"), F.transform(s["called"], lambda c: F.struct(
+            c["agg"].alias("agg"), F.filter(F.transform(c["cols"], owned), lambda m: m["is_col"] & m["table"].isNotNull()).alias("cols"))).alias("called"))).alias("segs"))
+    of = lambda *clauses: F.filter("segs", lambda s: s["clause"].isin(*clauses))
+    side = lambda m: F.concat_ws(".", m["table"], m["name"])
+    cols = F.flatten(F.transform("segs", lambda s: F.filter(s["x"], lambda m: m["is_col"])))
+
+    def equalities(s: Column) -> Column:
+        """In a WHERE, pairs of qualified columns of two tables, as they stand on both sides of an equals sign."""
+        both = F.transform(F.filter(s["x"], lambda e: e["tok"].isin("=", "==")), lambda e: F.struct(
+            s["seg"].alias("seg"), F.get(s["x"], e["pos"] - 1).alias("l"), F.get(s["x"], e["pos"] + 1).alias("r")))
+        return F.filter(both, lambda q: q["l"]["is_col"] & q["r"]["is_col"] & ~q["l"]["before"].isin(ARITHMETIC) & ~q["r"]["after"].isin(*ARITHMETIC, OPEN)
+                        & q["l"]["qual"].isNotNull() & q["r"]["qual"].isNotNull() & (q["l"]["table"] != q["r"]["table"]))
+
+    t = t.select("*", cols.alias("cols"), F.flatten(F.transform(of("WHERE"), equalities)).alias("joins"))
+    found = lambda tok: F.call_function("regexp_instr", F.col("text"), F.concat(F.lit(r'(?<![A-Za-z0-9_$."`])\Q'), tok, F.lit(r'\E(?![A-Za-z0-9_$"`])')))
+    every = F.array_sort(F.transform("cols", lambda m: F.struct(found(m["tok"]).alias("pos"), F.when(m["qual"].isNotNull(), side(m)).otherwise(m["name"]).alias("full_col"),
+                                                                m["qual"].isNotNull().alias("qualified"), m["table"].alias("table"), m["name"].alias("column"))))
+    columns = let(every, lambda c: F.filter(c, lambda m, k: F.array_position(F.transform(c, lambda o: o["full_col"]), m["full_col"]) == k + 1))
+    tables = F.transform("dt", lambda d, k: F.struct((k + 1).alias("table_pos"), d.alias("table"), F.get(F.filter("tabs", lambda m: m["name"] == d), F.lit(0))["alias"].alias("alias")))
 
     def edge(s: Column) -> Column:
-        inside = F.filter("x", lambda n: (n["p"]["clause"] == "ON") & (n["p"]["seg"] == s) & (n["pos"] > s))
-        both = F.array_sort(F.array_distinct(F.transform(F.filter("cols", lambda n: (n["p"]["seg"] == s) & n["qual"].isNotNull()), lambda n: n["table"])))
-        last = F.array_max(F.transform(inside, lambda n: n["pos"]))
-        return F.struct(s.alias("seg"), both.alias("both"), let(F.filter("x", lambda n: (n["pos"] > s) & (n["pos"] <= last)), _text).alias("condition"))
+        both = F.array_sort(F.array_distinct(F.transform(F.filter(s["x"], lambda m: m["is_col"] & m["qual"].isNotNull()), lambda m: m["table"])))
+        return F.struct(s["seg"].alias("seg"), both.alias("both"), _text(s["x"]).alias("condition"))
 
-    join_edges = F.transform(F.filter(F.transform(segs, edge), lambda e: F.size(e["both"]) == 2), lambda e: F.struct(
+    join_edges = F.transform(F.filter(F.transform(of("ON"), edge), lambda e: F.size(e["both"]) == 2), lambda e: F.struct(
         e["seg"].alias("seg"), F.get(e["both"], F.lit(0)).alias("source"), F.get(e["both"], F.lit(1)).alias("target"), e["condition"].alias("condition")))
-    side = lambda n: F.concat_ws(".", n["table"], n["name"])
-    implicit = F.transform(F.filter("joins", lambda q: ~q["l"]["of_sub"] & ~q["r"]["of_sub"]), lambda q: F.struct(
-        q["e"]["pos"].alias("seg"), q["l"]["table"].alias("source"), q["r"]["table"].alias("target"), F.concat(side(q["l"]), F.lit(" = "), side(q["r"])).alias("condition")))
-    resolved = F.filter("cols", lambda n: n["table"].isNotNull())
-    t = t.select("query_id", "reason", "x", "joins", tables.alias("tables"), columns.alias("columns"), join_edges.alias("join_edges"),
-                 implicit.alias("implicit_edges"), resolved.alias("cols"))
-
-    joined = F.flatten(F.transform("joins", lambda q: F.array(q["l"]["pos"], q["r"]["pos"])))
-    filtered = F.filter("cols", lambda n: (n["p"]["clause"] == "WHERE") & ~F.array_contains(joined, n["pos"]))
+    implicit = F.transform("joins", lambda q: F.struct(q["seg"].alias("seg"), q["l"]["table"].alias("source"), q["r"]["table"].alias("target"),
+                                                       F.concat(side(q["l"]), F.lit(" = "), side(q["r"])).alias("condition")))
+
+    # Filters are the columns of a WHERE that are on no side of such an equality.
+    filtered = F.flatten(F.transform(of("WHERE"), lambda s: F.transform(F.filter(s["x"], lambda m: m["is_col"] & m["table"].isNotNull() & ~F.exists(
+        "joins", lambda q: (q["seg"] == s["seg"]) & ((q["l"]["pos"] == m["pos"]) | (q["r"]["pos"] == m["pos"])))), lambda m: F.struct(
+            m["table"].alias("table"), F.lower(m["name"]).alias("column"), F.lit("WHERE").alias("op"), s["seg"].alias("seg")))))
     t = t.select("*", filtered.alias("filtered"))
-    predicates = _counted(F.transform("filtered", lambda n: F.struct(n["table"].alias("table"), F.lower(n["name"]).alias("column"))), ("table", "column"))
-    touch = lambda cs, op: F.array_distinct(F.transform(cs, lambda n: F.struct(n["table"].alias("table"), F.lit(op).alias("op"), n["p"]["seg"].alias("seg"))))
-    limited = F.exists("x", lambda n: (n["u"] == "LIMIT") & (n["p"]["clause"] == "LIMIT"))
-    touched = F.concat(touch(col("filtered"), "WHERE"), touch(F.filter("cols", lambda n: n["p"]["clause"] == "GROUP"), "GROUP BY"),
-                       touch(F.filter("cols", lambda n: n["p"]["clause"] == "ORDER"), "ORDER BY"),
-                       F.when(limited, F.array_distinct(F.transform("cols", lambda n: F.struct(n["table"].alias("table"), F.lit("LIMIT").alias("op"), F.lit(-1).alias("seg")))))
-                       .otherwise(F.array().cast("array<struct<table:string,op:string,seg:int>>")))
-    called = F.flatten(F.transform("cols", lambda n: F.transform(n["p"]["calls"], lambda c: F.struct(
-        n["table"].alias("table"), F.get("x", c)["u"].alias("agg"), c.alias("call")))))
-    called = F.filter(called, lambda c: c["agg"].isin(TRACKED_AGGREGATES))
-    distinct = F.flatten(F.transform("cols", lambda n: F.transform(n["p"]["dists"], lambda c: F.struct(
-        n["table"].alias("table"), F.lit("DISTINCT").alias("agg"), c.alias("call")))))
-    aggregations = _counted(F.array_distinct(F.concat(called, distinct)), ("table", "agg"))
-    return t.select("query_id", "reason", "tables", "columns", "join_edges", "implicit_edges", predicates.alias("predicates"),
-                    _counted(touched, ("table", "op")).alias("operations"), aggregations.alias("aggregations"))
-
-
-def mine(log: DataFrame, checkpoint: bool = True, rows_per_task: int = 4096) -> MinedLog:
-    """Facts of ``log`` (query_id, sql); written to the shared folder once, unless told otherwise.
-
-    A statement takes far longer to read than its bytes suggest, so the statements are dealt out
-    by their number, not by the size of the scan: ``rows_per_task`` to a task.
+    touched = lambda clause: F.flatten(F.transform(of(clause), lambda s: F.array_distinct(F.transform(
+        F.filter(s["x"], lambda m: m["is_col"] & m["table"].isNotNull()), lambda m: F.struct(m["table"].alias("table"), F.lit(clause).alias("op"))))))
+    where = F.transform(F.array_distinct(F.transform("filtered", lambda m: F.struct(m["table"].alias("table"), m["op"].alias("op"), m["seg"].alias("seg")))),
+                        lambda m: F.struct(m["table"].alias("table"), m["op"].alias("op")))
+    limited = F.when(F.size(of("LIMIT")) > 0, F.array_distinct(F.transform(F.filter("cols", lambda m: m["table"].isNotNull()), lambda m: F.struct(
+        m["table"].alias("table"), F.lit("LIMIT").alias("op"))))).otherwise(F.array().cast("array<struct<table:string,op:string>>"))
+    called = F.flatten(F.transform(F.flatten(F.transform("segs", lambda s: s["called"])), lambda c: F.array_distinct(F.transform(
+        c["cols"], lambda m: F.struct(m["table"].alias("table"), c["agg"].alias("agg"))))))
+    return t.select("template", "reason", tables.alias("tables"), columns.alias("columns"), join_edges.alias("join_edges"), implicit.alias("implicit_edges"),
+                    _counted(F.transform("filtered", lambda m: F.struct(m["table"].alias("table"), m["column"].alias("column"))),
+                             ("table", "column")).alias("predicates"),
+                    _counted(F.concat(where, touched("GROUP BY"), touched("ORDER BY"), limited), ("table", "op")).alias("operations"),
+                    _counted(called, ("table", "agg")).alias("aggregations"))
+
+
+def mine(log: DataFrame, checkpoint: bool = True) -> MinedLog:
+    """Facts of ``log`` (query_id, sql); statements with their templates, and the templates' facts, are written to the shared folder once, unless told otherwise.
+
+    Null or empty text is rejected as empty.  query_id is carried as it is; repeated rows are repeated statements.
     """
-    log = log.select("query_id", "sql")
-    facts = statement_facts(log.repartition(log.count() // rows_per_task + 1, "query_id"))
-    return MinedLog(stored(facts, "mined") if checkpoint else facts)
+    keep = stored if checkpoint else lambda df, _: df
+    rows = keep(templated(log.select("query_id", "sql")).withColumn("template", F.md5("text")), "statements")
+    templates = rows.groupBy("template").agg(F.first("text").alias("text"))
+    return MinedLog(rows.select("query_id", "template", "literals"), keep(template_facts(templates), "templates"))
 
 
 # --------------------------------------------------------------------------
