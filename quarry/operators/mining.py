@@ -34,7 +34,8 @@ QUOTED_RE = r"""\"[^"]*(?:""[^"]*)*"|`[^`]*`"""
 WORD_RE = r"[A-Za-z_][A-Za-z0-9_$]*"
 NUMBER_RE = r"[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 NAME_RE = f"(?:{QUOTED_RE}|{WORD_RE})"
-CHUNK_RE = f"{COMMENT_RE}|{LITERAL_RE}|{QUOTED_RE}|{WORD_RE}|{NUMBER_RE}|\\s+|(?s:.)"
+# The plain text between literals, quoted names and comments is taken in runs of words and signs.
+CHUNK_RE = f"{COMMENT_RE}|{LITERAL_RE}|{QUOTED_RE}|{NUMBER_RE}|(?:{WORD_RE}|[^'\"`0-9/A-Za-z_-]++|-(?!-)|/(?!\\*)){{1,200}}+|(?s:.)"
 
 # Marks that stand in a template's text for what was there: a literal (with its number between two of them), the two
 # sides of a bracket, a subquery, and the borders of a clause word.
@@ -99,12 +100,14 @@ class MinedLog:
 
 
 def templated(log: DataFrame) -> DataFrame:
-    """query_id, text (comments and literals blanked), literals (as written, in order): one regular expression a statement."""
+    """query_id, text (comments and literals blanked), literals (as written, in order): one pass over a statement."""
     sql = F.translate(F.coalesce(F.col("sql"), F.lit("")), LITERAL + OPEN + CLOSE + SUBQUERY + BORDER + BODY, "")
     rows = log.select("query_id", F.regexp_extract_all(sql, F.lit(CHUNK_RE), F.lit(0)).alias("chunks"))
     is_literal = lambda c: c.rlike("^['0-9]")
-    blank = lambda c: F.when(c.rlike(r"^(--|/\*|\s)"), F.lit(" ")).when(is_literal(c), F.lit(LITERAL)).otherwise(c)
-    text = F.regexp_replace(F.array_join(F.transform("chunks", blank), ""), " +", " ")
+    is_comment = lambda c: c.startswith("--") | c.startswith("/*")
+    is_quoted = lambda c: c.startswith('"') | c.startswith("`")
+    blank = lambda c: F.when(is_literal(c), F.lit(LITERAL)).when(is_comment(c), F.lit(" ")).when(is_quoted(c), c).otherwise(F.regexp_replace(c, r"\s+", " "))
+    text = F.array_join(F.transform("chunks", blank), "")
     return rows.select("query_id", F.btrim(text).alias("text"), F.filter("chunks", is_literal).alias("literals"))
 
 
@@ -148,7 +151,7 @@ def _bare(name: Column) -> Column:
 
 
 def _is_name(token: Column) -> Column:
-    return F.coalesce(token.rlike(r'^["`A-Za-z_]') & ~F.upper(token).isin(KEYWORDS), F.lit(False))
+    return F.coalesce(token.rlike(rf'(?i)^(?!(?:{"|".join(KEYWORDS)})$)["`A-Z_]'), F.lit(False))
 
 
 def _mentions(body: Column, clause: Column) -> Column:
@@ -187,11 +190,12 @@ def _called(body: Column, clause: Column) -> Column:
     """The arguments of each call of a tracked aggregate in a text, and of each DISTINCT that opens a call's arguments."""
     rules = {a: rf"(?i)(?<![A-Za-z0-9_$.]){a}\s*{OPEN}({_IN_BRACKETS}){CLOSE}" for a in TRACKED_AGGREGATES}
     rules["DISTINCT"] = rf"(?i){OPEN}\s*DISTINCT\b({_IN_BRACKETS}){CLOSE}"
-    def calls(name: str, rule: str) -> Column:
-        return F.transform(F.regexp_extract_all(body, F.lit(rule), F.lit(1)), lambda inner: F.struct(
-            F.lit(name).alias("agg"), F.filter(_mentions(inner, clause), lambda m: m["is_col"]).alias("cols")))
+    inner = F.flatten(F.array(*[F.transform(F.regexp_extract_all(body, F.lit(rule), F.lit(1)), _named(name)) for name, rule in rules.items()]))
+    return F.transform(inner, lambda c: F.struct(c["agg"].alias("agg"), F.filter(_mentions(c["text"], clause), lambda m: m["is_col"]).alias("cols")))
 
-    return F.flatten(F.array(*[calls(name, rule) for name, rule in rules.items()]))
+
+def _named(name: str):
+    return lambda text: F.struct(F.lit(name).alias("agg"), text.alias("text"))
 
 
 def _counted(pairs: Column, names: tuple[str, str]) -> Column:
@@ -207,7 +211,7 @@ def _text(tokens: Column) -> Column:
         prev = F.get(tokens, i - 1)
         tight = (i == 0) | x["tok"].isin(CLOSE, ",") | (prev["tok"] == OPEN) | ((x["tok"] == OPEN) & prev["is_func"])
         word = (F.when(x["is_col"] & x["table"].isNotNull() & x["qual"].isNotNull(), F.concat_ws(".", x["table"], x["name"]))
-                .when(x["tok"] == SUBQUERY, F.lit("(...)")).when(x["is_name"], x["tok"]).when(x["u"].isin(KEYWORDS), x["u"]).otherwise(x["tok"]))
+                .when(x["tok"] == SUBQUERY, F.lit("(...)")).when(x["is_name"], x["tok"]).when(x["tok"].rlike(r"^[A-Za-z]"), x["u"]).otherwise(x["tok"]))
         return F.concat(F.when(tight, F.lit("")).otherwise(F.lit(" ")), word)
 
     return F.translate(F.array_join(F.transform(tokens, spaced), ""), OPEN + CLOSE, "()")
@@ -292,13 +296,15 @@ def template_facts(templates: DataFrame) -> DataFrame:
                     _counted(called, ("table", "agg")).alias("aggregations"))
 
 
-def mine(log: DataFrame, checkpoint: bool = True) -> MinedLog:
+def mine(log: DataFrame, checkpoint: bool = True, rows_per_task: int = 8192) -> MinedLog:
     """Facts of ``log`` (query_id, sql); statements with their templates, and the templates' facts, are written to the shared folder once, unless told otherwise.
 
     Null or empty text is rejected as empty.  query_id is carried as it is; repeated rows are repeated statements.
+    A statement takes longer to read than its bytes suggest, so statements are dealt out by their number, ``rows_per_task`` to a task.
     """
     keep = stored if checkpoint else lambda df, _: df
-    rows = keep(templated(log.select("query_id", "sql")).withColumn("template", F.md5("text")), "statements")
+    log = log.select("query_id", "sql")
+    rows = keep(templated(log.repartition(log.count() // rows_per_task + 1, "query_id")).withColumn("template", F.md5("text")), "statements")
     templates = rows.groupBy("template").agg(F.first("text").alias("text"))
     return MinedLog(rows.select("query_id", "template", "literals"), keep(template_facts(templates), "templates"))
 
