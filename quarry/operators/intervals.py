@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKET_US = None  # buckets are fitted to the data; a number is a fixed width in time
-ROWS_PER_BUCKET = 100_000
+ROWS_PER_BUCKET = 1_000_000
 
 
 def bucketed(df: DataFrame, keys: list[str], order: str, bucket_us: int | None = DEFAULT_BUCKET_US) -> DataFrame:

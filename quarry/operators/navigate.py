@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts as TX
+from ..session import stored
 from . import vectors as V
 
 # Fixed values of the navigation rules.
@@ -66,11 +67,13 @@ def paths_between(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS)
     """
     if max_hops > 3:
         raise ValueError("paths_between searches paths of at most three edges")
-    e = weight_norm(edges).select("src", "dst", F.col("weight").cast("long").alias("w"), F.col("norm").alias("n")).checkpoint(eager=True)
+    e = weight_norm(edges).select("src", "dst", F.col("weight").cast("long").alias("w"), F.col("norm").alias("n"))
+    e = stored(e, "edges")
     degree = e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
     named = lambda df, *to: df.toDF(*to)
     asked = pairs.select("src", "dst").where("src <> dst").distinct()
-    asked = asked.join(named(degree, "src", "ds"), "src").join(named(degree, "dst", "dd"), "dst").select("src", "dst", "ds", "dd").checkpoint(eager=True)
+    asked = asked.join(named(degree, "src", "ds"), "src").join(named(degree, "dst", "dd"), "dst").select("src", "dst", "ds", "dd")
+    asked = stored(asked, "asked")
     row = lambda path, hops, w, n: ["src", "dst", path.alias("path"), F.lit(hops).alias("hops"), w.alias("wsum"), n.alias("nsum")]
     out = asked.join(e, ["src", "dst"]).select(*row(F.array("src", "dst"), 1, F.col("w"), F.col("n")))
     if max_hops > 1:
@@ -218,16 +221,16 @@ def greedy_connect(questions: DataFrame, valid: DataFrame, p: DataFrame | Callab
     paths from them to pending tables that were not searched before, and scores each (question, path) once; scored candidates
     stay until their table is connected.  The best per question (total desc, hops, path) is absorbed.  A question without
     candidate stops and adds its pending tables (v2); finished questions leave the state.  Every round's tables are
-    checkpointed.  ``max_rounds`` None: until no question is left.
+    written to the shared folder.  ``max_rounds`` None: until no question is left.
     Returns (qid, round, path_key, path, total) rows for the chosen paths and
     (qid, round, fallback) rows for pending tables added without a path.
     """
     spark = questions.sparkSession
-    questions = questions.select("qid", "vec").checkpoint(eager=True)
+    questions = stored(questions.select("qid", "vec"), "questions")
     tables = valid.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("table_pos", "table"))).alias("t"))
     names = F.transform("t", lambda x: x["table"])
     state = tables.select("qid", F.slice(names, 1, 1).alias("connected"), F.slice(names, F.lit(2), F.size("t")).alias("pending"))
-    state = state.withColumn("frontier", F.col("connected")).where(F.size("pending") > 0).checkpoint(eager=True)
+    state = stored(state.withColumn("frontier", F.col("connected")).where(F.size("pending") > 0), "state")
     kind = dict(questions.dtypes)["qid"]
     picks = spark.createDataFrame([], f"qid {kind}, round int, path_key string, path array<string>, total double, fallback array<string>")
     searched = found = cands = None
@@ -237,23 +240,24 @@ def greedy_connect(questions: DataFrame, valid: DataFrame, p: DataFrame | Callab
         new = state.select("qid", F.explode("frontier").alias("src"), "pending").select("qid", "src", F.explode("pending").alias("dst"))
         ask = new.select("src", "dst").distinct()
         if callable(p):
-            ask = (ask if searched is None else ask.join(searched, ["src", "dst"], "left_anti")).checkpoint(eager=True)
-            more = p(ask)
-            found = (more if found is None else found.unionByName(more)).checkpoint(eager=True)
+            ask = stored(ask if searched is None else ask.join(searched, ["src", "dst"], "left_anti"), "ask")
+            more = stored(p(ask), "found")
+            found = more if found is None else found.unionByName(more)
             searched = ask if searched is None else searched.unionByName(ask)
         scored = scored_paths(questions, found if callable(p) else p, new).select("qid", "dst", "path", "path_key", "hops", "total")
         if cands is not None:
             left = cands.join(state.select("qid", "pending"), "qid").where(F.array_contains("pending", F.col("dst"))).drop("pending")
             scored = left.unionByName(scored)
-        cands = scored.checkpoint(eager=True)
+        cands = stored(scored, "candidates")
         rank = F.coalesce(-F.round("total", 9), F.lit(float("inf")))
         best = cands.groupBy("qid").agg(F.min(F.struct(rank.alias("rank"), "hops", "path_key", "path", "total")).alias("best"))
-        step = state.join(best, "qid", "left").select("qid", "connected", "pending", "best.path", "best.path_key", "best.total").checkpoint(eager=True)
+        step = state.join(best, "qid", "left").select("qid", "connected", "pending", "best.path", "best.path_key", "best.total")
+        step = stored(step, "step")
         got = F.col("path").isNotNull()
         picks = picks.unionByName(step.select(
             "qid", F.lit(rnd).alias("round"), "path_key", "path", "total",
             F.when(~got, F.col("pending")).otherwise(F.lit(None).cast("array<string>")).alias("fallback")))
         state = step.where(got).select("qid", F.array_union("connected", "path").alias("connected"), F.array_except("pending", "path").alias("pending"),
                                        F.array_except("path", "connected").alias("frontier"))
-        state = state.where(F.size("pending") > 0).checkpoint(eager=True)
+        state = stored(state.where(F.size("pending") > 0), "state")
     return picks
