@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import WHITE, WHITE_CHARS, col_of, let, others, words_of
 
-#: How a sentence ends, what marks noise inside a line, what separates navigation links.
-SENTENCE_END = r"[.!?…。！？:;][\"'”’»)\]]*([\x20\x09-\x0D]|$)"
+#: How a sentence ends (a mark of any script, closing marks, then a blank or the end; full stops of scripts without
+#: blanks stand alone), what marks noise inside a line, what separates navigation links.
+SENTENCE_END = r"[.!?…:;։؟۔।॥།༎။።፧፨។៕︒．：；][\"'”’»›)\]」』）】》〉]*([\x20\x09-\x0D]|$)|[。！？｡]"
 NOISE = r"!!|\?\?|[#*$%&|<>]"
 SEPARATOR = r"[|»›•·]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -47,7 +48,10 @@ def line_passes(line: Column) -> Column:
     """The three rules on one line that has a word; boilerplate fails a line that mostly consists of it."""
     bare = F.btrim(line, F.lit(WHITE_CHARS))
     n_words = n_matches(bare, f"[{WHITE}]+") + 1
-    punctuation = bare.rlike(SENTENCE_END) & (100 * n_matches(bare, NOISE) <= MAX_NOISE_PERCENT * n_words)
+    noise = n_matches(bare, NOISE)
+    # One sign spoils no line; more are held against the words, or the characters of a line without blanks.
+    clean = (noise <= 1) | (100 * noise <= MAX_NOISE_PERCENT * F.when(n_words == 1, F.length(bare)).otherwise(n_words))
+    punctuation = bare.rlike(SENTENCE_END) & clean
     navigation = n_matches(bare, SEPARATOR) < MIN_SEPARATORS
     return punctuation & navigation & ~mostly_boilerplate(bare)
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 WS = r"[\x20\x09-\x0D]"
 BLANKS = r"chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 
+PHRASES = (r"(^|[^\p{L}\p{N}])(?:all rights reserved|cookie policy|privacy policy|terms of use|terms of service|click here|sign up|log in|subscribe now"
+           r"|subscribe to our|enable javascript|powered by|lorem ipsum|share this|skip to content|back to top|read more)($|[^\p{L}\p{N}])")
+
 OP2 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, string_split(text, chr(10)) AS lines FROM d),
@@ -14,14 +17,16 @@ again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i+1, i+2]) AS p FROM again) GROUP BY doc_id),
 ln AS (SELECT doc_id, unnest(lines) AS line FROM w),
 bare AS (SELECT doc_id, line, trim(line, {BLANKS}) AS b FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+furniture AS (SELECT doc_id, line, b, lower(b) AS low, len(regexp_extract_all(b, '!!|\?\?|[#*$%&|<>]')) AS noise,
+    regexp_replace(regexp_replace(regexp_replace(replace(lower(b), '©', ''), '(^|[^\p{{L}}\p{{N}}])copyright \(c\)', '\1', 'g'), '{PHRASES}', '\1\2', 'g'), '{PHRASES}', '\1\2', 'g') AS rest FROM bare),
 bad AS (
   SELECT doc_id, b, line,
-    NOT (regexp_matches(b, '[.!?…。！？:;][\x22\x27”’»)\]]*([\x20\x09-\x0D]|$)')
-         AND 100 * len(regexp_extract_all(b, '!!|\?\?|[#*$%&|<>]')) <= 20 * (len(regexp_extract_all(b, '{WS}+')) + 1)
+    NOT (regexp_matches(b, '[.!?…:;։؟۔।॥།༎။።፧፨។៕︒．：；][\x22\x27”’»›)\]」』）】》〉]*([\x20\x09-\x0D]|$)|[。！？｡]')
+         AND (noise <= 1 OR 100 * noise <= 20 * CASE WHEN regexp_matches(b, '{WS}') THEN len(regexp_extract_all(b, '{WS}+')) + 1 ELSE length(b) END)
          AND len(regexp_extract_all(b, '[|»›•·]')) < 3
-         AND NOT regexp_matches(lower(b), 'all rights reserved|cookie policy|privacy policy|terms of use|terms of service|click here|sign up|log in|subscribe now|subscribe to our|enable javascript|powered by|lorem ipsum|share this|skip to content|back to top|read more|copyright \(c\)|©')
+         AND NOT 100 * (length(regexp_replace(low, '{WS}+', '', 'g')) - length(regexp_replace(rest, '{WS}+', '', 'g'))) > 50 * length(regexp_replace(low, '{WS}+', '', 'g'))
     ) AS fails
-  FROM bare),
+  FROM furniture),
 per AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (fails) AS n_bad_lines,
           coalesce(sum(length(regexp_replace(line, '{WS}+', '', 'g'))) FILTER (NOT fails), 0) AS kept_chars
         FROM bad GROUP BY doc_id),

@@ -45,6 +45,36 @@ def test_boilerplate_phrase_in_a_clean_line(spark):
     assert rows[0].kept and rows[0].cleaned == good[-1]
 
 
+def test_sentences_of_many_scripts(spark):
+    good = ["यह एक साफ़ वाक्य है।", "هل هذا سؤال؟", "یہ ایک جملہ ہے۔", "これは文です。次の文です", "「これは文です。」", "ይህ ዓረፍተ ነገር ነው።", "Սա նախադասություն է։", "C# is nice.",
+            "割合は50%で増加率は20%である。", "A 10% rise & more was seen last year in the north of it."]
+    bad = ["यह वाक्य नहीं", "これは題名", "###%%%。", "Home ›› News ›› Sport। Last", "50% 20% $5 #1."]
+    df = spark.createDataFrame([(x, x in good) for x in good + bad], "line string, want boolean")
+    assert [r.line for r in df.where(line_quality.line_passes(F.col("line")) != F.col("want")).collect()] == []
+    rng = random.Random(4)
+    words = ["".join(rng.choice("कखगचजटडतदनपबमयरलवसह") for _ in range(4)) for _ in range(300)]
+    prose = "\n".join(" ".join(rng.choice(words) for _ in range(9)) + "।" for _ in range(12))
+    assert line_quality.judged(docs(spark, [prose])).first().kept
+
+
+def test_twin_states_the_rules(spark):
+    """The DuckDB twin and the operator on lines that the given tables do not have."""
+    import duckdb
+
+    from quarry.llm.oracle import OP2
+    lines = ["Read more.", "Log in, sign up.", "© All rights reserved.", "Copyright (c) Ann.", "Find it in the catalog in the hall.", "यह साफ़ है।", "C# is nice.", "De%%% la### et***.",
+             "これは文です。次", "no mark", "a | b | c | d.", "Privacy policy | Cookie policy.", "Relog in."]
+    texts = ["\n".join(lines[k:] + lines[:k]) + "\n" + prose(random.Random(k), 60 * (k % 3)) for k in range(len(lines))]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    names = ["doc_id", "n_bad_lines", "kept_chars", "kept"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({OP2})").fetchall()
+    got = line_quality.judged(docs(spark, texts)).select(F.col("id").alias("doc_id"), *names[1:]).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_verdict_on_lost_text(spark):
     rng = random.Random(3)
     clean = prose(rng, 100)
