@@ -126,8 +126,9 @@ def last_said(asked: DataFrame, said: DataFrame) -> DataFrame:
 def linked_passages(messages: DataFrame) -> DataFrame:
     """Per passage the turn that it quotes: conv, turn, level, first, quoted.
 
-    A passage is looked up whole, then by its lines and sentences; of several turns the latest that is
-    earlier than the quoting message counts.
+    A passage is looked up whole, then by its lines and sentences; a piece belongs to the latest turn that said it and is
+    earlier than the quoting message.  Of several turns the one that said the passage whole counts, then the one
+    with most words of it, so that a short common answer among the pieces does not decide; then the latest.
     """
     quoted = passages(messages).where("conv IS NOT NULL AND turn IS NOT NULL")
     flat = normalised(F.col("text"))
@@ -138,8 +139,10 @@ def linked_passages(messages: DataFrame) -> DataFrame:
     asked = stored(asked, "quoted")
     # Only conversations with a quotation need an index.
     found = last_said(asked, said(messages.join(asked.select("conv").distinct(), "conv", "left_semi"), asked))
-    return (asked.join(found, ["conv", "h1", "h2", "turn"]).groupBy("conv", "turn", "level", "first")
-            .agg(F.max(F.struct("whole", "quoted"))["quoted"].alias("quoted")))
+    passage = ["conv", "turn", "level", "first"]
+    by_turn = asked.join(found, ["conv", "h1", "h2", "turn"]).groupBy(*passage, "quoted").agg(
+        F.max("whole").alias("whole"), F.sum(F.size(F.split("piece", " "))).alias("words"))
+    return by_turn.groupBy(*passage).agg(F.max(F.struct("whole", "words", "quoted"))["quoted"].alias("quoted"))
 
 
 def threads(parents: DataFrame) -> DataFrame:

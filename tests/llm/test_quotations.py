@@ -50,6 +50,14 @@ def test_parts_and_rewrapped_passages(spark):
     assert [got[1, t].parent for t in range(2, 10)] == [0, 1, 0, 0, None, None, 7, None]
 
 
+def test_most_words_decide_not_the_latest_part(spark):
+    rows = [(1, 0, "user", "Alpha beta gamma delta epsilon zeta. Please check the log."), (1, 1, "assistant", "Thanks."), (1, 2, "user", "Yes."),
+            (1, 3, "user", "> Alpha beta gamma delta epsilon zeta.\n> [...]\n> Thanks.\nAgreed."), (1, 4, "user", "> Alpha beta gamma delta epsilon zeta. Yes.\nSo be it."),
+            (1, 5, "user", "> Thanks.\n> Yes.\nA tie goes to the later one.")]
+    got = run(spark, rows)
+    assert [got[1, t].parent for t in range(3, 6)] == [0, 0, 2]
+
+
 def test_latest_earlier_speaker(spark):
     rows = [(1, 1, "user", "Use sorted."), (1, 9, "user", "Use sorted."), (1, 10, "user", "> Use sorted.\nWhy?"), (1, 5, "user", "> Use sorted.\nAnd then?"),
             (1, 1, "user", "Use sorted."), (1, 5000, "user", "> Use sorted.\nMuch later"), (1, 5001, "user", "> Use sorted.\nUse sorted."),
