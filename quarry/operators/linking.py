@@ -19,13 +19,13 @@ LINK_TOKEN_RE = r"[a-z0-9]+"
 
 
 def schema_metadata(columns: DataFrame, samples: DataFrame) -> DataFrame:
-    """L1: per table, its columns (by name) and the columns that have samples."""
-    s = samples.select("id", "column").distinct().withColumn("has_samples", F.lit(True))
-    c = columns.select("id", "column").join(s, ["id", "column"], "left")
-    return c.groupBy("id").agg(
-        F.array_join(F.array_sort(F.collect_list("column")), ",").alias("columns"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("has_samples"), F.col("column")))), ",")
-        .alias("sample_columns"))
+    """L1: per table, its columns (by name), the columns that have samples, and their sample values as a map of lists."""
+    vals = samples.groupBy("id", "column").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "value"))), lambda x: x["value"]).alias("vals"))
+    c = columns.select("id", "column").join(vals, ["id", "column"], "left")
+    sampled = F.array_sort(F.collect_list(F.when(F.col("vals").isNotNull(), F.struct("column", "vals"))))
+    out = c.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("column")), ",").alias("columns"), sampled.alias("sampled"))
+    return out.select("id", "columns", F.array_join(F.transform("sampled", lambda x: x["column"]), ",").alias("sample_columns"),
+                      F.map_from_entries("sampled").alias("samples"))
 
 
 def router_context(columns: DataFrame, samples: DataFrame, available: DataFrame) -> DataFrame:
@@ -41,6 +41,31 @@ def router_context(columns: DataFrame, samples: DataFrame, available: DataFrame)
         F.collect_list(F.struct("column", "text"))))).alias("router_json"))
 
 
+def _quoted(c: Column) -> Column:
+    """A text as a JSON string."""
+    listed = F.to_json(F.array(c))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def router_schema(columns: DataFrame, samples: DataFrame, available: DataFrame) -> DataFrame:
+    """L2: one row, the schema text that the router is given: indented JSON of the available tables, their columns and examples.
+
+    Where the graph has none of the available tables, their list instead.  One text by definition, as long as the catalog.
+    """
+    known = columns.select("id", "column").join(available.select(F.col("table").alias("id")), "id", "left_semi")
+    vals = samples.groupBy("id", "column").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("rn", "value"))), lambda x: F.concat(F.lit("'"), x["value"], F.lit("'"))), ", ").alias("vals"))
+    text = F.when(F.col("vals").isNotNull(), F.format_string(TX.ROUTER_EXAMPLES, "vals")).otherwise(F.lit(TX.NO_EXAMPLES))
+    line = known.join(vals, ["id", "column"], "left").select("id", "column", F.concat(F.lit("    "), _quoted(F.col("column")), F.lit(": "), _quoted(text)).alias("line"))
+    joined = lambda c, key: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, c))), lambda x: x[c]), ",\n")
+    tables = line.groupBy("id").agg(joined("line", "column").alias("lines"))
+    tables = tables.select("id", F.concat(F.lit("  "), _quoted(F.col("id")), F.lit(": {\n"), F.col("lines"), F.lit("\n  }")).alias("block"))
+    whole = tables.agg(F.count(F.lit(1)).alias("n"), joined("block", "id").alias("blocks"))
+    names = available.agg(F.array_join(F.transform(F.array_sort(F.collect_list("table")), lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", ").alias("names"))
+    return whole.join(names).select(F.when(F.col("n") > 0, F.concat(F.lit("{\n"), "blocks", F.lit("\n}"))).otherwise(
+        F.concat(F.lit("["), "names", F.lit("]"))).alias("schema_context"))
+
+
 def parse_table_list(response: Column, available: list[str]) -> Column:
     """L3: strip code fences, parse a JSON array, keep available tables; bad JSON -> []."""
     txt = F.trim(F.regexp_replace(F.trim(response), FENCE_RE, ""))

@@ -33,13 +33,23 @@ def _available(spark):
 
 
 def q_schema_metadata(spark, sf_dir):
-    return L.schema_metadata(workload.graph(spark, sf_dir).columns, _samples(spark, sf_dir))
+    m = L.schema_metadata(workload.graph(spark, sf_dir).columns, _samples(spark, sf_dir))
+    values = F.transform(F.array_sort(F.map_entries("samples")), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|")))
+    return m.withColumn("samples", F.array_join(values, ";"))
 
 
 def q_router_context(spark, sf_dir):
     return L.router_context(workload.graph(spark, sf_dir).columns, _samples(spark, sf_dir), _available(spark))
 
 
+def q_router_schema(spark, sf_dir):
+    """L2: the router's schema text for the tables of the catalog, and for two that the graph does not have."""
+    args = workload.graph(spark, sf_dir).columns, _samples(spark, sf_dir)
+    lost = spark.createDataFrame([(GHOST_TABLE,), ("phantom",)], "table string")
+    return L.router_schema(*args, _available(spark)).select(F.lit("graph").alias("kind"), "schema_context").unionByName(
+        L.router_schema(*args, lost).select(F.lit("list").alias("kind"), "schema_context"))
+
+
 def router_responses(spark, sf_dir):
     """Model answers for the router: the query's own tables plus one unknown table,
     fenced as JSON; a rejected statement gets an unparsable answer."""
@@ -159,6 +169,7 @@ def q_ctx_all(spark, sf_dir):
 QUERIES = {
     "schema_metadata": q_schema_metadata,
     "router_context": q_router_context,
+    "router_schema": q_router_schema,
     "linked_tables_parse": q_linked_tables_parse,
     "linked_samples": q_linked_samples,
     "lexical_link": q_lexical_link,

@@ -104,8 +104,9 @@ def oracle() -> dict[str, str]:
     out = {
         "schema_metadata": g + """
 SELECT c.id, string_agg(c."column", ',' ORDER BY c."column") AS columns,
-       coalesce(string_agg(CASE WHEN s.id IS NOT NULL THEN c."column" END, ',' ORDER BY c."column"), '') AS sample_columns
-FROM g_columns c LEFT JOIN (SELECT DISTINCT id, "column" FROM samples) s ON s.id = c.id AND s."column" = c."column"
+       coalesce(string_agg(CASE WHEN s.id IS NOT NULL THEN c."column" END, ',' ORDER BY c."column"), '') AS sample_columns,
+       coalesce(string_agg(CASE WHEN s.id IS NOT NULL THEN c."column" || '=' || s.vals END, ';' ORDER BY c."column"), '') AS samples
+FROM g_columns c LEFT JOIN (SELECT id, "column", string_agg(value, '|' ORDER BY rn) AS vals FROM samples GROUP BY id, "column") s ON s.id = c.id AND s."column" = c."column"
 GROUP BY c.id""",
         "router_context": g + f""",
 svals AS (SELECT id, "column", string_agg('''' || value || '''', ', ' ORDER BY rn) AS vals FROM samples GROUP BY id, "column")
@@ -115,6 +116,13 @@ SELECT c.id, to_json(map_from_entries(list(struct_pack(k := c."column",
 FROM g_columns c LEFT JOIN svals v ON v.id = c.id AND v."column" = c."column"
 WHERE list_contains({AVAIL}, c.id)
 GROUP BY c.id""",
+        "router_schema": g + f""",
+svals AS (SELECT id, "column", string_agg('''' || value || '''', ', ' ORDER BY rn) AS vals FROM samples GROUP BY id, "column"),
+rline AS (SELECT c.id, c."column", '    "' || c."column" || '": ' || to_json(CASE WHEN v.vals IS NOT NULL THEN 'Examples: [' || v.vals || ']' ELSE {q(TX.NO_EXAMPLES)} END)::VARCHAR AS line
+          FROM g_columns c LEFT JOIN svals v ON v.id = c.id AND v."column" = c."column" WHERE list_contains({AVAIL}, c.id)),
+rblock AS (SELECT id, '  "' || id || '": {{' || chr(10) || string_agg(line, ',' || chr(10) ORDER BY "column") || chr(10) || '  }}' AS block FROM rline GROUP BY id)
+SELECT 'graph' AS kind, '{{' || chr(10) || string_agg(block, ',' || chr(10) ORDER BY id) || chr(10) || '}}' AS schema_context FROM rblock
+UNION ALL SELECT 'list', '[''ghost'', ''phantom'']'""",
         "linked_tables_parse": gl + "\nSELECT qid, array_to_string(tables, ',') AS tables FROM linked",
         "linked_samples": gl + """
 SELECT l.qid, s.id, s."column", s.value, s.rn
