@@ -33,8 +33,8 @@ DERIVATIVE = ("key long, warc_type string, record_id string, refers_to string, t
               "content_length long, block_digest string, source_block_digest string, source_payload_digest string, block string")
 
 # What a page does not show; an unclosed comment, script or style runs to the page's end, as in browsers, of the others only the tag goes.
-HIDDEN = re.compile(r"<!--|<(script|style|noscript|template|svg)\b", re.I)
-HIDDEN_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template", "svg")}
+HIDDEN = re.compile(r"<!--|<(script|style|noscript|template|svg|iframe)\b", re.I)
+HIDDEN_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template", "svg", "iframe")}
 TO_THE_END = ("script", "style")
 SELF_CLOSED = re.compile(r"""<svg\b(?:[^>"']|"[^"]*"|'[^']*')*(?<=/)>""", re.I)
 HEAD_OR_BODY = re.compile(r"<(head|body)(?=[\s/>])[^>]*>", re.I)
@@ -42,11 +42,16 @@ HEAD_OR_BODY = re.compile(r"<(head|body)(?=[\s/>])[^>]*>", re.I)
 IN_HEAD = re.compile(r"\s+|<title\b[^>]*>.*?</title\s*>|<(?:title|meta|link|base|basefont|bgsound|noscript|template|noframes|head)\b[^>]*>|<[!?][^>]*>"
                      r"|</(?!(?:head|body|html|br)\b)[a-z][^>]*>", re.S | re.I)
 HEAD_END = re.compile(r"</head\s*>", re.I)
-BREAKS = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|main|aside|blockquote|pre|hr|dd|dt|form|title)\b[^>]*>", re.I)
-TAG = re.compile(r"<!?/?[a-zA-Z][^>]*>|<![^>]*>|<\?[^>]*>")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.S | re.I)
+# The rest of a tag: quoted values may hold a ">"; where a quote is not closed (or longer than 4096 characters), the first ">" ends the tag.
+QUOTED = r"""(?:[^>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+')"""
+REST = rf"(?:{QUOTED}*+>|[^>]*>)"
+BREAKS = re.compile(rf"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|main|aside|blockquote|pre|hr|dd|dt|form|title)\b{REST}", re.I)
+CELLS = re.compile(rf"</?(?:td|th|caption|option|optgroup|select|button|textarea|legend|summary)\b{REST}", re.I)
+TAG = re.compile(rf"<!?/?[a-zA-Z]{REST}|<![^>]*>|<\?[^>]*>")
+TITLE = re.compile(rf"<title\b{REST}(.*?)</title", re.S | re.I)
+LINK = re.compile(rf"""<a\b(?=[\s/>]){QUOTED.replace("]++", "]")}*?(?<![\w-])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.S | re.I)
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+NAMED_IN_PAGE = re.compile(r"<meta\b[^>]*?charset\s*=\s*[\"']?([\w.:-]+)|<\?xml[^>]*?encoding\s*=\s*[\"']([\w.:-]+)", re.I)
 BLANKS = re.compile(r"[^\S\n]+")
 
 
@@ -58,8 +63,8 @@ def record_id(name: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE_OF_IDS, name)}>"
 
 
-def _shown(page: str) -> str:
-    """A page without comments, hidden elements and head."""
+def _open_parts(page: str) -> str:
+    """A page without comments and hidden elements."""
     parts, at, missing = [], 0, set()
     while found := HIDDEN.search(page, at):
         parts.append(page[at:found.start()])
@@ -81,7 +86,10 @@ def _shown(page: str) -> str:
                 tag = page.find(">", found.end())
                 at = found.end() if tag < 0 else tag + 1
         parts.append(" ")
-    page = "".join([*parts, page[at:]])
+    return "".join([*parts, page[at:]])
+
+
+def _without_head(page: str) -> str:
     head = HEAD_OR_BODY.search(page)
     if not head or head[1].lower() == "body":
         return page
@@ -93,8 +101,8 @@ def _shown(page: str) -> str:
 
 
 def plain_text(page: str) -> str:
-    """Visible text of an HTML page, a line per block; comments, scripts, styles and the head go."""
-    text = TAG.sub("", BREAKS.sub("\n", _shown(page)))
+    """Visible text of an HTML page, a line per block and a blank between cells; comments, scripts, styles, frames and the head go."""
+    text = TAG.sub("", CELLS.sub(" ", BREAKS.sub("\n", _without_head(_open_parts(page)))))
     lines = (BLANKS.sub(" ", line).strip() for line in html.unescape(text).split("\n"))
     return "\n".join(line for line in lines if line)
 
@@ -103,8 +111,9 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """Status line, headers (folded lines joined) and payload of an HTTP response; without a header part all is payload."""
     if not block.startswith(b"HTTP/"):
         return "", [], block
-    head, _, payload = block.partition(b"\r\n\r\n")
-    lines = re.sub(r"\r\n[ \t]+", " ", head.decode("latin-1")).split("\r\n")
+    end = re.search(rb"\r?\n\r?\n", block)  # a head whose lines end in LF alone ends there, too
+    head, payload = (block[:end.start()], block[end.end():]) if end else (block, b"")
+    lines = re.split(r"\r?\n", re.sub(r"\r?\n[ \t]+", " ", head.decode("latin-1")))
     headers = [(n.strip().lower(), v.strip()) for n, c, v in (line.partition(":") for line in lines[1:]) if c]
     return lines[0], headers, payload
 
@@ -162,9 +171,9 @@ def derived(key, source_id: str, uri: str | None, date: str | None, block: bytes
     if kind.startswith("text/") or kind.endswith(("xml", "json")):
         data = _body(by_name, payload)
     if data is not None:
-        named = CHARSET.search(by_name.get("content-type", "")) or CHARSET.search(data[:1024].decode("latin-1"))
+        named = CHARSET.search(by_name.get("content-type", "")) or (NAMED_IN_PAGE.search(data[:1024].decode("latin-1")) if kind != "text/plain" else None)
         try:
-            page = data.decode(named[1] if named else "utf-8", "replace")
+            page = data.decode(next(filter(None, named.groups())) if named else "utf-8", "replace")
         except LookupError:
             page = data.decode("utf-8", "replace")
     marked = kind in ("text/html", "application/xhtml+xml")
@@ -173,8 +182,9 @@ def derived(key, source_id: str, uri: str | None, date: str | None, block: bytes
         fields.append(("httpStatus", status))
     fields += [("httpHeader", f"{n}: {v}") for n, v in headers]
     if marked:
-        fields += [("title", html.unescape(BLANKS.sub(" ", t.replace("\n", " "))).strip()) for t in TITLE.findall(page)[:1]]
-        fields += [("outlink", html.unescape(a or b or c)) for a, b, c in LINK.findall(page)]
+        seen = _open_parts(page)
+        fields += [("title", html.unescape(BLANKS.sub(" ", t.replace("\n", " "))).strip()) for t in TITLE.findall(seen)[:1]]
+        fields += [("outlink", html.unescape(a or b or c)) for a, b, c in LINK.findall(seen)]
     made = [("metadata", "application/warc-fields", "".join(f"{n}: {BLANKS.sub(' ', v.replace(chr(10), ' ')).strip()}\r\n" for n, v in fields))]
     if data is not None and (kind.startswith("text/") or marked):
         made.append(("conversion", "text/plain", plain_text(page) if marked else page))

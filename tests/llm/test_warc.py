@@ -99,3 +99,26 @@ def test_op1_on_pages(spark):
     for r in rows:
         assert r.source_payload_digest == warc.digest(pages[r.page_id].html.encode()) and r.target_uri == pages[r.page_id].url
         assert r.warc_type == "metadata" or r.block == warc.plain_text(pages[r.page_id].html)
+
+
+def test_tags_cells_and_hidden_parts():
+    pages = {
+        '<img alt="a > b" src=x>text': "text", '<div title="x>y">hello</div>': "hello", "<p title='1 > 0'>one<p>two": "one\ntwo", '<p class="open>shown': "shown",
+        "<table><tr><td>a</td><td>b</td></tr></table>": "a b", "<select><option>A<option>B</select>": "A B", "a<iframe src=x>inside</iframe>b": "a b",
+        "<b title=it's>still here</b>": "still here", "1 < 2 and 3 > 2": "1 < 2 and 3 > 2",
+    }
+    assert {p: warc.plain_text(p) for p in pages} == pages
+    page = ('<head><title>Own</title></head><svg><title>not this</title></svg><!-- <a href="/comment"> --><script>x = \'<a href="/script">\'</script>'
+            '<a title="x > y" href="/one">1</a><a data-href="/no">2</a><a href=/two>3</a><abbr href="/abbr">')
+    row = warc.derived(1, "s", "http://h/", "d", b"HTTP/1.1 200 OK\nContent-Type: text/html\n\n" + page.encode())
+    fields = row[0][11].split("\r\n")
+    assert [f for f in fields if f.startswith(("title", "outlink"))] == ["title: Own", "outlink: /one", "outlink: /two"]
+    assert "httpStatus: HTTP/1.1 200 OK" in fields and "httpHeader: content-type: text/html" in fields and row[1][11] == "123"
+
+
+def test_charset_is_not_taken_from_prose():
+    text = lambda body, kind=b"text/html": warc.derived(1, "s", "u", "d", b"HTTP/1.1 200 OK\r\nContent-Type: " + kind + b"\r\n\r\n" + body)[-1][11]
+    assert text("<p>Set charset=latin-1 for é.".encode()) == "Set charset=latin-1 for é."
+    assert text('<meta http-equiv=x content="text/html; charset=latin-1"><p>é'.encode("latin-1")) == "é"
+    assert text("<meta charset='latin-1'>é".encode(), b"text/plain") == "<meta charset='latin-1'>é"
+    assert text('<?xml version="1.0" encoding="latin-1"?><p>é</p>'.encode("latin-1"), b"application/xhtml+xml") == "é"
