@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -39,7 +41,6 @@ def create(spark: SparkSession, path: str, text: str) -> bool:
     fs, p = _at(spark, path)
     if fs.exists(p):
         return False
-    import uuid
     own = f"{path}.{uuid.uuid4().hex}"
     out = fs.create(_at(spark, own)[1], False)
     try:
