@@ -40,7 +40,7 @@ def plain_fingerprint(text):
     for i in range(1, 65):
         seed = mixed(i * odd & M)
         mask, factor = seed % (1 << 32), mixed(seed) | 1
-        picked = heapq.nsmallest(2, ((v ^ mask) * factor % (1 << 32), p) for p, v in enumerate(numbered))
+        picked = heapq.nsmallest(2, [((v ^ mask) * factor % (1 << 32), p) for p, v in enumerate(numbered)])
         e = 0
         for p in sorted(p for _, p in picked):
             e = mixed((e * odd + kmers[p] + 1) & M)
