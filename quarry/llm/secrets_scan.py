@@ -11,14 +11,14 @@ the dismissed strings is expected to have been random.
 
 What is not dismissed must also be told from words, which short strings of
 letters need: the tests have no power there.  A string is scored by how common its
-pairs of neighbouring letters and digits are in the documents; its p-value is the share of
-equally long stretches of the documents' own words that score as low, and a second
+pairs of neighbouring letters and digits are among all pairs of the documents; its p-value is the share, in the mean of all documents, of
+equally long stretches of a document's own words, which are cut into such stretches as a whole, that score as low, and a second
 Benjamini-Hochberg step at the same level reports the spans: at most that share of
 them is expected to be words.
 
 DataFrame functions only.  Documents are row-local; the corpus enters by three
 tables of counts (per encoding, length class and bin; per pair of letters; per
-length and score bin), all bounded by construction.
+length and score bin), all bounded by construction and counted over every document.
 """
 
 from __future__ import annotations
@@ -54,12 +54,15 @@ ALPHABETS = [
 FDR = 0.05
 BINS = 60  # of -log2 p, the last open
 LENGTH_CLASSES = [24, 28, 32, 40, 48, 64, 96, 128, 256]
-#: Letters and digits of the word score, stretches of words taken from each document, their lengths (a longer string is
+#: Letters and digits of the word score, the lengths of the stretches that words are cut into (a longer string is
 #: compared with the longest), and the score's bins, eight to a bit.
 PAIRED = SMALL + DIGITS
-STRETCHES = 24
 SIZES = [8, 12, 16, 20, 24, 28, 32, 40, 48, 64]
 SCORE_BINS = 256
+#: A step that divides all lengths, and a piece of words that all of them divide: long texts are cut there, and no stretch is.
+STEP, PIECE = math.gcd(*SIZES), math.lcm(*SIZES)
+#: All documents weigh alike, whatever their length: a document's weight, which its pairs or stretches share.  Whole, so that sums are exact.
+WEIGHT = 1 << 34
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -183,41 +186,91 @@ def bare(token: Column) -> Column:
     return F.lower(F.regexp_replace(token, "[^A-Za-z0-9]+", ""))
 
 
-def stretches(text: Column) -> Column:
-    """Stretches of a text's own words, written without blanks, evenly spaced; candidates are left out, a short text is repeated."""
+def pairs_of(token: Column) -> Column:
+    """Numbers, from 0 on, of the pairs of neighbours of a string of ``PAIRED``."""
+    place = lambda c: F.when(c >= ord("a"), c - ord("a")).otherwise(c - ord("0") + len(SMALL))
+    codes = F.transform(F.split(token, ""), lambda c: place(F.ascii(c)))
+    return let(codes, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda x, y: x * len(PAIRED) + y))
+
+
+def word_pairs(text: Column) -> Column:
+    """All of a text's own words, written without blanks, as pairs of neighbours; candidates are left out.
+
+    The words are a ring, which short texts go round more than once.  It is cut into pieces of ``PIECE`` letters; a piece has the pairs that
+    begin at its own letters, then those of the letters after it that the last stretch of each length may need.
+    """
     longest = SIZES[-1]
 
     def cut(glued: Column) -> Column:
-        ring = F.concat(glued, F.substring(F.repeat(glued, F.floor(longest / F.length(glued)).cast("int") + 1), 1, longest))
-        return F.when(F.length(glued) >= SIZES[0], let(ring, lambda r: F.transform(
-            F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda k: F.substring(r, F.floor(k * F.length(glued) / STRETCHES).cast("int") + 1, F.lit(longest)))))
+        ring = F.substring(F.repeat(glued, F.floor(longest / F.length(glued)).cast("int") + 1), 1, longest)
+        after = lambda p, k: F.coalesce(F.substring(F.get(p, k + 1), 1, longest), F.lit(""))
+        whole = lambda p: F.transform(p, lambda x, k: F.struct(
+            F.length(x).alias("n"), pairs_of(F.concat(x, F.substring(F.concat(after(p, k), ring), 1, longest))).alias("pairs")))
+        return F.when(F.length(glued) >= SIZES[0], let(F.regexp_extract_all(glued, F.lit(f".{{1,{PIECE}}}"), F.lit(0)), whole))
+
+    return F.coalesce(let(F.lower(F.regexp_replace(text, CANDIDATE + "|[^A-Za-z0-9]+", "")), cut), F.array().cast("array<struct<n:int,pairs:array<int>>>"))
+
 
-    return F.coalesce(let(F.lower(F.regexp_replace(text, CANDIDATE + "|[^A-Za-z0-9]+", "")), cut), F.array().cast("array<string>"))
+def shared_weight(parts: Column) -> Column:
+    return F.round(F.lit(WEIGHT) / parts).cast("long")
 
 
-def pair_at(token: Column, k: Column) -> Column:
-    """Number of the pair of characters at a place, from 0 on."""
-    place = lambda i: F.instr(F.lit(PAIRED), F.substring(token, i, F.lit(1))) - 1
-    return place(k) * len(PAIRED) + place(k + 1)
+def letters(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + w["n"])
+
+
+def by_share(weights: dict, n: int) -> dict:
+    """``n`` things dealt out in proportion to whole weights."""
+    total = sum(weights.values())
+    return {k: n * (w / total) for k, w in weights.items()}
 
 
 def pair_scores(rows: DataFrame) -> list[float]:
-    """Per pair of characters the bits by which it is more common in the stretches than among random characters."""
+    """Per pair of characters the bits by which it is more common in the documents' words than among random characters.
+
+    In steps of 2^-20, so that sums are exact in any order.
+    """
     n = len(PAIRED) ** 2
-    pairs = rows.select(F.explode(F.filter("words", lambda _, k: k % 3 == 0)).alias("w")).select("w", F.explode(F.sequence(F.lit(1), F.lit(SIZES[-1] - 1))).alias("k"))
-    counts = dict(map(tuple, pairs.groupBy(pair_at(F.col("w"), F.col("k")).alias("pair")).count().collect()))
-    total = sum(counts.values()) + n / 2
-    return [math.log2((counts.get(k, 0) + 0.5) / total * n) for k in range(n)]
+    pieces = rows.select(F.explode("words").alias("w"), shared_weight(letters(F.col("words"))).alias("weight"))
+    pairs = pieces.select("weight", F.explode(F.slice("w.pairs", F.lit(1), F.col("w.n"))).alias("pair"))
+    found = pairs.groupBy("pair").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")).collect()
+    seen = sum(r["n"] for r in found)
+    counts = by_share({r["pair"]: r["weight"] for r in found}, seen)
+    total = seen + n / 2
+    return [round(math.log2((counts.get(k, 0) + 0.5) / total * n) * 2 ** 20) / 2 ** 20 for k in range(n)]
+
+
+def mean_bin(mean: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(SCORE_BINS - 1), F.floor(8 * mean).cast("int") + SCORE_BINS // 2))
 
 
 def score_bin(scores: Column, size: Column) -> Column:
     """Bin of the mean score of the pairs of the first ``size`` characters."""
-    mean = F.aggregate(F.slice(scores, 1, size - 1), F.lit(0.0), lambda s, x: s + x) / (size - 1)
-    return F.greatest(F.lit(0), F.least(F.lit(SCORE_BINS - 1), F.floor(8 * mean).cast("int") + SCORE_BINS // 2))
+    return mean_bin(F.aggregate(F.slice(scores, 1, size - 1), F.lit(0.0), lambda s, x: s + x) / (size - 1))
 
 
 def word_scores(token: Column, scores: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda k: F.get(scores, pair_at(token, k)))
+    return F.transform(pairs_of(token), lambda p: F.get(scores, p))
+
+
+def stretch_bins(piece: Column, scores: Column) -> Column:
+    """Of a piece of words, the place in ``SIZES`` and the score bin of each of the stretches that it is cut into, as place * SCORE_BINS + bin.
+
+    Every length cuts the whole piece.  A stretch is as many steps as fit its length, less the pair that leads out of it.
+    """
+    def cut(s: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(0), F.floor(F.size(s) / STEP).cast("int") - 1),
+                            lambda j: sum((F.get(s, j * STEP + k) for k in range(1, STEP)), F.get(s, j * STEP)))
+
+        def of_size(place: int, size: int, summed: Column) -> Column:
+            of = size // STEP
+            total = lambda i: sum((F.get(summed, i * of + k) for k in range(1, of)), F.get(summed, i * of)) - F.get(s, i * size + size - 1)
+            return F.transform(F.sequence(F.lit(0), F.floor((piece["n"] - 1) / size).cast("int")),
+                               lambda i: mean_bin(total(i) / (size - 1)) + place * SCORE_BINS)
+
+        return let(steps, lambda b: F.concat(*[of_size(k, n, b) for k, n in enumerate(SIZES)]))
+
+    return let(F.transform(piece["pairs"], lambda p: F.get(scores, p)), cut)
 
 
 def size_class(size: Column) -> Column:
@@ -228,7 +281,7 @@ def size_class(size: Column) -> Column:
     return out
 
 
-def least_word_like(n: dict[tuple[int, int], int], of_words: dict[int, list[int]], tested: int) -> set[tuple[int, int]]:
+def least_word_like(n: dict[tuple[int, int], int], of_words: dict[int, list[float]], tested: int) -> set[tuple[int, int]]:
     """Benjamini-Hochberg over strings counted by (length, score bin): those that are no words.
 
     A string's p-value is the share of the stretches of its length that score as low; ``tested`` counts all strings, also those that cannot be
@@ -250,11 +303,15 @@ def least_word_like(n: dict[tuple[int, int], int], of_words: dict[int, list[int]
 def reported(found: DataFrame, words: DataFrame) -> list[tuple[str, int, int]]:
     """(class, length, score bin) of the strings that are reported.
 
-    ``found`` has a row per candidate: class, size, score, and whether it passes for random; ``words`` one per stretch and length.
+    ``found`` has a row per candidate: class, size, score, and whether it passes for random; ``words`` one per stretch
+    and length: size, score, weight.
     """
-    of_words: dict[int, list[int]] = {}
-    for r in words.groupBy("size", "score").agg(F.count("*").alias("n")).collect():
-        of_words.setdefault(r["size"], [0] * SCORE_BINS)[r["score"]] = r["n"]
+    weights: dict[int, dict[int, int]] = {}
+    n: dict[int, int] = {}
+    for r in words.groupBy("size", "score").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")).collect():
+        weights.setdefault(r["size"], {})[r["score"]] = r["weight"]
+        n[r["size"]] = n.get(r["size"], 0) + r["n"]
+    of_words = {k: [shares.get(b, 0) for b in range(SCORE_BINS)] for k, shares in ((k, by_share(w, n[k])) for k, w in weights.items())}
     tested: dict[str, int] = {}
     passing: dict[str, dict[tuple[int, int], int]] = {}
     for r in found.groupBy("class", "size", "score", "passes").agg(F.count("*").alias("n")).collect():
@@ -281,7 +338,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(col_of(docs, id_col).alias("id"), F.coalesce(col_of(docs, text_col), F.lit("")).alias("text"))
     text = F.col("text")
     rows = rows.select("id", matches(text, ASSIGN, 2).alias("a"), matches(text, ACCESS).alias("k"), matches(text, f"{HEX[:-1]}{{{MIN_HEX},}}").alias("x"),
-                       matches(text, CANDIDATE).alias("c"), stretches(text).alias("words"))
+                       matches(text, CANDIDATE).alias("c"), word_pairs(text).alias("words"))
     rows = rows.select("id", "words", "c", F.array_sort(F.concat(kept(F.col("a"), 0, MIN_ASSIGN), kept(F.col("k"), 1, MIN_ACCESS), kept(F.col("x"), 2, MIN_HEX))).alias("base"))
     fresh = F.filter("c", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     rows = rows.select("id", "words", "base", F.transform(fresh, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("order"), c["end"].alias("end"),
@@ -305,8 +362,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
         return let(bare(c["span"]["found"]), of)
 
-    stretch = rows.select(F.explode("words").alias("w")).select(word_scores(F.col("w"), scores).alias("s"))
-    words = stretch.select(F.inline(F.array(*[F.struct(F.lit(k).alias("size"), score_bin(F.col("s"), F.lit(n)).alias("score")) for k, n in enumerate(SIZES)])))
+    shares = let(letters(F.col("words")), lambda n: F.array(*[shared_weight(F.ceil(n / size)) for size in SIZES]))
+    stretch = rows.select(F.explode("words").alias("w"), shares.alias("shares")).select("shares", F.explode(stretch_bins(F.col("w"), scores)).alias("b"))
+    words = stretch.select("shares", F.shiftright("b", SCORE_BINS.bit_length() - 1).alias("size"), (F.col("b") % SCORE_BINS).alias("score"))
+    words = words.select("size", "score", F.get("shares", F.col("size")).alias("weight"))
     told = reported(found.select(F.explode(F.transform("c", judged)).alias("c")).select("c.class", "c.size", "c.score", "c.passes"), words)
     keys = F.array(*[F.lit(f"{c} {k} {b}") for c, k, b in told]) if told else F.array().cast("array<string>")
     more = F.transform(F.filter(F.transform("c", judged), lambda c: c["passes"] & F.coalesce(

@@ -112,3 +112,27 @@ def test_reported_share():
     assert secrets_scan.least_word_like({(0, 99): 3, (0, 100): 1, (0, 101): 16}, of_words, 20) == set()
     assert secrets_scan.least_word_like({(0, 99): 5, (0, 100): 1, (0, 101): 14}, of_words, 20) == {(0, 99)}
     assert secrets_scan.least_word_like({(0, 99): 5}, {}, 5) == set()
+
+
+def test_word_statistics_take_whole_texts(spark):
+    """Every pair of a text's ring of words counts, and every length cuts all of it, however long the text."""
+    rng = random.Random(5)
+    texts = ["".join(" " if k % 9 == 8 else rng.choice("abcdexyz019.") for k in range(n)) for n in (15, 40, 333, 7001, 20011)]
+    glued = ["".join(c for c in t if c.isalnum()) for t in texts]
+    place = {c: k for k, c in enumerate(secrets_scan.PAIRED)}
+    pairs, want = {}, {}
+    scores = [(k * 37 % 101) / 16 - 3 for k in range(len(place) ** 2)]
+    for g in (g for g in glued if len(g) >= secrets_scan.SIZES[0]):
+        at = lambda i: place[g[i % len(g)]] * len(place) + place[g[(i + 1) % len(g)]]
+        for i in range(len(g)):
+            pairs[at(i)] = pairs.get(at(i), 0) + round(2 ** 34 / len(g))
+        for k, n in enumerate(secrets_scan.SIZES):
+            for i in range(0, len(g), n):
+                score = max(0, min(255, math.floor(8 * sum(scores[at(j)] for j in range(i, i + n - 1)) / (n - 1)) + 128))
+                want[k, score] = want.get((k, score), 0) + 1
+    rows = docs(spark, texts).select(secrets_scan.word_pairs(F.col("text")).alias("words"))
+    seen, n = sum(map(len, glued)), len(scores)
+    counts = {k: seen * (w / sum(pairs.values())) for k, w in pairs.items()}
+    assert secrets_scan.pair_scores(rows) == [round(math.log2((counts.get(k, 0) + 0.5) / (seen + n / 2) * n) * 2 ** 20) / 2 ** 20 for k in range(n)]
+    bins = rows.select(F.explode("words").alias("w")).select(F.explode(secrets_scan.stretch_bins(F.col("w"), F.lit(scores))).alias("b"))
+    assert {(r.b // 256, r.b % 256): r["count"] for r in bins.groupBy("b").count().collect()} == want
