@@ -194,3 +194,31 @@ def test_greedy_searches_each_pair_once_and_finished_questions_leave(spark):
     assert got == whole and len(asked) == len(set(asked))
     assert got[1] == {1: (None, ["f"])} and got[3] == {1: ("x>y", None)} and got[4] == {1: (None, ["y"])} and 5 not in got
     assert got[2] == {1: ("a>b>c>d", None), 2: ("c>d>e>f", None)}  # more of the question in the longer path
+
+
+def test_knn_holds_no_whole_block_product_and_sends_bounded_frames():
+    """A block's distances are worked out for some queries at a time, and a batch of queries is never copied to all its blocks at once."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from quarry.operators import vectors as V
+    rng = np.random.default_rng(3)
+    vec = rng.normal(size=(3000, 8))
+    rows = pd.DataFrame({"qid": np.arange(3000), "vec": list(vec)})
+    tracemalloc.start()
+    got = V._block_search(2, "l2", True)(rows, rows.rename(columns={"qid": "cid"}))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # one 3000 x 3000 matrix is 72 MB
+    d = ((vec[:50, None] - vec[None]) ** 2).sum(axis=2)
+    d[np.arange(50), np.arange(50)] = np.inf
+    assert got[got.qid < 50].groupby("qid").cid.apply(list).tolist() == [list(np.argsort(x)[:2]) for x in d]
+    blocks = np.array([1, 3, 400, 0])
+    chosen = rng.random((3000, 4)) < 0.7
+    chosen[:, 3] = False
+    parts = list(V._spread(rows, chosen, blocks, np.cumsum(blocks) - blocks))
+    assert max(map(len, parts)) <= V.SENT_ROWS
+    want = [(q, b) for q in range(3000) for c in range(4) if chosen[q, c] for b in range(blocks[:c].sum(), blocks[:c + 1].sum())]
+    assert [x for p in parts for x in zip(p.qid, p.block)] == want
