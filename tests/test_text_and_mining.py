@@ -156,3 +156,21 @@ def test_lexical_link_and_hot_tokens(spark):
     q = spark.createDataFrame([(1, "Which customer name is on orders?")], "qid long, question string")
     got = {r["table"]: r["hits"] for r in L.lexical_link(q, L.metadata_tokens(cols, samples)).collect()}
     assert got == {"customer": 2, "orders": 1, "nation": 1}  # customer: 'customer' + 'name'; nation: 'name'
+
+
+def test_graph_counts_statements_per_template(spark):
+    """Frequencies come from templates and their numbers of statements: no statement's facts are written out, but conditions with literals are told apart."""
+    from quarry.operators import graph as G
+    from quarry.operators import mining as W
+    sqls = [f"SELECT a.x, COUNT(b.y) FROM a JOIN b ON a.k = b.k AND b.z = {k % 2} WHERE a.x = {k} GROUP BY a.x" for k in range(6)]
+    sqls += [f"SELECT c.u FROM c, a WHERE c.k = a.k AND c.u > {k} LIMIT 3" for k in range(4)] + ["DELETE FROM a"]
+    log = spark.createDataFrame([(k, s) for k, s in enumerate(sqls)] + [(None, sqls[0])], "query_id long, sql string")
+    m = W.mine(log)
+    plan = G.column_freq(m)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and "explode" not in plan.split("Aggregate")[-1]
+    assert {(r.id, r.column): r.freq for r in G.column_freq(m).collect()} == {
+        ("a", "k"): 10, ("b", "k"): 6, ("a", "x"): 6, ("b", "y"): 6, ("b", "z"): 6, ("c", "u"): 4, ("c", "k"): 4}
+    assert {(r.id, r.key): r.freq for r in G.operation_freq(m).where("freq > 0").collect()} == {
+        ("a", "WHERE"): 6, ("a", "GROUP BY"): 6, ("c", "WHERE"): 4, ("c", "LIMIT"): 4, ("a", "LIMIT"): 4}
+    edges = {(r.source, r.target, r.condition): (r.freq, r.weight, r.is_main) for r in G.edges(m).collect()}
+    assert sorted(v[:2] for v in edges.values()) == [(3, 7), (4, 4), (4, 7)] and {v[2] for k, v in edges.items() if k[0] == "a" and k[1] == "c"} == {True}
