@@ -128,3 +128,12 @@ def test_fitted_buckets_equal_fixed_ones(spark, monkeypatch):
     for bucket in (None, 50):
         got = I.union(df, ["k"], bucket_us=bucket).collect()
         assert {k: sorted((r["start"], r["end"]) for r in got if r["k"] == k) for k in "ab"} == want
+
+
+def test_rows_of_large_keys_are_numbered_as_of_small_ones(spark, monkeypatch):
+    df = spark.createDataFrame([(k, (i * 7) % n) for k, n in ((1, 12), (2, 3), (None, 2)) for i in range(n)], "k long, t long")
+    want = sorted([(k, i, i + 1, n) for k, n in ((1, 12), (2, 3), (None, 2)) for i in range(n)], key=str)
+    for most in (100, 4):
+        monkeypatch.setattr(I, "KEY_ROWS", most)
+        monkeypatch.setattr(I, "ROWS_PER_BUCKET", most)
+        assert sorted(map(tuple, I.numbered(df, ["k"], ["t"]).collect()), key=str) == want

@@ -143,3 +143,28 @@ def test_forced_hash_clash_is_scored_zero_in_exact_mode(spark, monkeypatch):
     for mode in (False, True):
         assert S.execution_accuracy(g, p, cases, relaxed_mode=mode).first().score == 1.0
         assert S.execution_accuracy(g, p, cases, relaxed_mode=mode, exact=True).first().score == 0.0
+
+
+def test_large_cases_score_as_small_ones(spark, monkeypatch):
+    cases = spark.createDataFrame([(k,) for k in range(4)], "case_id long")
+    cells = {0: [("1", "x"), ("2", "y"), ("2", "z")], 1: [("1", "x")], 2: [("7.0", "N"), ("+8", "n/a"), ("8", "N")], 3: []}
+    rows = lambda at: [(k, i, *r) for k, part in cells.items() for i, r in enumerate(at(k, part))]
+    g = spark.createDataFrame(rows(lambda k, part: part), "case_id long, pos long, g string, h string")
+    p = spark.createDataFrame(rows(lambda k, part: part[::-1] if k == 0 else [(a.lower(), b) for b, a in part]), "case_id long, pos long, p string, q string")
+    sets = lambda: {tuple(r) for r in S.relaxed_signatures(g, "case_id", ["g", "h"]).collect()}
+    want = {(mode, exact): {k: 1.0 if k else float(mode) for k in range(4)} for mode in (False, True) for exact in (False, True)}
+    for k in (False, True):
+        want[False, k][2] = 0.0  # lower-cased there
+    small = sets()
+    for most in (100, 2):
+        monkeypatch.setattr(S, "CASE_ROWS", most)
+        assert sets() == small
+        for (mode, exact), scores in want.items():
+            assert dict(S.execution_accuracy(g, p, cases, relaxed_mode=mode, exact=exact).collect()) == scores, (most, mode, exact)
+
+
+def test_quick_texts_are_canonical(spark):
+    texts = ["0", "-0", "00", "7", "-7", "7.", "7.0", "-7.00", "0.0", "-0.0", "999999999999999.0", "9999999999999999.0", "N", "NaN", "nan", "Na", "nulls", "N/A", "n/a ", "a b", "7\n", "x\n", "None", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = canonicalize(df, [("o", F.col("t"), T.StringType())]).select("o", canonical(F.col("t"), T.StringType()).alias("c")).collect()
+    assert [r["o"] for r in both] == [r["c"] for r in both]
