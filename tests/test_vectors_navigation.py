@@ -222,3 +222,20 @@ def test_knn_holds_no_whole_block_product_and_sends_bounded_frames():
     assert max(map(len, parts)) <= V.SENT_ROWS
     want = [(q, b) for q in range(3000) for c in range(4) if chosen[q, c] for b in range(blocks[:c].sum(), blocks[:c + 1].sum())]
     assert [x for p in parts for x in zip(p.qid, p.block)] == want
+
+
+def test_sparse_vectors_score_as_dense_ones(spark):
+    """The same weights without the zeros, and the same similarity; a text without words has no similarity, a missing vector has 0."""
+    df = spark.createDataFrame([("a b b c a1 order 77 orders orders",), ("customer",), ("--",), ("orders customer " * 9,)], "q string")
+    df = V.with_sparse_embedding(V.with_hash_embedding(df, "q", "dense"), "q", "vec").withColumn("path", F.array(F.lit("orders"), F.lit("customer"), F.lit("b")))
+    rows = df.select("dense", "vec", N.path_similarity(F.col("dense"), F.col("path")).alias("a"), N.path_similarity(F.col("vec"), F.col("path"), is_sparse=True).alias("b"),
+                     V.sparse(F.col("dense")).alias("of_dense"), N.path_similarity(F.lit(None).cast("array<double>"), F.col("path")).alias("none")).collect()
+    for r in rows:
+        assert [tuple(p) for p in r["vec"]] == [tuple(p) for p in r["of_dense"]] == [(i, x) for i, x in enumerate(r["dense"]) if x]
+        assert r["a"] == r["b"] and r["none"] == 0.0
+    assert [r["a"] is None for r in rows] == [False, False, True, False]
+
+
+def test_table_pairs_of_repeated_rows(spark):
+    valid = spark.createDataFrame([("q", 1, "a"), ("q", 2, "b"), ("q", 2, "b"), ("r", 1, "a"), (None, 1, "a"), (None, 2, "b")], "qid string, table_pos int, table string")
+    assert sorted(map(tuple, N.table_pairs(valid).collect())) == [("q", 1, 2, "a", "b")] * 2
