@@ -174,3 +174,14 @@ def test_graph_counts_statements_per_template(spark):
         ("a", "WHERE"): 6, ("a", "GROUP BY"): 6, ("c", "WHERE"): 4, ("c", "LIMIT"): 4, ("a", "LIMIT"): 4}
     edges = {(r.source, r.target, r.condition): (r.freq, r.weight, r.is_main) for r in G.edges(m).collect()}
     assert sorted(v[:2] for v in edges.values()) == [(3, 7), (4, 4), (4, 7)] and {v[2] for k, v in edges.items() if k[0] == "a" and k[1] == "c"} == {True}
+
+
+def test_entity_samples_read_a_table_once(spark):
+    rows = [(i, f"v{999 - i}", None) for i in range(1000)] * 2 + [(None, "", None)]
+    df = spark.createDataFrame(rows, "a long, b string, c string").repartition(5)
+    columns = spark.createDataFrame([("t", "A"), ("t", "a"), ("t", "b"), ("t", "c"), ("t", "z"), ("u", "a")], "id string, column string")
+    found = G.entity_samples(spark, columns, {"t": df, "e": df.limit(0)})
+    numbers = [("0", 1), ("1", 2), ("10", 3)]
+    assert sorted(map(tuple, found.select("id", "column", "value", "rn").collect())) == sorted(
+        [("t", c, v, n) for c in ("A", "a") for v, n in numbers] + [("t", "b", v, n) for v, n in (("", 1), ("v0", 2), ("v1", 3))])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
