@@ -138,7 +138,8 @@ def span_tree(spans: DataFrame, keys: list[str], sums: list[str] = (), id_col: s
     one, have in_cycle true and nulls for all else.  Ids are unique within the keys.
 
     Round k knows each span's 2^k-th ancestor and the sums over descendants nearer than
-    2^k; it adds those of the spans whose 2^k-th ancestor it is.  Rounds: log2 of the greatest depth.
+    2^k; it adds those of the spans whose 2^k-th ancestor it is.  Rounds: log2 of the greatest depth.  Spans that know
+    their root are asked and added to, but ask no more.
     """
     rows = spans.select(*keys, F.col(id_col).alias("id"), F.col(parent_col).alias("parent"), *[F.coalesce(c, F.lit(0)).alias(c) for c in sums])
     known = rows.select(*keys, F.col("id").alias("parent"), F.lit(True).alias("known"))
@@ -152,7 +153,8 @@ def span_tree(spans: DataFrame, keys: list[str], sums: list[str] = (), id_col: s
         below = moving.groupBy(*keys, F.col("jump").alias("id")).agg(
             F.sum(F.col("n_below") + 1).alias("add_n"), *[F.sum(c).alias(f"add_{c}") for c in sums])
         target = rows.select(*keys, F.col("id").alias("jump"), F.col("jump").alias("far"), F.col("depth").alias("far_depth"), F.col("root").alias("far_root"))
-        rows = rows.join(target, [*keys, "jump"], "left").join(below, [*keys, "id"], "left")
+        # Without null keys, of which each of few runs would have one group.
+        rows = moving.join(target, [*keys, "jump"], "left").unionByName(rows.where("jump IS NULL"), allowMissingColumns=True).join(below, [*keys, "id"], "left")
         rows = rows.select(
             *keys, "id", "parent", F.col("far").alias("jump"), (F.col("depth") + F.coalesce("far_depth", F.lit(0))).alias("depth"),
             F.coalesce("far_root", "root").alias("root"), (F.col("n_below") + F.coalesce("add_n", F.lit(0))).alias("n_below"),
@@ -167,13 +169,12 @@ def self_times(spans: DataFrame, keys: list[str], id_col: str = "span_id", paren
                bucket_us: int | None = I.DEFAULT_BUCKET_US) -> DataFrame:
     """Each span's own time: its duration without the parts in which a child is open.  Keys, id, duration, self_time.
 
-    One sweep per parent over its children's boundaries: a hot parent is split into buckets of time like a hot run.
+    One shuffle by parent, in which its children's boundaries are walked: a hot parent is split into buckets of time like a hot run.
     A span without end, or reversed, has neither duration nor time of its own, and covers nothing of its parent.
     """
     whole = spans.where(F.col(end) >= F.col(start)).select(*keys, F.col(id_col).alias("of"), F.lit(True).alias("is_base"), F.col(start).alias("start"), F.col(end).alias("end"))
     inner = spans.where(F.col(parent_col).isNotNull()).select(*keys, F.col(parent_col).alias("of"), F.lit(False).alias("is_base"), F.col(start).alias("start"), F.col(end).alias("end"))
-    own = I.subtract_sides(whole.unionByName(inner), [*keys, "of"], F.col("is_base"), ~F.col("is_base"), bucket_us)
-    own = I.total(own, [*keys, "of"], out="self_time").withColumnRenamed("of", id_col)
+    own = I.subtract_total(whole.unionByName(inner), [*keys, "of"], F.col("is_base"), ~F.col("is_base"), "self_time", bucket_us).withColumnRenamed("of", id_col)
     duration = F.when(F.col(end) >= F.col(start), F.col(end) - F.col(start))
     out = spans.select(*keys, F.col(id_col), duration.alias("duration")).join(own, [*keys, id_col], "left")
     return out.withColumn("self_time", F.when(F.col("duration").isNotNull(), F.coalesce("self_time", F.lit(0).cast("long"))))

@@ -94,3 +94,29 @@ def test_self_times(spark):
     df = spark.createDataFrame(rows, "run_id string, span_id long, parent_id long, start long, end long")
     got = {r.span_id: (r.duration, r.self_time) for r in C.self_times(df, ["run_id"]).collect()}
     assert got == {1: (100, 70), 2: (20, 20), 3: (20, 5), 4: (475, 475), 5: (None, None), 6: (0, 0), 7: (4, 4), 8: (None, None)}
+
+
+def test_self_times_walk_small_parents_and_sweep_large_ones(spark, monkeypatch):
+    """One walk for all parents but those of many children; ids that come twice are one base, nulls have none."""
+    rng = random.Random(4)
+    rows = [("r", i, rng.choice([None, 0, 0, 1, rng.randint(0, 60)]), s, s + rng.randint(-3, 30)) for i in range(200) for s in [rng.randint(0, 100)]]
+    rows += [rows[7], ("r", 0, None, 90, 140), (None, 3, 1, 0, 9), ("r", None, 1, 5, 8), ("r", 500, 0, None, 9), ("q", 1, 1, 0, 50)]
+    df = spark.createDataFrame(rows, "run_id string, span_id long, parent_id long, start long, end long")
+    whole = lambda: sorted(map(tuple, C.self_times(df, ["run_id"]).collect()), key=str)
+    sweeps, plain = [], I.subtract_sides
+    monkeypatch.setattr(I, "subtract_sides", lambda *a, **b: sweeps.append(1) or plain(*a, **b))
+    wanted = sorted(map(tuple, C.self_times(df, ["run_id"], bucket_us=10).collect()), key=str)
+    assert sweeps == [1] and whole() == wanted and sweeps == [1]
+    monkeypatch.setattr(I, "KEY_ROWS", 20)
+    assert whole() == wanted and sweeps == [1, 1]
+
+
+def test_settled_spans_join_no_more(spark, monkeypatch):
+    """Roots have no ancestor to ask: they are in no shuffle by a null key."""
+    df = spark.createDataFrame([("k", i, i - 1 if i % 4 else None) for i in range(40)], "k string, span_id long, parent_id long")
+    joined, plain = [], type(df).join
+    monkeypatch.setattr(type(df), "join", lambda self, other, on=None, how=None: joined.append((on, self)) or plain(self, other, on, how))
+    got = C.span_tree(df, ["k"])
+    assert {r.span_id: r.depth for r in got.collect()} == {i: i % 4 for i in range(40)}
+    asked = [d for on, d in joined if on == ["k", "jump"]]
+    assert asked and all(d.where("jump IS NULL").isEmpty() for d in asked)
