@@ -239,3 +239,38 @@ def test_sparse_vectors_score_as_dense_ones(spark):
 def test_table_pairs_of_repeated_rows(spark):
     valid = spark.createDataFrame([("q", 1, "a"), ("q", 2, "b"), ("q", 2, "b"), ("r", 1, "a"), (None, 1, "a"), (None, 2, "b")], "qid string, table_pos int, table string")
     assert sorted(map(tuple, N.table_pairs(valid).collect())) == [("q", 1, 2, "a", "b")] * 2
+
+
+def shuffle_files(spark):
+    """Size of every shuffle file, by the number of its shuffle."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    named = [(files.apply(i).getName(), files.apply(i).length()) for i in range(files.size())]
+    return [(int(n.split("_")[1]), size) for n, size in named if n.startswith("shuffle_")]
+
+
+def test_knn_writes_in_proportion_to_its_rows(spark):
+    """Vectors without clusters: nothing is ruled out, so every block of queries meets every block of the corpus."""
+    X = np.random.default_rng(8).normal(size=(2000, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "qid long, vec array<double>")
+    before = max([n for n, _ in shuffle_files(spark)], default=-1)
+    got = V.knn(df, df.withColumnRenamed("qid", "cid"), k=2, block_rows=50).collect()
+    assert sum(size for n, size in shuffle_files(spark) if n > before) < 12 * X.nbytes  # 40 blocks, each sent to all
+    d = ((X[:, None] - X[None]) ** 2).sum(axis=2) + np.diag([np.inf] * len(X))
+    assert {(r.qid, r["rank"], r.cid) for r in got} == {(i, n + 1, int(j)) for i in range(len(X)) for n, j in enumerate(np.argsort(d[i])[:2])}
+
+
+def test_knn_in_tiles_with_repeated_rows_null_ids_and_unusable_vectors(spark):
+    """Every row counts, as in SQL: a repeated corpus row is two neighbours, one without id is first among equals."""
+    rng = np.random.default_rng(4)
+    X = rng.integers(0, 3, size=(150, 2)).astype(float)  # many exact ties
+    rows = [(i, x.tolist()) for i, x in enumerate(X)] + [(5, X[5].tolist()), (7, [9.0, 9.0]), (None, [1.0, 1.0]), (200, [float("nan"), 1.0]), (201, None)]
+    df = spark.createDataFrame(rows, "qid long, vec array<double>")
+    got = {}
+    for r in V.knn(df, df.withColumnRenamed("qid", "cid"), k=4, block_rows=12, n_pivots=5).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.dist, r.cid))
+    usable = [(i, np.array(x)) for i, x in rows if x and x[0] == x[0]]
+    want = {}
+    for i, x in usable:
+        if i is not None:
+            want.setdefault(i, []).extend((round(float(((x - y) ** 2).sum()), 9), j is not None, j or 0, j) for j, y in usable if j != i)
+    assert {i: [(d, c) for _, d, c in sorted(g)] for i, g in got.items()} == {i: [(d, j) for d, _, _, j in sorted(w)[:4]] for i, w in want.items()}
