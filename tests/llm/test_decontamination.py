@@ -73,3 +73,16 @@ def test_op4_on_documents(spark):
     exact = {(i, k) for i, t in texts for k, x in items if x in t}
     got = {(r.doc_id, r.item_id) for r in queries.op4_decontamination(spark, sf).collect()}
     assert exact <= got and all(any(w in dict(texts)[i] for w in dict(items)[k].split()[3:6]) for i, k in got)
+
+
+def test_a_benchmark_of_several_mb_takes_one_pass_and_no_broadcast(spark):
+    rng = random.Random(7)
+    items = [(k, " ".join(f"{rng.randrange(1 << 20):x}" for _ in range(2000)), 1, 2) for k in range(220)]
+    items.append((900, items[7][1], 1, 2))  # the same text under another id
+    words = items[7][1].split()
+    texts = ["before " + " ".join(words[50:70]) + " after", " ".join(words[1990:2000] + ["x"] * 3), " ".join(words[100:105] + ["x", "y"] + words[107:113]), None]
+    assert sum(len(t) for _, t, *_ in items) > 2 << 20
+    found = decontamination.overlaps(docs(spark, texts), bench(spark, items))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD [doc_id") == 1 and "strategy=broadcast" not in plan
+    assert {tuple(r) for r in found.collect()} == {(k, i, n, 13) for k, n in ((0, 13), (2, 11)) for i in (7, 900)}
