@@ -274,3 +274,14 @@ def test_knn_in_tiles_with_repeated_rows_null_ids_and_unusable_vectors(spark):
         if i is not None:
             want.setdefault(i, []).extend((round(float(((x - y) ** 2).sum()), 9), j is not None, j or 0, j) for j, y in usable if j != i)
     assert {i: [(d, c) for _, d, c in sorted(g)] for i, g in got.items()} == {i: [(d, j) for d, _, _, j in sorted(w)[:4]] for i, w in want.items()}
+
+
+def test_best_distance_writes_in_proportion_to_its_rows(spark):
+    """The nearest of each row over many blocks, and infinity where a row has no vector."""
+    X = np.random.default_rng(18).normal(size=(1500, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)] + [(9999, None)], "qid long, vec array<double>")
+    before = max([n for n, _ in shuffle_files(spark)], default=-1)
+    got = {r.qid: r.best_distance for r in V.best_distance(df, V.knn(df, df.withColumnRenamed("qid", "cid"), k=3, block_rows=40)).collect()}
+    assert sum(size for n, size in shuffle_files(spark) if n > before) < 12 * X.nbytes  # 38 blocks, each sent to all
+    d = ((X[:, None] - X[None]) ** 2).sum(axis=2) + np.diag([np.inf] * len(X))
+    assert math.isinf(got.pop(9999)) and np.allclose([got[i] for i in range(len(X))], d.min(axis=1), atol=1e-12)
